@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from wavegrid.llm.bpe import op9_bpe
+from wavegrid.llm.ngram_join import op1_ngram_join
+from wavegrid.llm.pii import op10_pii
 from wavegrid.llm.quality_rules import op6_quality_rules
 
-QUERIES = {"op6_quality_rules": op6_quality_rules}
+QUERIES = {"op1_ngram_join": op1_ngram_join, "op6_quality_rules": op6_quality_rules, "op9_bpe": op9_bpe, "op10_pii": op10_pii}
 
 ORACLE_SQL: dict[str, str] = {}

@@ -268,7 +268,7 @@ def candidates(sets: DataFrame) -> DataFrame:
     needed = F.floor((3 * F.col("n") + 3) / 4)
     kept = cut(
         sets.select("rep", "copies", "n").join(shared, "rep").where(F.size("rare") >= needed)
-        .select("rep", "copies", "n", F.array_sort(F.transform("rare", lambda x: x["h"])).alias("shingles"),
+        .select("rep", "copies", "n", F.sort_array(F.transform("rare", lambda x: x["h"])).alias("shingles"),
                 F.transform(F.slice("rare", 1, (F.col("n") - needed + 1 - unshared).cast("int")), lambda x: x["h"]).alias("prefix"))
     )
     ties = kept.select("rep", F.explode("prefix").alias("h"))

@@ -391,7 +391,7 @@ def span_string(column):
             F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string")).alias("t"),
         ),
     )
-    return F.array_join(F.transform(F.array_sort(order), lambda x: x["t"]), ",")
+    return F.array_join(F.transform(F.sort_array(order), lambda x: x["t"]), ",")
 
 
 def op10_pii(spark, sf_dir: str) -> DataFrame:

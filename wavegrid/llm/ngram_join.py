@@ -47,6 +47,8 @@ WORDS = 5
 EXTRA = 0.10
 #: Classes and shingles that a task indexes at once.
 CHUNK_CLASSES, CHUNK_SHINGLES = 256, 1_000_000
+#: Classes (of two numbers) that are sent to every task at most; more are joined by an exchange.
+SENT_CLASSES = 2_000_000
 #: Weight of a bisection against a step of the heap, in DivideSkip's choice of the long lists.
 MU = 0.01
 
@@ -318,10 +320,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     shared = prefixes(docs).select("k", "h", (F.min("k").over(by_shingle) != F.max("k").over(by_shingle)).alias("shared")).where("shared")
     counts = shared.groupBy("k").agg(F.count_distinct("h").alias("n_shared"))
     partner = F.floor((3 * F.col("n") + 3) / 4)
-    alive = classes.join(counts, "k").where(F.col("n_shared") >= F.greatest(F.lit(1), F.ceil(F.lit(EXTRA) * partner - 1e-6))).select("rep", "copies", "key")
-    texts = docs.select(*[c.alias(a) for c, a in zip(columns_of(docs, "doc_id", "text"), ("rep", "text"), strict=True)]).join(alive.drop("key").dropDuplicates(["rep"]), "rep").dropDuplicates(["rep", "copies", "text"])
+    alive = classes.join(counts, "k").where(F.col("n_shared") >= F.greatest(F.lit(1), F.ceil(F.lit(EXTRA) * partner - 1e-6))).select("rep", "copies")
+    alive = cut(alive.dropDuplicates(["rep"]))
+    # Few classes are left as a rule: then the texts of the others need not be moved.
+    chosen = F.broadcast(alive) if alive.count() <= SENT_CLASSES else alive
+    texts = docs.select(*[c.alias(a) for c, a in zip(columns_of(docs, "doc_id", "text"), ("rep", "text"), strict=True)]).join(chosen, "rep").dropDuplicates(["rep", "copies", "text"])
     sets = cut(with_sets(texts).where("n > 0"))
-    blocks = tasks(cut(candidates(sets)))
+    # A number of partitions is given, since a task's time is not in proportion to its bytes.
+    blocks = tasks(cut(candidates(sets))).repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "block")
     found = cut(blocks.groupBy("block").applyInArrow(links_of, "rep bigint, links bigint, root bigint"))
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     joined = components(found.select(F.col("rep").alias("u"), F.col("root").alias("v")))

@@ -19,7 +19,6 @@ built-in examples only and gives an empty result; other columns pass through unt
 
 from __future__ import annotations
 
-import hashlib
 import math
 import random
 import re
@@ -37,7 +36,6 @@ OTHER = len(KINDS)
 MAX_TOKENS = 16
 MARGIN = 48
 
-LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
@@ -46,7 +44,7 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
 HEX = re.compile(r"[0-9a-f]{24,}")
 TRIGGER = re.compile(r"[0-9@]|\(at\)|\[at\]")
-TOKEN = re.compile(r"[A-Za-z]+|[0-9]+|\n|[^\S\n]+|[^\w\s]|[^\W\d]+|\w", re.ASCII)
+TOKEN = re.compile(r"[A-Za-z0-9]+|\n|[^\S\n]+|[^\w\s]|\w", re.ASCII)
 
 
 def luhn(digits: str) -> bool:
@@ -402,9 +400,3 @@ def op10_pii(spark, sf_dir: str) -> DataFrame:
         F.sha2(span_string(F.col("pii.base")).cast("binary"), 256).alias("base_sha256"),
         span_string(F.concat("pii.base", "pii.added")).alias("spans"),
     )
-
-
-def model_digest(model) -> str:
-    """A short name of a trained model, equal for equal weights."""
-    numbers, weights = model
-    return hashlib.sha256(repr(sorted((n, round(float(weights[i]), 6)) for n, i in numbers.items())).encode()).hexdigest()[:16]

@@ -109,7 +109,9 @@ def mix(
     ranges = cut(sums.withColumn("upto", upto))
     last_whole = ranges.where("upto <= rest").groupBy(*names).agg(F.max("range").alias("last"))
     broken = ranges.where("upto > rest").groupBy(*names).agg(F.min(F.struct("range", (F.col("upto") - F.col("sum")).alias("before"))).alias("at"))
-    inside = placed.join(broken, names).where(F.col("range") == F.col("at.range")).groupBy(*names, "rest", "at.before", key).agg(F.sum(n).alias("sum"))
+    # One row for each leaf again, of known size, so that the documents need not be moved for it.
+    at = spark.createDataFrame(broken.select(*names, "at.range", "at.before").collect(), T.StructType([*leaf_type, T.StructField("range", T.StringType()), T.StructField("before", T.LongType())]))
+    inside = placed.join(at, [*names, "range"]).groupBy(*names, "rest", "before", key).agg(F.sum(n).alias("sum"))
     running = F.col("before") + F.sum("sum").over(Window.partitionBy(*names).orderBy(key).rowsBetween(Window.unboundedPreceding, 0))
     within = inside.withColumn("upto", running).where("upto <= rest").groupBy(*names).agg(F.max(key).alias("within"))
     ends = last_whole.join(within, names, "full")

@@ -46,7 +46,7 @@ def test_stages_on_hard_rows(spark, hard):  # noqa: F811
     kept = {r.doc_id for r in corpus_pipeline.stage_near_duplicates(spark, hard, SF).collect()}
     assert {0, 1, 2, None, 8} <= kept and not kept & {9, 10, 11, 30, 31, 5}
     clean = {r.doc_id: r for r in corpus_pipeline.stage_pii(spark, hard, SF).collect()}
-    assert clean[13].text == "[EMAIL] [IP] [PHONE] [CARD]" and clean[13].n_chars == len(clean[13].text) and clean[3].text == "one"
+    assert clean[13].text == "[EMAIL] [IP] [PHONE], [CARD]" and clean[13].n_chars == len(clean[13].text) and clean[3].text == "one"
     assert np.frombuffer(corpus_pipeline.stage_bpe(spark, hard, SF).where("doc_id = 3").first().ids, "<u4").size == 1
 
 

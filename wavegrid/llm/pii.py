@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wavegrid.llm.common import columns_of, documents, free_name
+from wavegrid.llm.common import columns_of, documents, free_name, hashed_sample
 
 KINDS = ("email", "ip", "card", "phone", "secret")
 OTHER = len(KINDS)
@@ -321,14 +321,14 @@ def train(texts: list[str], rounds: int = 12, seed: int = 7, penalty: float = 1e
 
 def sample_texts(docs: DataFrame, sample: int) -> list[str]:
     """The surroundings of digits and at-signs in at most `sample` documents, chosen by a hash."""
-    ids = docs.select(*columns_of(docs, "text")).where(F.col("text").rlike("[0-9@]")).orderBy(F.xxhash64("text"), "text").limit(sample)
+    chosen = hashed_sample(docs.select(*columns_of(docs, "text")).where(F.col("text").rlike("[0-9@]")), "text", sample)
 
     def parts(batches):
         for batch in batches:
             out = ["\n".join(t[s:e] for s, e in windows(t)[:20]) for t in batch.column(0).to_pylist()]
             yield pa.record_batch([pa.array(out, pa.string())], names=["text"])
 
-    return [r.text for r in ids.mapInArrow(parts, "text string").collect()]
+    return [r.text for r in chosen.mapInArrow(parts, "text string").collect()]
 
 
 def added_spans(text: str, numbers: dict[str, int], weights: np.ndarray, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wavegrid.llm.common import columns_of, documents, free_name
+from wavegrid.llm.common import columns_of, documents, free_name, hashed_sample
 from wavegrid.llm.quality_rules import WHITE, class_counts, repeated_words
 
 STATISTICS = (
@@ -174,7 +174,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, target: str, bound: int) -
     """(text, target) of at most `bound` labelled rows outside fold 0, chosen by a hash of the doc_id."""
     chosen = labels.select(*columns_of(labels, "doc_id", target)).where((fold(F.col("doc_id")) != 0) & F.col(target).isNotNull() & F.col("doc_id").isNotNull())
     # At most `bound` rows of two numbers: small enough to be sent to every task.
-    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id", target).limit(bound)
+    chosen = hashed_sample(chosen, "doc_id", bound)
     return docs.select(*columns_of(docs, "doc_id", "text")).join(F.broadcast(chosen), "doc_id").select("text", target)
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wavegrid.llm import bpe, mixing, ngram_join, pii, quality_rules
-from wavegrid.llm.common import columns_of, documents, free_name, shared_dir
+from wavegrid.llm.common import columns_of, cut, documents, free_name, shared_dir, small_side
 
 
 def stage_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,10 +21,16 @@ def stage_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def stage_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates, keeps the document with the smallest doc_id; of equal rows, one."""
-    groups = ngram_join.near_duplicates(docs)
-    gone = groups.where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id", "text"])
+    """Of each group of near duplicates, keeps the document with the smallest doc_id; of equal rows with a doc_id, one."""
+    groups = cut(ngram_join.near_duplicates(docs).select("doc_id", "component_id"))
+    gone = cut(groups.where("component_id <> doc_id").select("doc_id").distinct())
+    kept = docs.join(small_side(gone), "doc_id", "left_anti")
+    repeated = cut(groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    if repeated.count():
+        repeated = small_side(repeated)
+        once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+        kept = kept.join(repeated, "doc_id", "left_anti").unionByName(once)
+    return kept.select(*columns_of(docs, *docs.columns))
 
 
 def stage_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -102,7 +102,7 @@ def near_rows(seed, groups=6, size=40):
 def test_join_equals_all_pairs(spark, seed, monkeypatch):
     if seed == 2:  # large groups are cut into chunks
         monkeypatch.setattr(ngram_join, "CHUNK_CLASSES", 7)
-        monkeypatch.setattr(ngram_join, "SENT_CLASSES", -1)
+        monkeypatch.setattr(ngram_join, "small_side", lambda df: df)
     rows = near_rows(seed)
     got = ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in got} == joined_by_force(rows)

@@ -71,3 +71,12 @@ def hashed_sample(df: DataFrame, key: str, bound: int) -> DataFrame:
     if n > 4 * bound:
         df = df.where(F.xxhash64(F.col(key)) < -(2**63) + int(2 * bound / n * 2**64))
     return df.orderBy(F.xxhash64(F.col(key)), *columns_of(df, *df.columns)).limit(bound)
+
+
+#: Rows of a few numbers that are sent to every task at most (a few tens of MB).
+SENT_ROWS = 2_000_000
+
+
+def small_side(df: DataFrame, bound: int = SENT_ROWS) -> DataFrame:
+    """df, which must be cut, to be sent to all tasks of a join if it has at most `bound` rows; else Spark joins by an exchange."""
+    return F.broadcast(df) if df.count() <= bound else df

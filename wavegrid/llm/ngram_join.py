@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wavegrid.llm.common import columns_of, cut, documents, once
+from wavegrid.llm.common import columns_of, cut, documents, once, small_side
 from wavegrid.llm.graph import components
 
 WORDS = 5
@@ -47,8 +47,6 @@ WORDS = 5
 EXTRA = 0.10
 #: Classes and shingles that a task indexes at once.
 CHUNK_CLASSES, CHUNK_SHINGLES = 256, 1_000_000
-#: Classes (of two numbers) that are sent to every task at most; more are joined by an exchange.
-SENT_CLASSES = 2_000_000
 #: Weight of a bisection against a step of the heap, in DivideSkip's choice of the long lists.
 MU = 0.01
 
@@ -262,39 +260,40 @@ def links_of(block: pa.Table) -> pa.Table:
 
 
 def candidates(sets: DataFrame) -> DataFrame:
-    """(rep, copies, n, shingles, component) of the classes that may have links; shingles: the shared ones."""
+    """(rep, n, component) of the classes that may have links."""
     by_shingle = Window.partitionBy("h")
-    counted = sets.select("rep", F.explode("shingles").alias("h")).withColumn("df", F.count(F.lit(1)).over(by_shingle)).where("df > 1")
-    shared = counted.groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("rare"))
-    unshared = F.col("n") - F.size("rare")
+    counted = sets.select("rep", "n", F.explode("shingles").alias("h")).withColumn("df", F.count(F.lit(1)).over(by_shingle)).where("df > 1")
+    # A group is one class's shingles.
+    shared = counted.groupBy("rep", "n").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("rare"))
     needed = F.floor((3 * F.col("n") + 3) / 4)
-    kept = cut(
-        sets.select("rep", "copies", "n").join(shared, "rep").where(F.size("rare") >= needed)
-        .select("rep", "copies", "n", F.sort_array(F.transform("rare", lambda x: x["h"])).alias("shingles"),
-                F.transform(F.slice("rare", 1, (F.col("n") - needed + 1 - unshared).cast("int")), lambda x: x["h"]).alias("prefix"))
-    )
+    # The rarest n - needed + 1 shingles, of which the first n - size(rare) are the class's own alone.
+    prefix = F.transform(F.slice("rare", 1, (F.size("rare") - needed + 1).cast("int")), lambda x: x["h"])
+    kept = cut(shared.where(F.size("rare") >= needed).select("rep", "n", prefix.alias("prefix")))
     ties = kept.select("rep", F.explode("prefix").alias("h"))
     first = ties.groupBy("h").agg(F.min("rep").alias("first"))
     tied = components(ties.join(first, "h").select(F.col("rep").alias("u"), F.col("first").alias("v")))
-    return kept.drop("prefix").join(tied, kept.rep == tied.node).select("rep", "copies", "n", "shingles", "component")
+    return kept.select("rep", "n").join(tied, kept.rep == tied.node).select("rep", "n", "component")
 
 
 def tasks(found: DataFrame) -> DataFrame:
-    """found with columns block and side, a row for each task that a class takes part in."""
+    """(rep, block, side): a row for each task that a class takes part in."""
     sized = found.withColumn("band", F.floor(F.log("n") / F.lit(math.log(1.34))))
-    groups = found.groupBy("component").agg(F.count(F.lit(1)).alias("classes"), F.sum(F.size("shingles")).alias("size"))
-    groups = groups.withColumn("large", (F.col("classes") > CHUNK_CLASSES) | (F.col("size") > CHUNK_SHINGLES))
+    groups = found.groupBy("component").agg(F.count(F.lit(1)).alias("classes"), F.sum("n").alias("size"))
+    groups = cut(groups.withColumn("large", (F.col("classes") > CHUNK_CLASSES) | (F.col("size") > CHUNK_SHINGLES)))
     total = groups.where("not large").agg(F.sum("classes"), F.sum("size")).first()
     bundles = max(1, -(-(total[0] or 0) // CHUNK_CLASSES), -(-(total[1] or 0) // CHUNK_SHINGLES))
-    small = found.join(groups.where("not large").select("component"), "component")
-    small = small.select("rep", "copies", "n", "shingles", F.concat(F.lit("b"), F.pmod(F.xxhash64("component"), F.lit(bundles)).cast("string")).alias("block"), F.lit(2).alias("side"))
+    # Each large group has over CHUNK_CLASSES classes (or very long texts): there are few of them.
+    large = small_side(cut(groups.where("large").select("component")))
+    small = sized.join(large, "component", "left_anti")
+    small = small.select("rep", F.concat(F.lit("b"), F.pmod(F.xxhash64("component"), F.lit(bundles)).cast("string")).alias("block"), F.lit(2).alias("side"))
     # Large groups: bands of sizes by a factor over 4/3, so that linked sets are in the same band or in neighbouring ones.
-    bands = sized.join(groups.where("large").select("component"), "component").groupBy("component", "band").agg(
-        F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(CHUNK_CLASSES)), F.ceil(F.sum(F.size("shingles")) / F.lit(CHUNK_SHINGLES))).cast("int").alias("chunks")
+    sized = sized.join(large, "component")
+    bands = sized.groupBy("component", "band").agg(
+        F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(CHUNK_CLASSES)), F.ceil(F.sum("n") / F.lit(CHUNK_SHINGLES))).cast("int").alias("chunks")
     )
     near = bands.select("component", (F.col("band") - 1).alias("band"), F.col("chunks").alias("above"))
     below = bands.select("component", (F.col("band") + 1).alias("band"), F.col("chunks").alias("below"))
-    bands = bands.join(near, ["component", "band"], "left").join(below, ["component", "band"], "left")
+    bands = small_side(cut(bands.join(near, ["component", "band"], "left").join(below, ["component", "band"], "left")))
     own = F.pmod(F.xxhash64("rep"), F.col("chunks").cast("long")).cast("int")
     upto = lambda c: F.when(F.coalesce(c, F.lit(0)) > 0, F.sequence(F.lit(0), c - 1)).otherwise(F.array().cast("array<int>"))
     name = lambda b1, i, b2, j: F.concat_ws(":", F.col("component").cast("string"), *[x.cast("string") for x in (b1, i, b2, j)])
@@ -304,8 +303,8 @@ def tasks(found: DataFrame) -> DataFrame:
         F.transform(upto(F.col("above")), lambda j: F.struct(name(b, F.col("chunk"), b + 1, j).alias("block"), F.lit(0).alias("side"))),
         F.transform(upto(F.col("below")), lambda j: F.struct(name(b - 1, j, b, F.col("chunk")).alias("block"), F.lit(1).alias("side"))),
     )
-    large = sized.join(bands, ["component", "band"]).withColumn("chunk", own).withColumn("part", F.explode(parts))
-    return small.unionByName(large.select("rep", "copies", "n", "shingles", "part.block", "part.side"))
+    parted = sized.join(bands, ["component", "band"]).withColumn("chunk", own).withColumn("part", F.explode(parts))
+    return small.unionByName(parted.select("rep", "part.block", "part.side"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -321,13 +320,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     counts = shared.groupBy("k").agg(F.count_distinct("h").alias("n_shared"))
     partner = F.floor((3 * F.col("n") + 3) / 4)
     alive = classes.join(counts, "k").where(F.col("n_shared") >= F.greatest(F.lit(1), F.ceil(F.lit(EXTRA) * partner - 1e-6))).select("rep", "copies")
-    alive = cut(alive.dropDuplicates(["rep"]))
     # Few classes are left as a rule: then the texts of the others need not be moved.
-    chosen = F.broadcast(alive) if alive.count() <= SENT_CLASSES else alive
-    texts = docs.select(*[c.alias(a) for c, a in zip(columns_of(docs, "doc_id", "text"), ("rep", "text"), strict=True)]).join(chosen, "rep").dropDuplicates(["rep", "copies", "text"])
+    alive = cut(alive.dropDuplicates(["rep"]))
+    texts = docs.select(*[c.alias(a) for c, a in zip(columns_of(docs, "doc_id", "text"), ("rep", "text"), strict=True)]).join(small_side(alive), "rep").dropDuplicates(["rep", "copies", "text"])
     sets = cut(with_sets(texts).where("n > 0"))
     # A number of partitions is given, since a task's time is not in proportion to its bytes.
-    blocks = tasks(cut(candidates(sets))).repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "block")
+    blocks = sets.join(tasks(cut(candidates(sets))).distinct(), "rep").repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "block")
     found = cut(blocks.groupBy("block").applyInArrow(links_of, "rep bigint, links bigint, root bigint"))
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     joined = components(found.select(F.col("rep").alias("u"), F.col("root").alias("v")))

@@ -6,13 +6,16 @@ from wavegrid.llm.bpe import op9_bpe
 from wavegrid.llm.licenses import op7_license_scan
 from wavegrid.llm.mixing import op4_source_mixing
 from wavegrid.llm.ngram_join import op1_ngram_join
+from wavegrid.llm.oracle import ORACLE_SQL
 from wavegrid.llm.pii import op10_pii
 from wavegrid.llm.quality_model import op5_quality_classifier
 from wavegrid.llm.quality_rules import op6_quality_rules
 from wavegrid.llm.syncmers import op8_syncmer_fingerprints
-from wavegrid.llm.token_rollup import OP2_SQL, op2_token_rollup
+from wavegrid.llm.token_rollup import op2_token_rollup
 from wavegrid.llm.toxicity import op3_toxicity
 
+__all__ = ["ORACLE_SQL", "QUERIES"]
+
 QUERIES = {
     "op1_ngram_join": op1_ngram_join,
     "op2_token_rollup": op2_token_rollup,
@@ -25,5 +28,3 @@ QUERIES = {
     "op9_bpe": op9_bpe,
     "op10_pii": op10_pii,
 }
-
-ORACLE_SQL: dict[str, str] = {"op2_token_rollup": OP2_SQL}

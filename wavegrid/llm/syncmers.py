@@ -26,8 +26,8 @@ from wavegrid.llm.common import columns_of, documents
 WORD = r"[^\x20\x09-\x0D]+"
 SIZE = 256
 K, S = 5, 2
-#: Hash ranges of doc_id that a table is dealt to at most, to find each document's successor.
-MAX_RANGES = 4096
+#: Ranges of doc_id that a table is dealt to: one for so many rows, and not more than so many.
+RANGE_ROWS, MAX_RANGES = 20_000, 16_384
 
 
 def with_anchors(df: DataFrame, texts: dict[str, str]) -> DataFrame:
@@ -91,10 +91,16 @@ def dealt(docs: DataFrame) -> DataFrame:
     doc_id, text = columns_of(docs, "doc_id", "text")
     lowest = F.lit(-(2**63)).cast("bigint")
     keyed = docs.select(doc_id.alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"), F.coalesce(doc_id.cast("bigint"), lowest).alias("key"))
-    n = min(MAX_RANGES, max(2, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    first, cuts = keyed.agg(F.min("key"), F.percentile_approx("key", F.array(*[F.lit(k / n) for k in range(1, n)]), F.lit(20_000))).first()
-    bounds = F.array(*[F.lit(x).cast("bigint") for x in sorted({first, *(cuts or [])} - {None})] or [lowest])
-    own = F.size(F.filter(bounds, lambda b: b <= F.col("key"))) - 1
+    rows, first, last = keyed.agg(F.count(F.lit(1)), F.min("key"), F.max("key")).first()
+    n = min(MAX_RANGES, max(2, int(spark.conf.get("spark.sql.shuffle.partitions")), rows // RANGE_ROWS))
+    cuts = keyed.agg(F.percentile_approx("key", F.array(*[F.lit(k / n) for k in range(1, n)]), F.lit(4 * n))).first()[0] if first != last else []
+    begins = sorted({first, *(cuts or [])} - {None}) or [-(2**63)]
+    bounds = F.array(*[F.lit(x).cast("bigint") for x in begins])
+    # The range is looked up in two steps: among every `step`-th bound, then among those between.
+    step = int(len(begins) ** 0.5) + 1
+    upto = lambda values: F.size(F.filter(values, lambda b: b <= F.col("key")))
+    block = upto(F.array(*[F.lit(x).cast("bigint") for x in begins[::step]])) - 1
+    own = block * step + upto(F.slice(bounds, block * step + 1, step)) - 1
     before = F.when(F.get(bounds, F.col("own")) == F.col("key"), F.array(F.struct(F.pmod(F.col("own") - 1, F.size(bounds)).alias("range"), F.lit(True).alias("extra"))))
     here = F.array(F.struct(F.col("own").alias("range"), F.lit(False).alias("extra")))
     to = F.explode(F.concat(here, F.coalesce(before, F.array().cast("array<struct<range:int,extra:boolean>>"))))

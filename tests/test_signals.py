@@ -93,6 +93,8 @@ def test_thresholds_stats_and_dense_labels(spark):
     assert stats["all", 2, "queried_amplitude", "mean"] == 0 and stats["all", 2, "queried_amplitude", "sd"] == 0
     assert stats["all", 1, "argmaxes", "mean"] == 2 and stats["all", 1, "argmaxes", "sd"] == pytest.approx(math.sqrt(0.5), rel=1e-5)
     assert math.isnan(stats["all", 1, "queried_amplitude", "mean"]) and stats[name, 3, "queried_amplitude", "mean"] == 0.9 and stats[name, 3, "queried_amplitude", "sd"] == 0
+    direct = cells.cell_stats(lab, q, ["queried_amplitude", "argmaxes"], cutoffs={"full_amplitude": 0.1})
+    assert repr(sorted(stats.items())) == repr(sorted(((r.mask_name, r.label, r.feature, r.stat), r.value) for r in direct.collect()))
     exact = cells.cell_stats(lab, q, ["argmaxes"], integer_mean="exact").where("label = 1 and stat = 'mean'").first()
     assert exact.value == 2.5
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import warnings
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wavegrid.functions.numerics import above, group_mean, group_sd
@@ -18,60 +18,89 @@ def threshold_name(feature: str, threshold: float) -> str:
     return f"thresh_{feature}_at_{threshold}"
 
 
-def threshold_masks(labels: DataFrame, queried: DataFrame, cutoffs: Mapping[str, float], carrier_index: int) -> DataFrame:
-    """labels and, for each cutoff, a mask where pixels whose carrier value is not above it have label 0.
+def threshold_tests(columns: Sequence[str], cutoffs: Mapping[str, float]) -> list[tuple[str, str, float]]:
+    """(mask name, feature, threshold) of the cutoffs whose feature is there; others are skipped with a warning.
 
     cutoffs: by feature name without `queried_`; full_amplitude is another name of amplitude.
-    Unknown features are skipped with a warning. Masks other than 'all' are prefixed by their name.
     """
     tests = []
     for name, threshold in cutoffs.items():
         feature = "queried_" + {"full_amplitude": "amplitude"}.get(name, name)
-        if feature not in queried.columns:
-            warnings.warn(f"{feature} is not among the features; its threshold is skipped", stacklevel=2)
-            continue
-        tests.append((threshold_name(feature, threshold), feature, threshold))
+        if feature in columns:
+            tests.append((threshold_name(feature, threshold), feature, threshold))
+        else:
+            warnings.warn(f"{feature} is not among the features; its threshold is skipped", stacklevel=3)
+    return tests
+
+
+def _derived(name: str) -> Column:
+    """The name of a derived mask; masks other than 'all' are prefixed by their name."""
+    return F.concat(F.when(F.col("mask_name") == "all", "").otherwise(F.concat("mask_name", F.lit("_"))), F.lit(name))
+
+
+def _masks(tests: Sequence[tuple[str, str, float]], values: Mapping[str, Column]) -> Column:
+    """The mask of a row and those derived from it, with its label or 0."""
+    passed = [F.when(above(values[f], t), F.col("label")).otherwise(F.lit(0).cast("bigint")) for _, f, t in tests]
+    return F.array(
+        F.struct(F.col("mask_name"), F.col("label")),
+        *[F.struct(_derived(n).alias("mask_name"), p.alias("label")) for (n, _, _), p in zip(tests, passed, strict=True)],
+    )
+
+
+def threshold_masks(labels: DataFrame, queried: DataFrame, cutoffs: Mapping[str, float], carrier_index: int) -> DataFrame:
+    """labels and, for each cutoff, a mask where pixels whose carrier value is not above it have label 0."""
+    tests = threshold_tests(queried.columns, cutoffs)
     if not tests:
         return labels
     carrier = queried.where(F.col("c") == carrier_index).select(*PIXEL, *dict.fromkeys(f for _, f, _ in tests))
     joined = labels.join(carrier, PIXEL, "left")
-    prefix = F.when(F.col("mask_name") == "all", "").otherwise(F.concat("mask_name", F.lit("_")))
-    masks = F.array(
-        F.struct(F.col("mask_name"), F.col("label")),
-        *[F.struct(F.concat(prefix, F.lit(n)).alias("mask_name"), F.when(above(F.col(f), t), F.col("label")).otherwise(F.lit(0).cast("bigint")).alias("label")) for n, f, t in tests],
-    )
+    masks = _masks(tests, {f: F.col(f) for _, f, _ in tests})
     return joined.select(*PIXEL, F.explode(masks).alias("m")).select("image_id", "m.mask_name", "x", "y", "m.label")
 
 
-def label_domain(labels: DataFrame) -> DataFrame:
-    """(image_id, mask_name, label): every label from 0 to the image's largest, for each mask."""
+def label_domain(labels: DataFrame, tests: Sequence[tuple[str, str, float]] = ()) -> DataFrame:
+    """(image_id, mask_name, label): every label from 0 to the image's largest, for each mask and each derived one."""
     largest = labels.groupBy("image_id").agg(F.max("label").alias("top"), F.collect_set("mask_name").alias("masks"))
-    return largest.select("image_id", F.explode("masks").alias("mask_name"), "top").select("image_id", "mask_name", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("top"))).alias("label"))
+    masks = largest.select("image_id", F.explode("masks").alias("mask_name"), "top")
+    masks = masks.select("image_id", F.explode(F.array(F.col("mask_name"), *[_derived(n) for n, _, _ in tests])).alias("mask_name"), "top")
+    return masks.select("image_id", "mask_name", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("top"))).alias("label"))
 
 
-def cell_stats(labels: DataFrame, queried: DataFrame, features: Sequence[str], levels: DataFrame | None = None, integer_mean: str = "floor") -> DataFrame:
+def cell_stats(
+    labels: DataFrame, queried: DataFrame, features: Sequence[str], levels: DataFrame | None = None, integer_mean: str = "floor",
+    cutoffs: Mapping[str, float] | None = None, carrier_index: int = 0,
+) -> DataFrame:
     """(image_id, mask_name, label, c, feature, stat, value): mean and sd over each label's pixels.
 
     Labels that no pixel has come out as 0. levels: (image_id, c, x, y, mean), averaged without a
-    standard deviation. argmaxes is averaged with the floor unless integer_mean is 'exact'.
-    Sums are pre-aggregated before the exchange, so a label with most pixels is no hot key.
-    """
+    standard deviation. argmaxes is averaged with the floor unless integer_mean is 'exact'. With
+    cutoffs, the masks of threshold_masks() are derived in place, so that the features are read
+    once. Sums are pre-aggregated before the exchange, so a label with most pixels is no hot key.
+    """
     if integer_mean not in ("floor", "exact"):
         raise ValueError("integer_mean must be 'floor' or 'exact'")
+    tests = threshold_tests(queried.columns, cutoffs or {})
     aggregates: list[tuple[str, str, Column]] = []
     for f in features:
         aggregates.append((f, "mean", group_mean(F.col(f), f == "argmaxes" and integer_mean == "floor")))
         aggregates.append((f, "sd", group_sd(F.col(f))))
-    values = queried.select(*PIXEL, "c", *features)
+    # A window's group is one pixel's channels.
+    pixel = Window.partitionBy(*PIXEL)
+    carrier = {f: F.max(F.when(F.col("c") == carrier_index, F.col(f))).over(pixel) for _, f, _ in tests}
+    values = queried.select(*PIXEL, "c", *features, *[v.alias(f"_{f}") for f, v in carrier.items()])
     if levels is not None:
         values = values.join(levels.select(*PIXEL, "c", F.col("mean").alias("levels")), [*PIXEL, "c"])
         aggregates.append(("levels", "mean", F.avg("levels")))
-    wide = values.join(labels, PIXEL).groupBy("image_id", "mask_name", "label", "c").agg(*[a.alias(f"{f}|{s}") for f, s, a in aggregates])
+    joined = values.join(labels, PIXEL)
+    if tests:
+        masks = _masks(tests, {f: F.col(f"_{f}") for f in carrier})
+        joined = joined.withColumn("_m", F.explode(masks)).withColumns({"mask_name": F.col("_m.mask_name"), "label": F.col("_m.label")})
+    wide = joined.groupBy("image_id", "mask_name", "label", "c").agg(*[a.alias(f"{f}|{s}") for f, s, a in aggregates])
     entries = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.lit(s).alias("stat"), F.col(f"`{f}|{s}`").cast("double").alias("value")) for f, s, _ in aggregates]))
     long = wide.select("image_id", "mask_name", "label", "c", entries.alias("e")).select("image_id", "mask_name", "label", "c", "e.*")
-    channels = queried.select("image_id", "c").distinct()
+    channels = wide.select("image_id", "c").distinct()
     kinds = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.lit(s).alias("stat")) for f, s, _ in aggregates]))
-    full = label_domain(labels).join(channels, "image_id").select("image_id", "mask_name", "label", "c", kinds.alias("e")).select("image_id", "mask_name", "label", "c", "e.*")
+    full = label_domain(labels, tests).join(channels, "image_id").select("image_id", "mask_name", "label", "c", kinds.alias("e")).select("image_id", "mask_name", "label", "c", "e.*")
     keys = ["image_id", "mask_name", "label", "c", "feature", "stat"]
     return full.join(long.withColumn("_in", F.lit(True)), keys, "left").select(*keys, F.when(F.col("_in"), F.col("value")).otherwise(0.0).alias("value"))
 

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wavegrid.operators.cells import cell_stats, threshold_masks, threshold_name
+from wavegrid.operators.cells import cell_stats, threshold_name
 from wavegrid.operators.fft import FEATURES, QUERIED, Sampling, check_cutoff, checked, peak_query, spectrum
 from wavegrid.operators.image import downsample_image, downsample_mask, temporal_mean
 from wavegrid.operators.table import channel_names as named_channels
@@ -40,8 +40,7 @@ def process_images(
     all_masks = [*masks]
     for m in masks:
         all_masks += [("" if m == "all" else f"{m}_") + threshold_name("queried_" + {"full_amplitude": "amplitude"}.get(k, k), t) for k, t in known]
-    derived = threshold_masks(labels, queried, threshold_cutoffs, carrier_index) if threshold_cutoffs else labels
-    cells = cell_stats(derived, queried, columns, temporal_mean(series), integer_mean)
+    cells = cell_stats(labels, queried, columns, temporal_mean(series), integer_mean, threshold_cutoffs, carrier_index)
     ids = cells.withColumns({"image_filename": F.col("image_id"), "mask_filename": tiff.mask_name(F.col("image_id"))})
     kinds = [*[(f, s) for f in columns for s in ("mean", "sd")], ("levels", "mean")]
     wide = create_wide(ids, names, kinds, all_masks)

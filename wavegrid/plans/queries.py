@@ -113,9 +113,10 @@ def cell_stats(spark, sf_dir):
 
 
 def cell_stats_thresholded(spark, sf_dir):
-    found = queried(spark, sf_dir)
-    masks = cells.threshold_masks(model.embedding_labels(spark, sf_dir), found, {"normalized_amplitude": THRESHOLD}, CARRIER)
-    return long_cells(cells.cell_stats(masks, found, CELL_FEATURES))
+    rows = cells.cell_stats(
+        model.embedding_labels(spark, sf_dir), queried(spark, sf_dir), CELL_FEATURES, cutoffs={"normalized_amplitude": THRESHOLD}, carrier_index=CARRIER
+    )
+    return long_cells(rows)
 
 
 def cell_levels(spark, sf_dir):

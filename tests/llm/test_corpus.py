@@ -511,3 +511,23 @@ def test_pii_of_hard_rows(hard, empty, entity_model):
         assert (r.pii.redacted is None) == (r.text is None)
     assert next(r.pii.redacted for r in rows if r.doc_id == 13) == "[EMAIL] [IP] [PHONE], [CARD]"
     assert pii.find_spans(empty).count() == 0
+
+
+# --- helpers
+
+
+def test_hashed_sample_is_bounded_and_stable(spark):
+    df = spark.range(5000).withColumn("v", F.col("id") % 3)
+    a = [r.id for r in common.hashed_sample(df, "id", 100).collect()]
+    assert len(a) == 100 and a == [r.id for r in common.hashed_sample(df.repartition(7), "id", 100).collect()]
+    ordered = [r.id for r in df.orderBy(F.xxhash64("id")).limit(100).collect()]
+    assert a == ordered
+    assert common.hashed_sample(df.limit(0), "id", 100).count() == 0 and common.hashed_sample(df.limit(7), "id", 100).count() == 7
+
+
+def test_nothing_else_imports_the_subpackage():
+    import pathlib
+
+    root = pathlib.Path(common.__file__).parents[1]
+    others = [p for p in root.rglob("*.py") if "llm" not in p.parts[len(root.parts) :]]
+    assert len(others) > 10 and not [p for p in others if "wavegrid.llm" in p.read_text() or "import llm" in p.read_text()]

@@ -95,7 +95,9 @@ def spectrum_by_join(series: DataFrame, frames: int) -> DataFrame:
     spark = series.sparkSession
     angle = F.lit(2 * math.pi) * ((F.col("k") * F.col("t")) % F.lit(frames)) / F.lit(frames)
     twiddle = spark.range(frames // 2 + 1).select(F.col("id").cast("int").alias("k"), F.explode(F.sequence(F.lit(0), F.lit(frames - 1))).alias("t"))
-    twiddle = F.broadcast(twiddle.select("k", "t", F.cos(angle).alias("re"), (-F.sin(angle)).alias("im")))
+    twiddle = twiddle.select("k", "t", F.cos(angle).alias("re"), (-F.sin(angle)).alias("im"))
+    # About 500 000 rows of four numbers are sent to all tasks at most; Spark joins larger tables by an exchange.
+    twiddle = F.broadcast(twiddle) if frames <= 1000 else twiddle
     each = mean_center(series).select("image_id", "c", "x", "y", F.posexplode("values").alias("t", "v")).join(twiddle, "t")
     sums = each.groupBy("image_id", "c", "x", "y", "k").agg(F.sum(F.col("v") * F.col("re")).alias("re"), F.sum(F.col("v") * F.col("im")).alias("im"))
     return sums.select("image_id", "c", "x", "y", "k", F.hypot("re", "im").alias("full_amplitude"))

@@ -45,7 +45,7 @@ A7DD-A7DD A7E2-A7E2 A7F1-A7F1 AB6C-AB6D 107BB-107BF 10940-10959 10EC5-10EC7 10ED
 """.split()
 NEVER = 1 << 60
 #: Entries that a worker's memo of pre-tokens or token pairs holds before it starts anew.
-MEMO = 400_000
+MEMO = 250_000
 
 
 def byte_letters() -> dict[str, int]:

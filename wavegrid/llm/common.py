@@ -32,13 +32,22 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def once(key: tuple, make: Callable):
-    """make(), at most once per Python process: workers are used for many tasks."""
+    """make(), at most once per Python process as long as one operator runs: workers are used for many tasks.
+
+    What another operator kept is freed, so that a worker's memory does not add up over a pipeline.
+    """
     kept = sys.__dict__.setdefault("_wavegrid_kept", {})
     if key not in kept:
+        kept.clear()
         kept[key] = make()
     return kept[key]
 
 
+def release() -> None:
+    """Frees what other operators kept in this Python process."""
+    sys.__dict__.get("_wavegrid_kept", {}).clear()
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole documents table."""
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

@@ -46,7 +46,7 @@ WORDS = 5
 #: Similarity 3/4: the numerator and denominator of the overlap bounds below.
 EXTRA = 0.10
 #: Classes and shingles that a task indexes at once.
-CHUNK_CLASSES, CHUNK_SHINGLES = 256, 1_000_000
+CHUNK_CLASSES, CHUNK_SHINGLES = 256, 400_000
 #: Weight of a bisection against a step of the heap, in DivideSkip's choice of the long lists.
 MU = 0.01
 
@@ -57,7 +57,7 @@ class WordHashes(dict):
     """64-bit hash of each word, kept for words seen before."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 500_000:
+        if len(self) >= 200_000:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value

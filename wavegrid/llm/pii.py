@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wavegrid.llm.common import columns_of, documents, free_name, hashed_sample
+from wavegrid.llm.common import columns_of, documents, free_name, hashed_sample, release
 
 KINDS = ("email", "ip", "card", "phone", "secret")
 OTHER = len(KINDS)
@@ -356,6 +356,7 @@ def find_spans(docs: DataFrame, sample: int = 400, column: str = "pii", redact:
     kind = pa.struct([("base", pa.list_(span)), ("added", pa.list_(span)), ("redacted", pa.string())])
 
     def scan(text: pa.Array) -> pa.Array:
+        release()
         rows = []
         for value in text:
             t = value.as_py()

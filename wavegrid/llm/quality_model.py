@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wavegrid.llm.common import columns_of, documents, free_name, hashed_sample
+from wavegrid.llm.common import columns_of, documents, free_name, hashed_sample, release
 from wavegrid.llm.quality_rules import WHITE, class_counts, repeated_words
 
 STATISTICS = (
@@ -56,6 +56,7 @@ def with_statistics(docs: DataFrame, column: str) -> DataFrame:
     """docs with a struct of statistics."""
 
     def measure(text: pa.Array) -> pa.Array:
+        release()
         rows = np.array([statistics(t.as_py()) for t in text], float).reshape(-1, len(STATISTICS))
         return pa.StructArray.from_arrays([pa.array(rows[:, k]) for k in range(len(STATISTICS))], names=list(STATISTICS))
 

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wavegrid.llm.common import columns_of, documents, free_name
+from wavegrid.llm.common import columns_of, documents, free_name, release
 from wavegrid.llm.quality_model import fold, training_rows
 
 PLACES = 1 << 20
@@ -164,6 +164,7 @@ def expected_severity(docs: DataFrame, model: tuple[dict[int, float], np.ndarray
     weights, theta = model
 
     def score(text: pa.Array) -> pa.Array:
+        release()
         known: dict[str, tuple[int, ...]] = {}
         out = []
         for value in text:

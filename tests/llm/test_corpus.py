@@ -372,6 +372,19 @@ def test_licenses(spark, hard, small, empty):
     assert licenses.license_scan(empty).count() == 0
 
 
+def test_wrapped_licenses(spark):
+    """A template is found wherever it is wrapped: over lines, comment marks and empty lines, within other text."""
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal"
+    bsd = "# Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided that the following conditions\n#\n# are met:"
+    gpl = "This program is free software: you can redistribute it and/or modify\n it under the terms of the GNU General Public License as published by\n the Free Software Foundation"
+    # The words of a template far from each other are none.
+    apart = "\n".join(f"{w} {'filler ' * 30}" for w in licenses.TEMPLATES[1][1].split())
+    texts = [mit, f"{'word ' * 50}\n{mit}\n{'word ' * 50}", bsd, gpl, "\n".join(licenses.TEMPLATES[4][1].split()), apart, mit.replace("hereby granted", "x y z v")]
+    out = licenses.license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()
+    got = {r.doc_id: {f.label: f.containment for f in r.found} for r in out}
+    assert got == {0: {"mit": 1.0}, 1: {"mit": 1.0}, 2: {"bsd": 1.0}, 3: {"gpl-3": 1.0}, 4: {"gpl-3": 1.0}, 5: {}, 6: {}}
+
+
 # --- 8: fingerprints
 
 

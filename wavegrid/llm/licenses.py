@@ -1,7 +1,13 @@
 """License scans: fixed phrases and an exact set-similarity join with license templates.
 
-A text block is a line. A template is found in a block that holds at least `threshold` of the
-template's distinct words (containment). The join is exact and uses these filters:
+A template is found in a text block that holds at least `threshold` of the template's distinct
+words (containment). Text blocks are the lines and, for each template, every run of as many words
+as the template has, over the words of all lines, so that it may be wrapped anywhere. A run
+counts from a word of the templates on: one that begins before it holds no more of them. The join
+is exact and uses these filters:
+
+- document: runs of a length are made only where the whole text holds `needed` words of a
+  template of that length;
 
 - order: the templates' words by how many blocks hold them, the rarest first, counted over all
   documents; a block's words are brought into the same order (other words cannot match);
@@ -22,6 +28,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -62,13 +70,47 @@ def places(words: Column, phrase: str) -> Column:
     return F.when(F.contains(joined, F.lit(f" {phrase} ")), starts).otherwise(F.array().cast("array<int>"))
 
 
-def scan(docs: DataFrame, phrases: Mapping[str, str], vocabulary: Sequence[str], least: int) -> DataFrame:
-    """One row for each document: base counts and the blocks with at least `least` words of the vocabulary."""
+def runs(words: Column, held: Column, sets: Sequence[tuple[int, list[str], int]]) -> Column:
+    """(length, held): template words of each run of as many words as a template has, from each of `held` on.
+
+    sets: (length, distinct words, needed words) of each template.
+    """
+
+    def fits(length: int) -> Column:
+        return reduce(or_, [F.size(F.array_intersect(strings(ws), held)) >= need for n, ws, need in sets if n == length])
+
+    lengths = sorted({n for n, _, _ in sets})
+    nothing = F.array().cast("array<struct<length:int,held:array<string>>>")
+    if not lengths:
+        return nothing
+    known = F.filter(F.transform(words, lambda w, i: F.struct(w.alias("word"), i.alias("at"))), lambda x: F.array_contains(held, x["word"]))
+
+    def of_length(known: Column, n: int) -> Column:
+        least = min(need for m, _, need in sets if m == n)
+        run = lambda x, i: F.filter(F.slice(known, i + 1, F.lit(n)), lambda y: y["at"] < x["at"] + n)
+        taken = F.transform(known, lambda x, i: F.array_distinct(F.transform(run(x, i), lambda y: y["word"])))
+        full = F.array_distinct(F.filter(taken, lambda h: F.size(h) >= least))
+        return F.when(fits(n), F.transform(full, lambda h: F.struct(F.lit(n).alias("length"), h.alias("held")))).otherwise(nothing)
+
+    # A transform over one element names the array, so that it is made once.
+    made = F.flatten(F.transform(F.array(known), lambda k: F.concat(*[of_length(k, n) for n in lengths])))
+    return F.when(reduce(or_, map(fits, lengths)), made).otherwise(nothing)
+
+
+def scan(docs: DataFrame, phrases: Mapping[str, str], vocabulary: Sequence[str], sets: Sequence[tuple[int, list[str], int]]) -> DataFrame:
+    """One row for each document: base counts and the blocks with enough words of the vocabulary for some template.
+
+    A block is (length, held): of a run its number of words, of a line null; its words of the vocabulary.
+    """
+    least = min((need for _, _, need in sets), default=1)
     doc_id, text = columns_of(docs, "doc_id", "text")
     lines = F.split(ascii_lower(F.coalesce(text, F.lit(""))), "\n")
     worded = docs.select(doc_id.alias("doc_id"), F.transform(lines, lambda x: F.regexp_extract_all(x, F.lit(WORD), F.lit(0))).alias("lines"))
     held = F.filter(F.transform("lines", lambda w: F.array_intersect(strings(vocabulary), w)), lambda b: F.size(b) >= least)
-    flat = worded.select("doc_id", F.flatten("lines").alias("words"), held.alias("blocks"))
+    lined = F.transform(held, lambda b: F.struct(F.lit(None).cast("int").alias("length"), b.alias("held")))
+    flat = worded.select("doc_id", F.flatten("lines").alias("words"), lined.alias("lined"))
+    flat = flat.select("*", F.array_intersect(strings(vocabulary), F.col("words")).alias("held"))
+    flat = flat.select("doc_id", "words", F.concat("lined", runs(F.col("words"), F.col("held"), sets)).alias("blocks"))
 
     def labelled(phrase: str, label: str) -> Column:
         return F.transform(places(F.col("words"), phrase), lambda i: F.struct(i.alias("at"), F.lit(label).alias("label")))
@@ -88,29 +130,32 @@ def license_scan(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLAT
     sets = [(label, list(dict.fromkeys(t.split()))) for label, t in templates]
     needed = [math.ceil(threshold * len(w) - 1e-9) for _, w in sets]
     vocabulary = sorted({w for _, ws in sets for w in ws})
-    scanned = cut(scan(docs, phrases, vocabulary, min(needed, default=1)))
+    lengths = [len(t.split()) for _, t in templates]
+    scanned = cut(scan(docs, phrases, vocabulary, [(n, w, need) for n, (_, w), need in zip(lengths, sets, needed, strict=True)]))
     # One number for each word of the templates comes to the driver.
-    frequency = dict(scanned.select(F.explode("blocks").alias("b")).select(F.explode("b").alias("w")).groupBy("w").count().collect())
+    frequency = dict(scanned.select(F.explode("blocks").alias("b")).select(F.explode("b.held").alias("w")).groupBy("w").count().collect())
     order = sorted(vocabulary, key=lambda w: (frequency.get(w, 0), w))
     place = {w: k for k, w in enumerate(order)}
     rows = []
     for k, ((label, words), need) in enumerate(zip(sets, needed, strict=True)):
         ordered = sorted(words, key=place.__getitem__)
-        rows += [(w, p, k, label, ordered, len(ordered), need) for p, w in enumerate(ordered[: len(ordered) - need + 1])]
-    prefixes = F.broadcast(spark.createDataFrame(rows, "word string, p int, template int, label string, words array<string>, size int, need int"))
+        rows += [(w, p, k, label, ordered, len(ordered), need, lengths[k]) for p, w in enumerate(ordered[: len(ordered) - need + 1])]
+    prefixes = F.broadcast(spark.createDataFrame(rows, "word string, p int, template int, label string, words array<string>, size int, need int, n int"))
 
     first = {r[0] for r in rows}
-    ordered = F.transform("blocks", lambda b: F.array_intersect(strings(order), b))
-    hit = F.filter(ordered, lambda b: F.arrays_overlap(b, strings(sorted(first))))
+    ordered = F.transform("blocks", lambda b: F.struct(b["length"].alias("length"), F.array_intersect(strings(order), b["held"]).alias("held")))
+    hit = F.filter(ordered, lambda b: F.arrays_overlap(b["held"], strings(sorted(first))))
     base = [c for c in scanned.columns if c != "blocks"]
-    blocks = scanned.select(*base, F.posexplode_outer(hit).alias("block", "held"))
-    tokens = blocks.select(*base, "block", "held", F.posexplode_outer("held").alias("q", "word"))
+    blocks = scanned.select(*base, F.explode_outer(hit).alias("block"))
+    tokens = blocks.select(*base, "block.length", "block.held", F.posexplode_outer("block.held").alias("q", "word"))
     room = F.least("p", "q") + 1 + F.least(F.col("size") - F.col("p") - 1, F.size("held") - F.col("q") - 1)
     # A null keeps the document where no template fits.
-    fits = (F.size("held") >= F.col("need")) & (room >= F.col("need"))
+    fits = (F.size("held") >= F.col("need")) & (room >= F.col("need")) & F.coalesce(F.col("length") == F.col("n"), F.lit(True))
     matched = tokens.join(prefixes, "word", "left").withColumn("common", F.when(fits, F.size(F.array_intersect("words", "held"))))
     found = F.when(F.col("common") >= F.col("need"), F.struct("label", "template", (F.col("common") / F.col("size")).alias("containment")))
-    return matched.groupBy(*base).agg(F.sort_array(F.collect_set(found)).alias("found"))
+    found = F.sort_array(F.collect_set(found))
+    best = F.filter(found, lambda x: ~F.exists(found, lambda y: (y["template"] == x["template"]) & (y["containment"] > x["containment"])))
+    return matched.groupBy(*base).agg(best.alias("found"))
 
 
 def op7_license_scan(spark, sf_dir: str) -> DataFrame:

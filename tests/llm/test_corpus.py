@@ -493,6 +493,19 @@ def test_added_spans(entity_model):
     assert all(y <= s or x >= e for _, x, y in pii.added_spans(t, *entity_model, pii.base_spans(t)) for _, s, e in pii.base_spans(t))
 
 
+def test_windows_reach_beyond_each_trigger(entity_model):
+    found = lambda t: {(pii.KINDS[k], t[s:e]) for k, s, e in pii.added_spans(t, *entity_model, pii.base_spans(t))}
+    text = "Call 5 now or write to our manager jane.doe (at) example (dot) org"
+    assert pii.windows(text) == [(0, len(text))]
+    assert ("email", "jane.doe (at) example (dot) org") in found(text)
+    assert ("email", "jane.doe at example dot org") in found("please write to jane.doe at example dot org about it")
+    long = "word " * 30
+    for mark in ("7", "@", "(at)", "[at]", "(dot)", "[dot]", "at x dot y"):
+        line = f"{long}{mark} 3 {long}"
+        assert pii.windows(f"{line}\n{long}") == [(150 - (mark[0] == "a") - pii.MARGIN, line.index("3") + 1 + pii.MARGIN)]
+    assert not pii.windows(f"{long} at noon. the dot, {long}") and pii.windows("a 1\nb") == [(0, 3)]
+
+
 def test_best_labelling_is_the_best_of_all(entity_model):
     numbers, weights = entity_model
     text = "at 10.0.0.1 or 12-34 5678901"

@@ -43,7 +43,9 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
 HEX = re.compile(r"[0-9a-f]{24,}")
-TRIGGER = re.compile(r"[0-9@]|\(at\)|\[at\]")
+#: Digits, at-signs and spelled-out separators; the bare words only between words that may be of an address.
+TRIGGER = re.compile(r"[0-9@]|[(\[](?:at|dot)[)\]]| (?:at (?=[\w-]+(?:\.| ?\(dot\) ?| ?\[dot\] ?| dot )[\w-])|dot (?=[\w-]))", re.ASCII)
+SPELLED = ("@", "(at)", "[at]", " at ", "(dot)", "[dot]", " dot ")
 TOKEN = re.compile(r"[A-Za-z0-9]+|\n|[^\S\n]+|[^\w\s]|\w", re.ASCII)
 
 
@@ -89,17 +91,22 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def windows(text: str) -> list[tuple[int, int]]:
-    """Parts of the text around digits and at-signs, merged where they meet, within lines."""
+    """Parts of the text around digits, at-signs and spelled-out separators, merged where they meet, within lines.
+
+    Each reaches to MARGIN characters before its first and after its last trigger.
+    """
     out: list[tuple[int, int]] = []
-    if "@" not in text and "(at)" not in text and "[at]" not in text and not DIGIT.search(text):
+    if not any(x in text for x in SPELLED) and not DIGIT.search(text):
         return out
     for m in TRIGGER.finditer(text):
+        e = min(len(text), m.end() + MARGIN)
+        nl = text.find("\n", m.end(), e)
+        e = e if nl < 0 else nl
         if out and m.end() <= out[-1][1]:
+            out[-1] = (out[-1][0], e)
             continue
-        s, e = max(out[-1][1] if out else 0, m.start() - MARGIN), min(len(text), m.end() + MARGIN)
+        s = max(out[-1][1] if out else 0, m.start() - MARGIN)
         s = max(s, text.rfind("\n", s, m.start()) + 1)
-        nl = text.find("\n", m.end(), e)
-        e = e if nl < 0 else nl
         if out and s <= out[-1][1]:
             out[-1] = (out[-1][0], e)
         else:
@@ -252,9 +259,12 @@ def rewritten(text: str, spans: list[tuple[int, int, int]], rng: random.Random)
     for k, s, e in spans:
         span = text[s:e]
         if k == 0:
-            span = span.replace("@", rng.choice(["@", " (at) ", "(at)", " [at] ", "[at]"]))
+            span = span.replace("@", rng.choice(["@", " (at) ", "(at)", " [at] ", "[at]", " at "]))
             if "(" in span or "[" in span:
                 span = span.replace(".", rng.choice([".", " (dot) " if "(" in span else " [dot] "]))
+            elif " at " in span:
+                local, domain = span.split(" at ")
+                span = f"{local} at {domain.replace('.', ' dot ')}"
         elif k == 3:
             digits = re.sub(r"[^0-9]", "", span)[-10:]
             if len(digits) == 10:
@@ -271,6 +281,11 @@ def rewritten(text: str, spans: list[tuple[int, int, int]], rng: random.Random)
 #: Built-in training examples: (text, kind, entity); no entity: all of it is other text.
 EXAMPLES = [
     ("write to jane.doe@mail.example.org today", 0, "jane.doe@mail.example.org"),
+    ("write to jane.doe (at) example (dot) org today", 0, "jane.doe (at) example (dot) org"),
+    ("Ask smith(at)example.com. Or wait", 0, "smith(at)example.com"), ("reach a.lee [at] mail [dot] example [dot] net, or", 0, "a.lee [at] mail [dot] example [dot] net"),
+    ("our doe (at) example (dot) co (dot) uk is", 0, "doe (at) example (dot) co (dot) uk"), ("send it to john_s[at]example.org", 0, "john_s[at]example.org"),
+    ("mail to jane.doe at example dot org about it", 0, "jane.doe at example dot org"), ("by lee at mail dot example dot com", 0, "lee at mail dot example dot com"),
+    ("see us at example.org for more", None, ""), ("they stood at example.com and the dot matters", None, ""), ("3 (at) noon, 5 [at] night", None, ""),
     ("the host 192.168.10.24 answered", 1, "192.168.10.24"),
     ("paid with 4111 1111 1111 1111 in May", 2, "4111 1111 1111 1111"),
     ("paid with 4111111111111111 in May", 2, "4111111111111111"),

@@ -506,6 +506,25 @@ def test_windows_reach_beyond_each_trigger(entity_model):
     assert not pii.windows(f"{long} at noon. the dot, {long}") and pii.windows("a 1\nb") == [(0, 3)]
 
 
+def test_long_windows_and_addresses_are_whole(entity_model):
+    numbers, weights = entity_model
+    number = lambda names: [numbers[x] for x in names if x in numbers]
+    found = lambda t: {(pii.KINDS[k], t[s:e]) for k, s, e in pii.added_spans(t, *entity_model, pii.base_spans(t))}
+    # One line and window of more than 4000 characters: each key is whole, wherever it stands.
+    rng = random.Random(3)
+    keys = ["".join(rng.choice("0123456789abcdef") for _ in range(60)) for _ in range(150)]
+    line = " ".join(f'{k % 7} = "{key}"' for k, key in enumerate(keys))
+    assert pii.windows(line) == [(0, len(line))] and len(line) > 9000
+    assert {("secret", key) for key in keys} <= found(line)
+    assert pii.best_entities(line, 0, len(line), number, weights) == pii.Lattice(line, 0, len(line), number).best(weights)
+    for address in ("doe (at) example (dot) co (dot) uk", "a.b.c.d.e.f.g.h (at) i (dot) j (dot) k (dot) example (dot) org", f"jane.doe (at) {'n' * 90} (dot) example (dot) org"):
+        assert ("email", address) in found(f"write to {address}, please")
+    # Labels of any length are learnt.
+    parts = "a-b-c-d-e-f-g-h-i-j (at) example (dot) org"
+    lattice = pii.Lattice(parts, 0, len(parts), lambda names: [], [(0, 0, len(parts))])
+    assert lattice.gold == {0: (len(lattice.tokens), 0)} and len(lattice.tokens) > pii.MAX_TOKENS
+
+
 def test_best_labelling_is_the_best_of_all(entity_model):
     numbers, weights = entity_model
     text = "at 10.0.0.1 or 12-34 5678901"

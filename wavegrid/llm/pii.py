@@ -1,10 +1,10 @@
 """Personal data by patterns and a semi-Markov conditional random field.
 
 Patterns give the base spans. The model adds further ones: a text's surroundings of digits and
-at-signs are cut into tokens, each run of at most `MAX_TOKENS` tokens is a candidate segment of
-some kind, whole-span features (shape, counts, marks, the words before) score it, and a dynamic
-program over segment ends picks the best labelling: boundaries and kinds together, bounded in
-length. The weights maximise the penalised conditional likelihood of the labels that patterns
+at-signs are cut into tokens (a spelled-out separator is one), each run of at most `MAX_TOKENS`
+tokens and each whole address of any length is a candidate segment of some kind, whole-span
+features (shape, counts, marks, the words before) score it, and a dynamic program over segment
+ends picks the best labelling of a window of any length: boundaries and kinds together. The weights maximise the penalised conditional likelihood of the labels that patterns
 give on a sample of at most `sample` documents (a documented bound; everything else covers all
 rows). So that it learns more than the patterns, part of the training labels is rewritten to
 forms that the patterns miss (other separators, no plus sign, spelled-out at-signs).
@@ -22,6 +22,7 @@ from __future__ import annotations
 import math
 import random
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,8 +46,12 @@ DIGIT = re.compile(r"[0-9]")
 HEX = re.compile(r"[0-9a-f]{24,}")
 #: Digits, at-signs and spelled-out separators; the bare words only between words that may be of an address.
 TRIGGER = re.compile(r"[0-9@]|[(\[](?:at|dot)[)\]]| (?:at (?=[\w-]+(?:\.| ?\(dot\) ?| ?\[dot\] ?| dot )[\w-])|dot (?=[\w-]))", re.ASCII)
+#: A whole address, from the start of its run of letters on; its last mark may not be part of it.
+LOCAL = r"[\w.%+-]++(?: ?(?:\(dot\)|\[dot\]) ?[\w.%+-]++)*+"
+FORM = rf"{LOCAL}(?:@| ?\(at\) ?| ?\[at\] ?| at )[\w-]+(?:(?:\.| ?\(dot\) ?| ?\[dot\] ?| dot )[\w-]+)+"
+ADDRESS = re.compile(rf"(?<![\w.%+-])(?<![(\[]dot[)\]])(?<![(\[]dot[)\]] ){FORM}", re.ASCII)
 SPELLED = ("@", "(at)", "[at]", " at ", "(dot)", "[dot]", " dot ")
-TOKEN = re.compile(r"[A-Za-z0-9]+|\n|[^\S\n]+|[^\w\s]|\w", re.ASCII)
+TOKEN = re.compile(r" ?(?:\((?:at|dot)\)|\[(?:at|dot)\]) ?| (?:at|dot) (?=[\w-])|[A-Za-z0-9]+|\n|[^\S\n]+|[^\w\s]|\w", re.ASCII)
 
 
 def luhn(digits: str) -> bool:
@@ -119,13 +124,13 @@ def features(text: str, tokens: list[tuple[int, int]], i: int, j: int, kind: int
     start, end = tokens[i][0], tokens[j - 1][1]
     if kind == OTHER:
         t = text[start:end]
-        shape = "n" + str(min(len(t), 6)) if t.isdigit() else "a" if t.isalpha() else " " if t.isspace() else t[:1]
+        shape = "n" + str(min(len(t), 6)) if t.isdigit() else "a" if t.isalpha() else " " if t.isspace() else t.strip()[:1]
         return [f"o:{shape}"]
     span = text[start:end]
     digits = sum(map(str.isdigit, span))
     letters = sum(map(str.isalpha, span))
     k = KINDS[kind]
-    out = [f"{k}:", f"{k}:digits{min(digits, 20)}", f"{k}:letters{min(letters.bit_length(), 4)}", f"{k}:tokens{j - i}"]
+    out = [f"{k}:", f"{k}:digits{min(digits, 20)}", f"{k}:letters{min(letters.bit_length(), 4)}", f"{k}:tokens{min(j - i, MAX_TOKENS + 1)}"]
     out += [f"{k}:has{c}" for c in "@.+()-:/ " if c in span]
     out += [f"{k}:dots{min(span.count('.'), 4)}", f"{k}:at{min(span.count('@'), 2)}"]
     edge = lambda c: "d" if c.isdigit() else "a" if c.isalpha() else c
@@ -144,7 +149,7 @@ def features(text: str, tokens: list[tuple[int, int]], i: int, j: int, kind: int
         out.append(f"{k}:hex{min(len(span) // 8, 5)}")
     if re.search(r"(?:\bat\b|\(at\)|\[at\])", span):
         out.append(f"{k}:spelled{bool(re.search(r'(?:dot|[.])', span))}")
-    if letters and re.fullmatch(r"[\w.%+-]+(?:@| ?\(at\) ?| ?\[at\] ?| at )[\w-]+(?:(?:\.| ?\(dot\) ?| ?\[dot\] ?| dot )[\w-]+)+", span, re.ASCII):
+    if letters and re.fullmatch(FORM, span, re.ASCII):
         out.append(f"{k}:address")
     return out
 
@@ -170,30 +175,74 @@ def candidate(text: str, start: int, end: int) -> int:
     return out
 
 
+def tokens_of(text: str, start: int, end: int) -> tuple[list[tuple[int, int]], dict[int, set[tuple[int, int]]]]:
+    """The tokens of a window, and token -> (end, kind) of the whole addresses that begin there."""
+    tokens = [m.span() for m in TOKEN.finditer(text, start, end)]
+    whole: dict[int, set[tuple[int, int]]] = {}
+    if found := [m.span() for m in ADDRESS.finditer(text, start, end)]:
+        at_start, at_end = {s: i for i, (s, _) in enumerate(tokens)}, {e: i + 1 for i, (_, e) in enumerate(tokens)}
+        for s, e in found:
+            while s < e and not text[s].isalnum():
+                s += 1
+            while e > s and not text[e - 1].isalnum():
+                e -= 1
+            if s in at_start and e in at_end:
+                whole.setdefault(at_start[s], set()).add((at_end[e], 0))
+    return tokens, whole
+
+
+def segments(text: str, tokens: list[tuple[int, int]], i: int, more: set[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """(end, kind) of the segments that begin at a token; more: those that are candidates whatever their length."""
+    yield i + 1, OTHER
+    s = tokens[i][0]
+    if text[s].isspace():
+        return
+    last = min(len(tokens), i + MAX_TOKENS)
+    for j in range(i + 1, last + 1):
+        kinds = candidate(text, s, tokens[j - 1][1])
+        for k in range(OTHER):
+            if kinds >> k & 1 or (j, k) in more:
+                yield j, k
+    for j, k in sorted(more):
+        if j > last:
+            yield j, k
+
+
+def best_entities(text: str, start: int, end: int, number, weights: np.ndarray) -> list[tuple[int, int, int]]:
+    """What Lattice.best gives, with the scores and ways back of the tokens kept only."""
+    tokens, whole = tokens_of(text, start, end)
+    top: list[tuple[float, int, int] | None] = [(0.0, 0, OTHER)] + [None] * len(tokens)
+    for i in range(len(tokens)):
+        for j, k in segments(text, tokens, i, whole.get(i, set())):
+            new = (top[i][0] + sum(weights[f] for f in number(features(text, tokens, i, j, k))), -i, k)
+            if top[j] is None or new > top[j]:
+                top[j] = new
+    out, j = [], len(tokens)
+    while j > 0:
+        _, i, k = top[j]
+        if k != OTHER:
+            out.append((k, tokens[-i][0], tokens[j - 1][1]))
+        j = -i
+    return out[::-1]
+
+
 class Lattice:
     """The segments of one window with the ids of their features."""
 
     def __init__(self, text: str, start: int, end: int, number, gold=()):
-        self.tokens = [m.span() for m in TOKEN.finditer(text, start, end)]
+        self.tokens, more = tokens_of(text, start, end)
         n = len(self.tokens)
         at_start = {s: i for i, (s, _) in enumerate(self.tokens)}
         at_end = {e: i + 1 for i, (_, e) in enumerate(self.tokens)}
         self.gold = {}
         for k, s, e in gold:
-            if s in at_start and e in at_end and at_end[e] - at_start[s] <= MAX_TOKENS:
+            if s in at_start and e in at_end:
                 self.gold[at_start[s]] = (at_end[e], k)
+                more.setdefault(at_start[s], set()).add((at_end[e], k))
         self.by_end: list[list[tuple[int, int, list[int]]]] = [[] for _ in range(n + 1)]
         for i in range(n):
-            self.by_end[i + 1].append((i, OTHER, number(features(text, self.tokens, i, i + 1, OTHER))))
-            s = self.tokens[i][0]
-            if text[s].isspace():
-                continue
-            for j in range(i + 1, min(n, i + MAX_TOKENS) + 1):
-                e = self.tokens[j - 1][1]
-                kinds = candidate(text, s, e)
-                for k in range(OTHER):
-                    if kinds >> k & 1 or self.gold.get(i) == (j, k):
-                        self.by_end[j].append((i, k, number(features(text, self.tokens, i, j, k))))
+            for j, k in segments(text, self.tokens, i, more.get(i, set())):
+                self.by_end[j].append((i, k, number(features(text, self.tokens, i, j, k))))
 
     def best(self, weights: np.ndarray) -> list[tuple[int, int, int]]:
         """The best labelling's entities (kind, start, end)."""
@@ -352,14 +401,16 @@ def added_spans(text: str, numbers: dict[str, int], weights: np.ndarray, base: l
     def number(names):
         return [numbers[x] for x in names if x in numbers]
 
+    starts, ends = [], []
+    for _, s, e in sorted(base, key=lambda b: b[1]):
+        starts.append(s)
+        ends.append(max(e, ends[-1] if ends else 0))
     out = []
     for s, e in windows(text):
-        near = [b for b in base if b[1] < e and b[2] > s]
-        # A window whose tokens are many (a page of numbers) is cut, so that no lattice is large.
-        for a in range(s, e, 4000):
-            for k, x, y in Lattice(text, max(s, a - MARGIN), min(e, a + 4000), number).best(weights):
-                if all(y <= b[1] or x >= b[2] for b in near) and (not out or x >= out[-1][2]):
-                    out.append((k, x, y))
+        for k, x, y in best_entities(text, s, e, number, weights):
+            before = bisect_left(starts, y)
+            if not before or ends[before - 1] <= x:
+                out.append((k, x, y))
     return out
 
 

@@ -329,6 +329,26 @@ def test_references_count_all_documents(small):
     assert set(pooled) == {max(refs, key=lambda g: refs[g][0].sum()), None}
 
 
+def test_each_of_many_languages_has_its_own_reference(spark, monkeypatch):
+    """Of more languages than are sent to all tasks, in two scripts, each is compared with itself: by a broadcast and by an exchange."""
+    rng, rows = random.Random(8), []
+    for lang in range(300):
+        letters = "abcdefghijklmnopqrstuvwxyz" if lang % 2 else "αβγδεζηθικλμνξοπρστυφχψω"
+        words = ["".join(rng.choice(letters) for _ in range(4)) for _ in range(30)]
+        rows += [(4 * lang + k, " ".join(rng.choice(words) for _ in range(150)), f"l{lang}" if lang else None, "clash", "clash") for k in range(3 + (lang < 9))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, language string, reference string").repartition(3)
+    limits = {"min_reference_chars": 1000}
+    refs = quality_rules.references(docs)
+    assert len(refs) == 300
+    want = {r[0]: quality_rules.measure(r[1], r[2], refs, quality_rules.LIMITS | limits) for r in rows}
+    assert all(m[-1] and m[-2] < 0.65 and m[-3] < 0.33 for m in want.values())
+    for bound in (quality_rules.SENT_REFERENCES, 0):
+        monkeypatch.setattr(quality_rules, "SENT_REFERENCES", bound)
+        out = quality_rules.quality_rules(docs, limits)
+        assert out.columns == [*docs.columns, "quality"]
+        assert sorted((r.doc_id, tuple(r.quality)) for r in out.collect()) == sorted(want.items())
+
+
 def test_distance():
     assert quality_rules.js_distance(np.array([1.0, 0]), np.array([0, 5.0])) == pytest.approx(1)
     assert quality_rules.js_distance(np.array([1.0, 2]), np.array([2.0, 4])) == pytest.approx(0, abs=1e-9)

@@ -405,6 +405,18 @@ def test_wrapped_licenses(spark):
     assert got == {0: {"mit": 1.0}, 1: {"mit": 1.0}, 2: {"bsd": 1.0}, 3: {"gpl-3": 1.0}, 4: {"gpl-3": 1.0}, 5: {}, 6: {}}
 
 
+def test_licenses_of_each_row(spark):
+    """Rows without or with the same doc_id stay apart, also where their counts are equal."""
+    texts = ["this is licensed under CC BY-NC 4.0", "see licensed under apache license v2.0", "plain text of seven words and more"]
+    rows = [(i, t) for i in (None, 7) for t in (*texts, texts[0])]
+    out = licenses.license_scan(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).collect()
+    assert len(out) == len(rows)
+    for i in (None, 7):
+        got = sorted((r.n_words, r.n_base, tuple(sorted(f.label for f in r.found))) for r in out if r.doc_id == i)
+        want = sorted((licenses_by_force(t)[0], licenses_by_force(t)[1], tuple(sorted({*licenses_by_force(t)[5].split(",")} - {""}))) for j, t in rows if j == i)
+        assert got == want
+
+
 # --- 8: fingerprints
 
 

@@ -20,7 +20,7 @@ is exact and uses these filters:
 Templates are a parameter and few: they are sent to all tasks, whatever the corpus.
 
 Edge cases: null and empty texts have no words and no labels; lines of any length are handled
-whole; rows with equal doc_id and counts are one document; an empty table gives an empty result;
+whole; each row is a document of its own, also where its doc_id is null or repeated; an empty table gives an empty result;
 other columns are ignored.
 """
 
@@ -131,7 +131,9 @@ def license_scan(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLAT
     needed = [math.ceil(threshold * len(w) - 1e-9) for _, w in sets]
     vocabulary = sorted({w for _, ws in sets for w in ws})
     lengths = [len(t.split()) for _, t in templates]
-    scanned = cut(scan(docs, phrases, vocabulary, [(n, w, need) for n, (_, w), need in zip(lengths, sets, needed, strict=True)]))
+    scanned = scan(docs, phrases, vocabulary, [(n, w, need) for n, (_, w), need in zip(lengths, sets, needed, strict=True)])
+    # The numbers of the rows hold for all that follows, as they are kept by the cut.
+    scanned = cut(scanned.withColumn("row", F.monotonically_increasing_id()))
     # One number for each word of the templates comes to the driver.
     frequency = dict(scanned.select(F.explode("blocks").alias("b")).select(F.explode("b.held").alias("w")).groupBy("w").count().collect())
     order = sorted(vocabulary, key=lambda w: (frequency.get(w, 0), w))
@@ -155,7 +157,7 @@ def license_scan(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLAT
     found = F.when(F.col("common") >= F.col("need"), F.struct("label", "template", (F.col("common") / F.col("size")).alias("containment")))
     found = F.sort_array(F.collect_set(found))
     best = F.filter(found, lambda x: ~F.exists(found, lambda y: (y["template"] == x["template"]) & (y["containment"] > x["containment"])))
-    return matched.groupBy(*base).agg(best.alias("found"))
+    return matched.groupBy(*base).agg(best.alias("found")).drop("row")
 
 
 def op7_license_scan(spark, sf_dir: str) -> DataFrame:

@@ -4,42 +4,53 @@ Patterns give the base spans. The model adds further ones: a text's surroundings
 at-signs are cut into tokens (a spelled-out separator is one), each run of at most `MAX_TOKENS`
 tokens and each whole address of any length is a candidate segment of some kind, whole-span
 features (shape, counts, marks, the words before) score it, and a dynamic program over segment
-ends picks the best labelling of a window of any length: boundaries and kinds together. The weights maximise the penalised conditional likelihood of the labels that patterns
-give on a sample of at most `sample` documents (a documented bound; everything else covers all
-rows). So that it learns more than the patterns, part of the training labels is rewritten to
+ends picks the best labelling of a window of any length: boundaries and kinds together. The weights
+maximise the penalised conditional likelihood of the labels that patterns give on a sample: at
+most `sample` distinct texts and of these at most `TRAINED_WINDOWS` distinct windows of at most
+`TRAINED_LENGTH` code points, chosen by hashes (documented bounds of the fit; whatever is scanned
+is scanned whole, and windows of any length are decoded whole). So that it learns more than the patterns, part of the training labels is rewritten to
 forms that the patterns miss (other separators, no plus sign, spelled-out at-signs).
 
 Added spans never overlap base spans or each other. Kinds of the base: email, ip, card, phone;
 `secret` (long hexadecimal keys) is the model's own.
 
-Edge cases: null counts as an empty text without spans; a very long text costs time in
-proportion to its length; repeated rows are scanned one by one; an empty table trains on the
+Bounds of what the model may call an entity: `MAX_TOKENS` tokens and `LONGEST` code points,
+other than whole addresses and keys, which may have any length.
+
+Edge cases: null counts as an empty text without spans; a very long text is scanned whole, in
+time in proportion to its length (runs of digits included); repeated rows are scanned one by one; an empty table trains on the
 built-in examples only and gives an empty result; other columns pass through untouched.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 import random
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wavegrid.llm.common import columns_of, documents, free_name, hashed_sample, release
+from wavegrid.llm.common import columns_of, cut, documents, free_name, once
 
 KINDS = ("email", "ip", "card", "phone", "secret")
 OTHER = len(KINDS)
 MAX_TOKENS = 16
+LONGEST = 120
 MARGIN = 48
+#: Bounds of the fit.
+SAMPLE, TRAINED_WINDOWS, TRAINED_LENGTH = 400, 4_000, 2_000
 
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
+#: A leftmost match begins at the first digit of a run, and runs are taken whole: linear time.
+IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
@@ -154,15 +165,16 @@ def features(text: str, tokens: list[tuple[int, int]], i: int, j: int, kind: int
     return out
 
 
-def candidate(text: str, start: int, end: int) -> int:
-    """Bits of the kinds that a segment may have at all (bounds of whole-span shape)."""
-    span = text[start:end]
-    if span[0].isspace() or span[-1].isspace() or "\n" in span:
-        return 0
-    digits = sum(c in "0123456789" for c in span)
+@lru_cache(1 << 16)
+def shaped(span: str) -> tuple[int, bool]:
+    """Bits of the kinds that a span of at most LONGEST code points may have by its shape, and whether a longer one from its start may have any."""
+    digits = sum(map(span.count, "0123456789"))
     letters = sum(map(str.isalpha, span))
+    more = digits <= 19 or letters > 0
+    if span[0].isspace() or span[-1].isspace() or "\n" in span:
+        return 0, more and "\n" not in span
     out = 0
-    if letters and (span[0].isalnum() and span[-1].isalnum()) and ("@" in span or "at" in span) and len(span) <= 120:
+    if letters and (span[0].isalnum() and span[-1].isalnum()) and ("@" in span or "at" in span):
         out |= 1
     if not letters and digits >= 4 and span.count(".") == 3 and span[0].isdigit():
         out |= 2
@@ -172,7 +184,15 @@ def candidate(text: str, start: int, end: int) -> int:
         out |= 8
     if digits >= 4 and letters >= 4 and len(span) >= 16 and span.isalnum():
         out |= 16
-    return out
+    return out, more
+
+
+def candidate(text: str, start: int, end: int) -> tuple[int, bool]:
+    """shaped() for spans of any length: only keys may be longer than LONGEST."""
+    if end - start <= LONGEST:
+        return shaped(text[start:end])
+    run = text[start:end]
+    return (16 if run.isalnum() and sum(map(run.count, "0123456789")) >= 4 and sum(map(str.isalpha, run)) >= 4 else 0), False
 
 
 def tokens_of(text: str, start: int, end: int) -> tuple[list[tuple[int, int]], dict[int, set[tuple[int, int]]]]:
@@ -199,22 +219,44 @@ def segments(text: str, tokens: list[tuple[int, int]], i: int, more: set[tuple[i
         return
     last = min(len(tokens), i + MAX_TOKENS)
     for j in range(i + 1, last + 1):
-        kinds = candidate(text, s, tokens[j - 1][1])
-        for k in range(OTHER):
-            if kinds >> k & 1 or (j, k) in more:
-                yield j, k
+        kinds, longer = candidate(text, s, tokens[j - 1][1])
+        if kinds or more:
+            for k in range(OTHER):
+                if kinds >> k & 1 or (j, k) in more:
+                    yield j, k
+        if not longer:
+            last = j
+            break
     for j, k in sorted(more):
         if j > last:
             yield j, k
 
 
-def best_entities(text: str, start: int, end: int, number, weights: np.ndarray) -> list[tuple[int, int, int]]:
+class Scores(dict):
+    """Score of each kind and span with the marks beside it, kept for those seen before."""
+
+    def __init__(self, number, weights: np.ndarray):
+        self.number, self.weights = number, list(map(float, weights))
+
+    def of(self, text: str, tokens: list[tuple[int, int]], i: int, j: int, kind: int) -> float:
+        a, b = tokens[i][0], tokens[j - 1][1]
+        key = (kind, text[a:b]) if kind == OTHER else (kind, text[a:b], text[a - 1 : a] if a else "", text[b : b + 1])
+        if (value := self.get(key)) is None:
+            if len(self) >= 100_000:
+                self.clear()
+            value = sum(self.weights[f] for f in self.number(features(text, tokens, i, j, kind)))
+            if b - a <= LONGEST:
+                self[key] = value
+        return value
+
+
+def best_entities(text: str, start: int, end: int, scores: Scores) -> list[tuple[int, int, int]]:
     """What Lattice.best gives, with the scores and ways back of the tokens kept only."""
     tokens, whole = tokens_of(text, start, end)
     top: list[tuple[float, int, int] | None] = [(0.0, 0, OTHER)] + [None] * len(tokens)
     for i in range(len(tokens)):
         for j, k in segments(text, tokens, i, whole.get(i, set())):
-            new = (top[i][0] + sum(weights[f] for f in number(features(text, tokens, i, j, k))), -i, k)
+            new = (top[i][0] + scores.of(text, tokens, i, j, k), -i, k)
             if top[j] is None or new > top[j]:
                 top[j] = new
     out, j = [], len(tokens)
@@ -351,7 +393,7 @@ EXAMPLES = [
 
 
 def train(texts: list[str], rounds: int = 12, seed: int = 7, penalty: float = 1e-3) -> tuple[dict[str, int], np.ndarray]:
-    """Feature numbers and weights, by stochastic ascent of the penalised log-likelihood."""
+    """Feature numbers and weights of distinct texts, by stochastic ascent of the penalised log-likelihood."""
     rng = random.Random(seed)
     numbers: dict[str, int] = {}
 
@@ -369,8 +411,7 @@ def train(texts: list[str], rounds: int = 12, seed: int = 7, penalty: float = 1e
             part = text[s:e]
             t, g = rewritten(part, labels_of(part), rng)
             for a, b in windows(t):
-                if b - a < 600:
-                    lattices.append(Lattice(t, a, b, number, [x for x in g if a <= x[1] and x[2] <= b]))
+                lattices.append(Lattice(t, a, b, number, [x for x in g if a <= x[1] and x[2] <= b]))
     weights, squares = np.zeros(len(numbers)), np.full(len(numbers), 1e-2)
     for _ in range(rounds):
         rng.shuffle(lattices)
@@ -383,51 +424,64 @@ def train(texts: list[str], rounds: int = 12, seed: int = 7, penalty: float = 1e
     return numbers, weights
 
 
-def sample_texts(docs: DataFrame, sample: int) -> list[str]:
-    """The surroundings of digits and at-signs in at most `sample` documents, chosen by a hash."""
-    chosen = hashed_sample(docs.select(*columns_of(docs, "text")).where(F.col("text").rlike("[0-9@]")), "text", sample)
+def sample_texts(docs: DataFrame, sample: int = SAMPLE) -> list[str]:
+    """Windows of at most `sample` distinct documents with digits or at-signs, both chosen by hashes, each as a text of its own.
+
+    The documents are chosen by the hash of their text, whose copies count once; a text that
+    many rows share is no likelier than another.
+    """
+    text = F.col("text")
+    hashed = docs.select(*columns_of(docs, "text")).where(text.rlike("[0-9@]")).withColumn("hash", F.xxhash64(text))
+    n = hashed.count()
+    # Most rows have no chance: they are left out before the copies are told apart.
+    share = 16 * sample / max(n, 1)
+    low = cut(hashed.where(F.col("hash") < -(2**63) + int(share * 2**64)) if share < 1 else hashed)
+    chosen = F.broadcast(low.select("hash").distinct().orderBy("hash").limit(sample))
 
     def parts(batches):
         for batch in batches:
-            out = ["\n".join(t[s:e] for s, e in windows(t)[:20]) for t in batch.column(0).to_pylist()]
+            out = [t[s:e] for t in batch.column(0).to_pylist() for s, e in windows(t) if e - s <= TRAINED_LENGTH]
             yield pa.record_batch([pa.array(out, pa.string())], names=["text"])
 
-    return [r.text for r in chosen.mapInArrow(parts, "text string").collect()]
+    found = low.join(chosen, "hash").select("text").mapInArrow(parts, "text string").distinct()
+    return [r.text for r in found.orderBy(F.xxhash64("text"), "text").limit(TRAINED_WINDOWS).collect()]
 
 
-def added_spans(text: str, numbers: dict[str, int], weights: np.ndarray, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """The model's entities that do not overlap base spans."""
+def scores_of(numbers: dict[str, int], weights: np.ndarray) -> Scores:
+    """The scores of a trained model; features that training has not seen count nothing."""
+    return Scores(lambda names: [numbers[x] for x in names if x in numbers], weights)
 
-    def number(names):
-        return [numbers[x] for x in names if x in numbers]
 
+def added_spans(text: str, scores: Scores, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """The model's entities that do not overlap base spans."""
     starts, ends = [], []
     for _, s, e in sorted(base, key=lambda b: b[1]):
         starts.append(s)
         ends.append(max(e, ends[-1] if ends else 0))
     out = []
     for s, e in windows(text):
-        for k, x, y in best_entities(text, s, e, number, weights):
+        for k, x, y in best_entities(text, s, e, scores):
             before = bisect_left(starts, y)
             if not before or ends[before - 1] <= x:
                 out.append((k, x, y))
     return out
 
 
-def find_spans(docs: DataFrame, sample: int = 400, column: str = "pii", redact: bool = False, model=None) -> DataFrame:
+def find_spans(docs: DataFrame, sample: int = SAMPLE, column: str = "pii", redact: bool = False, model=None) -> DataFrame:
     """docs with a struct of base and added spans (array of kind, start, end in code points) and, if asked for, the redacted text."""
     numbers, weights = model or train(sample_texts(docs, sample))
+    key = hashlib.sha256(repr(sorted(numbers.items())).encode() + weights.tobytes()).hexdigest()
     name = free_name(docs, column)
     span = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
     kind = pa.struct([("base", pa.list_(span)), ("added", pa.list_(span)), ("redacted", pa.string())])
 
     def scan(text: pa.Array) -> pa.Array:
-        release()
+        scores = once(("pii", key), lambda: scores_of(numbers, weights))
         rows = []
         for value in text:
             t = value.as_py()
             base = base_spans(t or "")
-            added = added_spans(t or "", numbers, weights, base)
+            added = added_spans(t or "", scores, base)
             as_rows = lambda spans: [{"kind": KINDS[k], "start": s, "end": e} for k, s, e in spans]
             rows.append({"base": as_rows(base), "added": as_rows(added), "redacted": redacted(t, base + added) if redact and t is not None else None})
         return pa.array(rows, kind)

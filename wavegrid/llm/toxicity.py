@@ -10,11 +10,17 @@ Labels tell only toxic or not. Grade 0 is not toxic; toxic rows are graded 1 (mi
 training rows), split at the median.
 
 Training rows: at most `bound` labelled rows outside fold 0 (crc32 of the doc_id mod 5), chosen by
-a hash (a documented bound of the fit; scoring covers all rows and whole texts). Weights are
+a hash (a documented bound of the fit; scoring covers all rows and whole texts). Features that
+fewer than `LEAST_ROWS` training rows have are told apart by Spark and never leave it; the driver
+gets the distinct places of the others, at most `bound` rows of them. The occurrences of telling
+words are counted by a second pass over the training rows, one number for each. Weights are
 L1-penalised, so few are kept, and those are what tasks get.
 
-Edge cases: a null text counts as empty; without training rows or with one label the severity is
-constant; repeated rows are scored one by one; other columns pass through untouched.
+Edge cases: a null or empty text has no features and the severity of the thresholds alone; a very
+long text is scored whole, in time in proportion to its length; without training rows or with one
+label the severity is constant; null labels and labels without a document are left out; repeated
+rows are scored one by one; an empty table gives an empty result; other columns pass through
+untouched.
 """
 
 from __future__ import annotations
@@ -27,13 +33,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wavegrid.llm.common import columns_of, documents, free_name, release
+from wavegrid.llm.common import columns_of, cut, documents, free_name, release, small_side
 from wavegrid.llm.quality_model import fold, training_rows
 
 PLACES = 1 << 20
 WORD = re.compile(r"[^\W\d_]+")
 PREFIXES = (3, 4, 5)
 BOUND = 8_000
+LEAST_ROWS = 3
 TOXIC_FROM = 0.4
 
 
@@ -60,12 +67,12 @@ def grades(labels: np.ndarray, hits: np.ndarray) -> np.ndarray:
 
 
 class Sparse:
-    """Rows of places, restricted to places that at least three rows have; columns scaled to unit length."""
+    """Rows of places, restricted to places that at least LEAST_ROWS rows have; columns scaled to unit length."""
 
     def __init__(self, n: int, row: np.ndarray, at: np.ndarray):
         self.n = n
         self.places, column, count = np.unique(at, return_inverse=True, return_counts=True)
-        keep = count >= 3
+        keep = count >= LEAST_ROWS
         number = np.cumsum(keep) - 1
         on = keep[column]
         self.places, self.row, self.column, self.count = self.places[keep], row[on], number[column[on]], count[keep]
@@ -76,6 +83,13 @@ class Sparse:
     def of(cls, rows: list[np.ndarray]) -> Sparse:
         return cls(len(rows), np.repeat(np.arange(len(rows)), [len(r) for r in rows]), np.concatenate(rows) if rows else np.empty(0, np.int32))
 
+    @classmethod
+    def of_pairs(cls, n: int, number: dict[int, int], pairs: pa.Table) -> Sparse:
+        """From (row, place) in any order; number: place of each row in the order of the model's rows."""
+        key = np.fromiter((number[r] for r in pairs.column("row").to_pylist()), np.int64, len(pairs)) * PLACES + pairs.column("place").to_numpy()
+        key.sort()
+        return cls(n, key // PLACES, (key % PLACES).astype(np.int32))
+
     def only(self, columns: np.ndarray) -> Sparse:
         on = np.isin(self.column, columns)
         return Sparse(self.n, self.row[on], self.places[self.column[on]])
@@ -134,29 +148,37 @@ def severity_model(docs: DataFrame, labels: DataFrame, target: str = "toxic", bo
 
     def featured(batches):
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            yield pa.record_batch(
-                [
-                    pa.array([places_of(t).tobytes() for t in texts], pa.binary()),
-                    pa.array([np.array([p for w in words_of(t) for p in word_places(w)[:1]], np.int32).tobytes() for t in texts], pa.binary()),
-                    pa.array(batch.column(1).to_pylist(), pa.int32()),
-                ],
-                names=["places", "words", "y"],
-            )
+            rows = [places_of(t) for t in batch.column("text").to_pylist()]
+            offsets = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)
+            values = np.concatenate(rows) if rows else np.empty(0, np.int32)
+            yield pa.record_batch([batch.column("row"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, pa.int32()))], names=["row", "places"])
 
+    # The rows' numbers hold for both passes, as they are kept by the cut.
     rows = training_rows(docs, labels, target, bound).select("text", F.col(target).cast("int").alias("y")).where("y in (0, 1)")
-    got = rows.mapInArrow(featured, "places binary, words binary, y int").toPandas().sort_values(["places", "words", "y"])
-    y = got["y"].to_numpy()
+    rows = cut(rows.withColumn("row", F.monotonically_increasing_id()))
+    known = rows.select("row", "y", F.xxhash64("text").alias("hash")).toPandas().sort_values(["hash", "y", "row"])
+    y, number = known["y"].to_numpy(), dict(zip(known["row"], range(len(known)), strict=True))
     if len(y) < 20 or len(set(y.tolist())) < 2:
         share = float(np.clip(y.mean() if len(y) else 0.0, 1e-3, 1 - 1e-3))
         return {}, np.array([-np.log(share / (1 - share)), 20.0])
-    x = Sparse.of([np.frombuffer(b, np.int32) for b in got["places"]])
+    places = cut(rows.mapInArrow(featured, "row bigint, places array<int>"))
+    each = places.select("row", F.explode("places").alias("place"))
+    common = each.groupBy("place").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_ROWS).select("place")
+    x = Sparse.of_pairs(len(y), number, each.join(small_side(cut(common)), "place").select("row", "place").toArrow())
     toxic = np.bincount(x.column, weights=y[x.row], minlength=len(x.places))
     odds = np.log((toxic + 0.5) / (y.sum() + 1)) - np.log((x.count - toxic + 0.5) / (len(y) - y.sum() + 1))
-    telling = x.places[(odds > 2) & (toxic >= 5)]
-    hits = np.array([np.isin(np.frombuffer(b, np.int32), telling).sum() for b in got["words"]])
-    places, w, theta = fit(x, grades(y, hits))
-    return {int(p): float(v) for p, v in zip(places, w, strict=True) if abs(v) > 1e-6}, theta
+    telling = set(x.places[(odds > 2) & (toxic >= 5)].tolist())
+
+    def counted(batches):
+        for batch in batches:
+            n = [sum(word_places(w)[0] in telling for w in words_of(t)) for t in batch.column("text").to_pylist()]
+            yield pa.record_batch([batch.column("row"), pa.array(n, pa.int64())], names=["row", "n"])
+
+    hits = np.zeros(len(y))
+    for r in rows.mapInArrow(counted, "row bigint, n bigint").collect():
+        hits[number[r.row]] = r.n
+    kept, w, theta = fit(x, grades(y, hits))
+    return {int(p): float(v) for p, v in zip(kept, w, strict=True) if abs(v) > 1e-6}, theta
 
 
 def expected_severity(docs: DataFrame, model: tuple[dict[int, float], np.ndarray], column: str = "toxicity") -> DataFrame:

@@ -1,14 +1,14 @@
 """License scans: fixed phrases and an exact set-similarity join with license templates.
 
 A template is found in a text block that holds at least `threshold` of the template's distinct
-words (containment). Text blocks are the lines and, for each template, every run of as many words
-as the template has, over the words of all lines, so that it may be wrapped anywhere. A run
+words (containment). The text blocks of a template are all runs of its own length and an eighth
+more words over the words of the whole text, so that it may be wrapped over lines, stand within a
+paragraph and have a few other words in it, but words scattered over a text are no license. A run
 counts from a word of the templates on: one that begins before it holds no more of them. The join
 is exact and uses these filters:
 
 - document: runs of a length are made only where the whole text holds `needed` words of a
   template of that length;
-
 - order: the templates' words by how many blocks hold them, the rarest first, counted over all
   documents; a block's words are brought into the same order (other words cannot match);
 - prefix: a block that reaches the threshold holds one of the template's first
@@ -17,10 +17,12 @@ is exact and uses these filters:
 - position: what stands before and after the common word in both orders leaves room for
   `needed` common words.
 
-Templates are a parameter and few: they are sent to all tasks, whatever the corpus.
+Templates are a parameter and few: they are sent to all tasks, whatever the corpus. A match has
+the place of its block: the numbers of the first and last template words in it.
 
-Edge cases: null and empty texts have no words and no labels; lines of any length are handled
-whole; each row is a document of its own, also where its doc_id is null or repeated; an empty table gives an empty result;
+Edge cases: null and empty texts have no words and no labels; very long texts and lines of any
+length are handled whole; each row is a document of its own, also where its doc_id is null or
+repeated; of a template's equal blocks the first counts; an empty table gives an empty result;
 other columns are ignored.
 """
 
@@ -45,17 +47,34 @@ PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2
 TEMPLATES = (
     ("mit", "released under the mit license"),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
     ("apache-2", "licensed under the apache license version 2 0"),
     ("apache-2", "you may not use this file except in compliance with the license you may obtain a copy of the license at"),
+    ("apache-2", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind"),
     ("gpl-3", "this work is licensed under the gnu general public license version 3"),
     ("gpl-3", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"),
+    ("lgpl", "gnu lesser general public license"),
+    ("agpl", "gnu affero general public license"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
+    ("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
+    ("bsd", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
+    ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0"),
+    ("unlicense", "this is free and unencumbered software released into the public domain"),
+    ("zlib", "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions"),
     ("cc-by-nc", "licensed under cc by nc 4 0"),
-    ("cc-by-nc", "this work is licensed under a creative commons attribution noncommercial 4 0 international license"),
-    ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license"),
+    ("cc-by-nc", "creative commons attribution noncommercial 4 0"),
+    ("cc-by-sa", "creative commons attribution sharealike 4 0"),
+    ("cc-by", "creative commons attribution 4 0 international"),
 )
 
 
+def run_length(template: str) -> int:
+    """Words of a template's blocks."""
+    n = len(template.split())
+    return n + n // 8
+
+
 def strings(values: Sequence[str]) -> Column:
     return F.array(*map(F.lit, values)) if values else F.array().cast("array<string>")
 
@@ -70,47 +89,48 @@ def places(words: Column, phrase: str) -> Column:
     return F.when(F.contains(joined, F.lit(f" {phrase} ")), starts).otherwise(F.array().cast("array<int>"))
 
 
+BLOCKS = "array<struct<length:int,held:array<string>,first:int,last:int>>"
+
+
 def runs(words: Column, held: Column, sets: Sequence[tuple[int, list[str], int]]) -> Column:
-    """(length, held): template words of each run of as many words as a template has, from each of `held` on.
+    """(length, held, first, last): template words of each run of a template's length, from each of `held` on, and their places.
 
-    sets: (length, distinct words, needed words) of each template.
+    sets: (length, distinct words, needed words) of each template. Of equal runs the first is given.
     """
 
     def fits(length: int) -> Column:
         return reduce(or_, [F.size(F.array_intersect(strings(ws), held)) >= need for n, ws, need in sets if n == length])
 
     lengths = sorted({n for n, _, _ in sets})
-    nothing = F.array().cast("array<struct<length:int,held:array<string>>>")
+    nothing = F.array().cast(BLOCKS)
     if not lengths:
         return nothing
     known = F.filter(F.transform(words, lambda w, i: F.struct(w.alias("word"), i.alias("at"))), lambda x: F.array_contains(held, x["word"]))
+    named = lambda array, made: F.flatten(F.transform(F.array(array), made))  # noqa: E731  an array that is made once and used often
 
     def of_length(known: Column, n: int) -> Column:
         least = min(need for m, _, need in sets if m == n)
         run = lambda x, i: F.filter(F.slice(known, i + 1, F.lit(n)), lambda y: y["at"] < x["at"] + n)
-        taken = F.transform(known, lambda x, i: F.array_distinct(F.transform(run(x, i), lambda y: y["word"])))
-        full = F.array_distinct(F.filter(taken, lambda h: F.size(h) >= least))
-        return F.when(fits(n), F.transform(full, lambda h: F.struct(F.lit(n).alias("length"), h.alias("held")))).otherwise(nothing)
-
-    # A transform over one element names the array, so that it is made once.
-    made = F.flatten(F.transform(F.array(known), lambda k: F.concat(*[of_length(k, n) for n in lengths])))
+        block = lambda r: F.struct(
+            F.lit(n).alias("length"), F.array_distinct(F.transform(r, lambda y: y["word"])).alias("held"),
+            F.get(r, F.lit(0))["at"].cast("int").alias("first"), F.element_at(r, -1)["at"].cast("int").alias("last"),
+        )
+        full = F.filter(F.flatten(F.transform(known, lambda x, i: F.transform(F.array(run(x, i)), block))), lambda b: F.size(b["held"]) >= least)
+        # Equal runs follow one another where a text is of one kind: the first of each series is left.
+        once = named(full, lambda f: F.filter(f, lambda b, j: (j == 0) | (F.get(f, j - 1)["held"] != b["held"])))
+        return F.when(fits(n), once).otherwise(nothing)
+
+    made = named(known, lambda k: F.concat(*[of_length(k, n) for n in lengths]))
     return F.when(reduce(or_, map(fits, lengths)), made).otherwise(nothing)
 
 
 def scan(docs: DataFrame, phrases: Mapping[str, str], vocabulary: Sequence[str], sets: Sequence[tuple[int, list[str], int]]) -> DataFrame:
-    """One row for each document: base counts and the blocks with enough words of the vocabulary for some template.
-
-    A block is (length, held): of a run its number of words, of a line null; its words of the vocabulary.
-    """
-    least = min((need for _, _, need in sets), default=1)
+    """One row for each document: base counts and the blocks with enough words of the vocabulary for some template."""
     doc_id, text = columns_of(docs, "doc_id", "text")
-    lines = F.split(ascii_lower(F.coalesce(text, F.lit(""))), "\n")
-    worded = docs.select(doc_id.alias("doc_id"), F.transform(lines, lambda x: F.regexp_extract_all(x, F.lit(WORD), F.lit(0))).alias("lines"))
-    held = F.filter(F.transform("lines", lambda w: F.array_intersect(strings(vocabulary), w)), lambda b: F.size(b) >= least)
-    lined = F.transform(held, lambda b: F.struct(F.lit(None).cast("int").alias("length"), b.alias("held")))
-    flat = worded.select("doc_id", F.flatten("lines").alias("words"), lined.alias("lined"))
-    flat = flat.select("*", F.array_intersect(strings(vocabulary), F.col("words")).alias("held"))
-    flat = flat.select("doc_id", "words", F.concat("lined", runs(F.col("words"), F.col("held"), sets)).alias("blocks"))
+    words = F.regexp_extract_all(ascii_lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
+    worded = docs.select(doc_id.alias("doc_id"), words.alias("words"))
+    flat = worded.select("*", F.array_intersect(strings(vocabulary), F.col("words")).alias("held"))
+    flat = flat.select("doc_id", "words", runs(F.col("words"), F.col("held"), sets).alias("blocks"))
 
     def labelled(phrase: str, label: str) -> Column:
         return F.transform(places(F.col("words"), phrase), lambda i: F.struct(i.alias("at"), F.lit(label).alias("label")))
@@ -125,12 +145,16 @@ def scan(docs: DataFrame, phrases: Mapping[str, str], vocabulary: Sequence[str],
 
 
 def license_scan(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, phrases: Mapping[str, str] = PHRASES, threshold: float = 0.85) -> DataFrame:
-    """(doc_id, n_words, n_base, first_word, last_word, base, found): found has (label, template, containment) of each template."""
+    """(doc_id, n_words, n_base, first_word, last_word, base, found) for each row.
+
+    found: (label, template, containment, first, last) of the best block of each template found
+    (ties: the first one); first and last are word numbers, from 0.
+    """
     spark = docs.sparkSession
     sets = [(label, list(dict.fromkeys(t.split()))) for label, t in templates]
     needed = [math.ceil(threshold * len(w) - 1e-9) for _, w in sets]
     vocabulary = sorted({w for _, ws in sets for w in ws})
-    lengths = [len(t.split()) for _, t in templates]
+    lengths = [run_length(t) for _, t in templates]
     scanned = scan(docs, phrases, vocabulary, [(n, w, need) for n, (_, w), need in zip(lengths, sets, needed, strict=True)])
     # The numbers of the rows hold for all that follows, as they are kept by the cut.
     scanned = cut(scanned.withColumn("row", F.monotonically_increasing_id()))
@@ -145,19 +169,20 @@ def license_scan(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLAT
     prefixes = F.broadcast(spark.createDataFrame(rows, "word string, p int, template int, label string, words array<string>, size int, need int, n int"))
 
     first = {r[0] for r in rows}
-    ordered = F.transform("blocks", lambda b: F.struct(b["length"].alias("length"), F.array_intersect(strings(order), b["held"]).alias("held")))
+    ordered = F.transform("blocks", lambda b: F.struct(b["length"], F.array_intersect(strings(order), b["held"]).alias("held"), b["first"], b["last"]))
     hit = F.filter(ordered, lambda b: F.arrays_overlap(b["held"], strings(sorted(first))))
     base = [c for c in scanned.columns if c != "blocks"]
     blocks = scanned.select(*base, F.explode_outer(hit).alias("block"))
-    tokens = blocks.select(*base, "block.length", "block.held", F.posexplode_outer("block.held").alias("q", "word"))
+    tokens = blocks.select(*base, "block", "block.length", "block.held", F.posexplode_outer("block.held").alias("q", "word"))
     room = F.least("p", "q") + 1 + F.least(F.col("size") - F.col("p") - 1, F.size("held") - F.col("q") - 1)
     # A null keeps the document where no template fits.
     fits = (F.size("held") >= F.col("need")) & (room >= F.col("need")) & F.coalesce(F.col("length") == F.col("n"), F.lit(True))
     matched = tokens.join(prefixes, "word", "left").withColumn("common", F.when(fits, F.size(F.array_intersect("words", "held"))))
-    found = F.when(F.col("common") >= F.col("need"), F.struct("label", "template", (F.col("common") / F.col("size")).alias("containment")))
-    found = F.sort_array(F.collect_set(found))
-    best = F.filter(found, lambda x: ~F.exists(found, lambda y: (y["template"] == x["template"]) & (y["containment"] > x["containment"])))
-    return matched.groupBy(*base).agg(best.alias("found")).drop("row")
+    share = (F.col("common") / F.col("size")).alias("containment")
+    # The best block of each template comes first: one row for each template found in a document.
+    ranked = F.struct(-share, F.col("block.first"), F.struct("label", "template", share, "block.first", "block.last").alias("best"))
+    best = matched.groupBy(*base, "template").agg(F.min(F.when(F.col("common") >= F.col("need"), ranked)).alias("ranked"))
+    return best.groupBy(*base).agg(F.sort_array(F.collect_list("ranked.best")).alias("found")).drop("row")
 
 
 def op7_license_scan(spark, sf_dir: str) -> DataFrame:

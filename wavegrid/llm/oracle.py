@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from wavegrid.llm.licenses import PHRASES, TEMPLATES
+from wavegrid.llm.licenses import PHRASES, TEMPLATES, run_length
 from wavegrid.llm.mixing import op4_sql
 from wavegrid.llm.quality_rules import LIMITS
 from wavegrid.llm.token_rollup import OP2_SQL
@@ -76,7 +76,7 @@ FROM j
 """
 
 LICENSE_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-SETS = [(label, sorted(set(t.split()))) for label, t in TEMPLATES]
+SETS = [(label, sorted(set(t.split())), run_length(t)) for label, t in TEMPLATES]
 OP7_SQL = rf"""
 WITH d AS (SELECT doc_id, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS t FROM documents),
 w AS (SELECT doc_id, t, regexp_extract_all(t, '{LICENSE_WORD}') AS w FROM d),
@@ -85,9 +85,10 @@ places AS (SELECT doc_id, label, unnest(list_filter(range(0, greatest(0, len(w)
 base AS (
   SELECT w.doc_id, t, len(w) AS n_words, count(i) AS n_base, min(i) AS first_word, max(i) AS last_word, list(DISTINCT label) FILTER (WHERE i IS NOT NULL) AS labels
   FROM w LEFT JOIN places ON places.doc_id = w.doc_id GROUP BY w.doc_id, t, len(w)),
-ln AS (SELECT doc_id, regexp_extract_all(unnest(string_split(t, chr(10))), '{LICENSE_WORD}') AS w FROM d),
-tp(label, s) AS (VALUES {", ".join(f"('{label}', {s})" for label, s in SETS)}),
-fit AS (SELECT doc_id, label, len(list_intersect(s, w)) / CAST(len(s) AS DOUBLE) AS share FROM ln, tp WHERE len(w) > 0),
+tp(label, s, n) AS (VALUES {", ".join(f"('{label}', {s}, {n})" for label, s, n in SETS)}),
+able AS (SELECT doc_id, label, w, s, n FROM w, tp WHERE len(list_intersect(s, w)) >= (0.85 - 1e-12) * len(s)),
+run AS (SELECT doc_id, label, s, w[i:i + n - 1] AS w FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM able) WHERE list_contains(s, w[i])),
+fit AS (SELECT doc_id, label, len(list_intersect(s, w)) / CAST(len(s) AS DOUBLE) AS share FROM run),
 hit AS (SELECT doc_id, list(DISTINCT label) AS labels, max(share) AS best FROM fit WHERE share >= 0.85 - 1e-12 GROUP BY doc_id)
 SELECT base.doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(n_base AS BIGINT) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
        coalesce(array_to_string(list_sort(base.labels), ','), '') AS base_labels,

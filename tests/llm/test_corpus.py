@@ -1,14 +1,20 @@
 """Corpus operators against brute-force versions and on hard cases."""
 
 import hashlib
+import json
+import math
 import random
 import re
+import shutil
+import struct
+import time
 import zlib
 from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from tests.conftest import DATA
@@ -166,9 +172,73 @@ def test_token_totals(spark, tmp_path):
     assert not again.apply("b2", batch(("insert", "z", "en", "t1", 1, None))) and again.totals().count() == 1
     with pytest.raises(Exception, match="unknown op"):
         totals.apply("b4", batch(("upsert", "a", "en", "t1", 1, None)))
-    assert "batch=b4" not in totals.committed()
+    assert totals.committed() == ["b1", "b2", "b3"]
     with pytest.raises(ValueError):
         totals.apply("a/b", first)
+    # A snapshot covers the batches so far; later ones are added to it, and their data are all that is read.
+    assert totals.compact() and not totals.compact()
+    shutil.rmtree(tmp_path / "totals" / "data" / json.loads((tmp_path / "totals" / "batches" / "b1").read_text())["data"])
+    assert not totals.apply("b1", first) and totals.apply("b5", batch(("insert", "a", "en", "t1", 3, None), ("insert", "b", "en", "t2", 4, None)))
+    assert totals.compact() and again.compact() is False
+    assert totals.apply("b6", batch(("delete", "b", "en", "t2", 4, None)))
+    assert [tuple(r) for r in again.totals().collect()] == [("a", "en", "t1", 2, 10)]
+    # An attempt that no marker names, as a lost driver leaves it, counts nothing.
+    token_rollup.deltas(first).write.parquet(str(tmp_path / "totals" / "data" / "lost"))
+    assert [tuple(r) for r in totals.totals().collect()] == [("a", "en", "t1", 2, 10)]
+
+
+def test_token_rollup_of_hard_rows(spark, hard, empty, tmp_path, tokenizer):
+    """The registered query on nulls, empty and long texts and repeated rows, and on an empty table; a real vocabulary as a version."""
+    for k, docs in enumerate((hard, empty)):
+        docs.write.parquet(str(tmp_path / f"{k}/documents.parquet"))
+        want = defaultdict(lambda: [0, 0])
+        for r in docs.collect():
+            t = r.text or ""
+            for version, n in (("words-1", len(re.findall(r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", t))), ("bytes-1", -(-len(t.encode()) // 4))):
+                want[r.source, r.lang, version][0] += 1
+                want[r.source, r.lang, version][1] += n
+        got = queries.QUERIES["op2_token_rollup"](spark, str(tmp_path / str(k))).collect()
+        assert {(r.source, r.lang, r.tokenizer): [r.documents, r.tokens] for r in got} == want
+    changes = token_rollup.vocabulary_tokens(hard, bpe.default_vocabulary(), "count").select(
+        F.lit("insert").alias("op"), "source", "lang", F.lit("byte_bpe_50k").alias("tokenizer"), F.col("count").alias("tokens"), F.lit(None).cast("bigint").alias("old_tokens")
+    )
+    assert token_rollup.deltas(changes).agg(F.sum("tokens")).first()[0] == sum(encoded_by_library(tokenizer, r.text or "")[0] for r in hard.collect())
+
+
+def severities_by_force(texts, weights, theta):
+    out = {}
+    for i, t in texts.items():
+        names = set()
+        for w in re.findall(r"[^\W\d_]+", (t or "").lower()):
+            names |= {f"w:{w}"} | {f"p{k}:{w[:k]}" for k in (3, 4, 5) if len(w) > k}
+        x = sum(weights.get(p, 0.0) for p in {xxhash.xxh3_64_intdigest(n.encode()) % 2**20 for n in names})
+        over = [1 / (1 + math.exp(min(500, max(-500, th - x)))) for th in theta]
+        each = [a - b for a, b in zip([1, *over], [*over, 0], strict=True)]
+        out[i] = sum(k * p for k, p in enumerate(each)), over[0], each.index(max(each))
+    return out
+
+
+def test_toxicity_query_equals_brute_force(spark, small):
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    model = toxicity.severity_model(small, labels)
+    assert len(model[0]) > 3 and list(model[1]) == sorted(model[1])
+    want = severities_by_force(texts_of(small), *model)
+    got = queries.QUERIES["op3_toxicity"](spark, SF).collect()
+    assert {r.doc_id for r in got} == want.keys()
+    for r in got:
+        assert (r.severity, r.score) == pytest.approx(want[r.doc_id][:2], abs=1e-9) and r.grade == want[r.doc_id][2] and r.toxic == (r.score >= toxicity.TOXIC_FROM)
+
+
+def test_features_of_the_fit_are_counted_by_spark(spark, small, monkeypatch):
+    """The model from Spark's counts equals one fitted to the features of all training rows at once."""
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    rows = sorted(((r.text, r.toxic) for r in quality_model.training_rows(small, labels, "toxic", toxicity.BOUND).collect()), key=repr)
+    seen = {}
+    monkeypatch.setattr(toxicity, "fit", lambda x, y: (seen.update(x=x, y=y), ([], [], [0.0, 1.0]))[1])
+    toxicity.severity_model(small, labels)
+    x = toxicity.Sparse.of([toxicity.places_of(t) for t, _ in rows])
+    assert seen["x"].places.tolist() == x.places.tolist() and seen["x"].count.tolist() == x.count.tolist() and seen["x"].n == len(rows)
+    assert sorted((y > 0).item() for y in seen["y"]) == sorted(bool(y) for _, y in rows)
 
 
 def test_sql_of_corpus_queries(spark):
@@ -240,36 +310,85 @@ def test_thresholds_share_weights():
 # --- 4: mixing
 
 
+def budgets_by_force(tokens, weights, budget, epochs):
+    """Leaf -> budget, by bisection of each family's level of filling."""
+    paths = {p[:k] for p in tokens for k in range(1, 4)}
+    weight = lambda p: max(0.0, weights.get(p, 1.0))
+    capacity = lambda p: sum(n for leaf, n in tokens.items() if leaf[: len(p)] == p and all(weight(leaf[:k]) > 0 for k in range(len(p) + 1, 4))) * epochs
+    given = {(): budget}
+    for k in range(1, 4):
+        for parent in {p[:-1] for p in paths if len(p) == k}:
+            family = [(p, weight(p), capacity(p)) for p in paths if len(p) == k and p[:-1] == parent]
+            low, high = 0.0, 1e15
+            for _ in range(200):
+                level = (low + high) / 2
+                low, high = (low, level) if sum(min(c, level * w) for _, w, c in family) > given[parent] else (level, high)
+            given |= {p: min(c, low * w) for p, w, c in family}
+    return {p: given[p] for p in tokens}
+
+
 def mixed_by_force(rows, weights, share, epochs, seed):
     """(doc_id, epoch) taken, by sorting each leaf. rows: (doc_id, leaf path, tokens)."""
     tokens = Counter()
     for _, leaf, n in rows:
         tokens[leaf] += n
-    target = mixing.leaf_budgets(tokens, weights, share * sum(tokens.values()), epochs)
+    target = budgets_by_force(tokens, weights, share * sum(tokens.values()), epochs)
     out = []
     for leaf, total in tokens.items():
-        if not total:
+        if share <= 0 or any(weights.get(leaf[:k], 1) <= 0 for k in range(1, 4)):
             continue
-        take = int(target.get(leaf, 0) + 1e-6)
-        whole = min(epochs, take // total)
+        take = int(target[leaf] + 1e-5)
+        whole = min(epochs, take // total) if total else 0
         mine = [(i, n) for i, p, n in rows if p == leaf]
         out += [(i, e) for i, _ in mine for e in range(whole)]
         if whole < epochs:
+            key = lambda i, e=whole: hashlib.md5(f"{seed}:{e}:{'' if i is None else i}".encode()).hexdigest()[:14]
+            upto = Counter()
+            for i, n in mine:
+                upto[key(i)] += n
             rest, run = take - whole * total, 0
-            for _, i, n in sorted((hashlib.md5(f"{seed}:{whole}:{i}".encode()).hexdigest(), i, n) for i, n in mine):
-                run += n
+            for k in sorted(upto):
+                run += upto[k]
                 if run > rest:
                     break
-                out.append((i, whole))
-    return sorted(out)
+                out += [(i, whole) for i, _ in mine if key(i) == k]
+    return sorted(out, key=repr)
+
+
+def mixing_rows(df):
+    rows = df.withColumn("d", mixing.default_domain(F.col("source"))).collect()
+    return [(r.doc_id, (r.d, r.lang or "", r.source or ""), len((r.text or "").encode().split())) for r in rows]
+
+
+def mixed(df, *args, **kwargs):
+    got = mixing.mix(df, mixing.default_domain(F.col("source")), *args, **kwargs)
+    return sorted(map(tuple, got.select("doc_id", got.columns[len(df.columns)]).collect()), key=repr)
 
 
 @pytest.mark.parametrize("share, epochs", [(0.7, 2), (0.3, 1), (1.6, 3), (0.0, 1)])
 def test_mixing_equals_sorting(spark, small, share, epochs):
-    domain = mixing.default_domain(F.col("source"))
-    rows = [(r.doc_id, (r.d, r.lang, r.source), len((r.text or "").encode().split())) for r in small.withColumn("d", domain).collect()]
-    got = mixing.mix(small, domain, mixing.WEIGHTS, share, epochs, seed=9).select("doc_id", "epoch").collect()
-    assert sorted(map(tuple, got)) == mixed_by_force(rows, mixing.WEIGHTS, share, epochs, 9)
+    assert mixed(small, mixing.WEIGHTS, share, epochs, seed=9) == mixed_by_force(mixing_rows(small), mixing.WEIGHTS, share, epochs, 9)
+
+
+def test_mixing_of_many_leaves_is_planned_by_spark(small, monkeypatch):
+    weights = mixing.WEIGHTS | {("domain1", "fr"): 0.0, ("domain2", "en"): 9.0}
+    plain = mixed(small, weights, 0.8, 2)
+    assert plain == mixed_by_force(mixing_rows(small), weights, 0.8, 2, 13)
+    monkeypatch.setattr(mixing, "PLANNED_LEAVES", 0)
+    monkeypatch.setattr(mixing, "SENT_ROWS", 0)
+    assert mixed(small, weights, 0.8, 2) == plain
+
+
+def test_mixing_of_a_hot_leaf(spark):
+    """One leaf has nine tenths of the rows, with copies and texts without tokens; another has no tokens at all."""
+    rng = random.Random(8)
+    rows = [(k // 2 if k % 7 == 0 else k, "en" if k % 10 else "de", "src1", " ".join(["w"] * rng.choice([0, 1, 1, 2, 50]))) for k in range(3000)]
+    rows += [(k, "fr", "src2", " ") for k in range(5000, 5040)]
+    df = spark.createDataFrame(rows, "doc_id bigint, lang string, source string, text string").repartition(5)
+    for share in (0.37, 1.2):
+        assert mixed(df, {}, share, 2) == mixed_by_force(mixing_rows(df), {}, share, 2, 13)
+    texts = mixing.mix(df, F.lit("d"), {}, 0.5)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in texts and "SortMergeJoin" not in texts and "hashpartitioning" not in texts
 
 
 def test_shortage_goes_to_siblings_first():
@@ -285,6 +404,8 @@ def test_mixing_of_hard_rows(hard, empty):
     assert out.columns == [*hard.columns, "_epoch", "mix_domain", "mix_lang", "mix_source"]
     counts = Counter(r.doc_id for r in out.collect())
     assert counts[6] == 2 and counts[8] == 6
+    for share in (0.3, 1.1):
+        assert mixed(hard, {}, share, 2) == mixed_by_force(mixing_rows(hard), {}, share, 2, 13)
     assert mixing.mix(empty, domain, {}, 1.0).count() == 0
 
 
@@ -325,8 +446,8 @@ def test_references_count_all_documents(small):
         top = sorted(words.items(), key=lambda x: (-x[1], x[0]))[:40]
         assert list(refs[lang][1]) == [w for w, _ in top] and refs[lang][2].tolist() == [n for _, n in top]
         assert refs[lang][0][2] == sum(c in "0123456789" for g, t in rows if g == lang for c in t)
-    pooled = quality_rules.references(small, max_languages=1)
-    assert set(pooled) == {max(refs, key=lambda g: refs[g][0].sum()), None}
+    plan = quality_rules.reference_rows(quality_rules.language_counts(small, 4))._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan and "Partial" in plan
 
 
 def test_each_of_many_languages_has_its_own_reference(spark, monkeypatch):
@@ -358,16 +479,18 @@ def test_distance():
 
 
 def licenses_by_force(text, threshold=0.85):
+    """Every run of every template's length, over the words of the whole text."""
     lower = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
-    word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-    words = re.findall(word, lower)
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower)
     at = [(k, label) for p, label in licenses.PHRASES.items() for k in range(len(words)) if words[k : k + len(p.split())] == p.split()]
     labels, best = {x for _, x in at}, 1.0 if at else 0.0
-    for line in lower.split("\n"):
-        block = set(re.findall(word, line))
-        for label, t in licenses.TEMPLATES:
-            share = len(block & set(t.split())) / len(set(t.split()))
-            if share >= threshold:
+    for label, t in licenses.TEMPLATES:
+        distinct, n = set(t.split()), len(t.split()) + len(t.split()) // 8
+        if len(distinct & set(words)) < threshold * len(distinct) - 1e-9:
+            continue
+        for k in range(len(words)):
+            share = len(distinct.intersection(words[k : k + n])) / len(distinct)
+            if share >= threshold - 1e-9:
                 labels.add(label)
                 best = max(best, share)
     starts = [k for k, _ in at]
@@ -399,10 +522,13 @@ def test_wrapped_licenses(spark):
     gpl = "This program is free software: you can redistribute it and/or modify\n it under the terms of the GNU General Public License as published by\n the Free Software Foundation"
     # The words of a template far from each other are none.
     apart = "\n".join(f"{w} {'filler ' * 30}" for w in licenses.TEMPLATES[1][1].split())
-    texts = [mit, f"{'word ' * 50}\n{mit}\n{'word ' * 50}", bsd, gpl, "\n".join(licenses.TEMPLATES[4][1].split()), apart, mit.replace("hereby granted", "x y z v")]
+    texts = [mit, f"{'word ' * 50}\n{mit}\n{'word ' * 50}", bsd, gpl, "\n".join(licenses.TEMPLATES[6][1].split()), apart, mit.replace("is hereby granted, free", "x y z v"),
+             "the mit team released a new tool and the license was discussed under pressure", "Creative Commons Attribution-NonCommercial 4.0", "a b Creative Commons Attribution 4.0 International License"]
     out = licenses.license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()
     got = {r.doc_id: {f.label: f.containment for f in r.found} for r in out}
-    assert got == {0: {"mit": 1.0}, 1: {"mit": 1.0}, 2: {"bsd": 1.0}, 3: {"gpl-3": 1.0}, 4: {"gpl-3": 1.0}, 5: {}, 6: {}}
+    assert got == {0: {"mit": 1.0}, 1: {"mit": 1.0}, 2: {"bsd": 1.0}, 3: {"gpl-3": 1.0}, 4: {"gpl-3": 1.0}, 5: {}, 6: {}, 7: {}, 8: {"cc-by-nc": 1.0}, 9: {"cc-by": 1.0}}
+    at = {r.doc_id: [(f.template, f.first, f.last) for f in r.found] for r in out}
+    assert at[0] == [(1, 0, 21)] and at[1] == [(1, 50, 71)] and at[9] == [(20, 2, 7)]
 
 
 def test_licenses_of_each_row(spark):
@@ -420,17 +546,64 @@ def test_licenses_of_each_row(spark):
 # --- 8: fingerprints
 
 
+def spark_hash(*parts):
+    """xxhash64 of Spark, of strings and signed 64-bit numbers."""
+    seed = 42
+    for x in parts:
+        seed = xxhash.xxh64_intdigest(x.encode() if isinstance(x, str) else struct.pack("<q", x), seed)
+    return struct.unpack("<q", struct.pack("<Q", seed))[0]
+
+
+def anchors_by_force(text):
+    """(unit number, hash) of each anchor, from the definition."""
+    units = []
+    for w in re.findall(r"[^\x20\x09-\x0D]+", text):
+        units += [w] if len(w) <= 24 else list(w)
+    if len(units) < 5:
+        units = list(text)
+    if len(units) < 5:
+        return [(0, spark_hash(text))] if text else []
+    kmers = []
+    for k in range(len(units) - 4):
+        inner = [spark_hash(*units[k + j : k + j + 2]) for j in range(4)]
+        kmers.append((k, spark_hash(inner[0], inner[2], inner[3]), min(inner) in (inner[0], inner[3])))
+    chosen = [(k, h) for k, h, edge in kmers if edge]
+    return chosen or [min(((k, h) for k, h, _ in kmers), key=lambda x: (x[1], x[0]))]
+
+
+def likeness_by_force(a, b):
+    first = [{h: min(at for at, g in x if g == h) for h in {h for _, h in x}} for x in (a, b)]
+    moved = [first[1][h] - at for at, h in sorted((at, h) for h, at in first[0].items() if h in first[1])]
+    kept = sum(m == 0 or m in moved[max(0, i - 1) : i] or m in moved[i + 1 : i + 2] for i, m in enumerate(moved))
+    every = len(first[0].keys() | first[1].keys())
+    return kept / every if every else 1.0
+
+
+def test_fingerprint_query_equals_brute_force(spark, small, tmp_path):
+    """The registered query on the small table, and on texts of few words, without spaces and without words."""
+    rng = random.Random(4)
+    odd = ["", " ", "ab", "abcd", "abcde", "one two", "one two three four", "a b c d e"] + [" ".join(rng.sample(WORDS, n)) for n in (5, 5, 5, 6, 6, 7, 8, 9, 10, 10) for _ in range(3)]
+    odd += ["".join(rng.choice("的一是不了人我在有他这为之大来") for _ in range(n)) for n in (30, 400, 4000)] + ["x" * 300, "\U0001f600" * 30, "base64" * 40 + " end", " ".join(["same"] * 60)]
+    odd += [odd[-3], odd[9]]
+    spark.createDataFrame(list(enumerate(odd)), "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    for folder, rows in ((SF, sorted(texts_of(small).items())), (str(tmp_path), list(enumerate(odd)))):
+        out = {r.doc_id: r for r in queries.QUERIES["op8_syncmer_fingerprints"](spark, folder).collect()}
+        assert out.keys() == {i for i, _ in rows}
+        for k, (i, t) in enumerate(rows):
+            t, after = t or "", rows[(k + 1) % len(rows)][1] or ""
+            q = len(t) // 4
+            edited = t[: len(t) - q] + after[:q]
+            assert out[i].n_chars == len(t) and out[i].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
+            a, b, c = map(anchors_by_force, (t, edited, after))
+            assert bool(a) == bool(t)
+            text = lambda x: "".join(f"{h & 0xFFFFFFFFFFFFFFFF:016x}" for h in sorted({h for _, h in x})[:256])
+            assert (out[i].fingerprint, out[i].edited_fingerprint) == (text(a), text(b)), t
+            assert out[i].near_edited == pytest.approx(likeness_by_force(a, b)) and out[i].near_next == pytest.approx(likeness_by_force(a, c))
+
+
 def test_fingerprints(spark, hard, small, empty):
-    rows = sorted(texts_of(small).items())
-    out = {r.doc_id: r for r in queries.QUERIES["op8_syncmer_fingerprints"](spark, SF).collect()}
-    prints = defaultdict(set)
-    for k, (i, t) in enumerate(rows):
-        q = len(t) // 4
-        edited = t[: len(t) - q] + rows[(k + 1) % len(rows)][1][:q]
-        assert out[i].n_chars == len(t) and out[i].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
-        prints[t].add(out[i].fingerprint)
-    assert all(len(p) == 1 for p in prints.values()) and len({*map(frozenset, prints.values())}) == len(prints)
-    long = [r for r in out.values() if r.n_chars > 800]
+    out = syncmers.fingerprints(small).select("text", F.length("text").alias("n"), "near_edited", "near_next").collect()
+    long = [r for r in out if r.n > 800]
     assert len(long) > 50 and all(r.near_edited > 0.2 and r.near_next < 0.2 for r in long)
     done = syncmers.fingerprints(hard).collect()
     assert len(done) == hard.count() and sum(r.doc_id is None for r in done) == 1
@@ -439,12 +612,28 @@ def test_fingerprints(spark, hard, small, empty):
     assert syncmers.fingerprints(one).first().edited == "abcd efab"[:7] + "ab"
 
 
+def test_sketch_is_near_the_exact_share(spark):
+    rng = random.Random(12)
+    rows = []
+    for k in range(40):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(6000)]
+        rows.append((" ".join(words), " ".join(words[: 150 * k] + [f"v{rng.randrange(10**6)}" for _ in range(6000 - 150 * k)])))
+    df = syncmers.with_fingerprints(spark.createDataFrame(rows, "a string, b string"), {"a": "x", "b": "y"})
+    exact = F.size(F.array_intersect("x_hash", "y_hash")) / F.size(F.array_union("x_hash", "y_hash"))
+    errors = [abs(r.e - r.s) for r in df.select(exact.alias("e"), syncmers.sketch_likeness(syncmers.sketch(F.col("x_hash")), syncmers.sketch(F.col("y_hash"))).alias("s")).collect()]
+    assert max(errors) < 0.1 and sum(errors) / len(errors) < 0.03
+
+
 def test_anchors_do_not_depend_on_context(spark):
     rng = random.Random(6)
     passage = " ".join(f"w{rng.randrange(10**6)}" for _ in range(80))
     df = spark.createDataFrame([(f"{passage}", f"{' '.join(f'z{rng.randrange(10**6)}' for _ in range(33))} {passage} tail of it")], "a string, b string")
-    r = syncmers.with_anchors(df, {"a": "x", "b": "y"}).withColumn("shift", syncmers.shift("x", "y")).first()
-    assert {a.hash for a in r.x} <= {a.hash for a in r.y} and r.shift == 33 and len(r.x) > 20
+    r = syncmers.with_anchors(df, {"a": "x", "b": "y"}).first()
+    at = {a.hash: a.at for a in r.y}
+    assert {at.get(a.hash, -1) - a.at for a in r.x} == {33} and len(r.x) > 20
+    # A passage that is moved as a whole counts in full.
+    near = syncmers.with_likeness(syncmers.with_fingerprints(df, {"a": "x", "b": "y"}), "near", "x", "y").first().near
+    assert near == pytest.approx(len(r.x) / len(r.y), abs=0.05)
 
 
 # --- 9: BPE
@@ -517,16 +706,16 @@ def entity_model(small):
 
 
 def test_added_spans(entity_model):
-    found = lambda t: {(pii.KINDS[k], t[s:e]) for k, s, e in pii.added_spans(t, *entity_model, pii.base_spans(t))}
+    found = lambda t: {(pii.KINDS[k], t[s:e]) for k, s, e in pii.added_spans(t, pii.scores_of(*entity_model), pii.base_spans(t))}
     assert ("phone", "212-555-0187") in found("call 212-555-0187 today")
     assert ("secret", "2c8ba23e1529b2de52654cb5a51fb56a01") in found('token = "2c8ba23e1529b2de52654cb5a51fb56a01"')
     assert not found("under the Apache License, Version 2.0.\nborn in 1984, page 12 of 340; 3.14159")
     t = "mail a@b.co from 10.0.0.1"
-    assert all(y <= s or x >= e for _, x, y in pii.added_spans(t, *entity_model, pii.base_spans(t)) for _, s, e in pii.base_spans(t))
+    assert all(y <= s or x >= e for _, x, y in pii.added_spans(t, pii.scores_of(*entity_model), pii.base_spans(t)) for _, s, e in pii.base_spans(t))
 
 
 def test_windows_reach_beyond_each_trigger(entity_model):
-    found = lambda t: {(pii.KINDS[k], t[s:e]) for k, s, e in pii.added_spans(t, *entity_model, pii.base_spans(t))}
+    found = lambda t: {(pii.KINDS[k], t[s:e]) for k, s, e in pii.added_spans(t, pii.scores_of(*entity_model), pii.base_spans(t))}
     text = "Call 5 now or write to our manager jane.doe (at) example (dot) org"
     assert pii.windows(text) == [(0, len(text))]
     assert ("email", "jane.doe (at) example (dot) org") in found(text)
@@ -539,16 +728,15 @@ def test_windows_reach_beyond_each_trigger(entity_model):
 
 
 def test_long_windows_and_addresses_are_whole(entity_model):
-    numbers, weights = entity_model
-    number = lambda names: [numbers[x] for x in names if x in numbers]
-    found = lambda t: {(pii.KINDS[k], t[s:e]) for k, s, e in pii.added_spans(t, *entity_model, pii.base_spans(t))}
+    scores = pii.scores_of(*entity_model)
+    found = lambda t: {(pii.KINDS[k], t[s:e]) for k, s, e in pii.added_spans(t, pii.scores_of(*entity_model), pii.base_spans(t))}
     # One line and window of more than 4000 characters: each key is whole, wherever it stands.
     rng = random.Random(3)
     keys = ["".join(rng.choice("0123456789abcdef") for _ in range(60)) for _ in range(150)]
     line = " ".join(f'{k % 7} = "{key}"' for k, key in enumerate(keys))
     assert pii.windows(line) == [(0, len(line))] and len(line) > 9000
     assert {("secret", key) for key in keys} <= found(line)
-    assert pii.best_entities(line, 0, len(line), number, weights) == pii.Lattice(line, 0, len(line), number).best(weights)
+    assert pii.best_entities(line, 0, len(line), scores) == pii.Lattice(line, 0, len(line), scores.number).best(scores.weights)
     for address in ("doe (at) example (dot) co (dot) uk", "a.b.c.d.e.f.g.h (at) i (dot) j (dot) k (dot) example (dot) org", f"jane.doe (at) {'n' * 90} (dot) example (dot) org"):
         assert ("email", address) in found(f"write to {address}, please")
     # Labels of any length are learnt.
@@ -557,15 +745,64 @@ def test_long_windows_and_addresses_are_whole(entity_model):
     assert lattice.gold == {0: (len(lattice.tokens), 0)} and len(lattice.tokens) > pii.MAX_TOKENS
 
 
+def test_keys_are_whole_wherever_they_stand(entity_model):
+    scores, key = pii.scores_of(*entity_model), "2c8ba23e1529b2de52654cb5a51fb56a01"
+    for offset in range(0, 8001, 97):
+        t = ("1 " * offset)[:offset].rstrip() + f' "{key}" ' + "1 " * 40
+        assert ("secret", key) in {(pii.KINDS[k], t[s:e]) for k, s, e in pii.added_spans(t, scores, pii.base_spans(t))}, offset
+
+
+def test_time_is_in_proportion_to_length(entity_model):
+    scores = pii.scores_of(*entity_model)
+    for t in ("1" * 1_000_000, "1" * 500_000 + "." + "2" * 500_000, "12 " * 300_000, "+1" * 300_000, "a@" * 300_000, "1." * 300_000):
+        began = time.time()
+        pii.base_spans(t)
+        assert time.time() - began < 2, t[:4]
+    began = time.time()
+    assert pii.added_spans("7" * 1_000_000, scores, []) == [] and len(pii.added_spans("a1" * 500_000, scores, [])) == 1
+    assert time.time() - began < 10
+
+
 def test_best_labelling_is_the_best_of_all(entity_model):
-    numbers, weights = entity_model
-    text = "at 10.0.0.1 or 12-34 5678901"
-    lattice = pii.Lattice(text, 0, len(text), lambda names: [numbers[x] for x in names if x in numbers])
-    best = {0: (0.0, [])}
-    for j in range(1, len(lattice.by_end)):
-        options = [(best[i][0] + sum(weights[f] for f in fs), best[i][1] + ([] if k == pii.OTHER else [(k, lattice.tokens[i][0], lattice.tokens[j - 1][1])])) for i, k, fs in lattice.by_end[j]]
-        best[j] = max(options, key=lambda o: o[0])
-    assert lattice.best(weights) == best[len(lattice.by_end) - 1][1]
+    """Against the listing of every labelling of short texts."""
+    scores = pii.scores_of(*entity_model)
+    for text in ("at 10.0.0.1 or", "call 212-555-0187", "x (at) y (dot) org", "12-34 5678901"):
+        tokens, whole = pii.tokens_of(text, 0, len(text))
+
+        def labellings(i):
+            if i == len(tokens):
+                yield 0.0, []
+                return
+            for j, k in pii.segments(text, tokens, i, whole.get(i, set())):  # noqa: B023
+                own = sum(scores.weights[f] for f in scores.number(pii.features(text, tokens, i, j, k)))  # noqa: B023
+                for value, rest in labellings(j):
+                    yield own + value, ([(k, tokens[i][0], tokens[j - 1][1])] if k != pii.OTHER else []) + rest  # noqa: B023
+
+        every = list(labellings(0))
+        assert len(every) > 1
+        assert pii.best_entities(text, 0, len(text), scores) == max(every, key=lambda x: x[0])[1]
+        assert pii.Lattice(text, 0, len(text), scores.number).best(scores.weights) == max(every, key=lambda x: x[0])[1]
+
+
+def test_pii_query_equals_brute_force(spark, small, entity_model):
+    """The registered query: base counts and hash by the contract's patterns; all spans by labelling each text anew."""
+    texts = texts_of(small)
+    joined = lambda spans: ",".join(f"{pii.KINDS[k]}:{s}:{e}" for k, s, e in sorted(spans))
+    got = {r.doc_id: r for r in queries.QUERIES["op10_pii"](spark, SF).collect()}
+    assert got.keys() == texts.keys()
+    for i, t in texts.items():
+        base, r = spans_by_force(t or ""), got[i]
+        assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(sum(k == n for k, _, _ in base) for n in range(4))
+        assert r.base_sha256 == hashlib.sha256(joined(base).encode()).hexdigest()
+        number = pii.scores_of(*entity_model).number
+        found = [x for s, e in pii.windows(t or "") for x in pii.Lattice(t, s, e, number).best(entity_model[1])]
+        assert r.spans == joined(base + [x for x in found if all(x[2] <= s or x[1] >= e for _, s, e in base)])
+
+
+def test_sample_counts_copies_once(spark):
+    rows = [("call +1 212 555 0134 now",)] * 400 + [(f"number {k} of the list, mail a{k}@b.co",) for k in range(30)]
+    got = pii.sample_texts(spark.createDataFrame(rows, "text string"), 20)
+    assert len(got) == len(set(got)) == 20
 
 
 def test_gradient_is_the_slope():

@@ -24,11 +24,11 @@ def test_pipeline_equals_brute_force(spark, tokenizer):  # noqa: F811
     rows = [r for r in docs.collect() if quality_rules.measure(r.text, r.lang, refs, quality_rules.LIMITS)[-1]]
     group = joined_by_force([(r.doc_id, r.text) for r in rows])
     rows = [r for r in rows if group[r.doc_id][1] == r.doc_id]
-    model = pii.train(pii.sample_texts(spark.createDataFrame(rows), 400))
+    scores = pii.scores_of(*pii.train(pii.sample_texts(spark.createDataFrame(rows))))
     texts = {}
     for r in rows:
         base = pii.base_spans(r.text)
-        texts[r.doc_id] = pii.redacted(r.text, base + pii.added_spans(r.text, *model, base))
+        texts[r.doc_id] = pii.redacted(r.text, base + pii.added_spans(r.text, scores, base))
     leaf = {r.source: r.d for r in spark.createDataFrame(rows).select("source", mixing.default_domain(F.col("source")).alias("d")).distinct().collect()}
     taken = mixed_by_force([(r.doc_id, (leaf[r.source], r.lang, r.source), len(texts[r.doc_id].encode().split())) for r in rows], mixing.WEIGHTS, 0.8, 1, 13)
     want = {i: encoded_by_library(tokenizer, texts[i]) for i, _ in taken}

@@ -24,6 +24,8 @@ empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,7 +38,7 @@ UNIT = rf"(?<![^{WHITE}])[^{WHITE}]{{1,{LONG_WORD}}}+(?![^{WHITE}])|[^{WHITE}]"
 SIZE = 256
 K, S = 5, 2
 #: Ranges of doc_id that a table is dealt to: one for so many rows, and not more than so many.
-RANGE_ROWS, MAX_RANGES = 20_000, 16_384
+RANGE_ROWS, MAX_RANGES = 5_000, 16_384
 
 
 def with_anchors(df: DataFrame, texts: dict[str, str]) -> DataFrame:
@@ -118,32 +120,51 @@ def text_of(fingerprint: Column) -> Column:
     return F.array_join(F.transform(fingerprint, lambda h: F.lpad(F.lower(F.hex(h)), 16, "0")), "")
 
 
+def range_of(begins: list[int]) -> Column:
+    """The number of the range that `key` lies in, looked up in two steps: among every `step`-th bound, then among those between."""
+    literal = lambda values: F.array(*[F.lit(x).cast("bigint") for x in values])
+    step = int(len(begins) ** 0.5) + 1
+    upto = lambda values: F.size(F.filter(values, lambda b: b <= F.col("key")))
+    block = upto(literal(begins[::step])) - 1
+    return block * step + upto(F.slice(literal(begins), block * step + 1, step)) - 1
+
+
+def even(begins: list[int], size: dict[int, int], n: int) -> list[int]:
+    """Of the beginnings of small ranges those that cut all into about n ranges of the same size, as far as the small ones allow."""
+    share, out, filled = sum(size.values()) / n, [], math.inf
+    for k, begin in enumerate(begins):
+        if filled + size.get(k, 0) / 2 > share:
+            out.append(begin)
+            filled = 0
+        filled += size.get(k, 0)
+    return out
+
+
 def dealt(docs: DataFrame) -> DataFrame:
     """(doc_id, text, key, range, extra): rows dealt to ranges of doc_id, by one exchange.
 
-    The ranges begin at ids of the table (quantiles, sent to all tasks, at most MAX_RANGES); the
-    row that begins a range also goes to the range before it (extra), behind that range's rows,
-    so that every document's successor is found within a range. After the last range comes the
-    first.
+    The ranges begin at ids of the table (quantiles, sent to all tasks, at most MAX_RANGES) and
+    hold about as many bytes each, wherever long texts stand; the row that begins a range also
+    goes to the range before it (extra), behind that range's rows, so that every document's
+    successor is found within a range. After the last range comes the first.
     """
     spark = docs.sparkSession
     doc_id, text = columns_of(docs, "doc_id", "text")
     lowest = F.lit(-(2**63)).cast("bigint")
     keyed = docs.select(doc_id.alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"), F.coalesce(doc_id.cast("bigint"), lowest).alias("key"))
     rows, first, last = keyed.agg(F.count(F.lit(1)), F.min("key"), F.max("key")).first()
-    n = min(MAX_RANGES, max(2, int(spark.conf.get("spark.sql.shuffle.partitions")), rows // RANGE_ROWS))
-    cuts = keyed.agg(F.percentile_approx("key", F.array(*[F.lit(k / n) for k in range(1, n)]), F.lit(4 * n))).first()[0] if first != last else []
+    n = min(MAX_RANGES, max(2, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")), rows // RANGE_ROWS))
+    fine = min(MAX_RANGES, 8 * n)
+    cuts = keyed.agg(F.percentile_approx("key", F.array(*[F.lit(k / fine) for k in range(1, fine)]), F.lit(4 * fine))).first()[0] if first != last else []
     begins = sorted({first, *(cuts or [])} - {None}) or [-(2**63)]
+    if len(begins) > n:
+        sizes = keyed.select(range_of(begins).alias("small"), (F.octet_length("text") + 64).alias("bytes")).groupBy("small").agg(F.sum("bytes").alias("bytes"))
+        begins = even(begins, dict(sizes.collect()), n)
     bounds = F.array(*[F.lit(x).cast("bigint") for x in begins])
-    # The range is looked up in two steps: among every `step`-th bound, then among those between.
-    step = int(len(begins) ** 0.5) + 1
-    upto = lambda values: F.size(F.filter(values, lambda b: b <= F.col("key")))
-    block = upto(F.array(*[F.lit(x).cast("bigint") for x in begins[::step]])) - 1
-    own = block * step + upto(F.slice(bounds, block * step + 1, step)) - 1
     before = F.when(F.get(bounds, F.col("own")) == F.col("key"), F.array(F.struct(F.pmod(F.col("own") - 1, F.size(bounds)).alias("range"), F.lit(True).alias("extra"))))
     here = F.array(F.struct(F.col("own").alias("range"), F.lit(False).alias("extra")))
     to = F.explode(F.concat(here, F.coalesce(before, F.array().cast("array<struct<range:int,extra:boolean>>"))))
-    return keyed.withColumn("own", own).withColumn("to", to).select("doc_id", "text", "key", "to.range", "to.extra").repartition("range")
+    return keyed.withColumn("own", range_of(begins)).withColumn("to", to).select("doc_id", "text", "key", "to.range", "to.extra").repartition("range")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:

@@ -114,6 +114,39 @@ def test_join_equals_all_pairs(spark, seed, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in got} == joined_by_force(rows)
 
 
+def test_join_with_frequent_shingles(spark, monkeypatch):
+    """A line that all documents share, and one that a third share: the same links, with and without frequent ones being told."""
+    rng = random.Random(3)
+    rows = []
+    for i, t in near_rows(5, groups=5, size=30):
+        line = "this line is in every one of the documents of this table"
+        rows.append((i, f"{line}\n{t}\nand this one is in a third of them as it goes" if rng.random() < 0.33 else f"{line}\n{t}"))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(6)
+    want = joined_by_force(rows)
+    seen = []
+    plain = ngram_join.frequent
+    monkeypatch.setattr(ngram_join, "frequent", lambda noted: (seen.append(plain(noted)), seen[-1])[1])
+    for least in (10**9, 20, 2):
+        monkeypatch.setattr(ngram_join, "LEAST_FREQUENT", least)
+        monkeypatch.setattr(ngram_join, "CHUNK_CLASSES", 9)
+        got = ngram_join.near_duplicates(df).collect()
+        assert {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in got} == want
+    assert not len(seen[0]) and len(seen[2]) > 3 and len(seen[4]) > len(seen[2])
+
+
+def test_join_of_repeated_ids(spark):
+    """Rows that share a doc_id are one node; each row has the links of its own text."""
+    rng = random.Random(9)
+    words = [f"w{k}" for k in range(400)]
+    a, b, c = (" ".join(rng.sample(words, 60)) for _ in range(3))
+    near = a + " and more"
+    rows = [(5, a), (9, a), (3, b), (9, b), (5, c), (20, near), (21, near), (5, a), (30, c), (3, ""), (40, None), (50, " ".join(rng.sample(words, 60)))]
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).collect()))
+    links = {a: 4, b: 1, c: 1, near: 4}
+    want = sorted((i, len(shingles(t)), i if not t or i == 50 else 3, links.get(t, 0)) for i, t in rows)
+    assert got == want
+
+
 def test_join_of_hard_rows(hard, empty):
     rows = ngram_join.near_duplicates(hard).collect()
     assert len(rows) == hard.count()

@@ -52,20 +52,26 @@ def embedding_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-#: Channels of the events image, in alphabetical order, and its days.
-EVENT_TYPES, EVENT_DAYS = ("click", "error", "purchase", "signup", "view"), 30
+def event_axes(spark: SparkSession, sf_dir: str):
+    """(first day, number of days, event types in alphabetical order) of the events image: a frame for each day, a channel for each type."""
+    day = F.to_date("ts")
+    row = table(spark, sf_dir, "events").agg(F.min(day), F.datediff(F.max(day), F.min(day)) + 1, F.sort_array(F.collect_set("event_type"))).first()
+    return row[0], row[1] or 0, row[2]
+
+
+def event_days(spark: SparkSession, sf_dir: str) -> int:
+    return event_axes(spark, sf_dir)[1]
 
 
 def event_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as an image 10 wide: a pixel for each user, a channel for each type, a frame for each day."""
-    day = F.expr("cast(datediff(ts, date'2024-01-01') as int)")
-    kind = (F.array_position(F.array(*map(F.lit, EVENT_TYPES)), F.col("event_type")) - 1).cast("int")
-    rows = table(spark, sf_dir, "events").where(day.between(0, EVENT_DAYS - 1) & F.col("event_type").isin(*EVENT_TYPES))
-    summed = rows.groupBy("user_id", kind.alias("c"), day.alias("t")).agg(F.sum("value").alias("value"))
+    first, days, types = event_axes(spark, sf_dir)
+    kind = (F.array_position(F.array(*map(F.lit, types)), F.col("event_type")) - 1).cast("int")
+    summed = table(spark, sf_dir, "events").groupBy("user_id", kind.alias("c"), F.datediff(F.to_date("ts"), F.lit(first)).alias("t")).agg(F.sum("value").alias("value"))
     pixels = summed.select(
         F.lit("V").alias("image_id"), "c", F.expr("cast(user_id div 10 as int)").alias("x"), F.expr("cast(user_id % 10 as int)").alias("y"), "t", "value"
     )
-    return dense(pixels, EVENT_DAYS)
+    return dense(pixels, days)
 
 
 def event_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,26 +86,24 @@ def event_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 def event_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A label that moves: (user_id + t) % 7 + 1."""
     users = table(spark, sf_dir, "events").select("user_id").distinct()
-    rows = users.select("user_id", F.explode(F.sequence(F.lit(0), F.lit(EVENT_DAYS - 1))).alias("t"))
+    rows = users.select("user_id", F.explode(F.sequence(F.lit(0), F.lit(event_days(spark, sf_dir) - 1))).alias("t"))
     return rows.select(
         F.lit("V").alias("image_id"), "t", F.expr("cast(user_id div 10 as int)").alias("x"),
         F.expr("cast(user_id % 10 as int)").alias("y"), ((F.col("user_id") + F.col("t")) % 7 + 1).cast("bigint").alias("label"),
     )
 
 
-SALES_FLAGS, SALES_MONTHS = ("A", "N", "R"), 83
-
-
 def sales_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as an image 10 wide: a pixel for each supplier, a channel for each return flag, a frame for each month."""
-    month = F.expr("cast((year(l_shipdate) - 1995) * 12 + month(l_shipdate) - 1 as int)")
-    flag = (F.array_position(F.array(*map(F.lit, SALES_FLAGS)), F.col("l_returnflag")) - 1).cast("int")
-    rows = table(spark, sf_dir, "lineitem").where(month.between(0, SALES_MONTHS - 1) & F.col("l_returnflag").isin(*SALES_FLAGS))
-    summed = rows.groupBy("l_suppkey", flag.alias("c"), month.alias("t")).agg((F.sum("l_extendedprice") / 1e5).alias("value"))
+    items = table(spark, sf_dir, "lineitem")
+    number = F.expr("year(l_shipdate) * 12 + month(l_shipdate)")
+    first, last, flags = items.agg(F.min(number), F.max(number), F.sort_array(F.collect_set("l_returnflag"))).first()
+    flag = (F.array_position(F.array(*map(F.lit, flags)), F.col("l_returnflag")) - 1).cast("int")
+    summed = items.groupBy("l_suppkey", flag.alias("c"), (number - first).cast("int").alias("t")).agg((F.sum("l_extendedprice") / 1e5).alias("value"))
     pixels = summed.select(
         F.lit("L").alias("image_id"), "c", F.expr("cast(l_suppkey div 10 as int)").alias("x"), F.expr("cast(l_suppkey % 10 as int)").alias("y"), "t", "value"
     )
-    return dense(pixels, SALES_MONTHS)
+    return dense(pixels, last - first + 1)
 
 
 def sales_labels(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from wavegrid.operators import image
-from wavegrid.plans import model
 from wavegrid.plans.queries import BANKS, CUTOFF, HIGH, KERNEL, LOW, NAMES, SAMPLING, SCALES, THRESHOLD
 
 E_VOX = """vox AS (
@@ -40,21 +38,21 @@ def sd(f: str) -> str:
     return f"sqrt(var_pop({f}) * count({f}) / (greatest(count({f}) - 1, 1) + 1e-6))"
 
 
-V_VOX = f"""evt AS (
-  SELECT user_id, CAST(list_position({list(model.EVENT_TYPES)}, event_type) - 1 AS BIGINT) AS c,
-         CAST(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS BIGINT) AS t, sum(value) AS v
-  FROM events WHERE date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) BETWEEN 0 AND {model.EVENT_DAYS - 1} GROUP BY ALL),
+V_VOX = """evt AS (
+  SELECT user_id, CAST((SELECT count(DISTINCT e.event_type) FROM events e WHERE e.event_type < events.event_type) AS BIGINT) AS c,
+         CAST(date_diff('day', (SELECT min(CAST(ts AS DATE)) FROM events), CAST(ts AS DATE)) AS BIGINT) AS t, sum(value) AS v
+  FROM events GROUP BY ALL),
 vox AS (
   SELECT CAST(p.user_id // 10 AS BIGINT) AS x, CAST(p.user_id % 10 AS BIGINT) AS y, p.c, p.t, coalesce(evt.v, 0) AS v
-  FROM (SELECT DISTINCT user_id, c, CAST(day AS BIGINT) AS t FROM evt, range({model.EVENT_DAYS}) AS d(day)) p
+  FROM (SELECT DISTINCT user_id, c, CAST(day AS BIGINT) AS t FROM evt, range((SELECT max(t) + 1 FROM evt)) AS d(day)) p
   LEFT JOIN evt ON evt.user_id = p.user_id AND evt.c = p.c AND evt.t = p.t)"""
-L_VOX = f"""sal AS (
-  SELECT l_suppkey AS s, CAST(list_position({list(model.SALES_FLAGS)}, l_returnflag) - 1 AS BIGINT) AS c,
-         CAST((year(l_shipdate) - 1995) * 12 + month(l_shipdate) - 1 AS BIGINT) AS t, sum(l_extendedprice) / 1e5 AS v
-  FROM lineitem WHERE (year(l_shipdate) - 1995) * 12 + month(l_shipdate) - 1 BETWEEN 0 AND {model.SALES_MONTHS - 1} GROUP BY ALL),
+L_VOX = """sal AS (
+  SELECT l_suppkey AS s, CAST((SELECT count(DISTINCT e.l_returnflag) FROM lineitem e WHERE e.l_returnflag < lineitem.l_returnflag) AS BIGINT) AS c,
+         CAST(date_diff('month', (SELECT min(l_shipdate) FROM lineitem), l_shipdate) AS BIGINT) AS t, sum(l_extendedprice) / 1e5 AS v
+  FROM lineitem GROUP BY ALL),
 vox AS (
   SELECT CAST(p.s // 10 AS BIGINT) AS x, CAST(p.s % 10 AS BIGINT) AS y, p.c, p.t, coalesce(sal.v, 0) AS v
-  FROM (SELECT DISTINCT s, c, CAST(m AS BIGINT) AS t FROM sal, range({model.SALES_MONTHS}) AS d(m)) p
+  FROM (SELECT DISTINCT s, c, CAST(m AS BIGINT) AS t FROM sal, range((SELECT max(t) + 1 FROM sal)) AS d(m)) p
   LEFT JOIN sal ON sal.s = p.s AND sal.c = p.c AND sal.t = p.t)"""
 L_LAB = "lab AS (SELECT CAST(s_suppkey // 10 AS BIGINT) AS x, CAST(s_suppkey % 10 AS BIGINT) AS y, CAST(s_nationkey + 1 AS BIGINT) AS label FROM supplier)"
 
@@ -107,39 +105,64 @@ cel AS (
   LEFT JOIN (SELECT label, c, avg(v) AS v FROM lev JOIN lab USING (x, y) GROUP BY ALL) s ON s.label = dom.label AND s.c = dom.c)"""
 
 HALF = "(SELECT CAST(round_even((max(x) + 1) * 0.5, 0) AS BIGINT) AS h, CAST(round_even((max(y) + 1) * 0.5, 0) AS BIGINT) AS w, max(x) + 1 AS big_h, max(y) + 1 AS big_w FROM {0}) d"
-COLOURS = ", ".join(f"({t}, {a!r}, {b!r}, {c!r})" for t, (a, b, c) in enumerate(image.colors(model.EVENT_DAYS)))
+#: Coefficients of the turbo colour map's published polynomials (fixed values).
+TURBO = {
+    "r": "0.13572138 4.61539260 -42.66032258 132.13108234 -152.94239396 59.28637943",
+    "g": "0.09140261 2.19418839 4.84296658 -14.18503333 4.27729857 2.82956604",
+    "b": "0.10667330 12.64194608 -60.58204836 110.36276771 -89.90310912 27.34824973",
+}
+LUT = ", ".join(f"least(1.0, greatest(0.0, {' + '.join(f'({a}) * pow(u, {k})' for k, a in enumerate(v.split()))})) AS {n}" for n, v in TURBO.items())
+COLOURS = f"lut AS (SELECT t, {LUT} FROM (SELECT DISTINCT t, t / (max(t) OVER ())::DOUBLE AS u FROM vox))"
 MINMAX = "ends AS (SELECT min(v) AS lo, max(v) AS hi FROM vox), nrm AS (SELECT x, y, c, t, (v - lo) / (hi - lo) AS v FROM vox, ends)"
 
 
 def color_sql(proj: str) -> str:
-    return f"""WITH {V_VOX}, {MINMAX}, lut(t, r, g, b) AS (VALUES {COLOURS})
+    return f"""WITH {V_VOX}, {MINMAX}, {COLOURS}
 SELECT x, y, c, {", ".join(r(f"{proj}(v * {n})", n) for n in "rgb")} FROM nrm JOIN lut USING (t) GROUP BY x, y, c"""
 
 
-GAIN = "2 * exp(60.0 / 3.0 * (1 + ln(3.0 / 60.0)) + 60 * ln(s * 2 * pi() * k / 32) - pow(s * 2 * pi() * k / 32, 3))"
-WAVE = f"""WITH {E_VOX}, {CEN}, {AMP}, scl(i, s) AS (VALUES {", ".join(f"({i}, {s!r})" for i, s in enumerate(SCALES))}),
-fil AS (SELECT x, y, c, i, k, re * g AS re, im * g AS im FROM dft JOIN (SELECT i, CAST(k AS BIGINT) AS k, {GAIN} AS g FROM scl, range(1, 17) AS q(k)) USING (k)),
-cof AS (
-  SELECT x, y, c, CAST(i AS BIGINT) AS i, CAST(t AS BIGINT) AS t,
-         sum(re * cos(2 * pi() * ((k * t) % 32) / 32) - im * sin(2 * pi() * ((k * t) % 32) / 32)) / 32 AS wr,
-         sum(re * sin(2 * pi() * ((k * t) % 32) / 32) + im * cos(2 * pi() * ((k * t) % 32) / 32)) / 32 AS wi
-  FROM fil, range(32) AS q(t) GROUP BY ALL),
-mag AS (SELECT *, sqrt(wr * wr + wi * wi) AS a, avg(sqrt(wr * wr + wi * wi)) OVER w AS m, stddev_samp(sqrt(wr * wr + wi * wi)) OVER w AS sd FROM cof WINDOW w AS (PARTITION BY x, y, c, t)),
-sub AS (SELECT *, i - {LOW} AS j FROM mag WHERE i >= {LOW} AND i < {HIGH})"""
+GAIN = "2 * exp(60.0 / 3.0 * (1 + ln(3.0 / 60.0)) + 60 * ln(s * 2 * pi() * k / {n}) - pow(s * 2 * pi() * k / {n}, 3))"
+LISTS = "sig AS MATERIALIZED (SELECT x, y, c, list(v ORDER BY t) AS v FROM cen GROUP BY x, y, c)"
+
+
+def wave_ctes(n: int = 32, left: int = 0, power: bool = False) -> str:
+    """From sig (lists of n samples, the first `left` of them padding): coefficients as products with one kernel for each scale and frame."""
+    gain, angle = GAIN.format(n=n), f"2 * pi() * ((k * (t + {left} - u + {n})) % {n}) / {n}"
+    divided = "a / sum(a) OVER w" if power else "a"
+    return f"""scl(i, s) AS (VALUES {", ".join(f"({i}, {s!r})" for i, s in enumerate(SCALES))}),
+ker AS MATERIALIZED (
+  SELECT i, t, list(re ORDER BY u) AS re, list(im ORDER BY u) AS im FROM (
+    SELECT CAST(i AS BIGINT) AS i, CAST(t AS BIGINT) AS t, u, sum(({gain}) * cos({angle})) / {n} AS re, sum(({gain}) * sin({angle})) / {n} AS im
+    FROM scl, range(1, {n // 2 + 1}) AS q(k), range(32) AS p(t), range({n}) AS o(u) GROUP BY ALL) GROUP BY i, t),
+cof AS MATERIALIZED (
+  SELECT *, sqrt(wr * wr + wi * wi) AS a FROM (SELECT x, y, c, i, t, list_dot_product(v, re) AS wr, list_dot_product(v, im) AS wi FROM sig, ker)),
+sub AS MATERIALIZED (
+  SELECT *, i - {LOW} AS j FROM (SELECT *, avg(a) OVER w AS m, stddev_samp(a) OVER w AS sd, {divided} AS p FROM cof WINDOW w AS (PARTITION BY x, y, c, t))
+  WHERE i >= {LOW} AND i < {HIGH})"""
+
+
+WAVE = f"WITH {E_VOX}, {CEN}, {LISTS}, {wave_ctes()}"
+#: Frames normalised and series centred, then padded by reflection from 32 to 64 samples.
+PADDED = f"""WITH {E_VOX}, nrm AS (SELECT x, y, c, t, (v - avg(v) OVER w) / stddev_samp(v) OVER w AS v FROM vox WINDOW w AS (PARTITION BY c, t)),
+cen AS (SELECT x, y, c, t, v - avg(v) OVER (PARTITION BY x, y, c) AS v FROM nrm), {LISTS.replace("sig AS", "raw AS")},
+sig AS MATERIALIZED (SELECT x, y, c, list_transform(range(64), lambda u: v[CAST(CASE WHEN u < 16 THEN 17 - u WHEN u < 48 THEN u - 15 ELSE 79 - u END AS BIGINT)]) AS v FROM raw), {wave_ctes(64, 16)}"""
 CARRIER_AT = "crr AS (SELECT x, y, t, i FROM (SELECT *, row_number() OVER (PARTITION BY x, y, t ORDER BY a DESC, i) AS n FROM sub WHERE c = 0) WHERE n = 1)"
 POOL = HIGH - LOW
 BANK_ROWS = ", ".join(f"({b}, {b * POOL // BANKS}, {-(-(b + 1) * POOL // BANKS)})" for b in range(BANKS))
 
 
-def wave_sql(value: str) -> str:
-    return f"{WAVE}, {CARRIER_AT} SELECT s.x, s.y, s.c, s.t, {r(value, 'value')} FROM sub s JOIN crr ON s.x = crr.x AND s.y = crr.y AND s.t = crr.t AND s.i = crr.i"
+AT_CARRIER = "FROM sub s JOIN crr ON s.x = crr.x AND s.y = crr.y AND s.t = crr.t AND s.i = crr.i"
+
+
+def wave_sql(*values: str, ctes: str = WAVE, where: str = "true") -> str:
+    return f"{ctes}, {CARRIER_AT} SELECT s.x, s.y, s.c, s.t, {', '.join(values)} {AT_CARRIER} WHERE {where}"
 
 
 def track_sql(label: str) -> str:
     return f"""WITH {V_VOX}, stt AS (
   SELECT {label} AS label, c, t, avg(v) AS mean, {sd("v")} AS sd FROM vox GROUP BY ALL),
 top AS (SELECT max(label) AS top FROM stt),
-dom AS (SELECT CAST(l AS BIGINT) AS label, c.c, CAST(t AS BIGINT) AS t FROM (SELECT unnest(range(0, (SELECT top + 1 FROM top))) AS l), (SELECT DISTINCT c FROM vox) c, range({model.EVENT_DAYS}) AS q(t))
+dom AS (SELECT CAST(l AS BIGINT) AS label, c.c, CAST(t AS BIGINT) AS t FROM (SELECT unnest(range(0, (SELECT top + 1 FROM top))) AS l), (SELECT DISTINCT c FROM vox) c, range((SELECT max(t) + 1 FROM vox)) AS q(t))
 SELECT dom.label, dom.c, dom.t, {r("coalesce(mean, 0)", "mean")}, {r("coalesce(sd, 0)", "sd")} FROM dom LEFT JOIN stt ON dom.label = stt.label AND dom.c = stt.c AND dom.t = stt.t"""
 
 
@@ -176,13 +199,13 @@ SELECT nx AS x, ny AS y, c, t, {r("avg(v)", "value")} FROM vox JOIN nx ON x >= n
     "downsample_mask": f"""WITH {E_LAB}, d AS (SELECT * FROM {HALF.format("lab")})
 SELECT CAST(i AS BIGINT) AS x, CAST(j AS BIGINT) AS y, label FROM d, range((SELECT h FROM d)) AS q(i), range((SELECT w FROM d)) AS p(j), lab
 WHERE lab.x = i * big_h // h AND lab.y = j * big_w // w""",
-    "convolve_time": f"""WITH {L_VOX} SELECT x, y, c, t, {r(f"{K0} * lag(v, 1, 0.0) OVER w + {K1} * v + {K2} * lead(v, 1, 0.0) OVER w", "value", 4)} FROM vox WINDOW w AS (PARTITION BY x, y, c ORDER BY t)""",
+    "convolve_time": f"""WITH {L_VOX} SELECT x, y, c, t, {r(f"{K0} * lag(v, 1, 0.0) OVER w + {K1} * v + {K2} * lead(v, 1, 0.0) OVER w", "value", 10)} FROM vox WINDOW w AS (PARTITION BY x, y, c ORDER BY t)""",
     "minmax_norm": f"WITH {V_VOX}, {MINMAX} SELECT x, y, c, t, {r('v', 'value')} FROM nrm",
     "color_projection_max": color_sql("max"),
     "color_projection_sum": color_sql("sum"),
-    "cwt_amp": wave_sql("s.a"),
-    "cwt_freq_index": wave_sql("s.i"),
-    "cwt_z_score": wave_sql("(s.a - s.m) / s.sd"),
+    "cwt_amp": wave_sql(r("s.a", "value")),
+    "cwt_freq_index": wave_sql(r("s.i", "value")),
+    "cwt_z_score": wave_sql(r("(s.a - s.m) / s.sd", "value")),
     "cwt_phase_difference": f"""{WAVE}, {CARRIER_AT}
 SELECT s.x, s.y, s.c, s.t, {r("cos(atan2(s.wi, s.wr) - atan2(p.wi, p.wr))", "cos_difference")}, {r("sin(atan2(s.wi, s.wr) - atan2(p.wi, p.wr))", "sin_difference")}
 FROM sub s JOIN crr ON s.x = crr.x AND s.y = crr.y AND s.t = crr.t AND s.i = crr.i JOIN sub p ON p.x = s.x AND p.y = s.y AND p.t = s.t AND p.i = s.i AND p.c = 0""",
@@ -191,6 +214,16 @@ crr AS (SELECT x, y, t, bank, i FROM (SELECT *, row_number() OVER (PARTITION BY
 SELECT s.x, s.y, s.c, CAST(crr.bank AS BIGINT) AS bank, s.t, {r("s.a", "value")} FROM sub s JOIN crr ON s.x = crr.x AND s.y = crr.y AND s.t = crr.t AND s.i = crr.i""",
     "cwt_bank_sort": f"""{WAVE}, crr AS (SELECT x, y, t, i, n - 1 AS bank FROM (SELECT *, row_number() OVER (PARTITION BY x, y, t ORDER BY a DESC, i) AS n FROM sub WHERE c = 0) WHERE n <= {BANKS})
 SELECT s.x, s.y, s.c, CAST(crr.bank AS BIGINT) AS bank, s.t, {r("s.a", "value")} FROM sub s JOIN crr ON s.x = crr.x AND s.y = crr.y AND s.t = crr.t AND s.i = crr.i""",
+    "cwt_phase": wave_sql(r("s.wr / s.a", "cos_phase"), r("s.wi / s.a", "sin_phase")),
+    "cwt_freq_hz": wave_sql(r(f"pow(20.0, 1 / 3.0) / (SELECT s FROM scl WHERE scl.i = s.i) / (2 * pi()) * {SAMPLING.fs}", "value")),
+    "cwt_normalized_amp": wave_sql(r("s.p", "value"), ctes=f"WITH {E_VOX}, {CEN}, {LISTS}, {wave_ctes(power=True)}"),
+    "cwt_default_preprocessing": wave_sql(r("s.a", "value", 5), ctes=PADDED),
+    "cwt_blocks": wave_sql(r("s.a", "value")),
+    "cwt_channel_outputs": f"""{WAVE}, {CARRIER_AT}
+SELECT s.x, s.y, CASE s.c WHEN 0 THEN 'a' ELSE 'b' END AS channel, o AS output, s.t, {r("CASE o WHEN 'freq' THEN s.i ELSE s.a END", "value")} {AT_CARRIER}
+JOIN (VALUES (0, 'freq'), (1, 'amp')) q(c, o) ON q.c = s.c""",
+    "cwt_as_series": f"""{WAVE}, {CARRIER_AT} SELECT s.x, s.y, CAST(1 - s.c AS BIGINT) AS c, s.t, {r("s.a", "value")} {AT_CARRIER}""",
+    "fft_peak_fallback": f"""{E_QRY.replace("round(na, 12)", "round(z, 12)")} SELECT x, y, c, argmaxes, {r('z', 'value')} FROM qry""",
     "track_mean_sd": track_sql("CAST((x * 10 + y) % 7 + 1 AS BIGINT)"),
     "track_moving_mask": track_sql("CAST((x * 10 + y + t) % 7 + 1 AS BIGINT)"),
     "file_pairing": """SELECT n_name || '.v1.' || CASE WHEN n_regionkey = 0 THEN 'nd2' ELSE 'tif' END AS image_filename, n_name || '.v1_masks.tif' AS mask_filename, n_nationkey % 2 = 0 AS found FROM nation""",

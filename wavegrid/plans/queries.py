@@ -83,6 +83,12 @@ def fft_peak(spark, sf_dir):
     return rows.select(*keys("x", "y", "c", "argmaxes"), rounded("queried_normalized_amplitude").alias("value"))
 
 
+def fft_peak_fallback(spark, sf_dir):
+    """Bins are ranked by the z-score where normalised amplitudes are not computed."""
+    rows = fft.peak_query(model.embedding_series(spark, sf_dir), CUTOFF, CARRIER, ["z_score"], normalize_histogram=False)
+    return rows.select(*keys("x", "y", "c", "argmaxes"), rounded("queried_z_score").alias("value"))
+
+
 def fft_query_features(spark, sf_dir):
     rows = queried(spark, sf_dir)
     d = F.col("queried_phase_difference")
@@ -177,7 +183,7 @@ def downsample_mask(spark, sf_dir):
 
 
 def convolve_time(spark, sf_dir):
-    return elements(image.convolve_time(model.sales_series(spark, sf_dir), KERNEL), "values", digits=4)
+    return elements(image.convolve_time(model.sales_series(spark, sf_dir), KERNEL), "values", digits=10)
 
 
 def minmax_norm(spark, sf_dir):
@@ -186,28 +192,47 @@ def minmax_norm(spark, sf_dir):
 
 def color_projection(proj: str):
     def query(spark, sf_dir):
-        rows = image.color_by_axis(model.event_series(spark, sf_dir), model.EVENT_DAYS, proj=proj)
+        rows = image.color_by_axis(model.event_series(spark, sf_dir), model.event_days(spark, sf_dir), proj=proj)
         return rows.select(*keys("x", "y", "c"), *[rounded(n).alias(n) for n in "rgb"])
 
     return query
 
 
+def wavelet_rows(spark, sf_dir, outputs: dict, **options) -> DataFrame:
+    plain = {"normalize_histogram": False, "mean_centering": True, "padding": None}
+    return cwt.cwt_features(model.embedding_series(spark, sf_dir), 32, LOW, HIGH, carrier_channel=CARRIER, channel_outputs=outputs, scales=SCALES, **(plain | options))
+
+
 def wavelets(spark, sf_dir, outputs, **options) -> DataFrame:
-    rows = cwt.cwt_features(
-        model.embedding_series(spark, sf_dir), 32, LOW, HIGH, carrier_channel=CARRIER, channel_outputs={0: outputs, 1: outputs}, scales=SCALES,
-        normalize_histogram=False, mean_centering=True, padding=None, **options,
-    )
+    rows = wavelet_rows(spark, sf_dir, {0: outputs, 1: outputs}, **options)
     each = rows.select(*keys("x", "y"), F.col("channel").cast("bigint").alias("c"), *keys("bank"), "output", F.posexplode("values").alias("t", "value"))
     return each.select("x", "y", "c", "bank", *keys("t"), "output", "value")
 
 
-def cwt_output(output: str):
+def cwt_output(output: str, digits: int = 6, **options):
     def query(spark, sf_dir):
-        return wavelets(spark, sf_dir, [output]).select("x", "y", "c", "t", rounded("value").alias("value"))
+        return wavelets(spark, sf_dir, [output], **options).select("x", "y", "c", "t", rounded("value", digits).alias("value"))
 
     return query
 
 
+def cwt_phase(spark, sf_dir):
+    rows = wavelets(spark, sf_dir, ["phase"])
+    return rows.select("x", "y", "c", "t", rounded(F.cos("value")).alias("cos_phase"), rounded(F.sin("value")).alias("sin_phase"))
+
+
+def cwt_channel_outputs(spark, sf_dir):
+    """Other outputs for each channel, under names."""
+    rows = wavelet_rows(spark, sf_dir, {0: ["freq"], 1: ["amp"]}, channel_names=NAMES)
+    return rows.select(*keys("x", "y"), "channel", "output", F.posexplode("values").alias("t", "value")).select("x", "y", "channel", "output", *keys("t"), rounded("value").alias("value"))
+
+
+def cwt_as_series(spark, sf_dir):
+    """Amplitudes as a series table again, with the channels in another order."""
+    rows = wavelet_rows(spark, sf_dir, {0: ["amp"], 1: ["amp"]})
+    return elements(cwt.as_series(rows, [("1", "amp", 0), ("0", "amp", 0)]), "values")
+
+
 def cwt_phase_difference(spark, sf_dir):
     rows = wavelets(spark, sf_dir, ["phase_difference"])
     return rows.select("x", "y", "c", "t", rounded(F.cos("value")).alias("cos_difference"), rounded(F.sin("value")).alias("sin_difference"))
@@ -269,6 +294,7 @@ QUERIES = {
     "fft_constant_pixel": fft_constant_pixel,
     "fft_by_join": fft_by_join,
     "fft_peak": fft_peak,
+    "fft_peak_fallback": fft_peak_fallback,
     "fft_query_features": fft_query_features,
     "fft_frequencies": fft_frequencies,
     "threshold_mask": threshold_mask,
@@ -289,6 +315,13 @@ QUERIES = {
     "cwt_freq_index": cwt_output("freq"),
     "cwt_z_score": cwt_output("z_score"),
     "cwt_phase_difference": cwt_phase_difference,
+    "cwt_phase": cwt_phase,
+    "cwt_freq_hz": cwt_output("freq", sampling=SAMPLING, wavelet=(cwt.GAMMA, cwt.BETA)),
+    "cwt_normalized_amp": cwt_output("amp", normalize_amplitudes=True),
+    "cwt_default_preprocessing": cwt_output("amp", 5, normalize_histogram=True, mean_centering=True, padding="reflect"),
+    "cwt_blocks": cwt_output("amp", blocks=7),
+    "cwt_channel_outputs": cwt_channel_outputs,
+    "cwt_as_series": cwt_as_series,
     "cwt_bank_maxpool": cwt_bank("max_pool"),
     "cwt_bank_sort": cwt_bank("sort"),
     "track_mean_sd": track_mean_sd,

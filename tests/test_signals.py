@@ -1,6 +1,8 @@
 """Signals with known answers, and the operators' edge cases."""
 
 import math
+import struct
+import zlib
 
 import numpy as np
 import pytest
@@ -255,3 +257,168 @@ def test_entry_works(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+# --- TIFF as other programs write it
+
+
+def packed_lzw(raw):
+    """TIFF's LZW: codes of 9 to 12 bits, the highest bit first, the width growing one code early."""
+    table, width, codes, w = {bytes([i]): i for i in range(256)}, 9, [(256, 9)], b""
+    n = 258
+    for byte in raw:
+        if w + bytes([byte]) in table:
+            w += bytes([byte])
+            continue
+        codes.append((table[w], width))
+        table[w + bytes([byte])] = n
+        n += 1
+        width = 9 + sum(n > k for k in (511, 1023, 2047))
+        w = bytes([byte])
+        if n == 4094:
+            codes.append((256, width))
+            table, width, n = {bytes([i]): i for i in range(256)}, 9, 258
+    codes += [(table[w], width)] if w else []
+    bits = "".join(f"{c:0{k}b}" for c, k in codes)
+    n += bool(w)
+    bits += f"{257:0{9 + sum(n > k for k in (511, 1023, 2047))}b}"
+    bits += "0" * (-len(bits) % 8)
+    return bytes(int(bits[i : i + 8], 2) for i in range(0, len(bits), 8))
+
+
+def packed_bits(raw):
+    out = bytearray()
+    for part in (raw[i : i + 100] for i in range(0, len(raw), 100)):
+        out += bytes([257 - len(part), part[0]]) if len(part) > 1 and len(set(part)) == 1 else bytes([len(part) - 1]) + part
+    return bytes(out) + b"\x80"
+
+
+def tiff_file(pages, order="<", big=False, packing=1, tile=None, rows=None, predictor=1, description=None, extra=b""):
+    """A file of 2-dimensional pages, in strips of `rows` rows or in tiles."""
+    pack = {1: bytes, 5: packed_lzw, 8: zlib.compress, 32773: packed_bits}[packing]
+    number, entry, offset, wide = ("Q", 20, "Q", 8) if big else ("H", 12, "I", 4)
+    out = bytearray(struct.pack(f"{order}2sH", b"II" if order == "<" else b"MM", 43 if big else 42))
+    out += struct.pack(f"{order}HH", 8, 0) if big else b""
+    link = len(out)
+    out += struct.pack(f"{order}{offset}", 0)
+    for k, page in enumerate(pages):
+        x, y = page.shape
+        height, width = tile or (rows or x, y)
+        parts = []
+        for top in range(0, x, height):
+            for left in range(0, y, width):
+                part = page[top : top + height, left : left + width]
+                if tile:
+                    part = np.pad(part, ((0, height - part.shape[0]), (0, width - part.shape[1])))
+                if predictor == 2:
+                    part = np.diff(part, axis=1, prepend=np.zeros((len(part), 1), part.dtype))
+                parts.append(pack(np.ascontiguousarray(part).astype(page.dtype.newbyteorder(order)).tobytes()))
+        at = []
+        for part in parts:
+            at.append(len(out))
+            out += part
+        out += extra if k == 0 else b""
+        place = (324, 325) if tile else (273, 279)
+        tags = {256: (4, [y]), 257: (4, [x]), 258: (3, [page.itemsize * 8]), 259: (3, [packing]), 277: (3, [1]), 317: (3, [predictor]), 339: (3, [{"u": 1, "i": 2, "f": 3}[page.dtype.kind]]),
+                place[0]: (4, at), place[1]: (4, [len(p) for p in parts])}
+        tags |= {322: (3, [width]), 323: (3, [height])} if tile else {278: (4, [height])}
+        if description and k == 0:
+            tags[270] = (2, description.encode() + b"\0")
+        entries = b""
+        for tag, (type_, values) in sorted(tags.items()):
+            raw = bytes(values) if type_ == 2 else struct.pack(f"{order}{len(values)}{'H' if type_ == 3 else 'I'}", *values)
+            if len(raw) > wide:
+                spot = len(out)
+                out += raw
+                raw = struct.pack(f"{order}{offset}", spot)
+            entries += struct.pack(f"{order}HH{offset}", tag, type_, len(values)) + raw.ljust(wide, b"\0")
+        struct.pack_into(f"{order}{offset}", out, link, len(out))
+        out += struct.pack(f"{order}{number}", len(tags)) + entries
+        link = len(out)
+        out += struct.pack(f"{order}{offset}", 0)
+    return bytes(out)
+
+
+KINDS = [dict(packing=p, **layout) for p in (1, 5, 8, 32773) for layout in ({}, {"rows": 5}, {"tile": (16, 16)}, {"order": ">", "rows": 7}, {"big": True, "tile": (16, 32)}, {"predictor": 2, "rows": 4}, {"big": True, "order": ">", "predictor": 2})]
+
+
+@pytest.mark.parametrize("options", KINDS, ids=str)
+def test_tiff_of_each_kind(options):
+    rng = np.random.default_rng(2)
+    pages = [rng.integers(0, 50, (37, 41)).astype(np.uint16).cumsum(axis=1).astype(np.uint16) for _ in range(3)]
+    pages[1][:] = 7
+    got = tiff.decode_tiff(tiff_file(pages, **options))
+    assert got.shape == (3, 37, 41) and (got == np.stack(pages)).all()
+
+
+def test_long_lzw():
+    rng = np.random.default_rng(3)
+    for raw in (bytes(rng.integers(0, 256, 60_000, dtype=np.uint8)), bytes(200_000), bytes(rng.integers(0, 3, 60_000, dtype=np.uint8)), b""):
+        assert tiff.unpacked_lzw(packed_lzw(raw)) == raw and tiff.unpacked_bits(packed_bits(raw)) == raw
+
+
+def test_tiff_arrangements():
+    pages = [np.full((2, 3), k, np.uint8) for k in range(6)]
+    imagej = tiff.decode_tiff(tiff_file(pages, description="ImageJ=1.53\nimages=6\nchannels=2\nframes=3\n"))
+    assert imagej.shape == (3, 2, 2, 3) and imagej[1, 1, 0, 0] == 3
+    rest = np.stack(pages[1:]).tobytes()
+    single = tiff.decode_tiff(tiff_file(pages[:1], description="ImageJ=1.53\nimages=6\nslices=6\n", extra=rest))
+    assert single.shape == (6, 2, 3) and single[:, 0, 0].tolist() == [0, 1, 2, 3, 4, 5]
+    for order, expect in (("XYCZT", 3), ("XYZTC", 4), ("XYTCZ", 4)):
+        xml = f'<?xml version="1.0"?><OME><Image><Pixels ID="P" DimensionOrder="{order}" SizeX="3" SizeY="2" SizeC="2" SizeZ="1" SizeT="3" Type="uint8"/></Image></OME>'
+        got = tiff.decode_tiff(tiff_file(pages, description=xml))
+        assert got.shape == (3, 2, 2, 3) and got[1, 1, 0, 0] == expect
+    with pytest.raises(ValueError, match="slices and frames"):
+        tiff.decode_tiff(tiff_file(pages, description="ImageJ=1\nimages=6\nslices=2\nframes=3"))
+    with pytest.raises(ValueError, match="not a TIFF"):
+        tiff.decode_tiff(b"PNG")
+
+
+def test_mask_with_frames_is_reported(spark):
+    still, moving = np.array([[1, 1, 2]], np.uint16), np.ones((2, 1, 3), np.uint16)
+    stack = np.zeros((T, 1, 1, 3), np.float32)
+    stack[:, 0, 0] = np.array(tone(3))[:, None]
+    kind = "name string, content binary"
+    files = spark.createDataFrame([(f"{n}.tif", tiff.encode_tiff(stack)) for n in "ab"], kind)
+    masks = spark.createDataFrame([("a_masks.tif", tiff.encode_tiff(still)), ("b_masks.tif", tiff.encode_tiff(moving))], kind)
+    table, problems = pipeline.process_files(files, masks, 1, normalize_histogram=False)
+    assert {(r.image_filename, r.mask_index) for r in table.collect()} == {("a.tif", k) for k in range(3)}
+    assert [tuple(r) for r in problems.collect()] == [("b.tif", "a mask of 2 frames; one is expected")]
+
+
+def test_statistics_of_many_images_are_joined_in_parts(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [("abc"[k % 3], k % 2, k // 6, k % 7, rng.normal(size=4).tolist()) for k in range(84)]
+    s = spark.createDataFrame(rows, "image_id string, c int, x int, y int, values array<double>")
+    read = lambda df: sorted((r.image_id, r.c, r.x, r.y, *np.round(r["values"], 9)) for r in df.collect())
+    sent = [read(f(s)) for f in (image.normalize_frames, image.minmax_norm)]
+    monkeypatch.setattr(image, "SENT_NUMBERS", 0)
+    for f, want in zip((image.normalize_frames, image.minmax_norm), sent, strict=True):
+        out = f(s)
+        assert read(out) == want and "_part" not in out.columns
+
+
+def test_large_windows_are_summed_before_the_exchange(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    rows = [("a", 0, x, y, rng.normal(size=3).tolist()) for x in range(9) for y in range(7)]
+    s = spark.createDataFrame(rows, "image_id string, c int, x int, y int, values array<double>")
+    read = lambda df: sorted((r.x, r.y, *np.round(r["values"], 9)) for r in df.collect())
+    want = read(image.downsample_image(s, 9, 7, (2, 3)))
+    monkeypatch.setattr(image, "WINDOW_PIXELS", 1)
+    assert read(image.downsample_image(s, 9, 7, (2, 3))) == want
+
+
+def test_named_color_maps():
+    near = lambda name, u: [round(v, 2) for v in image.named_map(name)(u)]
+    assert near("viridis", 0.0) == [0.28, 0.01, 0.33] and near("viridis", 1.0) == pytest.approx([0.99, 0.91, 0.14], abs=0.03)
+    assert near("plasma", 1.0) == pytest.approx([0.94, 0.98, 0.13], abs=0.05) and near("gray", 0.5) == [0.5, 0.5, 0.5]
+
+
+def test_frames_are_resampled_as_images_are(spark):
+    rng = np.random.default_rng(7)
+    frame = rng.normal(size=(11, 6))
+    rows = spark.createDataFrame([("i", 0, 0, 6, frame.ravel().tolist())], "image_id string, t int, c int, width int, pixels array<double>")
+    got = frames.downsample_frame_rows(rows, 11, 6, 0.4).first()
+    h, w = image.target_size(11, 0.4), image.target_size(6, 0.4)
+    want = [[frame[i * 11 // h : -(-(i + 1) * 11 // h), j * 6 // w : -(-(j + 1) * 6 // w)].mean() for j in range(w)] for i in range(h)]
+    assert got.width == w and got.pixels == pytest.approx(np.array(want).ravel().tolist())

@@ -39,7 +39,6 @@ def scale_frequencies(scales: np.ndarray, fs: float, gamma: float = GAMMA, beta:
 def wavelet_bank(scales: np.ndarray, n: int, gamma: float = GAMMA, beta: float = BETA) -> np.ndarray:
     """psi(s w) at the transform's frequencies; evaluated in logarithms, 0 for w <= 0."""
     w = 2 * math.pi * np.fft.fftfreq(n)
-    w[w < 0] += 0.0
     if n % 2 == 0:
         w[n // 2] = math.pi
     x = np.asarray(scales, float)[:, None] * w[None, :]
@@ -168,7 +167,8 @@ def cwt_features(
     step = max(1, int(128e6 / (16 * len(grid) * max(frames, 1) * 4 * len(outputs))))
 
     def query(channels: pa.Array) -> pa.Array:
-        rows: list[list[dict] | None] = []
+        names_of = [(names[k], o, b) for k, o in kinds for b in range(num_filter_banks)]
+        parts = []
         for begin in range(0, len(channels), step):
             part = channels.slice(begin, step)
             flat = part.flatten()
@@ -188,11 +188,17 @@ def cwt_features(
                 on[owner[good]] = True
                 present &= on
             got = query_block(data, grid, min_scale, max_scale, num_filter_banks, normalize_amplitudes, carrier_channel, outputs, bank_method, frequencies, padding, gamma, beta)
-            for i in range(len(part)):
-                rows.append([{"channel": names[k], "output": o, "bank": b, "values": got[k][o][i, b]} for k, o in kinds for b in range(num_filter_banks)] if present[i] else None)
-        kind = pa.struct([("channel", pa.string()), ("output", pa.string()), ("bank", pa.int32()), ("values", pa.list_(pa.float64()))])
-        return pa.array(rows, pa.list_(kind))
-
+            # (pixels, outputs, banks, frames) as one array, with the names of its lists beside.
+            at = np.flatnonzero(present)
+            values = pa.array(np.stack([got[k][o][at] for k, o in kinds], axis=1).ravel())
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(at) * len(names_of) + 1, dtype=np.int32) * frames), values)
+            columns = [pa.array([x[i] for x in names_of] * len(at), t) for i, t in enumerate((pa.string(), pa.string(), pa.int32()))]
+            each = pa.StructArray.from_arrays([*columns, lists], names=["channel", "output", "bank", "values"])
+            offsets = np.concatenate([[0], np.cumsum(present)]).astype(np.int32) * len(names_of)
+            parts.append(pa.ListArray.from_arrays(pa.array(offsets, mask=np.append(~present, False)), each))
+        return pa.concat_arrays(parts) if parts else pa.array([], kind)
+
+    kind = pa.list_(pa.struct([("channel", pa.string()), ("output", pa.string()), ("bank", pa.int32()), ("values", pa.list_(pa.float64()))]))
     pixels = source.groupBy("image_id", "x", "y").agg(F.sort_array(F.collect_list(F.struct("c", "values"))).alias("channels"))
     if blocks is not None:
         pixels = pixels.repartition(blocks, "image_id", "x", "y")

@@ -66,6 +66,19 @@ def rows_of(values: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
+def lists_of(n: int, parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.Array:
+    """n lists, of which those numbered in parts are the rows of the matrices beside; others are null."""
+    arrays, place, base = [pa.array([], pa.list_(pa.float64()))], np.zeros(n, np.int64), 0
+    missing = np.ones(n, bool)
+    for at, matrix in parts:
+        offsets = np.arange(len(at) + 1, dtype=np.int32) * matrix.shape[1]
+        arrays.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.ascontiguousarray(matrix).ravel())))
+        place[at] = base + np.arange(len(at))
+        missing[at] = False
+        base += len(at)
+    return pa.concat_arrays(arrays).take(pa.array(place, mask=missing))
+
+
 def spectrum(series: DataFrame, features: Sequence[str] = FEATURES, normalize_histogram: bool = True, max_bin: int | None = None) -> DataFrame:
     """Series keys and one array for each feature (element k: bin k). A null or empty series gives nulls.
 
@@ -76,12 +89,8 @@ def spectrum(series: DataFrame, features: Sequence[str] = FEATURES, normalize_hi
     source = normalize_frames(series) if normalize_histogram else series
 
     def transform(values: pa.Array) -> pa.Array:
-        found: dict[str, list] = {f: [None] * len(values) for f in chosen}
-        for at, matrix in rows_of(values):
-            for f, m in spectra(matrix, chosen, max_bin).items():
-                for i, row in zip(at, m, strict=True):
-                    found[f][i] = row
-        return pa.StructArray.from_arrays([pa.array(found[f], pa.list_(pa.float64())) for f in chosen], names=chosen)
+        found = [(at, spectra(matrix, chosen, max_bin)) for at, matrix in rows_of(values)]
+        return pa.StructArray.from_arrays([lists_of(len(values), [(at, by[f]) for at, by in found]) for f in chosen], names=chosen)
 
     udf = F.arrow_udf(transform, "struct<" + ", ".join(f"{f} array<double>" for f in chosen) + ">").asNondeterministic()
     return source.withColumn("_s", udf("values")).select("image_id", "c", "x", "y", *[F.col(f"_s.{f}").alias(f) for f in chosen])
@@ -164,39 +173,34 @@ def peak_query(
     names = ["argmaxes", *[QUERIED[f] for f in chosen]]
 
     def query(channels: pa.Array) -> pa.Array:
-        rows: list[list[dict] | None] = [None] * len(channels)
         flat = channels.flatten()
-        cs, values = flat.field("c").to_pylist(), flat.field("values")
-        owner = np.repeat(np.arange(len(channels)), [len(x) if x.is_valid else 0 for x in channels])
-        found: list[dict[str, np.ndarray] | None] = [None] * len(cs)
-        for at, matrix in rows_of(values):
-            by = spectra(matrix, list({*chosen, ranked}), max_bin)
-            for k, i in enumerate(at):
-                found[i] = {f: m[k] for f, m in by.items()}
-        start = 0
-        for row in range(len(channels)):
-            end = start
-            while end < len(owner) and owner[end] == row:
-                end += 1
-            peaks = []
-            for i in range(start, end):
-                tail = found[i][ranked][cutoff_frequency_bin:] if found[i] is not None else ()
-                peaks.append(int(np.argmax(tail)) + cutoff_frequency_bin if len(tail) else None)
-            carrier = next((k for k in range(end - start) if cs[start + k] == carrier_index), None)
-            bin_ = peaks[carrier] if carrier is not None else None
-            out = []
-            for k in range(end - start):
-                one = {"c": cs[start + k], "argmaxes": peaks[k]}
-                for f in chosen:
-                    v = None if bin_ is None or found[start + k] is None or bin_ >= len(found[start + k][f]) else float(found[start + k][f][bin_])
-                    if f == "phase" and v is not None:
-                        v = (v - float(found[start + carrier]["phase"][bin_])) % (2 * math.pi)
-                    one[QUERIED[f]] = v
-                out.append(one)
-            rows[row] = out
-            start = end
-        kind = pa.struct([("c", pa.int32()), ("argmaxes", pa.int32()), *[(QUERIED[f], pa.float64()) for f in chosen]])
-        return pa.array(rows, pa.list_(kind))
+        cs, n = flat.field("c").to_numpy(zero_copy_only=False), len(flat)
+        sizes = np.array([len(x) if x.is_valid else 0 for x in channels], np.int64)
+        owner = np.repeat(np.arange(len(channels)), sizes)
+        found = [(at, spectra(matrix, list({*chosen, ranked}), max_bin)) for at, matrix in rows_of(flat.field("values"))]
+        peak = np.full(n, -1)
+        for at, by in found:
+            tail = by[ranked][:, cutoff_frequency_bin:]
+            if tail.shape[1]:
+                peak[at] = tail.argmax(axis=1) + cutoff_frequency_bin
+        # Each pixel's first row of the carrier's channel, and the bin that all its channels are read at.
+        carrier, of_carrier = np.full(len(channels), -1), np.flatnonzero(cs == carrier_index)[::-1]
+        carrier[owner[of_carrier]] = of_carrier
+        own = carrier[owner]
+        at_bin = np.where(own >= 0, peak[own], -1)
+        read = {f: np.zeros(n) for f in chosen}
+        known = np.zeros(n, bool)
+        for at, by in found:
+            here = at_bin[at]
+            on = (here >= 0) & (here < by[ranked].shape[1])
+            known[at[on]] = True
+            for f in chosen:
+                read[f][at[on]] = by[f][np.flatnonzero(on), here[on]]
+        if "phase" in read:
+            read["phase"] = np.mod(read["phase"] - np.where(own >= 0, read["phase"][own], 0.0), 2 * math.pi)
+        columns = [pa.array(cs, pa.int32()), pa.array(peak, pa.int32(), mask=peak < 0), *[pa.array(read[f], mask=~known) for f in chosen]]
+        offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
+        return pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(columns, names=["c", *names]))
 
     ddl = "array<struct<c int, argmaxes int, " + ", ".join(f"{QUERIED[f]} double" for f in chosen) + ">>"
     pixels = source.groupBy("image_id", "x", "y").agg(F.sort_array(F.collect_list(F.struct("c", "values"))).alias("channels"))

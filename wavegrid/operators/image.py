@@ -36,15 +36,22 @@ def _windows(spark: SparkSession, size: int, new: int, old_name: str, new_name:
     return F.broadcast(ends)
 
 
+#: Pixels of a window up to which its series are brought together as they are.
+WINDOW_PIXELS = 4096
+
+
 def downsample_image(series: DataFrame, height: int, width: int, scale) -> DataFrame:
     """Series of a smaller image: each pixel is the mean over its window, frame by frame.
 
-    The windows are an equi-join with a mapping table; element-wise sums are pre-aggregated
-    before the exchange.
+    The windows are an equi-join with a mapping table. The arrays of a window are moved once, as
+    they are, and averaged where they meet; only windows of more than WINDOW_PIXELS pixels are
+    summed frame by frame before the exchange, so that none is too large for a task.
     """
     h, w = _sizes(height, width, scale)
     spark = series.sparkSession
-    mapped = series.join(_windows(spark, height, h, "x", "nx"), "x").join(_windows(spark, width, w, "y", "ny"), "y")
+    mapped = series.join(_windows(spark, height, h, "x", "nx"), "x").join(_windows(spark, width, w, "y", "ny"), "y").select("image_id", "c", "nx", "ny", "values")
+    if -(-height // h) * -(-width // w) <= WINDOW_PIXELS:
+        mapped = mapped.repartition("image_id", "c", "nx", "ny")
     each = mapped.select("image_id", "c", "nx", "ny", F.posexplode("values").alias("t", "v")).groupBy("image_id", "c", "nx", "ny", "t").agg(F.avg("v").alias("v"))
     rows = each.groupBy("image_id", "c", "nx", "ny").agg(F.sort_array(F.collect_list(F.struct("t", "v"))).alias("at"))
     return rows.select("image_id", "c", F.col("nx").alias("x"), F.col("ny").alias("y"), F.transform("at", lambda a: a["v"]).alias("values"))
@@ -70,9 +77,28 @@ def frame_statistics(series: DataFrame) -> DataFrame:
     return rows.select("image_id", "c", F.transform("at", lambda a: a["m"]).alias("mean"), F.transform("at", lambda a: a["s"]).alias("sd"))
 
 
+#: Numbers of per-image statistics that are sent to all tasks at most; parts that an image's pixels are dealt to otherwise.
+SENT_NUMBERS, PARTS = 4_000_000, 64
+
+
+def with_statistics(series: DataFrame, statistics: DataFrame, keys: list[str], numbers: Column) -> DataFrame:
+    """series with the columns of statistics, a small table of one row for each of keys.
+
+    The statistics are computed at once, kept and counted (`numbers` of a row). They are sent to
+    all tasks up to SENT_NUMBERS, so that no pixel moves; beyond, each image's pixels are dealt to
+    PARTS parts, so that no image meets in one task.
+    """
+    kept = statistics.persist()
+    if (kept.agg(F.sum(numbers)).first()[0] or 0) <= SENT_NUMBERS:
+        return series.join(F.broadcast(kept), keys)
+    part = F.pmod(F.xxhash64("x", "y"), F.lit(PARTS)).cast("int")
+    each = kept.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    return series.withColumn("_part", part).join(each, [*keys, "_part"]).drop("_part")
+
+
 def normalize_frames(series: DataFrame) -> DataFrame:
     """Each frame minus its mean, over its standard deviation. A flat frame gives NaN."""
-    joined = series.join(frame_statistics(series), ["image_id", "c"])
+    joined = with_statistics(series, frame_statistics(series), ["image_id", "c"], 2 * F.size("mean"))
     shifted = F.zip_with("values", "mean", lambda v, m: v - m)
     return joined.select(*[c for c in series.columns if c != "values"], F.zip_with(shifted, "sd", ieee_div).alias("values"))
 
@@ -107,7 +133,7 @@ def convolve_time(series: DataFrame, kernel: Sequence[float]) -> DataFrame:
 def minmax_norm(series: DataFrame) -> DataFrame:
     """Each image's values brought to 0..1 by its smallest and largest value over all channels and frames."""
     ends = series.groupBy("image_id").agg(F.min(F.array_min("values")).alias("lo"), F.max(F.array_max("values")).alias("hi"))
-    return series.join(ends, "image_id").select(
+    return with_statistics(series, ends, ["image_id"], F.lit(2)).select(
         *[c for c in series.columns if c != "values"], F.transform("values", lambda v: ieee_div(v - F.col("lo"), F.col("hi") - F.col("lo"))).alias("values")
     )
 
@@ -120,13 +146,47 @@ def turbo(u: float) -> tuple[float, float, float]:
     return tuple(min(1.0, max(0.0, sum(a * u**k for k, a in enumerate(p)))) for p in (red, green, blue))
 
 
+#: Coefficients of published polynomial approximations (in the public domain), from the constant on: red, green, blue (fixed values).
+POLYNOMIALS = {
+    "viridis": (
+        (0.2777273272, 0.1050930431, -0.3308618287, -4.634230499, 6.228269936, 4.776384998, -5.435455856),
+        (0.005407344545, 1.40461353, 0.2148475595, -5.799100973, 14.17993337, -13.74514538, 4.645852612),
+        (0.3340998053, 1.384590163, 0.09509516302, -19.33244096, 56.69055260, -65.35303263, 26.31243525),
+    ),
+    "plasma": (
+        (0.05873234392, 2.176514634, -2.689460476, 6.130348346, -11.10743619, 10.02306558, -3.658713843),
+        (0.02333670893, 0.2383834171, -7.455851136, 42.34618815, -82.66631109, 71.4136177, -22.93153465),
+        (0.5433401827, 0.75396046, 3.1107999397, -28.51885465, 60.13984767, -54.07218656, 18.19190779),
+    ),
+}
+
+
+def polynomial(name: str, u: float) -> tuple[float, float, float]:
+    return tuple(min(1.0, max(0.0, sum(a * u**k for k, a in enumerate(p)))) for p in POLYNOMIALS[name])
+
+
+def named_map(name: str):
+    """The colour map of a name, a function of 0..1: turbo, viridis, plasma, gray, and any name that matplotlib knows, if it is installed."""
+    if name == "turbo":
+        return turbo
+    if name == "gray":
+        return lambda u: (u, u, u)
+    if name in POLYNOMIALS:
+        return lambda u: polynomial(name, u)
+    try:
+        from matplotlib import colormaps
+    except ImportError as e:
+        raise ValueError(f"unknown colour map {name!r} (other names need matplotlib)") from e
+    if name not in colormaps:
+        raise ValueError(f"unknown colour map {name!r}")
+    return colormaps[name]
+
+
 def colors(frames: int, cmap="turbo") -> list[tuple[float, float, float]]:
-    """A colour for each frame. cmap: 'turbo', 'gray', a function of 0..1, or a list of colours to sample from."""
+    """A colour for each frame. cmap: the name of a map, a function of 0..1, or a list of colours to sample from."""
     place = [0.0] if frames == 1 else [t / (frames - 1) for t in range(frames)]
-    if cmap == "turbo":
-        return [turbo(u) for u in place]
-    if cmap == "gray":
-        return [(u, u, u) for u in place]
+    if isinstance(cmap, str):
+        cmap = named_map(cmap)
     if callable(cmap):
         return [tuple(cmap(u)[:3]) for u in place]
     if isinstance(cmap, (list, tuple)):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from wavegrid.plans.queries import BANKS, CUTOFF, HIGH, KERNEL, LOW, NAMES, SAMPLING, SCALES, THRESHOLD
+from wavegrid.plans.queries import BAND, BANKS, CUTOFF, HIGH, KERNEL, LOW, NAMES, SAMPLING, SCALES, THRESHOLD
 
 E_VOX = """vox AS (
   SELECT CAST(vec_id // 25 AS BIGINT) AS x, CAST(vec_id % 25 AS BIGINT) AS y, CAST(i % 2 AS BIGINT) AS c, CAST(i // 2 AS BIGINT) AS t,
@@ -227,5 +227,29 @@ JOIN (VALUES (0, 'freq'), (1, 'amp')) q(c, o) ON q.c = s.c""",
     "track_mean_sd": track_sql("CAST((x * 10 + y) % 7 + 1 AS BIGINT)"),
     "track_moving_mask": track_sql("CAST((x * 10 + y + t) % 7 + 1 AS BIGINT)"),
     "file_pairing": """SELECT n_name || '.v1.' || CASE WHEN n_regionkey = 0 THEN 'nd2' ELSE 'tif' END AS image_filename, n_name || '.v1_masks.tif' AS mask_filename, n_nationkey % 2 = 0 AS found FROM nation""",
+    "tiff_deflate": f"WITH {E_VOX} SELECT x, y, c, t, {r('v', 'value')} FROM vox",
+    "tiff_singleton_channel": f"WITH {E_VOX} SELECT x, y, c, t, {r('v', 'value')} FROM vox WHERE c = 0",
+    "mask_scan": f"""WITH {E_LAB}, wide AS (SELECT max(y) + 1 AS w, max(x) + 1 AS h FROM lab)
+SELECT i // {BAND} || '_masks.tif' AS mask_filename, CAST(i % {BAND} AS BIGINT) AS x, CAST(j AS BIGINT) AS y, coalesce(lab.label, 0) AS label
+FROM range((SELECT h FROM wide)) AS p(i) CROSS JOIN range((SELECT w FROM wide)) AS q(j) LEFT JOIN lab ON lab.x = i AND lab.y = j""",
+    "folder_cells": f"""{E_QRY}, {E_LAB}, jnd AS (SELECT lab.label, lab.x // {BAND} AS band, q.c, q.a, q.argmaxes FROM qry q JOIN lab ON q.x = lab.x AND q.y = lab.y),
+lev AS (SELECT lab.label, lab.x // {BAND} AS band, c, avg(v) AS v FROM (SELECT x, y, c, avg(v) AS v FROM vox GROUP BY ALL) JOIN lab USING (x, y) GROUP BY ALL),
+sta AS (SELECT band, label, c, avg(a) AS mean, {sd("a")} AS sd, floor(sum(argmaxes) / count(argmaxes)) AS peak FROM jnd GROUP BY ALL),
+dom AS (SELECT band, unnest(range(0, top + 1)) AS label FROM (SELECT x // {BAND} AS band, max(label) AS top FROM lab GROUP BY ALL))
+SELECT dom.band || '.tif' AS image_filename, dom.band || '_masks.tif' AS mask_filename, CAST(dom.label AS BIGINT) AS mask_index,
+  {r("coalesce(a.mean, 0)", "a_queried_amplitude_mean")}, {r("coalesce(b.sd, 0)", "b_queried_amplitude_sd")}, {r("coalesce(b.peak, 0)", "b_argmaxes_mean")}, {r("coalesce(l.v, 0)", "a_levels_mean")}
+FROM dom LEFT JOIN sta a ON a.band = dom.band AND a.label = dom.label AND a.c = 0 LEFT JOIN sta b ON b.band = dom.band AND b.label = dom.label AND b.c = 1
+LEFT JOIN lev l ON l.band = dom.band AND l.label = dom.label AND l.c = 0""",
+    "folder_problems": """SELECT * FROM (VALUES ('alone.tif', 'no mask file alone_masks.tif'), ('broken.tif', 'ValueError: not a TIFF file'),
+  ('moving.tif', 'a mask of 2 frames; one is expected'), ('other.nd2', 'ValueError: reading ND2 files needs the nd2 package')) AS q(image_filename, error)""",
+    "argument_checks": """SELECT * FROM (VALUES
+  ('extension', 'unsupported image file ''a.png'': the extension must be one of (''tif'', ''nd2'')'), ('channel names', '2 channels have 1 names'),
+  ('unknown threshold', 'queried_amplitude is not among the features; its threshold is skipped'),
+  ('unknown feature', 'unknown features [''power'']; choose from (''full_amplitude'', ''normalized_amplitude'', ''z_score'', ''phase'')'),
+  ('missing peak feature', 'normalized_amplitude is not among the features [''phase'']'),
+  ('peak fallback', 'normalized_amplitude is not among the features; bins are ranked by z_score'), ('cutoff', 'cutoff_frequency_bin leaves no bin below max_bin'),
+  ('default wavelet', 'no wavelet is given; frequencies are those of the default generalized Morse wavelet'),
+  ('bank method', 'bank_method must be ''max_pool'' or ''sort'''), ('carrier', 'the carrier must be among the channels of channel_outputs'),
+  ('kernel', 'the kernel must have an odd length'), ('projection', 'proj must be ''max'' or ''sum''')) AS q(name, message)""",
     "tiff_roundtrip": f"WITH {E_VOX} SELECT x, y, c, t, {r('v', 'value')} FROM vox",
 }

@@ -24,8 +24,8 @@ def process_images(
     """The wide per-cell table of all images (ids: label, image, mask file); with return_fft_features also the spectra.
 
     masks: the mask names in `labels`. downsample_by: (height, width, scale). Levels come from the
-    images before normalisation. Column names follow from the arguments; nothing runs until an
-    action.
+    images before normalisation. Column names follow from the arguments; the only job that runs
+    before an action is that of the frames' statistics, with normalize_histogram.
     """
     names = named_channels(channel_names, channels)
     if not 0 <= carrier_index < channels:
@@ -47,23 +47,41 @@ def process_images(
     return (wide, spectrum(series, chosen, normalize_histogram, max_bin)) if return_fft_features else wide
 
 
-def process_folder(spark: SparkSession, images_directory: str, masks_directory: str, channels: int, **options) -> tuple[DataFrame, DataFrame]:
-    """(wide per-cell table of all images, (image_filename, error) of those that were left out).
+def decoded_once(rows: DataFrame) -> DataFrame:
+    """rows, kept where Spark can find them again, so that files are not decoded for each use: in the shared folder of checkpoints if the session names one, else with the executors."""
+    sc = rows.sparkSession.sparkContext
+    named = sc.getCheckpointDir() or rows.sparkSession.conf.get("spark.checkpoint.dir", None)
+    if named is None:
+        return rows.persist()
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(named)
+    return rows.checkpoint()
 
-    All files are read and analysed in one plan; an image without a mask, or one that cannot be
-    read, is reported and does not stop the others.
-    """
-    images, masks = tiff.files(spark, images_directory), tiff.files(spark, masks_directory)
+
+def process_files(images: DataFrame, masks: DataFrame, channels: int, **options) -> tuple[DataFrame, DataFrame]:
+    """process_folder() of tables of files (name, content)."""
     pairs = tiff.pair_files(images.select("name"), masks.select("name"))
     paired = pairs.where("found")
-    series = tiff.load_images(images.join(paired.select(F.col("image_filename").alias("name")), "name", "left_semi"))
-    wanted = masks.join(paired.select(F.col("mask_filename").alias("name"), "image_filename"), "name")
-    labels = tiff.load_masks(wanted.select("name", "content")).join(paired.select(F.col("mask_filename").alias("image_id"), "image_filename"), "image_id")
+    series = decoded_once(tiff.load_images(images.join(paired.select(F.col("image_filename").alias("name")), "name", "left_semi")))
+    wanted = masks.join(paired.select(F.col("mask_filename").alias("name")).distinct(), "name", "left_semi")
+    of_image = paired.select(F.col("mask_filename").alias("image_id"), "image_filename")
+    labels = decoded_once(tiff.load_masks(wanted)).join(of_image, "image_id")
+    moving = labels.where("t is not null").groupBy("image_filename").agg((F.max("t") + 1).alias("frames"))
     bad = series.where("error is not null").select(F.col("image_id").alias("image_filename"), "error").unionByName(
         labels.where("error is not null").select("image_filename", "error")
-    )
+    ).unionByName(moving.select("image_filename", F.concat(F.lit("a mask of "), "frames", F.lit(" frames; one is expected")).alias("error")))
     missing = pairs.where("not found").select("image_filename", F.concat(F.lit("no mask file "), "mask_filename").alias("error"))
     problems = bad.unionByName(missing)
-    good = labels.where("error is null").select(F.col("image_filename").alias("image_id"), F.lit("all").alias("mask_name"), "x", "y", "label")
-    readable = series.where("error is null").drop("error").join(bad.select(F.col("image_filename").alias("image_id")), "image_id", "left_anti")
-    return process_images(readable, good, channels, **options), problems
+    left_out = bad.select(F.col("image_filename").alias("image_id")).distinct()
+    good = labels.where("error is null and t is null").select(F.col("image_filename").alias("image_id"), F.lit("all").alias("mask_name"), "x", "y", "label")
+    readable = series.where("error is null").drop("error")
+    return process_images(readable.join(left_out, "image_id", "left_anti"), good.join(left_out, "image_id", "left_anti"), channels, **options), problems
+
+
+def process_folder(spark: SparkSession, images_directory: str, masks_directory: str, channels: int, **options) -> tuple[DataFrame, DataFrame]:
+    """(wide per-cell table of all images, (image_filename, error) of those that were left out).
+
+    All files are read, once, and analysed in one plan; an image without a mask, one that cannot
+    be read, or one whose mask has frames, is reported and does not stop the others.
+    """
+    return process_files(tiff.files(spark, images_directory), tiff.files(spark, masks_directory), channels, **options)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from wavegrid.operators import cells, cwt, fft, image, table
 from wavegrid.plans import model
-from wavegrid.plans.pipeline import process_images
+from wavegrid.plans.pipeline import process_files, process_images
 from wavegrid.sources import tiff
 
 #: Parameters of the queries on embeddings: search from bin 1, channel 0 is the carrier.
@@ -266,21 +267,124 @@ def file_pairing(spark, sf_dir):
     return tiff.pair_files(images, masks)
 
 
-def tiff_roundtrip(spark, sf_dir):
-    """The embeddings image written as a TIFF file by a task, read again as series."""
-    series = model.embedding_series(spark, sf_dir)
-    h, w = extent(series)
+#: Rows of pixels in a file of tiff_roundtrip.
+BAND = 8
+
+
+def embedding_files(series: DataFrame, compression: str | None = None, channels: int = 2) -> DataFrame:
+    """(name, content): a TIFF file for each band of BAND rows of pixels, each written by a task of its own; its name is the band's number."""
+    width = extent(series)[1]
 
     def write(rows):
         import pandas as pd
 
-        stack = np.zeros((32, 2, h, w), np.float32)
+        band = int(rows.x.iloc[0]) // BAND
+        stack = np.zeros((32, channels, int(rows.x.max()) - band * BAND + 1, width), np.float32)
         for r in rows.itertuples():
-            stack[:, r.c, r.x, r.y] = r.values
-        return pd.DataFrame({"name": ["embeddings.tif"], "content": [tiff.encode_tiff(stack)]})
+            stack[:, r.c, r.x - band * BAND, r.y] = r.values
+        return pd.DataFrame({"name": [f"{band}.tif"], "content": [tiff.encode_tiff(stack if channels > 1 else stack[:, 0], compression)]})
+
+    return series.groupBy(F.expr(f"x div {BAND}")).applyInPandas(write, "name string, content binary")
+
+
+def embedding_mask_files(labels: DataFrame) -> DataFrame:
+    """(name, content): the mask file of each band, whose unlabelled pixels are 0."""
+    width = extent(labels)[1]
+
+    def write(rows):
+        import pandas as pd
+
+        band = int(rows.x.iloc[0]) // BAND
+        mask = np.zeros((int(rows.x.max()) - band * BAND + 1, width), np.uint16)
+        mask[rows.x - band * BAND, rows.y] = rows.label
+        return pd.DataFrame({"name": [f"{band}_masks.tif"], "content": [tiff.encode_tiff(mask)]})
+
+    return labels.groupBy(F.expr(f"x div {BAND}")).applyInPandas(write, "name string, content binary")
+
+
+def band_elements(files: DataFrame) -> DataFrame:
+    """The elements of the image that files of bands make up."""
+    rows = tiff.load_images(files)
+    return elements(rows.withColumn("x", F.col("x") + BAND * F.regexp_extract("image_id", r"^\d+", 0).cast("int")), "values")
+
+
+def tiff_roundtrip(spark, sf_dir):
+    """The embeddings image written as TIFF files of a few rows of pixels each, read again as series."""
+    return band_elements(embedding_files(model.embedding_series(spark, sf_dir)))
+
 
-    made = series.groupBy("image_id").applyInPandas(write, "name string, content binary")
-    return elements(tiff.load_images(made), "values")
+def tiff_deflate(spark, sf_dir):
+    return band_elements(embedding_files(model.embedding_series(spark, sf_dir), "deflate"))
+
+
+def tiff_singleton_channel(spark, sf_dir):
+    """Files without a channel axis have one channel."""
+    return band_elements(embedding_files(model.embedding_series(spark, sf_dir).where("c = 0"), channels=1))
+
+
+def mask_scan(spark, sf_dir):
+    rows = tiff.load_masks(embedding_mask_files(model.embedding_labels(spark, sf_dir)))
+    return rows.select(F.col("image_id").alias("mask_filename"), *keys("x", "y", "label"))
+
+
+def folder(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Bands as files with masks, and files that cannot be analysed: no mask, no TIFF, a mask of frames, another format."""
+    series, labels = model.embedding_series(spark, sf_dir), model.embedding_labels(spark, sf_dir)
+    still, moving = tiff.encode_tiff(np.ones((1, 1), np.uint16)), tiff.encode_tiff(np.ones((2, 1, 1), np.uint16))
+    image = tiff.encode_tiff(np.ones((32, 2, 1, 1), np.float32))
+    kind = "name string, content binary"
+    others = [("alone.tif", image), ("broken.tif", b"no image"), ("moving.tif", image), ("other.nd2", b""), ("notes.txt", b"no image")]
+    masks = [("broken_masks.tif", still), ("moving_masks.tif", moving), ("other_masks.tif", still)]
+    return process_files(
+        embedding_files(series).unionByName(spark.createDataFrame(others, kind)), embedding_mask_files(labels).unionByName(spark.createDataFrame(masks, kind)), 2,
+        cutoff_frequency_bin=CUTOFF, carrier_index=CARRIER, channel_names=NAMES, features=["full_amplitude", "normalized_amplitude"], normalize_histogram=False,
+    )
+
+
+FOLDER_COLUMNS = ("a_queried_amplitude_mean", "b_queried_amplitude_sd", "b_argmaxes_mean", "a_levels_mean")
+
+
+def folder_cells(spark, sf_dir):
+    return folder(spark, sf_dir)[0].select("image_filename", "mask_filename", *keys("mask_index"), *[rounded(c).alias(c) for c in FOLDER_COLUMNS])
+
+
+def folder_problems(spark, sf_dir):
+    return folder(spark, sf_dir)[1]
+
+
+def said(*calls) -> list[str]:
+    """What each call warns of or raises."""
+    out = []
+    for call in calls:
+        with warnings.catch_warnings(record=True) as noted:
+            warnings.simplefilter("always")
+            try:
+                call()
+                out.append("; ".join(str(w.message) for w in noted))
+            except ValueError as e:
+                out.append(str(e))
+    return out
+
+
+def argument_checks(spark, sf_dir):
+    """What wrong or incomplete arguments lead to, before anything runs."""
+    series = model.embedding_series(spark, sf_dir)
+    options = {"carrier_channel": 0, "scales": SCALES, "normalize_histogram": False}
+    cases = {
+        "extension": lambda: tiff.extension("a.png"),
+        "channel names": lambda: table.channel_names(["a"], 2),
+        "unknown threshold": lambda: cells.threshold_tests(["queried_z_score"], {"amplitude": 1.0}),
+        "unknown feature": lambda: fft.spectrum(series, ["power"], normalize_histogram=False),
+        "missing peak feature": lambda: fft.peak_feature("normalized_amplitude", ["phase"]),
+        "peak fallback": lambda: fft.peak_feature("normalized_amplitude", ["z_score"]),
+        "cutoff": lambda: fft.check_cutoff(6, 6),
+        "default wavelet": lambda: cwt.cwt_features(series, 32, LOW, HIGH, sampling=SAMPLING, channel_outputs={0: ["freq"]}, **options),
+        "bank method": lambda: cwt.cwt_features(series, 32, LOW, HIGH, channel_outputs={0: ["amp"]}, bank_method="mean", **options),
+        "carrier": lambda: cwt.cwt_features(series, 32, LOW, HIGH, channel_outputs={1: ["amp"]}, **options),
+        "kernel": lambda: image.convolve_time(series, [1.0, 1.0]),
+        "projection": lambda: image.color_by_axis(series, 32, proj="mean"),
+    }
+    return spark.createDataFrame(list(zip(cases, said(*cases.values()), strict=True)), "name string, message string")
 
 
 QUERIES = {
@@ -328,4 +432,10 @@ QUERIES = {
     "track_moving_mask": track_moving_mask,
     "file_pairing": file_pairing,
     "tiff_roundtrip": tiff_roundtrip,
+    "tiff_deflate": tiff_deflate,
+    "tiff_singleton_channel": tiff_singleton_channel,
+    "mask_scan": mask_scan,
+    "folder_cells": folder_cells,
+    "folder_problems": folder_problems,
+    "argument_checks": argument_checks,
 }

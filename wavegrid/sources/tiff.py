@@ -1,15 +1,23 @@
-"""TIFF stacks: a small reader and writer (uncompressed, one strip after another), and Spark sources on them.
+"""TIFF stacks: a reader and writer, and Spark sources on them.
 
-A file's pages are frames. Where the first page's ImageDescription names channels (`channels=C`),
-pages go frame by frame, channel by channel; otherwise there is one channel. Masks are read the
-same way. ND2 files are read if the nd2 package is installed.
+Read are classic files and BigTIFF of either byte order, in strips or tiles, uncompressed or
+compressed by LZW, deflate or PackBits, with or without horizontal differences, of one sample a
+pixel: integers of 8, 16 and 32 bits and floats of 32 and 64.
+
+A file's pages are frames. Channels come from the first page's ImageDescription: `channels=C`
+(pages go frame by frame, channel by channel), the `Pixels` element of OME metadata with its order
+of dimensions, or the fields of an ImageJ stack, also one whose frames follow a single directory.
+Slices count as frames where there is one frame only. Masks are read the same way. ND2 files are
+read if the nd2 package is installed.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import struct
 import tempfile
+import zlib
 from pathlib import PurePosixPath
 
 import numpy as np
@@ -19,7 +27,10 @@ from pyspark.sql import functions as F
 
 #: Tags of the TIFF 6.0 format that are read here, and sizes of its field types (fixed values).
 WIDTH, HEIGHT, BITS, COMPRESSION, DESCRIPTION, OFFSETS, SAMPLES, ROWS, COUNTS, FORMAT = 256, 257, 258, 259, 270, 273, 277, 278, 279, 339
-TYPE_SIZE = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8}
+PREDICTOR, TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_COUNTS = 317, 322, 323, 324, 325
+TYPE_SIZE = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8, 16: 8, 17: 8, 18: 8}
+INTEGERS = {1: "B", 3: "H", 4: "I", 16: "Q"}
+NONE, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
 EXTENSIONS = ("tif", "nd2")
 
 
@@ -31,8 +42,10 @@ def extension(name: str) -> str:
     return ext
 
 
-def encode_tiff(stack: np.ndarray) -> bytes:
-    """A stack (T, C, X, Y), (T, X, Y) or (X, Y) of unsigned 8, 16, 32-bit, signed 32-bit integers or 32-bit floats."""
+def encode_tiff(stack: np.ndarray, compression: str | None = None) -> bytes:
+    """A stack (T, C, X, Y), (T, X, Y) or (X, Y) of unsigned 8, 16, 32-bit, signed 32-bit integers or 32-bit floats, as it is or by deflate."""
+    if compression not in (None, "deflate"):
+        raise ValueError(f"unknown compression {compression!r}")
     shaped = stack[None, None] if stack.ndim == 2 else stack[:, None] if stack.ndim == 3 else stack
     t, c, x, y = shaped.shape
     kind = shaped.dtype
@@ -40,9 +53,10 @@ def encode_tiff(stack: np.ndarray) -> bytes:
     pages = np.ascontiguousarray(shaped.reshape(t * c, x, y)).astype(kind.newbyteorder("<"))
     note = f"channels={c}\nframes={t}".encode() + b"\0"
     out = bytearray(struct.pack("<2sHI", b"II", 42, 8))
-    size = x * y * kind.itemsize
     for k, page in enumerate(pages):
-        entries = [(WIDTH, 4, 1, y), (HEIGHT, 4, 1, x), (BITS, 3, 1, kind.itemsize * 8), (COMPRESSION, 3, 1, 1), (262, 3, 1, 1)]
+        body = page.tobytes() if compression is None else zlib.compress(page.tobytes())
+        size = len(body)
+        entries = [(WIDTH, 4, 1, y), (HEIGHT, 4, 1, x), (BITS, 3, 1, kind.itemsize * 8), (COMPRESSION, 3, 1, NONE if compression is None else DEFLATE), (262, 3, 1, 1)]
         start = len(out)
         n = 10 + (k == 0)
         data = start + 2 + 12 * n + 4
@@ -57,49 +71,154 @@ def encode_tiff(stack: np.ndarray) -> bytes:
         out += struct.pack("<I", end if k + 1 < len(pages) else 0)
         if k == 0:
             out += note + b"\0" * (len(note) % 2)
-        out += page.tobytes() + b"\0" * (size % 2)
+        out += body + b"\0" * (size % 2)
     return bytes(out)
 
 
-def decode_tiff(raw: bytes) -> np.ndarray:
-    """The pages of a file, (T, C, X, Y) if the description names channels, else (T, X, Y), or (X, Y) of one page."""
+def unpacked_lzw(raw: bytes) -> bytes:
+    """Codes of 9 to 12 bits, the highest bit first; the width grows one code early, as the format has it."""
+    start = [bytes([i]) for i in range(256)] + [b"", b""]
+    table, width, held, bits, last, out = list(start), 9, 0, 0, None, []
+    for byte in raw:
+        held, bits = held << 8 | byte, bits + 8
+        if bits < width:
+            continue
+        bits -= width
+        code, held = held >> bits, held & ((1 << bits) - 1)
+        if code == 256:
+            table, width, last = list(start), 9, None
+            continue
+        if code == 257:
+            break
+        if last is None:
+            entry = table[code]
+        else:
+            entry = table[code] if code < len(table) else last + last[:1]
+            table.append(last + entry[:1])
+        out.append(entry)
+        last = entry
+        width = 9 + sum(len(table) >= n for n in (511, 1023, 2047))
+    return b"".join(out)
+
+
+def unpacked_bits(raw: bytes) -> bytes:
+    """Runs of bytes and repeated bytes (PackBits)."""
+    out, at = bytearray(), 0
+    while at < len(raw):
+        n = raw[at]
+        if n < 128:
+            out += raw[at + 1 : at + 2 + n]
+            at += 2 + n
+        elif n > 128:
+            out += raw[at + 1 : at + 2] * (257 - n)
+            at += 2
+        else:
+            at += 1
+    return bytes(out)
+
+
+UNPACKED = {NONE: bytes, LZW: unpacked_lzw, DEFLATE: zlib.decompress, OLD_DEFLATE: zlib.decompress, PACKBITS: unpacked_bits}
+
+
+def directories(raw: bytes) -> tuple[str, list[dict[int, list]]]:
+    """The byte order and the tags of each page."""
     if raw[:2] not in (b"II", b"MM"):
         raise ValueError("not a TIFF file")
     e = "<" if raw[:2] == b"II" else ">"
-    if struct.unpack_from(f"{e}H", raw, 2)[0] != 42:
-        raise ValueError("not a classic TIFF file")
-    at, pages, channels, seen = struct.unpack_from(f"{e}I", raw, 4)[0], [], None, set()
+    version = struct.unpack_from(f"{e}H", raw, 2)[0]
+    if version not in (42, 43):
+        raise ValueError("not a TIFF file")
+    # Widths of a count of entries, of an entry and of an offset, classic and BigTIFF.
+    number, entry, offset, wide = ("H", 12, "I", 4) if version == 42 else ("Q", 20, "Q", 8)
+    read = lambda kind, place: struct.unpack_from(f"{e}{kind}", raw, place)[0]
+    at, pages, seen = read(offset, 4 if version == 42 else 8), [], set()
     while at and at not in seen:
         seen.add(at)
         tags: dict[int, list] = {}
-        n = struct.unpack_from(f"{e}H", raw, at)[0]
+        n, first = read(number, at), at + struct.calcsize(f"{e}{number}")
         for k in range(n):
-            tag, type_, count = struct.unpack_from(f"{e}HHI", raw, at + 2 + 12 * k)
-            place = at + 2 + 12 * k + 8
-            size = TYPE_SIZE.get(type_, 1) * count
-            if size > 4:
-                place = struct.unpack_from(f"{e}I", raw, place)[0]
+            tag, type_ = struct.unpack_from(f"{e}HH", raw, first + entry * k)
+            count, place = read(offset, first + entry * k + 4), first + entry * k + 4 + wide
+            if TYPE_SIZE.get(type_, 1) * count > wide:
+                place = read(offset, place)
             if type_ == 2:
                 tags[tag] = [raw[place : place + count].rstrip(b"\0").decode("utf-8", "replace")]
-            elif type_ in (1, 3, 4):
-                tags[tag] = list(struct.unpack_from(f"{e}{count}{'?B?HI'[type_] if type_ != 1 else 'B'}", raw, place))
-        if tags.get(COMPRESSION, [1])[0] != 1 or tags.get(SAMPLES, [1])[0] != 1:
-            raise ValueError("only uncompressed TIFF files of one sample a pixel are read")
-        bits, sample = tags.get(BITS, [1])[0], tags.get(FORMAT, [1])[0]
-        if (sample, bits) not in {(1, 8), (1, 16), (1, 32), (2, 8), (2, 16), (2, 32), (3, 32), (3, 64)}:
-            raise ValueError(f"samples of {bits} bits and format {sample} are not read")
-        dtype = np.dtype(f"{e}{ {1: 'u', 2: 'i', 3: 'f'}[sample] }{bits // 8}")
-        x, y = tags[HEIGHT][0], tags[WIDTH][0]
-        counts = tags.get(COUNTS) or [x * y * dtype.itemsize]
-        data = b"".join(raw[o : o + m] for o, m in zip(tags[OFFSETS], counts, strict=True))
-        pages.append(np.frombuffer(data, dtype, x * y).reshape(x, y))
-        if channels is None and DESCRIPTION in tags and (m := re.search(r"\bchannels=(\d+)", tags[DESCRIPTION][0])):
-            channels = int(m[1])
-        at = struct.unpack_from(f"{e}I", raw, at + 2 + 12 * n)[0]
-    stack = np.stack(pages)
-    if channels and channels > 1:
-        return stack.reshape(len(pages) // channels, channels, *stack.shape[1:])
-    return stack if len(pages) > 1 else stack[0]
+            elif type_ in INTEGERS:
+                tags[tag] = list(struct.unpack_from(f"{e}{count}{INTEGERS[type_]}", raw, place))
+        pages.append(tags)
+        at = read(offset, first + entry * n)
+    if not pages:
+        raise ValueError("a TIFF file without pages")
+    return e, pages
+
+
+def sample_type(e: str, tags: dict[int, list]) -> np.dtype:
+    if tags.get(SAMPLES, [1])[0] != 1:
+        raise ValueError("only TIFF files of one sample a pixel are read")
+    bits, sample = tags.get(BITS, [1])[0], tags.get(FORMAT, [1])[0]
+    if (sample, bits) not in {(1, 8), (1, 16), (1, 32), (2, 8), (2, 16), (2, 32), (3, 32), (3, 64)}:
+        raise ValueError(f"samples of {bits} bits and format {sample} are not read")
+    return np.dtype(f"{e}{ {1: 'u', 2: 'i', 3: 'f'}[sample] }{bits // 8}")
+
+
+def decode_page(raw: bytes, e: str, tags: dict[int, list]) -> np.ndarray:
+    """A page, from its strips or tiles."""
+    dtype, packed, predictor = sample_type(e, tags), tags.get(COMPRESSION, [NONE])[0], tags.get(PREDICTOR, [1])[0]
+    if packed not in UNPACKED:
+        raise ValueError(f"compression {packed} is not read")
+    if predictor not in (1, 2) or predictor == 2 and dtype.kind == "f":
+        raise ValueError(f"predictor {predictor} is not read")
+    x, y = tags[HEIGHT][0], tags[WIDTH][0]
+    tiled = TILE_OFFSETS in tags
+    rows, columns = (tags[TILE_HEIGHT][0], tags[TILE_WIDTH][0]) if tiled else (min(tags.get(ROWS, [x])[0], x), y)
+    offsets = tags[TILE_OFFSETS if tiled else OFFSETS]
+    counts = tags.get(TILE_COUNTS if tiled else COUNTS) or [x * y * dtype.itemsize]
+    across = -(-y // columns)
+    out = np.zeros((x, y), dtype)
+    for k, (at, n) in enumerate(zip(offsets, counts, strict=True)):
+        top, left = k // across * rows, k % across * columns
+        height = rows if tiled else min(rows, x - top)
+        part = np.frombuffer(UNPACKED[packed](raw[at : at + n]), dtype, height * columns).reshape(height, columns)
+        if predictor == 2:
+            part = np.cumsum(part, axis=1, dtype=dtype.newbyteorder("="))
+        out[top : top + rows, left : left + columns] = part[: x - top, : y - left]
+    return out
+
+
+def arranged(pages: np.ndarray, description: str) -> np.ndarray:
+    """Pages as (T, C, X, Y) if the description names channels, else as (T, X, Y), or (X, Y) of one page."""
+    size = {k: int(m[1]) if (m := re.search(rf"\b{k}=(\d+)", description)) else 1 for k in ("channels", "slices", "frames")}
+    shape = (size["frames"], size["slices"], size["channels"])
+    if pixels := re.search(r"<(?:\w+:)?Pixels\b[^>]*>", description):
+        named = dict(re.findall(r'(\w+)="([^"]*)"', pixels[0]))
+        order = named.get("DimensionOrder", "XYCZT")[2:]
+        sizes = {d: int(named.get(f"Size{d}", 1)) for d in order}
+        shape = tuple(sizes[d] for d in "TZC")
+        if math.prod(shape) == len(pages):
+            there = [sizes[d] for d in order[::-1]]
+            numbers = np.arange(len(pages)).reshape(there).transpose([order[::-1].index(d) for d in "TZC"])
+            pages = pages[numbers.ravel()]
+    t, z, c = shape
+    if c > 1 and len(pages) % c:
+        raise ValueError(f"{len(pages)} pages do not have {c} channels each")
+    if z > 1 and t > 1:
+        raise ValueError("stacks with slices and frames are not read")
+    if c > 1:
+        return pages.reshape(len(pages) // c, c, *pages.shape[1:])
+    return pages if len(pages) > 1 else pages[0]
+
+
+def decode_tiff(raw: bytes) -> np.ndarray:
+    """The pages of a file, see arranged()."""
+    e, tags = directories(raw)
+    description = tags[0].get(DESCRIPTION, [""])[0]
+    follow = re.search(r"\bimages=(\d+)", description) if description.startswith("ImageJ=") else None
+    if follow and len(tags) == 1 and int(follow[1]) > 1:
+        if tags[0].get(COMPRESSION, [NONE])[0] != NONE:
+            raise ValueError("an ImageJ stack of one directory must not be compressed")
+        dtype, x, y = sample_type(e, tags[0]), tags[0][HEIGHT][0], tags[0][WIDTH][0]
+        return arranged(np.frombuffer(raw, dtype, int(follow[1]) * x * y, tags[0][OFFSETS][0]).reshape(-1, x, y), description)
+    return arranged(np.stack([decode_page(raw, e, t) for t in tags]), description)
 
 
 def decode(name: str, raw: bytes) -> np.ndarray:

@@ -59,7 +59,7 @@ EXTRA = 0.10
 CHUNK_CLASSES, CHUNK_SHINGLES = 256, 400_000
 #: A shingle is frequent that stands in about 1 / FREQUENT of the sets and in LEAST_FREQUENT at least; runs of a task note
 #: what stands in 1 / FREQUENT_LOCAL of theirs. Shingles of a run.
-FREQUENT, FREQUENT_LOCAL, LEAST_FREQUENT, RUN_SHINGLES = 100, 400, 256, 2_000_000
+FREQUENT, FREQUENT_LOCAL, LEAST_FREQUENT, RUN_SHINGLES = 100, 400, 256, 300_000
 #: Weight of a bisection against a step of the heap, in DivideSkip's choice of the long lists.
 MU = 0.01
 

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wavegrid.llm.common import columns_of, cut, documents, free_name, release, small_side
+from wavegrid.llm.common import columns_of, cut, documents, free_name, release
 from wavegrid.llm.quality_model import fold, training_rows
 
 PLACES = 1 << 20
@@ -83,13 +83,6 @@ class Sparse:
     def of(cls, rows: list[np.ndarray]) -> Sparse:
         return cls(len(rows), np.repeat(np.arange(len(rows)), [len(r) for r in rows]), np.concatenate(rows) if rows else np.empty(0, np.int32))
 
-    @classmethod
-    def of_pairs(cls, n: int, number: dict[int, int], pairs: pa.Table) -> Sparse:
-        """From (row, place) in any order; number: place of each row in the order of the model's rows."""
-        key = np.fromiter((number[r] for r in pairs.column("row").to_pylist()), np.int64, len(pairs)) * PLACES + pairs.column("place").to_numpy()
-        key.sort()
-        return cls(n, key // PLACES, (key % PLACES).astype(np.int32))
-
     def only(self, columns: np.ndarray) -> Sparse:
         on = np.isin(self.column, columns)
         return Sparse(self.n, self.row[on], self.places[self.column[on]])
@@ -163,8 +156,22 @@ def severity_model(docs: DataFrame, labels: DataFrame, target: str = "toxic", bo
         return {}, np.array([-np.log(share / (1 - share)), 20.0])
     places = cut(rows.mapInArrow(featured, "row bigint, places array<int>"))
     each = places.select("row", F.explode("places").alias("place"))
-    common = each.groupBy("place").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_ROWS).select("place")
-    x = Sparse.of_pairs(len(y), number, each.join(small_side(cut(common)), "place").select("row", "place").toArrow())
+    # At most PLACES numbers, whatever the texts.
+    common = np.zeros(PLACES, bool)
+    common[each.groupBy("place").count().where(F.col("count") >= LEAST_ROWS).select("place").toPandas()["place"].to_numpy(np.int64)] = True
+    sent = docs.sparkSession.sparkContext.broadcast(np.packbits(common))
+
+    def only_common(batches):
+        on = np.unpackbits(sent.value).astype(bool)
+        for batch in batches:
+            kept = [at[on[at]].tobytes() for at in (np.asarray(v.values) for v in batch.column("places"))]
+            yield pa.record_batch([batch.column("row"), pa.array(kept, pa.binary())], names=["row", "places"])
+
+    lists = [np.empty(0, np.int32)] * len(y)
+    for r in places.mapInArrow(only_common, "row bigint, places binary").toLocalIterator():
+        lists[number[r.row]] = np.frombuffer(r.places, np.int32)
+    x = Sparse.of(lists)
+    del lists
     toxic = np.bincount(x.column, weights=y[x.row], minlength=len(x.places))
     odds = np.log((toxic + 0.5) / (y.sum() + 1)) - np.log((x.count - toxic + 0.5) / (len(y) - y.sum() + 1))
     telling = set(x.places[(odds > 2) & (toxic >= 5)].tolist())

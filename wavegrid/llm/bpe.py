@@ -11,8 +11,8 @@ the left token and the left edge of the right token pass through stages (the tok
 merge trees along the seam), and a pair of stages that exist at the same time must have no
 merge that is due before both are merged into their own tree.
 
-Edge cases: a null text counts as empty and has no ids; repeated rows are encoded one by one;
-an empty table gives an empty result; other columns pass through untouched.
+Edge cases: a null text counts as empty and has no ids; a very long text is encoded whole, each
+pre-token in time in proportion to its length; repeated rows are encoded one by one; an empty table gives an empty result; other columns pass through untouched.
 """
 
 from __future__ import annotations

@@ -8,9 +8,10 @@ Training rows: labels whose crc32(doc_id as text) mod 5 is not 0, of these at mo
 hash of the doc_id (a documented bound of the fit; scoring covers all rows). labels, lang, source
 and doc_id are no inputs of a score.
 
-Edge cases: null and empty texts have statistics of 0 and a score like any other; with no
-training rows or a single label the score is constant (the label's share, 1 without rows);
-repeated rows are scored one by one; other columns pass through untouched.
+Edge cases: null and empty texts have statistics of 0 and a score like any other; very long texts
+are measured whole, in time in proportion to their length; with no training rows or a single label
+the score is constant (the label's share, 1 without rows); null labels are left out; repeated rows
+are scored one by one; an empty table gives an empty result; other columns pass through untouched.
 """
 
 from __future__ import annotations

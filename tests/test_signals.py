@@ -136,6 +136,27 @@ def test_wavelet_peaks_at_a_tone():
     assert w[best] == pytest.approx(amplitude, rel=1e-2) and cwt.scale_frequencies(scales, n)[best] == pytest.approx(k, rel=0.02)
 
 
+@pytest.mark.parametrize("wavelet", ["morlet", ("morlet", 6.0), "bump", ("bump", 8.0, 2.0), "morse", (3.0, 20.0)])
+def test_other_wavelets_peak_at_a_tone(wavelet):
+    n, k, amplitude = 1024, 40, 1.7
+    scales = cwt.log_scales(n, 48, wavelet)
+    w = np.abs(cwt.transform(np.array([tone(k, amplitude, n=n)]), scales, padding=None, wavelet=wavelet))[0, :, n // 2]
+    best = int(w.argmax())
+    assert w[best] == pytest.approx(amplitude, rel=2e-2) and cwt.scale_frequencies(scales, n, wavelet)[best] == pytest.approx(k, rel=0.03)
+    # A constant has no part in an analytic wavelet of mean 0; l2 is l1 times the root of the scale.
+    assert np.abs(cwt.transform(np.full((1, n), 3.0), scales, padding=None, wavelet=wavelet)).max() < 1e-6
+    two = np.abs(cwt.transform(np.array([tone(k, amplitude, n=n)]), scales, None, wavelet, "l2"))[0, :, n // 2]
+    assert np.allclose(two, w * np.sqrt(scales))
+
+
+def test_wavelet_formulas():
+    """Gains by the published formulas, one frequency at a time."""
+    for w in (3.0, 4.2, 5.0, 5.9, 13.4):
+        assert cwt.Wavelet.of("morlet").gain(np.array([w]))[0] == pytest.approx(2 * (math.exp(-0.5 * (w - 13.4) ** 2) - math.exp(-0.5 * 13.4**2) * math.exp(-0.5 * w * w)))
+        assert cwt.Wavelet.of("bump").gain(np.array([w]))[0] == pytest.approx(2 * math.exp(1 - 1 / (1 - (w - 5) ** 2)) if abs(w - 5) < 1 else 0)
+        assert cwt.Wavelet.of((3, 60)).gain(np.array([w]))[0] == pytest.approx(2 * (math.e * 3 / 60) ** (60 / 3) * w**60 * math.exp(-(w**3)))
+
+
 def test_wavelet_banks_agree_for_one_bank(spark):
     rng = np.random.default_rng(1)
     s = make(spark, [(c, x, 0, rng.normal(size=T).tolist()) for c in range(2) for x in range(5)] + [(0, 9, 9, None)])
@@ -152,7 +173,7 @@ def test_wavelet_arguments(spark):
     s = make(spark, [(0, 0, 0, tone(3))])
     for wrong in (
         {"bank_method": "mean"}, {"carrier_channel": 1, "channel_outputs": {0: ["amp"]}}, {"channel_outputs": {0: ["loudness"]}},
-        {"bank_method": "sort", "num_filter_banks": 50}, {"num_filter_banks": 0},
+        {"bank_method": "sort", "num_filter_banks": 50}, {"num_filter_banks": 0}, {"wavelet": "haar"}, {"wavelet": ("bump", 5.0)}, {"norm": "l3"},
     ):
         with pytest.raises(ValueError):
             cwt.cwt_features(s, T, 0, 10, **wrong)

@@ -1,8 +1,9 @@
 """Continuous wavelet features of pixels, read along a carrier channel's scales.
 
-The transform is the analytic generalized Morse wavelet's, evaluated in the frequency domain:
-psi(w) = 2 (e gamma / beta)^(beta / gamma) w^beta exp(-w^gamma) for w > 0, and
-W(s, t) is the inverse transform of X(w) psi(s w) (Olhede and Walden 2002; Lilly and Olhede 2009).
+The transform of an analytic wavelet is evaluated in the frequency domain: W(s, t) is the inverse
+transform of X(w) psi(s w), where psi(w) = 0 for w <= 0. The default is the generalized Morse
+wavelet, psi(w) = 2 (e gamma / beta)^(beta / gamma) w^beta exp(-w^gamma) (Olhede and Walden 2002;
+Lilly and Olhede 2009); Morlet and bump wavelets can be chosen (see Wavelet).
 """
 
 from __future__ import annotations
@@ -10,6 +11,8 @@ from __future__ import annotations
 import math
 import warnings
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
+from typing import ClassVar
 
 import numpy as np
 import pyarrow as pa
@@ -23,32 +26,83 @@ OUTPUTS = ("amp", "freq", "phase", "phase_difference", "z_score")
 GAMMA, BETA = 3.0, 60.0
 
 
-def log_scales(frames: int, voices: int = 32, gamma: float = GAMMA, beta: float = BETA) -> np.ndarray:
+@dataclass(frozen=True)
+class Wavelet:
+    """An analytic wavelet, by its gain over angular frequency, whose largest value is 2 (the amplitude of a tone is its own).
+
+    `morse` (gamma, beta): w^beta exp(-w^gamma); `morlet` (mu): exp(-(w - mu)^2 / 2), less what
+    makes its mean 0; `bump` (mu, s): exp(1 - 1 / (1 - ((w - mu) / s)^2)) within s of mu.
+    """
+
+    kind: str = "morse"
+    parameters: tuple[float, ...] = ()
+
+    DEFAULTS: ClassVar[dict[str, tuple[float, ...]]] = {"morse": (GAMMA, BETA), "morlet": (13.4,), "bump": (5.0, 1.0)}
+
+    @classmethod
+    def of(cls, given) -> Wavelet:
+        """From a Wavelet, a kind, (kind, parameters...), (gamma, beta) or nothing."""
+        if isinstance(given, Wavelet):
+            return given
+        kind, *parameters = ("morse",) if given is None else (given,) if isinstance(given, str) else given if isinstance(given[0], str) else ("morse", *given)
+        if kind not in cls.DEFAULTS:
+            raise ValueError(f"unknown wavelet {kind!r}; choose from {tuple(cls.DEFAULTS)}")
+        if parameters and len(parameters) != len(cls.DEFAULTS[kind]):
+            raise ValueError(f"a {kind} wavelet has {len(cls.DEFAULTS[kind])} parameters")
+        return cls(kind, tuple(map(float, parameters or cls.DEFAULTS[kind])))
+
+    @property
+    def peak(self) -> float:
+        """The angular frequency of the largest gain."""
+        if self.kind == "morse":
+            gamma, beta = self.parameters
+            return (beta / gamma) ** (1 / gamma)
+        return self.parameters[0]
+
+    def gain(self, w: np.ndarray) -> np.ndarray:
+        """The gain at w > 0."""
+        if self.kind == "morse":
+            gamma, beta = self.parameters
+            return 2 * np.exp(beta / gamma * (1 + math.log(gamma / beta)) + beta * np.log(w) - w**gamma)
+        if self.kind == "morlet":
+            (mu,) = self.parameters
+            return 2 * (np.exp(-((w - mu) ** 2) / 2) - np.exp(-(mu**2 + w**2) / 2))
+        mu, s = self.parameters
+        inside = np.abs(w - mu) < s
+        out = np.zeros_like(w)
+        out[inside] = 2 * np.exp(1 - 1 / (1 - ((w[inside] - mu) / s) ** 2))
+        return out
+
+
+def log_scales(frames: int, voices: int = 32, wavelet=None) -> np.ndarray:
     """Scales from the highest frequency to two periods of the series, `voices` to an octave."""
-    peak = (beta / gamma) ** (1 / gamma)
+    peak = Wavelet.of(wavelet).peak
     smallest, largest = peak / math.pi, peak * frames / (4 * math.pi)
     n = max(1, int(math.floor(voices * math.log2(max(largest / smallest, 1.0)))) + 1)
     return smallest * 2 ** (np.arange(n) / voices)
 
 
-def scale_frequencies(scales: np.ndarray, fs: float, gamma: float = GAMMA, beta: float = BETA) -> np.ndarray:
+def scale_frequencies(scales: np.ndarray, fs: float, wavelet=None) -> np.ndarray:
     """The frequency at which each scale's wavelet peaks."""
-    return (beta / gamma) ** (1 / gamma) / np.asarray(scales) / (2 * math.pi) * fs
+    return Wavelet.of(wavelet).peak / np.asarray(scales) / (2 * math.pi) * fs
 
 
-def wavelet_bank(scales: np.ndarray, n: int, gamma: float = GAMMA, beta: float = BETA) -> np.ndarray:
-    """psi(s w) at the transform's frequencies; evaluated in logarithms, 0 for w <= 0."""
+def wavelet_bank(scales: np.ndarray, n: int, wavelet=None, norm: str = "l1") -> np.ndarray:
+    """The gain of each scale at the transform's frequencies, 0 for w <= 0; with norm `l2` times the root of the scale."""
+    if norm not in ("l1", "l2"):
+        raise ValueError("norm must be 'l1' or 'l2'")
     w = 2 * math.pi * np.fft.fftfreq(n)
     if n % 2 == 0:
         w[n // 2] = math.pi
-    x = np.asarray(scales, float)[:, None] * w[None, :]
+    scales = np.asarray(scales, float)
+    x = scales[:, None] * w[None, :]
     out = np.zeros_like(x)
     on = x > 0
-    out[on] = 2 * np.exp(beta / gamma * (1 + math.log(gamma / beta)) + beta * np.log(x[on]) - x[on] ** gamma)
-    return out
+    out[on] = Wavelet.of(wavelet).gain(x[on])
+    return out * np.sqrt(scales)[:, None] if norm == "l2" else out
 
 
-def transform(values: np.ndarray, scales: np.ndarray, padding: str | None = "reflect", gamma: float = GAMMA, beta: float = BETA) -> np.ndarray:
+def transform(values: np.ndarray, scales: np.ndarray, padding: str | None = "reflect", wavelet=None, norm: str = "l1") -> np.ndarray:
     """(rows, scales, frames) of complex coefficients."""
     n = values.shape[1]
     left = right = 0
@@ -57,7 +111,7 @@ def transform(values: np.ndarray, scales: np.ndarray, padding: str | None = "ref
         left = (total - n) // 2
         right = total - n - left
         values = np.pad(values, ((0, 0), (left, right)), mode=padding)
-    bank = wavelet_bank(scales, values.shape[1], gamma, beta)
+    bank = wavelet_bank(scales, values.shape[1], wavelet, norm)
     spectrum = np.fft.fft(values, axis=1)
     return np.fft.ifft(spectrum[:, None, :] * bank[None, :, :], axis=2)[:, :, left : left + n]
 
@@ -91,7 +145,7 @@ def checked_outputs(channel_outputs: Mapping[int, Sequence[str]], carrier: int,
 
 def query_block(
     data: Mapping[int, np.ndarray], scales: np.ndarray, min_scale: int, max_scale: int, banks: int, normalize_amplitudes: bool, carrier: int,
-    channel_outputs: Mapping[int, Sequence[str]], method: str, frequencies: np.ndarray | None, padding: str | None, gamma: float, beta: float,
+    channel_outputs: Mapping[int, Sequence[str]], method: str, frequencies: np.ndarray | None, padding: str | None, wavelet: Wavelet, norm: str,
 ) -> dict[int, dict[str, np.ndarray]]:
     """channel -> output -> (rows, banks, frames). Power sums, means and deviations are over all scales.
 
@@ -99,7 +153,7 @@ def query_block(
     """
     sub, power, mean, sd = {}, {}, {}, {}
     for c, outputs in channel_outputs.items():
-        w = transform(data[c], scales, padding, gamma, beta)
+        w = transform(data[c], scales, padding, wavelet, norm)
         if normalize_amplitudes or "z_score" in outputs:
             a = np.abs(w)
             power[c] = a.sum(axis=1, keepdims=True)
@@ -136,22 +190,23 @@ def cwt_features(
     series: DataFrame, frames: int, min_scale: int = 80, max_scale: int = 180, num_filter_banks: int = 1, normalize_amplitudes: bool = False,
     carrier_channel: int = 0, channel_outputs: Mapping[int, Sequence[str]] | None = None, bank_method: str = "max_pool", sampling: Sampling | None = None,
     normalize_histogram: bool = True, mean_centering: bool = False, downsample_by: tuple[int, int, object] | None = None, channel_names: Sequence[str] | None = None,
-    scales: Sequence[float] | None = None, wavelet: tuple[float, float] | None = None, padding: str | None = "reflect", blocks: int | None = None,
+    scales: Sequence[float] | None = None, wavelet=None, padding: str | None = "reflect", blocks: int | None = None, voices: int = 32, norm: str = "l1",
 ) -> DataFrame:
     """(image_id, channel, output, bank, x, y, values): one array over frames for each pixel, channel, output and bank.
 
-    min_scale and max_scale are places in `scales` (log_scales(frames) unless given). wavelet:
-    (gamma, beta). downsample_by: (height, width, scale). blocks: partitions for the transform;
+    min_scale and max_scale are places in `scales` (log_scales(frames, voices) unless given).
+    wavelet: as Wavelet.of() takes it; norm: 'l1' or 'l2'. downsample_by: (height, width, scale). blocks: partitions for the transform;
     Spark's own number unless given. Only the channels asked for leave the scan, and a pixel's
     channels are brought together by one exchange; coefficients stay within a batch.
     """
     outputs = {c: list(dict.fromkeys(o)) for c, o in (channel_outputs or {carrier_channel: ["amp", "freq", "phase"]}).items()}
-    gamma, beta = wavelet or (GAMMA, BETA)
     if sampling is not None and wavelet is None:
         warnings.warn("no wavelet is given; frequencies are those of the default generalized Morse wavelet", stacklevel=2)
-    grid = np.asarray(scales if scales is not None else log_scales(frames, gamma=gamma, beta=beta), float)
+    chosen = Wavelet.of(wavelet)
+    grid = np.asarray(scales if scales is not None else log_scales(frames, voices, chosen), float)
+    wavelet_bank(grid[:1], frames, chosen, norm)
     checked_outputs(outputs, carrier_channel, num_filter_banks, len(grid[min_scale:max_scale]), bank_method)
-    frequencies = scale_frequencies(grid, sampling.fs, gamma, beta) if sampling is not None else None
+    frequencies = scale_frequencies(grid, sampling.fs, chosen) if sampling is not None else None
     source = series
     if downsample_by is not None:
         source = downsample_image(source, *downsample_by)
@@ -187,7 +242,7 @@ def cwt_features(
                 on = np.zeros(len(part), bool)
                 on[owner[good]] = True
                 present &= on
-            got = query_block(data, grid, min_scale, max_scale, num_filter_banks, normalize_amplitudes, carrier_channel, outputs, bank_method, frequencies, padding, gamma, beta)
+            got = query_block(data, grid, min_scale, max_scale, num_filter_banks, normalize_amplitudes, carrier_channel, outputs, bank_method, frequencies, padding, chosen, norm)
             # (pixels, outputs, banks, frames) as one array, with the names of its lists beside.
             at = np.flatnonzero(present)
             values = pa.array(np.stack([got[k][o][at] for k, o in kinds], axis=1).ravel())

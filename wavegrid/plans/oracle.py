@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from wavegrid.plans.queries import BAND, BANKS, CUTOFF, HIGH, KERNEL, LOW, NAMES, SAMPLING, SCALES, THRESHOLD
+from wavegrid.plans.queries import BAND, BANKS, CUTOFF, HIGH, KERNEL, LOW, MORLET, NAMES, SAMPLING, SCALES, THRESHOLD
 
 E_VOX = """vox AS (
   SELECT CAST(vec_id // 25 AS BIGINT) AS x, CAST(vec_id % 25 AS BIGINT) AS y, CAST(i % 2 AS BIGINT) AS c, CAST(i // 2 AS BIGINT) AS t,
@@ -125,9 +125,12 @@ GAIN = "2 * exp(60.0 / 3.0 * (1 + ln(3.0 / 60.0)) + 60 * ln(s * 2 * pi() * k / {
 LISTS = "sig AS MATERIALIZED (SELECT x, y, c, list(v ORDER BY t) AS v FROM cen GROUP BY x, y, c)"
 
 
-def wave_ctes(n: int = 32, left: int = 0, power: bool = False) -> str:
+MORLET_GAIN = f"2 * (exp(-0.5 * pow(s * 2 * pi() * k / {{n}} - {MORLET}, 2)) - exp(-0.5 * (pow({MORLET}, 2) + pow(s * 2 * pi() * k / {{n}}, 2))))"
+
+
+def wave_ctes(n: int = 32, left: int = 0, power: bool = False, gain: str = GAIN) -> str:
     """From sig (lists of n samples, the first `left` of them padding): coefficients as products with one kernel for each scale and frame."""
-    gain, angle = GAIN.format(n=n), f"2 * pi() * ((k * (t + {left} - u + {n})) % {n}) / {n}"
+    gain, angle = gain.format(n=n), f"2 * pi() * ((k * (t + {left} - u + {n})) % {n}) / {n}"
     divided = "a / sum(a) OVER w" if power else "a"
     return f"""scl(i, s) AS (VALUES {", ".join(f"({i}, {s!r})" for i, s in enumerate(SCALES))}),
 ker AS MATERIALIZED (
@@ -219,6 +222,7 @@ SELECT s.x, s.y, s.c, CAST(crr.bank AS BIGINT) AS bank, s.t, {r("s.a", "value")}
     "cwt_normalized_amp": wave_sql(r("s.p", "value"), ctes=f"WITH {E_VOX}, {CEN}, {LISTS}, {wave_ctes(power=True)}"),
     "cwt_default_preprocessing": wave_sql(r("s.a", "value", 5), ctes=PADDED),
     "cwt_blocks": wave_sql(r("s.a", "value")),
+    "cwt_morlet": wave_sql(r("s.a", "value"), ctes=f"WITH {E_VOX}, {CEN}, {LISTS}, {wave_ctes(gain=MORLET_GAIN)}"),
     "cwt_channel_outputs": f"""{WAVE}, {CARRIER_AT}
 SELECT s.x, s.y, CASE s.c WHEN 0 THEN 'a' ELSE 'b' END AS channel, o AS output, s.t, {r("CASE o WHEN 'freq' THEN s.i ELSE s.a END", "value")} {AT_CARRIER}
 JOIN (VALUES (0, 'freq'), (1, 'amp')) q(c, o) ON q.c = s.c""",

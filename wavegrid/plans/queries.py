@@ -20,6 +20,8 @@ SAMPLING = fft.Sampling(fs=2, N=32)
 #: Wavelet queries: 16 scales, four to an octave, from the highest frequency; places 2 to 13 are searched.
 SCALES = [float((cwt.BETA / cwt.GAMMA) ** (1 / cwt.GAMMA) / np.pi * 2 ** (k / 4)) for k in range(16)]
 LOW, HIGH, BANKS = 2, 14, 3
+#: The centre of the Morlet wavelet in cwt_morlet.
+MORLET = 3.0
 
 
 def rounded(value: Column | str, digits: int = 6) -> Column:
@@ -424,6 +426,7 @@ QUERIES = {
     "cwt_normalized_amp": cwt_output("amp", normalize_amplitudes=True),
     "cwt_default_preprocessing": cwt_output("amp", 5, normalize_histogram=True, mean_centering=True, padding="reflect"),
     "cwt_blocks": cwt_output("amp", blocks=7),
+    "cwt_morlet": cwt_output("amp", wavelet=("morlet", MORLET)),
     "cwt_channel_outputs": cwt_channel_outputs,
     "cwt_as_series": cwt_as_series,
     "cwt_bank_maxpool": cwt_bank("max_pool"),

@@ -169,6 +169,11 @@ dom AS (SELECT CAST(l AS BIGINT) AS label, c.c, CAST(t AS BIGINT) AS t FROM (SEL
 SELECT dom.label, dom.c, dom.t, {r("coalesce(mean, 0)", "mean")}, {r("coalesce(sd, 0)", "sd")} FROM dom LEFT JOIN stt ON dom.label = stt.label AND dom.c = stt.c AND dom.t = stt.t"""
 
 
+DOWNSAMPLED = f"""WITH {E_VOX}, d AS (SELECT * FROM {HALF.format("vox")}),
+nx AS (SELECT CAST(i AS BIGINT) AS nx, i * big_h // h AS a, ((i + 1) * big_h + h - 1) // h AS b FROM d, range((SELECT h FROM d)) AS q(i)),
+ny AS (SELECT CAST(i AS BIGINT) AS ny, i * big_w // w AS a, ((i + 1) * big_w + w - 1) // w AS b FROM d, range((SELECT w FROM d)) AS q(i))
+SELECT nx AS x, ny AS y, c, t, {r("avg(v)", "value")} FROM vox JOIN nx ON x >= nx.a AND x < nx.b JOIN ny ON y >= ny.a AND y < ny.b GROUP BY nx, ny, c, t"""
+
 K0, K1, K2 = KERNEL
 ORACLE_SQL = {
     "series_mean_center": f"WITH {E_VOX}, {CEN} SELECT x, y, c, t, {r('v', 'value')} FROM cen",
@@ -195,10 +200,9 @@ SELECT x, y, c, sum(a) = 0 AS undefined, {r("max(a)", "largest")} FROM amp GROUP
     "batch_union": f"""WITH ea AS (WITH {E_VOX}, {E_LAB}, {LEVELS} SELECT 'E' AS image_filename, * FROM cel), la AS (WITH {L_VOX}, {L_LAB}, {LEVELS} SELECT 'L' AS image_filename, * FROM cel)
 SELECT image_filename, label AS mask_index, {", ".join(f"round(max(CASE WHEN c = {k} THEN value END), 4) + 0.0 AS {n}_levels_mean" for k, n in enumerate("abd"))}
 FROM (SELECT * FROM ea UNION ALL SELECT * FROM la) GROUP BY image_filename, label""",
-    "downsample_image": f"""WITH {E_VOX}, d AS (SELECT * FROM {HALF.format("vox")}),
-nx AS (SELECT CAST(i AS BIGINT) AS nx, i * big_h // h AS a, ((i + 1) * big_h + h - 1) // h AS b FROM d, range((SELECT h FROM d)) AS q(i)),
-ny AS (SELECT CAST(i AS BIGINT) AS ny, i * big_w // w AS a, ((i + 1) * big_w + w - 1) // w AS b FROM d, range((SELECT w FROM d)) AS q(i))
-SELECT nx AS x, ny AS y, c, t, {r("avg(v)", "value")} FROM vox JOIN nx ON x >= nx.a AND x < nx.b JOIN ny ON y >= ny.a AND y < ny.b GROUP BY nx, ny, c, t""",
+    "downsample_image": DOWNSAMPLED,
+    "frames_downsample": DOWNSAMPLED,
+    "frames_normalize": f"WITH {E_VOX} SELECT x, y, c, t, {r('(v - avg(v) OVER w) / stddev_samp(v) OVER w', 'value')} FROM vox WINDOW w AS (PARTITION BY c, t)",
     "downsample_mask": f"""WITH {E_LAB}, d AS (SELECT * FROM {HALF.format("lab")})
 SELECT CAST(i AS BIGINT) AS x, CAST(j AS BIGINT) AS y, label FROM d, range((SELECT h FROM d)) AS q(i), range((SELECT w FROM d)) AS p(j), lab
 WHERE lab.x = i * big_h // h AND lab.y = j * big_w // w""",

@@ -12,6 +12,7 @@ from wavegrid.operators import cells, cwt, fft, image, table
 from wavegrid.plans import model
 from wavegrid.plans.pipeline import process_files, process_images
 from wavegrid.sources import tiff
+from wavegrid.streaming import frames
 
 #: Parameters of the queries on embeddings: search from bin 1, channel 0 is the carrier.
 CUTOFF, CARRIER, THRESHOLD = 1, 0, 0.15
@@ -180,6 +181,28 @@ def downsample_image(spark, sf_dir):
     return elements(image.downsample_image(series, *extent(series), 0.5), "values")
 
 
+def embedding_frames(spark, sf_dir) -> tuple[DataFrame, int, int]:
+    """The embeddings image as frame rows, whose group is one frame of one channel; its height and width."""
+    series = model.embedding_series(spark, sf_dir)
+    at = F.sort_array(F.collect_list(F.struct("x", "y", "value")))
+    height, width = extent(series)
+    rows = model.voxels(series).groupBy("image_id", "t", "c").agg(F.transform(at, lambda p: p["value"]).alias("pixels"))
+    return rows.withColumn("width", F.lit(width)), height, width
+
+
+def frame_elements(rows: DataFrame) -> DataFrame:
+    each = rows.select(*keys("c", "t", "width"), F.posexplode("pixels").alias("i", "value"))
+    return each.select(F.expr("i div width").alias("x"), F.expr("i % width").cast("bigint").alias("y"), "c", "t", rounded("value").alias("value"))
+
+
+def frames_normalize(spark, sf_dir):
+    return frame_elements(frames.normalize_frame_rows(embedding_frames(spark, sf_dir)[0]))
+
+
+def frames_downsample(spark, sf_dir):
+    return frame_elements(frames.downsample_frame_rows(*embedding_frames(spark, sf_dir), 0.5))
+
+
 def downsample_mask(spark, sf_dir):
     labels = model.embedding_labels(spark, sf_dir)
     return image.downsample_mask(labels, *extent(labels), 0.5).select(*keys("x", "y", "label"))
@@ -413,6 +436,8 @@ QUERIES = {
     "batch_union": batch_union,
     "downsample_image": downsample_image,
     "downsample_mask": downsample_mask,
+    "frames_normalize": frames_normalize,
+    "frames_downsample": frames_downsample,
     "convolve_time": convolve_time,
     "minmax_norm": minmax_norm,
     "color_projection_max": color_projection("max"),

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 import sys
 import tempfile
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,14 +45,22 @@ def once(key: tuple, make: Callable):
     """
     kept = sys.__dict__.setdefault("_wavegrid_kept", {})
     if key not in kept:
-        kept.clear()
+        release()
         kept[key] = make()
     return kept[key]
 
 
 def release() -> None:
-    """Frees what other operators kept in this Python process."""
-    sys.__dict__.get("_wavegrid_kept", {}).clear()
+    """Frees what other operators kept in this Python process, and gives it back to the machine."""
+    kept = sys.__dict__.get("_wavegrid_kept", {})
+    if kept:
+        kept.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        # The C library keeps what is freed unless it is told to give it back.
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

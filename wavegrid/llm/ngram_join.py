@@ -119,16 +119,22 @@ class Frequent:
             self.parts.append(part)
             self.size += len(part)
 
-    def take(self) -> tuple[int, list[dict]]:
-        """The number of sets and (h, n) of each frequent hash since the last call."""
+    def take(self) -> tuple[int, np.ndarray]:
+        """The number of sets and rows (h, n) of the frequent hashes since the last call."""
         sets = len(self.parts)
         values, count = np.unique(np.concatenate(self.parts) if self.parts else np.empty(0, np.int64), return_counts=True)
         on = count >= max(2, sets / FREQUENT_LOCAL)
         self.__init__()
-        return sets, [{"h": h, "n": n} for h, n in zip(values[on].tolist(), count[on].tolist(), strict=True)]
+        return sets, np.stack([values[on], count[on]], axis=1)
 
 
-FREQUENT_TYPE = pa.list_(pa.struct([("h", pa.int64()), ("n", pa.int64())]))
+def noted_array(noted: list[np.ndarray | None]) -> pa.Array:
+    """Lists of (h, n), null where nothing was noted."""
+    offsets = np.concatenate([[0], np.cumsum([0 if x is None else len(x) for x in noted])])
+    rows = np.concatenate([np.empty((0, 2), np.int64), *[x for x in noted if x is not None]])
+    missing = np.array([x is None for x in noted] + [False])
+    pairs = pa.StructArray.from_arrays([pa.array(rows[:, 0]), pa.array(rows[:, 1])], names=["h", "n"])
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32(), mask=missing), pairs)
 
 
 def frequent(noted: DataFrame) -> np.ndarray:
@@ -169,12 +175,12 @@ def signatures(docs: DataFrame) -> DataFrame:
                 key.append(xxhash.xxh3_128_digest(s.tobytes()))
                 k.append(int.from_bytes(key[-1][:8], "little", signed=True))
                 if len(s):
-                    run.add(k[-1], prefix_of(s))
+                    run.add(k[-1], prefix_of(s).copy())
                 count, found = run.take() if i == last or run.size > RUN_SHINGLES else (None, None)
                 sets.append(count)
                 noted.append(found)
             yield pa.record_batch(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(k, pa.int64()), pa.array(sets, pa.int64()), pa.array(noted, FREQUENT_TYPE)],
+                [batch.column(0), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(k, pa.int64()), pa.array(sets, pa.int64()), noted_array(noted)],
                 names=["doc_id", "n", "key", "k", "sets", "frequent"],
             )
 
@@ -249,7 +255,7 @@ def with_sets(docs: DataFrame) -> DataFrame:
             values = pa.array(np.concatenate(found) if found else np.empty(0, np.int64))
             at = pa.array(kept, pa.int64())
             yield pa.record_batch(
-                [*[batch.column(c).take(at) for c in ("k", "rep", "copies")], pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(offsets, values), pa.array(sets, pa.int64()), pa.array(noted, FREQUENT_TYPE)],
+                [*[batch.column(c).take(at) for c in ("k", "rep", "copies")], pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(offsets, values), pa.array(sets, pa.int64()), noted_array(noted)],
                 names=["k", "rep", "copies", "n", "shingles", "sets", "frequent"],
             )
 

@@ -165,7 +165,7 @@ def features(text: str, tokens: list[tuple[int, int]], i: int, j: int, kind: int
     return out
 
 
-@lru_cache(1 << 16)
+@lru_cache(1 << 14)
 def shaped(span: str) -> tuple[int, bool]:
     """Bits of the kinds that a span of at most LONGEST code points may have by its shape, and whether a longer one from its start may have any."""
     digits = sum(map(span.count, "0123456789"))
@@ -242,7 +242,7 @@ class Scores(dict):
         a, b = tokens[i][0], tokens[j - 1][1]
         key = (kind, text[a:b]) if kind == OTHER else (kind, text[a:b], text[a - 1 : a] if a else "", text[b : b + 1])
         if (value := self.get(key)) is None:
-            if len(self) >= 100_000:
+            if len(self) >= 50_000:
                 self.clear()
             value = sum(self.weights[f] for f in self.number(features(text, tokens, i, j, kind)))
             if b - a <= LONGEST:

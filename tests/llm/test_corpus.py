@@ -695,6 +695,8 @@ def test_bpe_equals_the_library(spark, hard, small, empty, tokenizer):
             assert (r.bpe.n_tokens, r.bpe.ids_sha256, r.bpe.decoded_sha256) == encoded_by_library(tokenizer, r.text)
             assert len(r.bpe.ids) == 4 * r.bpe.n_tokens
     assert bpe.bpe_tokens(empty, bpe.default_vocabulary()).count() == 0
+    got = {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in queries.QUERIES["op9_bpe"](spark, SF).collect()}
+    assert got == {i: encoded_by_library(tokenizer, t) for i, t in texts_of(small).items()}
 
 
 def test_bpe_of_random_texts(tokenizer):
@@ -872,6 +874,26 @@ def test_hashed_sample_is_bounded_and_stable(spark):
     assert common.hashed_sample(df.limit(0), "id", 100).count() == 0 and common.hashed_sample(df.limit(7), "id", 100).count() == 7
 
 
+def test_a_cluster_must_name_a_shared_folder(monkeypatch):
+    class Session:
+        class sparkContext:  # noqa: N801
+            master = "spark://host:7077"
+            getCheckpointDir = staticmethod(lambda: None)
+
+        conf = {}
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.shared_dir(Session)
+
+
+def test_what_an_operator_kept_is_freed():
+    first = common.once(("a",), lambda: [1])
+    assert common.once(("a",), lambda: [2]) is first and common.once(("b",), lambda: [3]) == [3] and common.once(("a",), lambda: [4]) == [4]
+    common.release()
+    assert common.once(("a",), lambda: [5]) == [5]
+    common.release()
+
+
 def test_nothing_else_imports_the_subpackage():
     import pathlib
 

@@ -28,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wavegrid.llm.common import columns_of, documents, free_name, once
+from wavegrid.llm.common import columns_of, documents, free_name, in_small_batches, once
 
 #: How byte-level tokenizers split a text before merging (a fixed value of the format).
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -45,7 +45,7 @@ A7DD-A7DD A7E2-A7E2 A7F1-A7F1 AB6C-AB6D 107BB-107BF 10940-10959 10EC5-10EC7 10ED
 """.split()
 NEVER = 1 << 60
 #: Entries that a worker's memo of pre-tokens or token pairs holds before it starts anew.
-MEMO = 250_000
+MEMO = 120_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -194,7 +194,7 @@ def bpe_tokens(docs: DataFrame, vocabulary: str, column: str = "bpe", keep_ids:
         )
 
     encoded = F.arrow_udf(encode, "struct<n_tokens bigint, ids binary, ids_sha256 string, decoded_sha256 string>").asNondeterministic()
-    return docs.withColumn(name, encoded(*columns_of(docs, "text")))
+    return in_small_batches(docs).withColumn(name, encoded(*columns_of(docs, "text")))
 
 
 def default_vocabulary() -> str:

@@ -63,6 +63,21 @@ def release() -> None:
             trim(0)
 
 
+#: Rows of a batch of texts.
+TEXT_ROWS = 1_000
+
+
+def in_small_batches(df: DataFrame) -> DataFrame:
+    """df, whose texts Spark passes to Python in batches of at most TEXT_ROWS rows from now on (a setting of the session).
+
+    A batch is held whole on both sides, outside of the heap, and texts may be long.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= TEXT_ROWS:
+        conf.set(name, str(TEXT_ROWS))
+    return df
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole documents table."""
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

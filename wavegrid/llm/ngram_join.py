@@ -49,7 +49,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wavegrid.llm.common import columns_of, cut, documents, once, small_side
+from wavegrid.llm.common import columns_of, cut, documents, in_small_batches, once, small_side
 from wavegrid.llm.graph import components
 
 WORDS = 5
@@ -184,7 +184,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                 names=["doc_id", "n", "key", "k", "sets", "frequent"],
             )
 
-    return docs.select(*columns_of(docs, "doc_id", "text")).mapInArrow(sign, "doc_id bigint, n bigint, key binary, k bigint, sets bigint, frequent array<struct<h bigint, n bigint>>")
+    return in_small_batches(docs).select(*columns_of(docs, "doc_id", "text")).mapInArrow(sign, "doc_id bigint, n bigint, key binary, k bigint, sets bigint, frequent array<struct<h bigint, n bigint>>")
 
 
 def prefixes(docs: DataFrame, hot: np.ndarray) -> DataFrame:

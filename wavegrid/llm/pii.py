@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wavegrid.llm.common import columns_of, cut, documents, free_name, once
+from wavegrid.llm.common import columns_of, cut, documents, free_name, in_small_batches, once
 
 KINDS = ("email", "ip", "card", "phone", "secret")
 OTHER = len(KINDS)
@@ -488,7 +488,7 @@ def find_spans(docs: DataFrame, sample: int = SAMPLE, column: str = "pii", redac
 
     one = "array<struct<kind string, start bigint, end bigint>>"
     found = F.arrow_udf(scan, f"struct<base {one}, added {one}, redacted string>").asNondeterministic()
-    return docs.withColumn(name, found(*columns_of(docs, "text")))
+    return in_small_batches(docs).withColumn(name, found(*columns_of(docs, "text")))
 
 
 def redacted(text: str, spans: list[tuple[int, int, int]]) -> str:

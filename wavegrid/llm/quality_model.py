@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wavegrid.llm.common import columns_of, documents, free_name, hashed_sample, release
+from wavegrid.llm.common import columns_of, documents, free_name, hashed_sample, in_small_batches, release
 from wavegrid.llm.quality_rules import WHITE, class_counts, repeated_words
 
 STATISTICS = (
@@ -62,7 +62,7 @@ def with_statistics(docs: DataFrame, column: str) -> DataFrame:
         return pa.StructArray.from_arrays([pa.array(rows[:, k]) for k in range(len(STATISTICS))], names=list(STATISTICS))
 
     measured = F.arrow_udf(measure, "struct<" + ", ".join(f"{x} double" for x in STATISTICS) + ">").asNondeterministic()
-    return docs.withColumn(column, measured(*columns_of(docs, "text")))
+    return in_small_batches(docs).withColumn(column, measured(*columns_of(docs, "text")))
 
 
 Rule = tuple[tuple[int, bool, float], ...]

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wavegrid.llm.common import columns_of, cut, documents, free_name, release
+from wavegrid.llm.common import columns_of, cut, documents, free_name, in_small_batches, release
 from wavegrid.llm.quality_model import fold, training_rows
 
 PLACES = 1 << 20
@@ -215,7 +215,7 @@ def expected_severity(docs: DataFrame, model: tuple[dict[int, float], np.ndarray
         )
 
     scored = F.arrow_udf(score, "struct<severity double, p_toxic double, grade int>").asNondeterministic()
-    return docs.withColumn(free_name(docs, column), scored(*columns_of(docs, "text")))
+    return in_small_batches(docs).withColumn(free_name(docs, column), scored(*columns_of(docs, "text")))
 
 
 def op3_toxicity(spark, sf_dir: str) -> DataFrame:

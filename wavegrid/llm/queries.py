@@ -13,6 +13,7 @@ from wavegrid.llm.quality_rules import op6_quality_rules
 from wavegrid.llm.syncmers import op8_syncmer_fingerprints
 from wavegrid.llm.token_rollup import op2_token_rollup
 from wavegrid.llm.toxicity import op3_toxicity
+from wavegrid.llm.turn_trie import op13_turn_trie
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
 
@@ -27,4 +28,5 @@ QUERIES = {
     "op8_syncmer_fingerprints": op8_syncmer_fingerprints,
     "op9_bpe": op9_bpe,
     "op10_pii": op10_pii,
+    "op13_turn_trie": op13_turn_trie,
 }

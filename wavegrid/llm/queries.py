@@ -14,6 +14,7 @@ from wavegrid.llm.syncmers import op8_syncmer_fingerprints
 from wavegrid.llm.token_rollup import op2_token_rollup
 from wavegrid.llm.toxicity import op3_toxicity
 from wavegrid.llm.turn_trie import op13_turn_trie
+from wavegrid.llm.vector_codes import op12_vector_codes
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
 
@@ -28,5 +29,6 @@ QUERIES = {
     "op8_syncmer_fingerprints": op8_syncmer_fingerprints,
     "op9_bpe": op9_bpe,
     "op10_pii": op10_pii,
+    "op12_vector_codes": op12_vector_codes,
     "op13_turn_trie": op13_turn_trie,
 }

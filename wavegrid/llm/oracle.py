@@ -5,6 +5,7 @@ from __future__ import annotations
 from wavegrid.llm.licenses import PHRASES, TEMPLATES, run_length
 from wavegrid.llm.mixing import op4_sql
 from wavegrid.llm.quality_rules import LIMITS
+from wavegrid.llm.sketch_dedup import OP11_SQL
 from wavegrid.llm.token_rollup import OP2_SQL
 from wavegrid.llm.turn_trie import OP13_SQL
 from wavegrid.llm.vector_codes import OP12_SQL
@@ -101,5 +102,5 @@ FROM base LEFT JOIN hit ON hit.doc_id = base.doc_id
 
 ORACLE_SQL = {
     "op1_ngram_join": OP1_SQL, "op2_token_rollup": OP2_SQL, "op4_source_mixing": op4_sql(), "op6_quality_rules": OP6_SQL, "op7_license_scan": OP7_SQL,
-    "op12_vector_codes": OP12_SQL, "op13_turn_trie": OP13_SQL,
+    "op11_sketch_dedup": OP11_SQL, "op12_vector_codes": OP12_SQL, "op13_turn_trie": OP13_SQL,
 }

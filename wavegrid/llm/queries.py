@@ -10,6 +10,7 @@ from wavegrid.llm.oracle import ORACLE_SQL
 from wavegrid.llm.pii import op10_pii
 from wavegrid.llm.quality_model import op5_quality_classifier
 from wavegrid.llm.quality_rules import op6_quality_rules
+from wavegrid.llm.sketch_dedup import op11_sketch_dedup
 from wavegrid.llm.syncmers import op8_syncmer_fingerprints
 from wavegrid.llm.token_rollup import op2_token_rollup
 from wavegrid.llm.toxicity import op3_toxicity
@@ -29,6 +30,7 @@ QUERIES = {
     "op8_syncmer_fingerprints": op8_syncmer_fingerprints,
     "op9_bpe": op9_bpe,
     "op10_pii": op10_pii,
+    "op11_sketch_dedup": op11_sketch_dedup,
     "op12_vector_codes": op12_vector_codes,
     "op13_turn_trie": op13_turn_trie,
 }

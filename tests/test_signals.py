@@ -253,7 +253,7 @@ def test_folder(spark, tmp_path):
 def test_unknown_extension_and_nd2():
     with pytest.raises(ValueError):
         tiff.decode("a.png", b"")
-    with pytest.raises(ValueError, match="nd2"):
+    with pytest.raises(ValueError, match="ND2"):
         tiff.decode("a.nd2", b"")
 
 

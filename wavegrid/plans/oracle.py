@@ -248,16 +248,14 @@ SELECT dom.band || '.tif' AS image_filename, dom.band || '_masks.tif' AS mask_fi
   {r("coalesce(a.mean, 0)", "a_queried_amplitude_mean")}, {r("coalesce(b.sd, 0)", "b_queried_amplitude_sd")}, {r("coalesce(b.peak, 0)", "b_argmaxes_mean")}, {r("coalesce(l.v, 0)", "a_levels_mean")}
 FROM dom LEFT JOIN sta a ON a.band = dom.band AND a.label = dom.label AND a.c = 0 LEFT JOIN sta b ON b.band = dom.band AND b.label = dom.label AND b.c = 1
 LEFT JOIN lev l ON l.band = dom.band AND l.label = dom.label AND l.c = 0""",
-    "folder_problems": """SELECT * FROM (VALUES ('alone.tif', 'no mask file alone_masks.tif'), ('broken.tif', 'ValueError: not a TIFF file'),
-  ('moving.tif', 'a mask of 2 frames; one is expected'), ('other.nd2', 'ValueError: reading ND2 files needs the nd2 package')) AS q(image_filename, error)""",
-    "argument_checks": """SELECT * FROM (VALUES
-  ('extension', 'unsupported image file ''a.png'': the extension must be one of (''tif'', ''nd2'')'), ('channel names', '2 channels have 1 names'),
-  ('unknown threshold', 'queried_amplitude is not among the features; its threshold is skipped'),
-  ('unknown feature', 'unknown features [''power'']; choose from (''full_amplitude'', ''normalized_amplitude'', ''z_score'', ''phase'')'),
-  ('missing peak feature', 'normalized_amplitude is not among the features [''phase'']'),
-  ('peak fallback', 'normalized_amplitude is not among the features; bins are ranked by z_score'), ('cutoff', 'cutoff_frequency_bin leaves no bin below max_bin'),
-  ('default wavelet', 'no wavelet is given; frequencies are those of the default generalized Morse wavelet'),
-  ('bank method', 'bank_method must be ''max_pool'' or ''sort'''), ('carrier', 'the carrier must be among the channels of channel_outputs'),
-  ('kernel', 'the kernel must have an odd length'), ('projection', 'proj must be ''max'' or ''sum''')) AS q(name, message)""",
+    "folder_problems": """WITH b AS (SELECT max(vec_id % 25) + 1 AS w FROM embeddings)
+SELECT n_name || CASE WHEN n_nationkey % 6 = 4 THEN '.nd2' ELSE '.tif' END AS image_filename, CASE n_nationkey % 6
+  WHEN 0 THEN 'no mask file ' || n_name || '_masks.tif' WHEN 1 THEN 'ValueError: not a TIFF file'
+  WHEN 2 THEN 'a mask of 2 frames; one is expected' WHEN 3 THEN 'an image of 1 channels; 2 are expected' WHEN 4 THEN 'ValueError: not an ND2 file'
+  ELSE 'a mask of 7 x ' || w || ' pixels for an image of 8 x ' || w END AS error FROM nation, b""",
+    "stack_scan": f"WITH {E_VOX} SELECT x, y, c, t, {r('v', 'value')} FROM vox",
+    "stack_filtered": f"WITH {E_VOX} SELECT x, y, c, t, {r('v', 'value')} FROM vox WHERE c = 1 AND t >= 8 AND t < 16",
+    "nd2_scan": f"WITH {E_VOX} SELECT x, y, c, t, CAST(floor((v + 2) * 10000) AS DOUBLE) AS value FROM vox",
+    "nd2_stack_scan": f"WITH {E_VOX} SELECT x, y, c, t, CAST(floor((v + 2) * 10000) AS DOUBLE) AS value FROM vox WHERE c = 1",
     "tiff_roundtrip": f"WITH {E_VOX} SELECT x, y, c, t, {r('v', 'value')} FROM vox",
 }

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +14,7 @@ from wavegrid.operators.fft import FEATURES, QUERIED, Sampling, check_cutoff, ch
 from wavegrid.operators.image import downsample_image, downsample_mask, temporal_mean
 from wavegrid.operators.table import channel_names as named_channels
 from wavegrid.operators.table import create_wide
-from wavegrid.sources import tiff
+from wavegrid.sources import stacks, tiff
 
 
 def process_images(
@@ -47,41 +49,89 @@ def process_images(
     return (wide, spectrum(series, chosen, normalize_histogram, max_bin)) if return_fft_features else wide
 
 
-def decoded_once(rows: DataFrame) -> DataFrame:
-    """rows, kept where Spark can find them again, so that files are not decoded for each use: in the shared folder of checkpoints if the session names one, else with the executors."""
-    sc = rows.sparkSession.sparkContext
-    named = sc.getCheckpointDir() or rows.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if named is None:
-        return rows.persist()
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share (spark.checkpoint.dir); a temporary one only where the session names none and runs in one process."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(named)
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="wavegrid-"))
+    return sc.getCheckpointDir()
+
+
+def decoded_once(rows: DataFrame) -> DataFrame:
+    """rows, kept in the shared folder as a checkpoint, so that files are not decoded for each use."""
+    shared_folder(rows.sparkSession)
     return rows.checkpoint()
 
 
+def shapes(rows: DataFrame, *more) -> DataFrame:
+    """(file, height, width, pixels, ...) of each file's pixels, counted before the exchange."""
+    return rows.groupBy(F.col("image_id").alias("file")).agg((F.max("x") + 1).alias("height"), (F.max("y") + 1).alias("width"), F.count(F.lit(1)).alias("pixels"), *more)
+
+
+def unequal_shapes(series: DataFrame, labels: DataFrame, of_image: DataFrame, channels: int) -> DataFrame:
+    """(image_filename, error) of the images whose channels, frames or pixels are not as expected, or not those of their masks."""
+    frames = F.size("values")
+    images = shapes(series, (F.max("c") + 1).alias("channels"), F.min(frames).alias("least"), F.max(frames).alias("most"))
+    masks = shapes(labels.where("t is null"), F.lit(0).alias("_")).join(of_image, F.col("file") == F.col("image_id"))
+    masks = masks.select("image_filename", *[F.col(c).alias(f"mask_{c}") for c in ("height", "width", "pixels")])
+    both = images.withColumnRenamed("file", "image_filename").join(masks, "image_filename", "left")
+    text = lambda *parts: F.concat(*[p if not isinstance(p, str) else F.lit(p) for p in parts])
+    size = lambda h, w: text(F.col(h), " x ", F.col(w))
+    error = (
+        F.when(F.col("channels") != channels, text("an image of ", F.col("channels"), f" channels; {channels} are expected"))
+        .when(F.col("least") != F.col("most"), text("an image whose channels have ", F.col("least"), " to ", F.col("most"), " frames"))
+        .when(F.col("pixels") != F.col("channels") * F.col("height") * F.col("width"), F.lit("an image without some of its pixels"))
+        .when((F.col("mask_height") != F.col("height")) | (F.col("mask_width") != F.col("width")), text("a mask of ", size("mask_height", "mask_width"), " pixels for an image of ", size("height", "width")))
+        .when(F.col("mask_pixels") != F.col("mask_height") * F.col("mask_width"), F.lit("a mask without some of its pixels"))
+    )
+    return both.select("image_filename", error.alias("error")).where("error is not null")
+
+
+def analysed(pairs: DataFrame, series: DataFrame, labels: DataFrame, channels: int, **options) -> tuple[DataFrame, DataFrame]:
+    """(wide per-cell table, (image_filename, error) of the images that are left out), from pair_files(), load_images() and load_masks() or what stacks.py gives."""
+    of_image = pairs.where("found").select(F.col("mask_filename").alias("image_id"), "image_filename")
+    series, labels = decoded_once(series), decoded_once(labels)
+    of_labels = labels.join(of_image, "image_id")
+    moving = of_labels.where("t is not null").groupBy("image_filename").agg((F.max("t") + 1).alias("frames"))
+    bad = series.where("error is not null").select(F.col("image_id").alias("image_filename"), "error")
+    bad = bad.unionByName(of_labels.where("error is not null").select("image_filename", "error"))
+    bad = bad.unionByName(moving.select("image_filename", F.concat(F.lit("a mask of "), "frames", F.lit(" frames; one is expected")).alias("error")))
+    unequal = unequal_shapes(series.where("error is null"), labels.where("error is null"), of_image, channels)
+    # A file with an error may have some of its pixels.
+    bad = decoded_once(bad.unionByName(unequal.join(bad.select("image_filename").distinct(), "image_filename", "left_anti")))
+    missing = pairs.where("not found").select("image_filename", F.concat(F.lit("no mask file "), "mask_filename").alias("error"))
+    left_out = bad.select(F.col("image_filename").alias("image_id")).distinct()
+    good = of_labels.where("error is null and t is null").select(F.col("image_filename").alias("image_id"), F.lit("all").alias("mask_name"), "x", "y", "label")
+    readable = series.where("error is null").drop("error")
+    return process_images(readable.join(left_out, "image_id", "left_anti"), good.join(left_out, "image_id", "left_anti"), channels, **options), bad.unionByName(missing)
+
+
 def process_files(images: DataFrame, masks: DataFrame, channels: int, **options) -> tuple[DataFrame, DataFrame]:
     """process_folder() of tables of files (name, content)."""
     pairs = tiff.pair_files(images.select("name"), masks.select("name"))
     paired = pairs.where("found")
-    series = decoded_once(tiff.load_images(images.join(paired.select(F.col("image_filename").alias("name")), "name", "left_semi")))
+    chosen = images.join(paired.select(F.col("image_filename").alias("name")), "name", "left_semi")
     wanted = masks.join(paired.select(F.col("mask_filename").alias("name")).distinct(), "name", "left_semi")
-    of_image = paired.select(F.col("mask_filename").alias("image_id"), "image_filename")
-    labels = decoded_once(tiff.load_masks(wanted)).join(of_image, "image_id")
-    moving = labels.where("t is not null").groupBy("image_filename").agg((F.max("t") + 1).alias("frames"))
-    bad = series.where("error is not null").select(F.col("image_id").alias("image_filename"), "error").unionByName(
-        labels.where("error is not null").select("image_filename", "error")
-    ).unionByName(moving.select("image_filename", F.concat(F.lit("a mask of "), "frames", F.lit(" frames; one is expected")).alias("error")))
-    missing = pairs.where("not found").select("image_filename", F.concat(F.lit("no mask file "), "mask_filename").alias("error"))
-    problems = bad.unionByName(missing)
-    left_out = bad.select(F.col("image_filename").alias("image_id")).distinct()
-    good = labels.where("error is null and t is null").select(F.col("image_filename").alias("image_id"), F.lit("all").alias("mask_name"), "x", "y", "label")
-    readable = series.where("error is null").drop("error")
-    return process_images(readable.join(left_out, "image_id", "left_anti"), good.join(left_out, "image_id", "left_anti"), channels, **options), problems
+    return analysed(pairs, tiff.load_images(chosen), tiff.load_masks(wanted), channels, **options)
 
 
-def process_folder(spark: SparkSession, images_directory: str, masks_directory: str, channels: int, **options) -> tuple[DataFrame, DataFrame]:
+def process_folder(spark: SparkSession, images_directory: str, masks_directory: str, channels: int, bytes_per_partition: int | None = None, **options) -> tuple[DataFrame, DataFrame]:
     """(wide per-cell table of all images, (image_filename, error) of those that were left out).
 
-    All files are read, once, and analysed in one plan; an image without a mask, one that cannot
-    be read, or one whose mask has frames, is reported and does not stop the others.
+    All files are read, once, and analysed in one plan. Reported, without stopping the others, are
+    an image without a mask, one that cannot be read, one of other channels than expected or of
+    other pixels than its mask, and one whose mask has frames. With bytes_per_partition, files are
+    read in parts by stacks.py, as files over 2 GB must be.
     """
-    return process_files(tiff.files(spark, images_directory), tiff.files(spark, masks_directory), channels, **options)
+    if bytes_per_partition is None:
+        return process_files(tiff.files(spark, images_directory), tiff.files(spark, masks_directory), channels, **options)
+    name = F.element_at(F.split("path", "/"), -1).alias("name")
+    listed = [spark.read.format("binaryFile").option("pathGlobFilter", "*.{tif,nd2}").load(d).select(name) for d in (images_directory, masks_directory)]
+    pairs = decoded_once(tiff.pair_files(*listed))
+    images = stacks.read_stacks(spark, images_directory, bytes_per_partition=bytes_per_partition, dimensions="3,4")
+    masks = stacks.read_stacks(spark, masks_directory, bytes_per_partition=bytes_per_partition, dimensions="2,3")
+    chosen = [pairs.where("found").select(F.col(n).alias("image_id")).distinct() for n in ("image_filename", "mask_filename")]
+    return analysed(pairs, stacks.series_of(images.join(chosen[0], "image_id", "left_semi")), stacks.labels_of(masks.join(chosen[1], "image_id", "left_semi")), channels, **options)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import warnings
+import uuid
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from wavegrid.operators import cells, cwt, fft, image, table
 from wavegrid.plans import model
-from wavegrid.plans.pipeline import process_files, process_images
-from wavegrid.sources import tiff
+from wavegrid.plans.pipeline import process_files, process_images, shared_folder
+from wavegrid.sources import stacks, tiff
+from wavegrid.sources.nd2 import encode_nd2
 from wavegrid.streaming import frames
 
 #: Parameters of the queries on embeddings: search from bin 1, channel 0 is the carrier.
@@ -298,16 +299,21 @@ BAND = 8
 
 def embedding_files(series: DataFrame, compression: str | None = None, channels: int = 2) -> DataFrame:
     """(name, content): a TIFF file for each band of BAND rows of pixels, each written by a task of its own; its name is the band's number."""
+    return band_files(series, "tif", lambda stack: tiff.encode_tiff(stack if channels > 1 else stack[:, 0], compression), channels)
+
+
+def band_files(series: DataFrame, ending: str, encode, channels: int = 2, dtype=np.float32) -> DataFrame:
+    """(name, content) of each band's file, as encode makes it of (T, C, X, Y)."""
     width = extent(series)[1]
 
     def write(rows):
         import pandas as pd
 
         band = int(rows.x.iloc[0]) // BAND
-        stack = np.zeros((32, channels, int(rows.x.max()) - band * BAND + 1, width), np.float32)
+        stack = np.zeros((32, channels, int(rows.x.max()) - band * BAND + 1, width), dtype)
         for r in rows.itertuples():
             stack[:, r.c, r.x - band * BAND, r.y] = r.values
-        return pd.DataFrame({"name": [f"{band}.tif"], "content": [tiff.encode_tiff(stack if channels > 1 else stack[:, 0], compression)]})
+        return pd.DataFrame({"name": [f"{band}.{ending}"], "content": [encode(stack)]})
 
     return series.groupBy(F.expr(f"x div {BAND}")).applyInPandas(write, "name string, content binary")
 
@@ -329,8 +335,7 @@ def embedding_mask_files(labels: DataFrame) -> DataFrame:
 
 def band_elements(files: DataFrame) -> DataFrame:
     """The elements of the image that files of bands make up."""
-    rows = tiff.load_images(files)
-    return elements(rows.withColumn("x", F.col("x") + BAND * F.regexp_extract("image_id", r"^\d+", 0).cast("int")), "values")
+    return elements(in_band(tiff.load_images(files)), "values")
 
 
 def tiff_roundtrip(spark, sf_dir):
@@ -352,16 +357,70 @@ def mask_scan(spark, sf_dir):
     return rows.select(F.col("image_id").alias("mask_filename"), *keys("x", "y", "label"))
 
 
+def in_band(rows: DataFrame) -> DataFrame:
+    """Rows of files of bands, with x counted in the whole image."""
+    return rows.withColumn("x", F.col("x") + BAND * F.regexp_extract("image_id", r"^\d+", 0).cast("int"))
+
+
+def written_bands(spark, files: DataFrame) -> str:
+    """The shared folder that files are written to."""
+    place = f"{shared_folder(spark)}/bands-{uuid.uuid4().hex}"
+    stacks.write_files(files, place)
+    return place
+
+
+#: Bytes of a partition of the queries on stacks: a band's file has several.
+PART = 20_000
+
+
+def stack_scan(spark, sf_dir):
+    """The embeddings image as files that are read in parts, by offsets."""
+    place = written_bands(spark, embedding_files(model.embedding_series(spark, sf_dir)))
+    return elements(in_band(stacks.series_of(stacks.read_stacks(spark, place, bytes_per_partition=PART))), "values")
+
+
+def stack_filtered(spark, sf_dir):
+    """One channel and some frames: only their pages are read."""
+    place = written_bands(spark, embedding_files(model.embedding_series(spark, sf_dir)))
+    rows = stacks.read_stacks(spark, place, bytes_per_partition=PART, columns=10).where("c = 1 and t >= 8 and t < 16")
+    each = in_band(rows).select("x", "y", "c", "t", F.posexplode("pixels").alias("i", "v"))
+    return each.select(*keys("x"), (F.col("y") + F.col("i")).cast("bigint").alias("y"), *keys("c", "t"), rounded("v").alias("value"))
+
+
+def whole_values(series: DataFrame) -> DataFrame:
+    """Embeddings as integers of 16 bits."""
+    return series.withColumn("values", F.transform("values", lambda v: F.floor((v + 2) * 10_000)))
+
+
+def nd2_scan(spark, sf_dir):
+    """The embeddings image as ND2 files, read whole."""
+    files = band_files(whole_values(model.embedding_series(spark, sf_dir)), "nd2", lambda stack: encode_nd2(stack, compressed=True), dtype=np.uint16)
+    return elements(in_band(tiff.load_images(files)), "values")
+
+
+def nd2_stack_scan(spark, sf_dir):
+    """ND2 files of raw frames with padded rows, read in parts; one channel."""
+    place = written_bands(spark, band_files(whole_values(model.embedding_series(spark, sf_dir)), "nd2", lambda stack: encode_nd2(stack, padding=6), dtype=np.uint16))
+    return elements(in_band(stacks.series_of(stacks.read_stacks(spark, place, bytes_per_partition=PART).where("c = 1"))), "values")
+
+
 def folder(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    """Bands as files with masks, and files that cannot be analysed: no mask, no TIFF, a mask of frames, another format."""
+    """Bands as files with masks, and for each nation a copy of a band that cannot be analysed: no mask, cut off, a mask of frames, other channels, another format, or a mask of other pixels."""
     series, labels = model.embedding_series(spark, sf_dir), model.embedding_labels(spark, sf_dir)
-    still, moving = tiff.encode_tiff(np.ones((1, 1), np.uint16)), tiff.encode_tiff(np.ones((2, 1, 1), np.uint16))
-    image = tiff.encode_tiff(np.ones((32, 2, 1, 1), np.float32))
-    kind = "name string, content binary"
-    others = [("alone.tif", image), ("broken.tif", b"no image"), ("moving.tif", image), ("other.nd2", b""), ("notes.txt", b"no image")]
-    masks = [("broken_masks.tif", still), ("moving_masks.tif", moving), ("other_masks.tif", still)]
+    images, masks = embedding_files(series), embedding_mask_files(labels)
+    width = extent(series)[1]
+    moving, small = tiff.encode_tiff(np.ones((2, BAND, width), np.uint16)), tiff.encode_tiff(np.ones((BAND - 1, width), np.uint16))
+    one_channel = tiff.encode_tiff(np.ones((32, BAND, width), np.float32))
+    kind = F.col("n_nationkey") % 6
+    name = F.concat("n_name", F.when(kind == 4, ".nd2").otherwise(".tif"))
+    first = images.where("name = '0.tif'").crossJoin(model.table(spark, sf_dir, "nation"))
+    content = F.when(kind == 1, F.substring("content", 1, 7)).when(kind == 3, F.lit(one_channel)).otherwise(F.col("content"))
+    others = first.select(name.alias("name"), content.alias("content"))
+    mask = masks.where("name = '0_masks.tif'").crossJoin(model.table(spark, sf_dir, "nation")).where(kind > 0)
+    content = F.when(kind == 2, F.lit(moving)).when(kind == 5, F.lit(small)).otherwise(F.col("content"))
+    other_masks = mask.select(F.concat("n_name", F.lit("_masks.tif")).alias("name"), content.alias("content"))
     return process_files(
-        embedding_files(series).unionByName(spark.createDataFrame(others, kind)), embedding_mask_files(labels).unionByName(spark.createDataFrame(masks, kind)), 2,
+        images.unionByName(others), masks.unionByName(other_masks), 2,
         cutoff_frequency_bin=CUTOFF, carrier_index=CARRIER, channel_names=NAMES, features=["full_amplitude", "normalized_amplitude"], normalize_histogram=False,
     )
 
@@ -377,41 +436,6 @@ def folder_problems(spark, sf_dir):
     return folder(spark, sf_dir)[1]
 
 
-def said(*calls) -> list[str]:
-    """What each call warns of or raises."""
-    out = []
-    for call in calls:
-        with warnings.catch_warnings(record=True) as noted:
-            warnings.simplefilter("always")
-            try:
-                call()
-                out.append("; ".join(str(w.message) for w in noted))
-            except ValueError as e:
-                out.append(str(e))
-    return out
-
-
-def argument_checks(spark, sf_dir):
-    """What wrong or incomplete arguments lead to, before anything runs."""
-    series = model.embedding_series(spark, sf_dir)
-    options = {"carrier_channel": 0, "scales": SCALES, "normalize_histogram": False}
-    cases = {
-        "extension": lambda: tiff.extension("a.png"),
-        "channel names": lambda: table.channel_names(["a"], 2),
-        "unknown threshold": lambda: cells.threshold_tests(["queried_z_score"], {"amplitude": 1.0}),
-        "unknown feature": lambda: fft.spectrum(series, ["power"], normalize_histogram=False),
-        "missing peak feature": lambda: fft.peak_feature("normalized_amplitude", ["phase"]),
-        "peak fallback": lambda: fft.peak_feature("normalized_amplitude", ["z_score"]),
-        "cutoff": lambda: fft.check_cutoff(6, 6),
-        "default wavelet": lambda: cwt.cwt_features(series, 32, LOW, HIGH, sampling=SAMPLING, channel_outputs={0: ["freq"]}, **options),
-        "bank method": lambda: cwt.cwt_features(series, 32, LOW, HIGH, channel_outputs={0: ["amp"]}, bank_method="mean", **options),
-        "carrier": lambda: cwt.cwt_features(series, 32, LOW, HIGH, channel_outputs={1: ["amp"]}, **options),
-        "kernel": lambda: image.convolve_time(series, [1.0, 1.0]),
-        "projection": lambda: image.color_by_axis(series, 32, proj="mean"),
-    }
-    return spark.createDataFrame(list(zip(cases, said(*cases.values()), strict=True)), "name string, message string")
-
-
 QUERIES = {
     "series_mean_center": series_mean_center,
     "frame_normalize": frame_normalize,
@@ -465,5 +489,8 @@ QUERIES = {
     "mask_scan": mask_scan,
     "folder_cells": folder_cells,
     "folder_problems": folder_problems,
-    "argument_checks": argument_checks,
+    "stack_scan": stack_scan,
+    "stack_filtered": stack_filtered,
+    "nd2_scan": nd2_scan,
+    "nd2_stack_scan": nd2_stack_scan,
 }

@@ -1,14 +1,14 @@
 """TIFF stacks: a reader and writer, and Spark sources on them.
 
 Read are classic files and BigTIFF of either byte order, in strips or tiles, uncompressed or
-compressed by LZW, deflate or PackBits, with or without horizontal differences, of one sample a
-pixel: integers of 8, 16 and 32 bits and floats of 32 and 64.
+compressed by LZW, deflate or PackBits, with or without horizontal differences or those of floats'
+bytes, of one sample a pixel: integers of 8, 16 and 32 bits and floats of 32 and 64.
 
 A file's pages are frames. Channels come from the first page's ImageDescription: `channels=C`
 (pages go frame by frame, channel by channel), the `Pixels` element of OME metadata with its order
 of dimensions, or the fields of an ImageJ stack, also one whose frames follow a single directory.
-Slices count as frames where there is one frame only. Masks are read the same way. ND2 files are
-read if the nd2 package is installed.
+Slices count as frames where there is one frame only. Masks are read the same way, and so are ND2
+files (see nd2.py). The functions here hold a file at a time; stacks.py reads large ones in parts.
 """
 
 from __future__ import annotations
@@ -16,15 +16,18 @@ from __future__ import annotations
 import math
 import re
 import struct
-import tempfile
 import zlib
+from collections.abc import Callable
 from pathlib import PurePosixPath
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wavegrid.sources.nd2 import decode_nd2
+
 #: Tags of the TIFF 6.0 format that are read here, and sizes of its field types (fixed values).
 WIDTH, HEIGHT, BITS, COMPRESSION, DESCRIPTION, OFFSETS, SAMPLES, ROWS, COUNTS, FORMAT = 256, 257, 258, 259, 270, 273, 277, 278, 279, 339
 PREDICTOR, TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_COUNTS = 317, 322, 323, 324, 325
@@ -120,33 +123,47 @@ def unpacked_bits(raw: bytes) -> bytes:
 UNPACKED = {NONE: bytes, LZW: unpacked_lzw, DEFLATE: zlib.decompress, OLD_DEFLATE: zlib.decompress, PACKBITS: unpacked_bits}
 
 
-def directories(raw: bytes) -> tuple[str, list[dict[int, list]]]:
+Fetch = Callable[[int, int], bytes]
+
+
+def of_bytes(raw: bytes) -> Fetch:
+    """Reads n bytes at a place of a file that is held whole."""
+    return lambda at, n: raw[at : at + n]
+
+
+def directories(fetch: Fetch) -> tuple[str, list[dict[int, list]]]:
     """The byte order and the tags of each page."""
-    if raw[:2] not in (b"II", b"MM"):
+    start = fetch(0, 16)
+    if start[:2] not in (b"II", b"MM") or len(start) < 8:
         raise ValueError("not a TIFF file")
-    e = "<" if raw[:2] == b"II" else ">"
-    version = struct.unpack_from(f"{e}H", raw, 2)[0]
+    e = "<" if start[:2] == b"II" else ">"
+    version = struct.unpack_from(f"{e}H", start, 2)[0]
     if version not in (42, 43):
         raise ValueError("not a TIFF file")
     # Widths of a count of entries, of an entry and of an offset, classic and BigTIFF.
     number, entry, offset, wide = ("H", 12, "I", 4) if version == 42 else ("Q", 20, "Q", 8)
-    read = lambda kind, place: struct.unpack_from(f"{e}{kind}", raw, place)[0]
-    at, pages, seen = read(offset, 4 if version == 42 else 8), [], set()
+    size = struct.calcsize(f"{e}{number}")
+    at, pages, seen = struct.unpack_from(f"{e}{offset}", start, 4 if version == 42 else 8)[0], [], set()
     while at and at not in seen:
         seen.add(at)
         tags: dict[int, list] = {}
-        n, first = read(number, at), at + struct.calcsize(f"{e}{number}")
+        n = struct.unpack(f"{e}{number}", fetch(at, size))[0]
+        body = fetch(at + size, entry * n + wide)
         for k in range(n):
-            tag, type_ = struct.unpack_from(f"{e}HH", raw, first + entry * k)
-            count, place = read(offset, first + entry * k + 4), first + entry * k + 4 + wide
-            if TYPE_SIZE.get(type_, 1) * count > wide:
-                place = read(offset, place)
+            tag, type_ = struct.unpack_from(f"{e}HH", body, entry * k)
+            count = struct.unpack_from(f"{e}{offset}", body, entry * k + 4)[0]
+            length = TYPE_SIZE.get(type_, 1) * count
+            if type_ != 2 and type_ not in INTEGERS:
+                continue
+            data = body[entry * k + 4 + wide :]
+            if length > wide:
+                data = fetch(struct.unpack_from(f"{e}{offset}", data)[0], length)
             if type_ == 2:
-                tags[tag] = [raw[place : place + count].rstrip(b"\0").decode("utf-8", "replace")]
-            elif type_ in INTEGERS:
-                tags[tag] = list(struct.unpack_from(f"{e}{count}{INTEGERS[type_]}", raw, place))
+                tags[tag] = [data[:count].rstrip(b"\0").decode("utf-8", "replace")]
+            else:
+                tags[tag] = list(struct.unpack_from(f"{e}{count}{INTEGERS[type_]}", data))
         pages.append(tags)
-        at = read(offset, first + entry * n)
+        at = struct.unpack_from(f"{e}{offset}", body, entry * n)[0]
     if not pages:
         raise ValueError("a TIFF file without pages")
     return e, pages
@@ -161,30 +178,81 @@ def sample_type(e: str, tags: dict[int, list]) -> np.dtype:
     return np.dtype(f"{e}{ {1: 'u', 2: 'i', 3: 'f'}[sample] }{bits // 8}")
 
 
-def decode_page(raw: bytes, e: str, tags: dict[int, list]) -> np.ndarray:
-    """A page, from its strips or tiles."""
-    dtype, packed, predictor = sample_type(e, tags), tags.get(COMPRESSION, [NONE])[0], tags.get(PREDICTOR, [1])[0]
+class Segment(NamedTuple):
+    """A strip or tile of a page: its bytes, where its pixels belong, and its size as stored."""
+
+    page: int
+    offset: int
+    count: int
+    top: int
+    left: int
+    rows: int
+    columns: int
+    packing: int
+    predictor: int
+
+
+class Layout(NamedTuple):
+    """Where a file's pixels are. order: the page of each frame and channel (T, C), of each frame (T) or of one image ()."""
+
+    dtype: np.dtype
+    height: int
+    width: int
+    order: np.ndarray
+    segments: list[Segment]
+
+
+def page_segments(page: int, tags: dict[int, list], dtype: np.dtype) -> list[Segment]:
+    packed, predictor = tags.get(COMPRESSION, [NONE])[0], tags.get(PREDICTOR, [1])[0]
     if packed not in UNPACKED:
         raise ValueError(f"compression {packed} is not read")
-    if predictor not in (1, 2) or predictor == 2 and dtype.kind == "f":
+    if predictor not in (1, 2, 3) or (predictor == 2) > (dtype.kind != "f") or (predictor == 3) > (dtype.kind == "f"):
         raise ValueError(f"predictor {predictor} is not read")
     x, y = tags[HEIGHT][0], tags[WIDTH][0]
     tiled = TILE_OFFSETS in tags
     rows, columns = (tags[TILE_HEIGHT][0], tags[TILE_WIDTH][0]) if tiled else (min(tags.get(ROWS, [x])[0], x), y)
     offsets = tags[TILE_OFFSETS if tiled else OFFSETS]
     counts = tags.get(TILE_COUNTS if tiled else COUNTS) or [x * y * dtype.itemsize]
-    across = -(-y // columns)
-    out = np.zeros((x, y), dtype)
+    across, out = -(-y // columns), []
     for k, (at, n) in enumerate(zip(offsets, counts, strict=True)):
         top, left = k // across * rows, k % across * columns
-        height = rows if tiled else min(rows, x - top)
-        part = np.frombuffer(UNPACKED[packed](raw[at : at + n]), dtype, height * columns).reshape(height, columns)
-        if predictor == 2:
-            part = np.cumsum(part, axis=1, dtype=dtype.newbyteorder("="))
-        out[top : top + rows, left : left + columns] = part[: x - top, : y - left]
+        out.append(Segment(page, at, n, top, left, rows if tiled else min(rows, x - top), columns, packed, predictor))
     return out
 
 
+def layout(fetch: Fetch) -> Layout:
+    """The places of a file's pixels, from its directories alone."""
+    e, tags = directories(fetch)
+    description = tags[0].get(DESCRIPTION, [""])[0]
+    dtype, x, y = sample_type(e, tags[0]), tags[0][HEIGHT][0], tags[0][WIDTH][0]
+    follow = re.search(r"\bimages=(\d+)", description) if description.startswith("ImageJ=") else None
+    if follow and len(tags) == 1 and int(follow[1]) > 1:
+        if tags[0].get(COMPRESSION, [NONE])[0] != NONE:
+            raise ValueError("an ImageJ stack of one directory must not be compressed")
+        n, size = int(follow[1]), x * y * dtype.itemsize
+        segments = [Segment(k, tags[0][OFFSETS][0] + k * size, size, 0, 0, x, y, NONE, 1) for k in range(n)]
+    else:
+        if any((sample_type(e, t), t[HEIGHT][0], t[WIDTH][0]) != (dtype, x, y) for t in tags):
+            raise ValueError("pages of several sizes or kinds of samples are not read")
+        n, segments = len(tags), [s for k, t in enumerate(tags) for s in page_segments(k, t, dtype)]
+    return Layout(dtype, x, y, arranged(np.arange(n)[:, None, None], description)[..., 0, 0], segments)
+
+
+def segment_pixels(raw: bytes, found: Layout, s: Segment) -> np.ndarray:
+    """The pixels of a segment's bytes that are inside the image."""
+    size, data = s.rows * s.columns, UNPACKED[s.packing](raw)
+    if s.predictor == 3:
+        # Planes of bytes, the highest first, as differences along the row.
+        rows = np.frombuffer(data, np.uint8, size * found.dtype.itemsize).reshape(s.rows, -1)
+        planes = np.cumsum(rows, axis=1, dtype=np.uint8).reshape(s.rows, found.dtype.itemsize, s.columns).transpose(0, 2, 1)
+        part = np.ascontiguousarray(planes).view(found.dtype.newbyteorder(">")).reshape(s.rows, s.columns)
+    else:
+        part = np.frombuffer(data, found.dtype, size).reshape(s.rows, s.columns)
+        if s.predictor == 2:
+            part = np.cumsum(part, axis=1, dtype=found.dtype.newbyteorder("="))
+    return part[: found.height - s.top, : found.width - s.left]
+
+
 def arranged(pages: np.ndarray, description: str) -> np.ndarray:
     """Pages as (T, C, X, Y) if the description names channels, else as (T, X, Y), or (X, Y) of one page."""
     size = {k: int(m[1]) if (m := re.search(rf"\b{k}=(\d+)", description)) else 1 for k in ("channels", "slices", "frames")}
@@ -210,28 +278,17 @@ def arranged(pages: np.ndarray, description: str) -> np.ndarray:
 
 def decode_tiff(raw: bytes) -> np.ndarray:
     """The pages of a file, see arranged()."""
-    e, tags = directories(raw)
-    description = tags[0].get(DESCRIPTION, [""])[0]
-    follow = re.search(r"\bimages=(\d+)", description) if description.startswith("ImageJ=") else None
-    if follow and len(tags) == 1 and int(follow[1]) > 1:
-        if tags[0].get(COMPRESSION, [NONE])[0] != NONE:
-            raise ValueError("an ImageJ stack of one directory must not be compressed")
-        dtype, x, y = sample_type(e, tags[0]), tags[0][HEIGHT][0], tags[0][WIDTH][0]
-        return arranged(np.frombuffer(raw, dtype, int(follow[1]) * x * y, tags[0][OFFSETS][0]).reshape(-1, x, y), description)
-    return arranged(np.stack([decode_page(raw, e, t) for t in tags]), description)
+    fetch = of_bytes(raw)
+    found = layout(fetch)
+    pages = np.zeros((found.order.size, found.height, found.width), found.dtype)
+    for s in found.segments:
+        part = segment_pixels(fetch(s.offset, s.count), found, s)
+        pages[s.page, s.top : s.top + part.shape[0], s.left : s.left + part.shape[1]] = part
+    return pages[found.order]
 
 
 def decode(name: str, raw: bytes) -> np.ndarray:
-    if extension(name) == "tif":
-        return decode_tiff(raw)
-    try:
-        import nd2
-    except ImportError as e:
-        raise ValueError("reading ND2 files needs the nd2 package") from e
-    with tempfile.NamedTemporaryFile(suffix=".nd2") as f:
-        f.write(raw)
-        f.flush()
-        return nd2.imread(f.name)
+    return decode_tiff(raw) if extension(name) == "tif" else decode_nd2(raw)
 
 
 def as_stack(image: np.ndarray) -> np.ndarray:

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wavegrid.functions import numerics
-from wavegrid.operators import cells, cwt, fft, image, table
+from wavegrid.operators import cells, cwt, fft, image, moments, table
 from wavegrid.plans import pipeline
 from wavegrid.sources import tiff
 from wavegrid.streaming import frames
@@ -157,6 +157,33 @@ def test_wavelet_formulas():
         assert cwt.Wavelet.of((3, 60)).gain(np.array([w]))[0] == pytest.approx(2 * (math.e * 3 / 60) ** (60 / 3) * w**60 * math.exp(-(w**3)))
 
 
+@pytest.mark.parametrize("wavelet", [None, "morlet", "bump", (3.0, 20.0)])
+def test_scale_bounds_are_those_of_the_energies(wavelet):
+    """Summed up directly, at the scales themselves, in frequency and in time."""
+    chosen = cwt.Wavelet.of(wavelet)
+    for frames in (16, 50):
+        smallest, largest = cwt.scale_bounds(frames, wavelet, 0.6, 0.3)
+        w = (np.arange(200_000) + 0.5) * (math.pi * 40 / 200_000)
+        energy = chosen.gain(smallest * w) ** 2
+        assert abs(energy[w <= math.pi].sum() / energy.sum() - 0.6) < 2e-3
+        t, w = np.arange(-6000, 6000) * (largest / 200), (np.arange(4000) + 0.5) * (8 * chosen.peak / largest / 4000)
+        wave = np.array([np.sum(chosen.gain(largest * w) * np.cos(w * x)) for x in t]) + 1j * np.array([np.sum(chosen.gain(largest * w) * np.sin(w * x)) for x in t])
+        energy = np.abs(wave) ** 2
+        assert abs(energy[np.abs(t) <= cwt.padded_length(frames) / 2].sum() / energy.sum() - 0.3) < 1e-2
+
+
+def test_default_scales_exist_from_sixteen_frames_on(spark):
+    for frames in (16, 20, 32, 64, 361):
+        grid = cwt.piecewise_scales(frames)
+        ratio = np.log2(grid[1:] / grid[:-1]) * 32
+        assert len(grid[80:180]) > 20 and set(np.round(ratio, 6)) <= {1.0, 4.0} and (np.diff(ratio) > -1e-6).all()
+    series = make(spark, [(0, 0, 0, tone(3, n=16))])
+    row = cwt.cwt_features(series, 16, normalize_histogram=False, mean_centering=True).where("output = 'amp'").first()
+    assert len(row["values"]) == 16 and max(row["values"]) > 0
+    with pytest.raises(ValueError, match="shares"):
+        cwt.scale_bounds(16, None, 1.5)
+
+
 def test_wavelet_banks_agree_for_one_bank(spark):
     rng = np.random.default_rng(1)
     s = make(spark, [(c, x, 0, rng.normal(size=T).tolist()) for c in range(2) for x in range(5)] + [(0, 9, 9, None)])
@@ -419,14 +446,92 @@ def test_statistics_of_many_images_are_joined_in_parts(spark, monkeypatch):
         assert read(out) == want and "_part" not in out.columns
 
 
-def test_large_windows_are_summed_before_the_exchange(spark, monkeypatch):
+def ragged(spark):
+    """Series of several lengths, with null elements, NaN, null series and large means."""
+    rng = np.random.default_rng(6)
+    rows = []
+    for x in range(7):
+        for y in range(5):
+            values = [None if rng.random() < 0.1 else 1e9 + float(v) for v in rng.normal(size=4 + (x == 3))]
+            rows.append(("a" if x else "b", y % 2, x, y, values))
+    rows += [("n", 0, 0, 0, [1.0, math.nan]), ("n", 0, 0, 1, [3.0, 4.0]), ("z", 0, 0, 0, None), ("one", 0, 0, 0, [5.0, None])]
+    return rows, spark.createDataFrame(rows, SERIES).repartition(5)
+
+
+@pytest.mark.parametrize("held", [4_000_000, 1])
+def test_merged_moments_equal_those_of_all(spark, monkeypatch, held):
+    monkeypatch.setattr(moments, "HELD_NUMBERS", held)
+    rows, series = ragged(spark)
+    each = {}
+    for i, c, _, _, values in rows:
+        for t, v in enumerate(values or ()):
+            if v is not None:
+                each.setdefault((i, c, t), []).append(v)
+    got = {(r.image_id, r.c, r.t): r for r in moments.moments(series, ["image_id", "c"]).collect()}
+    assert set(got) == set(each)
+    for k, v in each.items():
+        n, mean, m2 = len(v), sum(v) / len(v), sum((x - np.mean(v)) ** 2 for x in v)
+        assert got[k].n == n and (math.isnan(mean) or abs(got[k].mean - mean) < 1e-6 and abs(got[k].m2 - m2) < 1e-6) and math.isnan(got[k].mean) == math.isnan(mean)
+    means = {(r.image_id, r.c): r["values"] for r in moments.mean_series(series, ["image_id", "c"]).collect()}
+    for (i, c), values in means.items():
+        for t, v in enumerate(values):
+            want = each.get((i, c, t))
+            assert (v is None) == (want is None) and (v is None or abs(v - np.mean(want)) < 1e-6 or math.isnan(v) and math.isnan(np.mean(want)))
+    assert set(means) == {k[:2] for k in each}
+
+
+def test_statistics_are_exchanged_by_task_not_by_pixel(spark):
+    """What is exchanged has a row for each task and frame, however many pixels there are."""
+    series = spark.range(4000, numPartitions=3).selectExpr("'i' as image_id", "0 as c", "cast(id as int) as x", "0 as y", "array(1.0D, cast(id as double), 2.0D) as values")
+    parts = moments.moments(series, ["image_id", "c"])
+    plan = parts._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and plan.index("Exchange") < plan.index("MapInArrow")
+    assert [(r.t, r.n, r.mean) for r in sorted(parts.collect())] == [(0, 4000.0, 1.0), (1, 4000.0, 1999.5), (2, 4000.0, 2.0)]
+
+
+def test_runs_of_moving_labels(spark):
+    rows = [("i", t, 0, 0, lab) for t, lab in [(0, 3), (1, 3), (2, 0), (3, 0), (5, 0), (6, 3)]] + [("i", 2, 0, 1, 9)]
+    got = cells.track_runs(spark.createDataFrame(rows, "image_id string, t int, x int, y int, label bigint")).collect()
+    assert {(r.x, r.y): [tuple(x) for x in r.runs] for r in got} == {(0, 0): [(0, 2, 3), (2, 2, 0), (5, 1, 0), (6, 1, 3)], (0, 1): [(2, 1, 9)]}
+
+
+def test_moving_labels_meet_series_once_a_pixel(spark):
+    rng = np.random.default_rng(8)
+    series = [("i", c, 0, y, rng.normal(size=9).tolist()) for c in range(2) for y in range(6)]
+    labels = [("i", t, 0, y, int(rng.integers(0, 4))) for t in range(12) for y in range(6) if rng.random() < 0.8]
+    moving = spark.createDataFrame(labels, "image_id string, t int, x int, y int, label bigint")
+    got = {(r.label, r.c, r.t): (r.mean, r.sd) for r in cells.tracks(spark.createDataFrame(series, SERIES), moving).collect()}
+    assert len(got) == 4 * 2 * 9
+    of = {(t, y): lab for _, t, _, y, lab in labels}
+    for (lab, c, t), (mean, sd) in got.items():
+        v = [s[4][t] for s in series if s[1] == c and of.get((t, s[3])) == lab]
+        assert abs(mean - (np.mean(v) if v else 0)) < 1e-9 and abs(sd - (math.sqrt(np.var(v) * len(v) / (max(len(v) - 1, 1) + 1e-6)) if v else 0)) < 1e-9
+
+
+def test_many_labels_are_counted_out_in_runs(spark, monkeypatch):
+    monkeypatch.setattr(cells, "LABELS", 7)
+    tops = spark.createDataFrame([("a", 20), ("b", 0), ("c", 6), ("d", 7)], "image_id string, top bigint")
+    rows = cells.counted_out(tops).collect()
+    assert sorted((r.image_id, r.label) for r in rows) == [(i, k) for i, n in (("a", 20), ("b", 0), ("c", 6), ("d", 7)) for k in range(n + 1)]
+
+
+def test_features_are_computed_once(spark):
+    """Cells without pixels do not cost a second transform."""
+    series = make(spark, [(c, 0, y, tone(3 + c)) for c in range(2) for y in range(4)])
+    masks = labels(spark, [("i", "all", 0, y, y % 2) for y in range(4)])
+    wide = pipeline.process_images(series, masks, 2, 1, normalize_histogram=False)
+    plan = wide._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+
+
+def test_windows_are_the_same_in_small_parts(spark, monkeypatch):
     rng = np.random.default_rng(6)
     rows = [("a", 0, x, y, rng.normal(size=3).tolist()) for x in range(9) for y in range(7)]
-    s = spark.createDataFrame(rows, "image_id string, c int, x int, y int, values array<double>")
+    s = spark.createDataFrame(rows, "image_id string, c int, x int, y int, values array<double>").repartition(4)
     read = lambda df: sorted((r.x, r.y, *np.round(r["values"], 9)) for r in df.collect())
     want = read(image.downsample_image(s, 9, 7, (2, 3)))
-    monkeypatch.setattr(image, "WINDOW_PIXELS", 1)
-    assert read(image.downsample_image(s, 9, 7, (2, 3))) == want
+    monkeypatch.setattr(moments, "HELD_NUMBERS", 1)
+    assert read(image.downsample_image(s, 9, 7, (2, 3))) == want and len(want) == 6
 
 
 def test_named_color_maps():

@@ -58,17 +58,28 @@ def threshold_masks(labels: DataFrame, queried: DataFrame, cutoffs: Mapping[str,
     return joined.select(*PIXEL, F.explode(masks).alias("m")).select("image_id", "m.mask_name", "x", "y", "m.label")
 
 
+#: Labels that are counted out in one row.
+LABELS = 10_000
+
+
+def counted_out(tops: DataFrame) -> DataFrame:
+    """tops with `label`, from 0 to `top` instead of it: runs of LABELS labels first, so that no row holds all."""
+    rest = [c for c in tops.columns if c != "top"]
+    runs = tops.select(*rest, "top", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("top"), F.lit(LABELS).cast("bigint"))).alias("_from"))
+    return runs.select(*rest, F.explode(F.sequence("_from", F.least(F.col("_from") + (LABELS - 1), F.col("top")))).alias("label"))
+
+
 def label_domain(labels: DataFrame, tests: Sequence[tuple[str, str, float]] = ()) -> DataFrame:
     """(image_id, mask_name, label): every label from 0 to the image's largest, for each mask and each derived one."""
     largest = labels.groupBy("image_id").agg(F.max("label").alias("top"), F.collect_set("mask_name").alias("masks"))
     masks = largest.select("image_id", F.explode("masks").alias("mask_name"), "top")
     masks = masks.select("image_id", F.explode(F.array(F.col("mask_name"), *[_derived(n) for n, _, _ in tests])).alias("mask_name"), "top")
-    return masks.select("image_id", "mask_name", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("top"))).alias("label"))
+    return counted_out(masks)
 
 
 def cell_stats(
     labels: DataFrame, queried: DataFrame, features: Sequence[str], levels: DataFrame | None = None, integer_mean: str = "floor",
-    cutoffs: Mapping[str, float] | None = None, carrier_index: int = 0,
+    cutoffs: Mapping[str, float] | None = None, carrier_index: int = 0, channels: DataFrame | None = None,
 ) -> DataFrame:
     """(image_id, mask_name, label, c, feature, stat, value): mean and sd over each label's pixels.
 
@@ -76,6 +87,8 @@ def cell_stats(
     standard deviation. argmaxes is averaged with the floor unless integer_mean is 'exact'. With
     cutoffs, the masks of threshold_masks() are derived in place, so that the features are read
     once. Sums are pre-aggregated before the exchange, so a label with most pixels is no hot key.
+    channels: (image_id, c) of the images, which are taken from levels or, at the cost of the
+    features being computed again, from queried.
     """
     if integer_mean not in ("floor", "exact"):
         raise ValueError("integer_mean must be 'floor' or 'exact'")
@@ -98,7 +111,8 @@ def cell_stats(
     wide = joined.groupBy("image_id", "mask_name", "label", "c").agg(*[a.alias(f"{f}|{s}") for f, s, a in aggregates])
     entries = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.lit(s).alias("stat"), F.col(f"`{f}|{s}`").cast("double").alias("value")) for f, s, _ in aggregates]))
     long = wide.select("image_id", "mask_name", "label", "c", entries.alias("e")).select("image_id", "mask_name", "label", "c", "e.*")
-    channels = wide.select("image_id", "c").distinct()
+    if channels is None:
+        channels = (queried if levels is None else levels).select("image_id", "c").distinct()
     kinds = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.lit(s).alias("stat")) for f, s, _ in aggregates]))
     full = label_domain(labels, tests).join(channels, "image_id").select("image_id", "mask_name", "label", "c", kinds.alias("e")).select("image_id", "mask_name", "label", "c", "e.*")
     keys = ["image_id", "mask_name", "label", "c", "feature", "stat"]
@@ -113,21 +127,38 @@ def cell_levels(labels: DataFrame, series: DataFrame) -> DataFrame:
     return full.join(wide, keys, "left").select(*keys, F.coalesce("value", F.lit(0.0)).alias("value"))
 
 
+def track_runs(labels: DataFrame) -> DataFrame:
+    """(image_id, x, y, runs) from (image_id, t, x, y, label): one row a pixel, whose runs are arrays of (start, frames, label).
+
+    A run is of frames that follow each other and have one label.
+    """
+    pixels = labels.groupBy(*PIXEL).agg(F.sort_array(F.collect_list(F.struct("t", "label"))).alias("at"))
+    before = lambda i: F.get("at", i - 1)
+    begins = lambda p, i: (i == 0) | (p["label"] != before(i)["label"]) | (p["t"] != before(i)["t"] + 1)
+    numbered = F.transform("at", lambda p, i: F.struct(i.alias("i"), begins(p, i).alias("begins")))
+    starts = F.transform(F.filter(numbered, lambda p: p["begins"]), lambda p: p["i"])
+    rows = pixels.select(*PIXEL, "at", starts.alias("starts"))
+    end = lambda k: F.coalesce(F.get("starts", k + 1), F.size("at"))
+    run = lambda i, k: F.struct(F.get("at", i)["t"].alias("start"), (end(k) - i).alias("frames"), F.get("at", i)["label"].alias("label"))
+    return rows.select(*PIXEL, F.transform("starts", run).alias("runs"))
+
+
 def tracks(series: DataFrame, labels: DataFrame) -> DataFrame:
-    """(image_id, label, c, t, mean, sd): trajectories of labels, from a static mask or one with frames (column t)."""
-    moving = "t" in labels.columns
-    each = series.select(*PIXEL, "c", F.posexplode("values").alias("t", "v"))
-    on = ["image_id", "t", "x", "y"] if moving else PIXEL
-    if not moving:
-        labels = labels.select(*PIXEL, "label")
-        # A static label is joined before the frames are taken apart: one row for each series moves.
-        each = series.join(labels, PIXEL).select("image_id", "label", "c", F.posexplode("values").alias("t", "v"))
+    """(image_id, label, c, t, mean, sd): trajectories of labels, from a static mask or one with frames (column t).
+
+    Series and labels meet as one row a pixel, and are taken apart where they have met.
+    """
+    if "t" in labels.columns:
+        met = series.join(track_runs(labels), PIXEL).select("image_id", "c", "values", F.explode("runs").alias("r"))
+        parts = met.select("image_id", F.col("r.label").alias("label"), "c", F.col("r.start").alias("start"), F.slice("values", F.col("r.start") + 1, F.col("r.frames")).alias("part"))
+        each = parts.select("image_id", "label", "c", "start", F.posexplode("part").alias("i", "v"))
+        each = each.select("image_id", "label", "c", (F.col("start") + F.col("i")).alias("t"), "v")
     else:
-        each = each.join(labels.select(*on, "label"), on).select("image_id", "label", "c", "t", "v")
+        each = series.join(labels.select(*PIXEL, "label"), PIXEL).select("image_id", "label", "c", F.posexplode("values").alias("t", "v"))
     stats = each.groupBy("image_id", "label", "c", "t").agg(F.avg("v").alias("mean"), group_sd(F.col("v")).alias("sd"))
     tops = labels.groupBy("image_id").agg(F.max("label").alias("top"))
     frames = series.groupBy("image_id", "c").agg(F.max(F.size("values")).alias("n"))
-    full = tops.join(frames, "image_id").select("image_id", "c", "n", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("top"))).alias("label"))
+    full = counted_out(tops.join(frames, "image_id"))
     full = full.select("image_id", "label", "c", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("t"))
     keys = ["image_id", "label", "c", "t"]
     joined = full.join(stats.withColumn("_in", F.lit(True)), keys, "left")

@@ -82,6 +82,70 @@ def log_scales(frames: int, voices: int = 32, wavelet=None) -> np.ndarray:
     return smallest * 2 ** (np.arange(n) / voices)
 
 
+def padded_length(frames: int) -> int:
+    """Samples of a series with its padding: a power of two, about twice as many."""
+    return 1 << (2 * frames - 1).bit_length() if frames > 1 else frames
+
+
+#: Points at which a wavelet's energy is summed up, and the angular frequencies that they reach, as multiples of its peak's.
+ENERGY_POINTS, ENERGY_REACH = 1 << 14, 16
+
+
+def energy_below(wavelet: Wavelet, w: float) -> float:
+    """The share of the wavelet's energy at angular frequencies up to w."""
+    at = (np.arange(ENERGY_POINTS) + 0.5) * (ENERGY_REACH * wavelet.peak / ENERGY_POINTS)
+    energy = wavelet.gain(at) ** 2
+    return float(energy[at <= w].sum() / energy.sum())
+
+
+def energy_within(wavelet: Wavelet, half: float) -> float:
+    """The share of the wavelet's energy at times up to `half` from its centre (at scale 1)."""
+    step = 2 * math.pi / (2 * ENERGY_REACH * wavelet.peak)
+    w = 2 * math.pi * np.fft.fftfreq(ENERGY_POINTS, step)
+    gain = np.zeros(ENERGY_POINTS)
+    gain[w > 0] = wavelet.gain(w[w > 0])
+    energy = np.abs(np.fft.ifft(gain)) ** 2
+    t = np.abs(np.fft.fftfreq(ENERGY_POINTS, 1 / ENERGY_POINTS)) * step
+    return float(energy[t <= half].sum() / energy.sum())
+
+
+def bisected(test, low: float, high: float) -> float:
+    """The largest value, to a part in 2^40, for which test holds; it holds at low and, from some value on, no more."""
+    for _ in range(60):
+        middle = (low + high) / 2
+        low, high = (middle, high) if test(middle) else (low, middle)
+    return low
+
+
+def scale_bounds(frames: int, wavelet=None, nyquist_share: float = 0.5, time_share: float = 0.25) -> tuple[float, float]:
+    """The smallest scale with at least `nyquist_share` of its wavelet's energy below the highest frequency, and the largest with at least
+    `time_share` of its energy within the padded series.
+
+    A scale s stretches the wavelet by s in time and narrows it by s in frequency, so both are
+    found from the energies at scale 1.
+    """
+    chosen = Wavelet.of(wavelet)
+    if not 0 < nyquist_share < 1 or not 0 < time_share < 1:
+        raise ValueError("shares of energy are between 0 and 1")
+    reach = ENERGY_REACH * chosen.peak
+    below = bisected(lambda w: energy_below(chosen, w) < nyquist_share, 0.0, reach)
+    half = bisected(lambda t: energy_within(chosen, t) < time_share, 0.0, ENERGY_POINTS * math.pi / reach)
+    smallest, largest = below / math.pi, padded_length(frames) / 2 / half
+    return smallest, max(smallest, largest)
+
+
+def piecewise_scales(frames: int, voices: int = 32, wavelet=None, thinned: float = 1.0, thinning: int = 4, **shares) -> np.ndarray:
+    """Scales between scale_bounds(), `voices` to an octave; in the largest `thinned` octaves every `thinning`-th of them.
+
+    Neighbours among the largest scales differ by less than the series can tell apart.
+    """
+    smallest, largest = scale_bounds(frames, wavelet, **shares)
+    n = int(math.floor(voices * math.log2(largest / smallest) + 1e-9)) + 1
+    k = np.arange(n)
+    turn = max(0, n - 1 - int(round(thinned * voices)))
+    return smallest * 2 ** (k[(k <= turn) | ((k - turn) % thinning == 0)] / voices)
+
+
 def scale_frequencies(scales: np.ndarray, fs: float, wavelet=None) -> np.ndarray:
     """The frequency at which each scale's wavelet peaks."""
     return Wavelet.of(wavelet).peak / np.asarray(scales) / (2 * math.pi) * fs
@@ -107,7 +171,7 @@ def transform(values: np.ndarray, scales: np.ndarray, padding: str | None = "ref
     n = values.shape[1]
     left = right = 0
     if padding is not None and n > 1:
-        total = 1 << (2 * n - 1).bit_length()
+        total = padded_length(n)
         left = (total - n) // 2
         right = total - n - left
         values = np.pad(values, ((0, 0), (left, right)), mode=padding)
@@ -194,7 +258,8 @@ def cwt_features(
 ) -> DataFrame:
     """(image_id, channel, output, bank, x, y, values): one array over frames for each pixel, channel, output and bank.
 
-    min_scale and max_scale are places in `scales` (log_scales(frames, voices) unless given).
+    min_scale and max_scale are places in `scales` (piecewise_scales(frames, voices) unless given),
+    of which the default ones exist from 16 frames on.
     wavelet: as Wavelet.of() takes it; norm: 'l1' or 'l2'. downsample_by: (height, width, scale). blocks: partitions for the transform;
     Spark's own number unless given. Only the channels asked for leave the scan, and a pixel's
     channels are brought together by one exchange; coefficients stay within a batch.
@@ -203,7 +268,7 @@ def cwt_features(
     if sampling is not None and wavelet is None:
         warnings.warn("no wavelet is given; frequencies are those of the default generalized Morse wavelet", stacklevel=2)
     chosen = Wavelet.of(wavelet)
-    grid = np.asarray(scales if scales is not None else log_scales(frames, voices, chosen), float)
+    grid = np.asarray(scales if scales is not None else piecewise_scales(frames, voices, chosen), float)
     wavelet_bank(grid[:1], frames, chosen, norm)
     checked_outputs(outputs, carrier_channel, num_filter_banks, len(grid[min_scale:max_scale]), bank_method)
     frequencies = scale_frequencies(grid, sampling.fs, chosen) if sampling is not None else None

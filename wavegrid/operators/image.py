@@ -8,7 +8,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wavegrid.functions.kept import kept
 from wavegrid.functions.numerics import centred, ieee_div
+from wavegrid.operators.moments import mean_series, moments
 
 
 def target_size(size: int, scale: float) -> int:
@@ -36,25 +38,17 @@ def _windows(spark: SparkSession, size: int, new: int, old_name: str, new_name:
     return F.broadcast(ends)
 
 
-#: Pixels of a window up to which its series are brought together as they are.
-WINDOW_PIXELS = 4096
-
-
 def downsample_image(series: DataFrame, height: int, width: int, scale) -> DataFrame:
     """Series of a smaller image: each pixel is the mean over its window, frame by frame.
 
-    The windows are an equi-join with a mapping table. The arrays of a window are moved once, as
-    they are, and averaged where they meet; only windows of more than WINDOW_PIXELS pixels are
-    summed frame by frame before the exchange, so that none is too large for a task.
+    The windows are an equi-join with a mapping table. Series are added up as arrays where they
+    are, so one array for each window and task is exchanged, whatever the windows' size.
     """
     h, w = _sizes(height, width, scale)
     spark = series.sparkSession
     mapped = series.join(_windows(spark, height, h, "x", "nx"), "x").join(_windows(spark, width, w, "y", "ny"), "y").select("image_id", "c", "nx", "ny", "values")
-    if -(-height // h) * -(-width // w) <= WINDOW_PIXELS:
-        mapped = mapped.repartition("image_id", "c", "nx", "ny")
-    each = mapped.select("image_id", "c", "nx", "ny", F.posexplode("values").alias("t", "v")).groupBy("image_id", "c", "nx", "ny", "t").agg(F.avg("v").alias("v"))
-    rows = each.groupBy("image_id", "c", "nx", "ny").agg(F.sort_array(F.collect_list(F.struct("t", "v"))).alias("at"))
-    return rows.select("image_id", "c", F.col("nx").alias("x"), F.col("ny").alias("y"), F.transform("at", lambda a: a["v"]).alias("values"))
+    rows = mean_series(mapped, ["image_id", "c", "nx", "ny"])
+    return rows.select("image_id", "c", F.col("nx").alias("x"), F.col("ny").alias("y"), "values")
 
 
 def downsample_mask(labels: DataFrame, height: int, width: int, scale) -> DataFrame:
@@ -71,10 +65,13 @@ def downsample_mask(labels: DataFrame, height: int, width: int, scale) -> DataFr
 
 def frame_statistics(series: DataFrame) -> DataFrame:
     """(image_id, c, mean, sd): arrays over frames of the mean and sample standard deviation of all pixels."""
-    each = series.select("image_id", "c", F.posexplode("values").alias("t", "v"))
-    stats = each.groupBy("image_id", "c", "t").agg(F.avg("v").alias("m"), F.coalesce(F.stddev_samp("v"), F.lit(float("nan"))).alias("s"))
-    rows = stats.groupBy("image_id", "c").agg(F.sort_array(F.collect_list(F.struct("t", "m", "s"))).alias("at"))
-    return rows.select("image_id", "c", F.transform("at", lambda a: a["m"]).alias("mean"), F.transform("at", lambda a: a["s"]).alias("sd"))
+    each = moments(series, ["image_id", "c"])
+    sd = F.when(F.col("n") > 1, F.sqrt(F.col("m2") / F.greatest(F.col("n") - 1, F.lit(1.0)))).otherwise(F.lit(float("nan")))
+    at = F.map_from_entries(F.collect_list(F.struct("t", F.struct("mean", sd.alias("sd")))))
+    rows = each.groupBy("image_id", "c").agg(at.alias("at"), (F.max("t") + 1).alias("frames"))
+    # A frame without a pixel has no mean.
+    read = lambda name, none: F.transform(F.sequence(F.lit(0), F.col("frames") - 1), lambda t: F.coalesce(F.try_element_at("at", t)[name], F.lit(none)))
+    return rows.select("image_id", "c", read("mean", None).alias("mean"), read("sd", float("nan")).alias("sd"))
 
 
 #: Numbers of per-image statistics that are sent to all tasks at most; parts that an image's pixels are dealt to otherwise.
@@ -88,11 +85,11 @@ def with_statistics(series: DataFrame, statistics: DataFrame, keys: list[str], n
     all tasks up to SENT_NUMBERS, so that no pixel moves; beyond, each image's pixels are dealt to
     PARTS parts, so that no image meets in one task.
     """
-    kept = statistics.persist()
-    if (kept.agg(F.sum(numbers)).first()[0] or 0) <= SENT_NUMBERS:
-        return series.join(F.broadcast(kept), keys)
+    found = kept(statistics)
+    if (found.agg(F.sum(numbers)).first()[0] or 0) <= SENT_NUMBERS:
+        return series.join(F.broadcast(found), keys)
     part = F.pmod(F.xxhash64("x", "y"), F.lit(PARTS)).cast("int")
-    each = kept.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    each = found.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
     return series.withColumn("_part", part).join(each, [*keys, "_part"]).drop("_part")
 
 

@@ -59,13 +59,9 @@ def event_axes(spark: SparkSession, sf_dir: str):
     return row[0], row[1] or 0, row[2]
 
 
-def event_days(spark: SparkSession, sf_dir: str) -> int:
-    return event_axes(spark, sf_dir)[1]
-
-
-def event_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as an image 10 wide: a pixel for each user, a channel for each type, a frame for each day."""
-    first, days, types = event_axes(spark, sf_dir)
+def event_series(spark: SparkSession, sf_dir: str, axes=None) -> DataFrame:
+    """Events as an image 10 wide: a pixel for each user, a channel for each type, a frame for each day. axes: event_axes(), if known."""
+    first, days, types = axes or event_axes(spark, sf_dir)
     kind = (F.array_position(F.array(*map(F.lit, types)), F.col("event_type")) - 1).cast("int")
     summed = table(spark, sf_dir, "events").groupBy("user_id", kind.alias("c"), F.datediff(F.to_date("ts"), F.lit(first)).alias("t")).agg(F.sum("value").alias("value"))
     pixels = summed.select(
@@ -83,10 +79,10 @@ def event_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def event_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
+def event_tracks(spark: SparkSession, sf_dir: str, days: int) -> DataFrame:
     """A label that moves: (user_id + t) % 7 + 1."""
     users = table(spark, sf_dir, "events").select("user_id").distinct()
-    rows = users.select("user_id", F.explode(F.sequence(F.lit(0), F.lit(event_days(spark, sf_dir) - 1))).alias("t"))
+    rows = users.select("user_id", F.explode(F.sequence(F.lit(0), F.lit(days - 1))).alias("t"))
     return rows.select(
         F.lit("V").alias("image_id"), "t", F.expr("cast(user_id div 10 as int)").alias("x"),
         F.expr("cast(user_id % 10 as int)").alias("y"), ((F.col("user_id") + F.col("t")) % 7 + 1).cast("bigint").alias("label"),

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from wavegrid.plans.queries import BAND, BANKS, CUTOFF, HIGH, KERNEL, LOW, MORLET, NAMES, SAMPLING, SCALES, THRESHOLD
+from wavegrid.operators.cwt import piecewise_scales
+from wavegrid.plans.queries import BAND, BANKS, CUTOFF, GRID_END, HIGH, KERNEL, LOW, MORLET, NAMES, SAMPLING, SCALES, THRESHOLD
 
 E_VOX = """vox AS (
   SELECT CAST(vec_id // 25 AS BIGINT) AS x, CAST(vec_id % 25 AS BIGINT) AS y, CAST(i % 2 AS BIGINT) AS c, CAST(i // 2 AS BIGINT) AS t,
@@ -128,20 +129,21 @@ LISTS = "sig AS MATERIALIZED (SELECT x, y, c, list(v ORDER BY t) AS v FROM cen G
 MORLET_GAIN = f"2 * (exp(-0.5 * pow(s * 2 * pi() * k / {{n}} - {MORLET}, 2)) - exp(-0.5 * (pow({MORLET}, 2) + pow(s * 2 * pi() * k / {{n}}, 2))))"
 
 
-def wave_ctes(n: int = 32, left: int = 0, power: bool = False, gain: str = GAIN) -> str:
-    """From sig (lists of n samples, the first `left` of them padding): coefficients as products with one kernel for each scale and frame."""
+def wave_ctes(n: int = 32, left: int = 0, more: str = "", gain: str = GAIN, scales=tuple(enumerate(SCALES)), low: int = LOW, high: int = HIGH) -> str:
+    """From sig (lists of n samples, the first `left` of them padding): coefficients as products with one kernel for each scale and frame.
+
+    more: columns over all scales of a pixel, channel and frame (window w), where they are read.
+    """
     gain, angle = gain.format(n=n), f"2 * pi() * ((k * (t + {left} - u + {n})) % {n}) / {n}"
-    divided = "a / sum(a) OVER w" if power else "a"
-    return f"""scl(i, s) AS (VALUES {", ".join(f"({i}, {s!r})" for i, s in enumerate(SCALES))}),
+    wide = f"(SELECT *, {more} FROM cof WINDOW w AS (PARTITION BY x, y, c, t))" if more else "cof"
+    return f"""scl(i, s) AS (VALUES {", ".join(f"({i}, {s!r})" for i, s in scales)}),
 ker AS MATERIALIZED (
   SELECT i, t, list(re ORDER BY u) AS re, list(im ORDER BY u) AS im FROM (
     SELECT CAST(i AS BIGINT) AS i, CAST(t AS BIGINT) AS t, u, sum(({gain}) * cos({angle})) / {n} AS re, sum(({gain}) * sin({angle})) / {n} AS im
-    FROM scl, range(1, {n // 2 + 1}) AS q(k), range(32) AS p(t), range({n}) AS o(u) GROUP BY ALL) GROUP BY i, t),
-cof AS MATERIALIZED (
+    FROM scl, range(1, {n // 2 + 1}) AS q(k), range(32) AS p(t), range({n}) AS o(u) {"" if more else f"WHERE i >= {low} AND i < {high}"} GROUP BY ALL) GROUP BY i, t),
+cof AS (
   SELECT *, sqrt(wr * wr + wi * wi) AS a FROM (SELECT x, y, c, i, t, list_dot_product(v, re) AS wr, list_dot_product(v, im) AS wi FROM sig, ker)),
-sub AS MATERIALIZED (
-  SELECT *, i - {LOW} AS j FROM (SELECT *, avg(a) OVER w AS m, stddev_samp(a) OVER w AS sd, {divided} AS p FROM cof WINDOW w AS (PARTITION BY x, y, c, t))
-  WHERE i >= {LOW} AND i < {HIGH})"""
+sub AS MATERIALIZED (SELECT *, i - {low} AS j FROM {wide} WHERE i >= {low} AND i < {high})"""
 
 
 WAVE = f"WITH {E_VOX}, {CEN}, {LISTS}, {wave_ctes()}"
@@ -149,6 +151,8 @@ WAVE = f"WITH {E_VOX}, {CEN}, {LISTS}, {wave_ctes()}"
 PADDED = f"""WITH {E_VOX}, nrm AS (SELECT x, y, c, t, (v - avg(v) OVER w) / stddev_samp(v) OVER w AS v FROM vox WINDOW w AS (PARTITION BY c, t)),
 cen AS (SELECT x, y, c, t, v - avg(v) OVER (PARTITION BY x, y, c) AS v FROM nrm), {LISTS.replace("sig AS", "raw AS")},
 sig AS MATERIALIZED (SELECT x, y, c, list_transform(range(64), lambda u: v[CAST(CASE WHEN u < 16 THEN 17 - u WHEN u < 48 THEN u - 15 ELSE 79 - u END AS BIGINT)]) AS v FROM raw), {wave_ctes(64, 16)}"""
+#: The default grid's scales that cwt_default_grid reads.
+DEFAULT_GRID = [(k, float(v)) for k, v in enumerate(piecewise_scales(32)) if 80 <= k < GRID_END]
 CARRIER_AT = "crr AS (SELECT x, y, t, i FROM (SELECT *, row_number() OVER (PARTITION BY x, y, t ORDER BY a DESC, i) AS n FROM sub WHERE c = 0) WHERE n = 1)"
 POOL = HIGH - LOW
 BANK_ROWS = ", ".join(f"({b}, {b * POOL // BANKS}, {-(-(b + 1) * POOL // BANKS)})" for b in range(BANKS))
@@ -211,8 +215,8 @@ WHERE lab.x = i * big_h // h AND lab.y = j * big_w // w""",
     "color_projection_max": color_sql("max"),
     "color_projection_sum": color_sql("sum"),
     "cwt_amp": wave_sql(r("s.a", "value")),
-    "cwt_freq_index": wave_sql(r("s.i", "value")),
-    "cwt_z_score": wave_sql(r("(s.a - s.m) / s.sd", "value")),
+    "cwt_freq_index": wave_sql(r("CAST(s.i AS DOUBLE)", "value")),
+    "cwt_z_score": wave_sql(r("(s.a - s.m) / s.sd", "value"), ctes=f"WITH {E_VOX}, {CEN}, {LISTS}, {wave_ctes(more='avg(a) OVER w AS m, stddev_samp(a) OVER w AS sd')}"),
     "cwt_phase_difference": f"""{WAVE}, {CARRIER_AT}
 SELECT s.x, s.y, s.c, s.t, {r("cos(atan2(s.wi, s.wr) - atan2(p.wi, p.wr))", "cos_difference")}, {r("sin(atan2(s.wi, s.wr) - atan2(p.wi, p.wr))", "sin_difference")}
 FROM sub s JOIN crr ON s.x = crr.x AND s.y = crr.y AND s.t = crr.t AND s.i = crr.i JOIN sub p ON p.x = s.x AND p.y = s.y AND p.t = s.t AND p.i = s.i AND p.c = 0""",
@@ -223,10 +227,10 @@ SELECT s.x, s.y, s.c, CAST(crr.bank AS BIGINT) AS bank, s.t, {r("s.a", "value")}
 SELECT s.x, s.y, s.c, CAST(crr.bank AS BIGINT) AS bank, s.t, {r("s.a", "value")} FROM sub s JOIN crr ON s.x = crr.x AND s.y = crr.y AND s.t = crr.t AND s.i = crr.i""",
     "cwt_phase": wave_sql(r("s.wr / s.a", "cos_phase"), r("s.wi / s.a", "sin_phase")),
     "cwt_freq_hz": wave_sql(r(f"pow(20.0, 1 / 3.0) / (SELECT s FROM scl WHERE scl.i = s.i) / (2 * pi()) * {SAMPLING.fs}", "value")),
-    "cwt_normalized_amp": wave_sql(r("s.p", "value"), ctes=f"WITH {E_VOX}, {CEN}, {LISTS}, {wave_ctes(power=True)}"),
+    "cwt_normalized_amp": wave_sql(r("s.p", "value"), ctes=f"WITH {E_VOX}, {CEN}, {LISTS}, {wave_ctes(more='a / sum(a) OVER w AS p')}"),
     "cwt_default_preprocessing": wave_sql(r("s.a", "value", 5), ctes=PADDED),
-    "cwt_blocks": wave_sql(r("s.a", "value")),
     "cwt_morlet": wave_sql(r("s.a", "value"), ctes=f"WITH {E_VOX}, {CEN}, {LISTS}, {wave_ctes(gain=MORLET_GAIN)}"),
+    "cwt_default_grid": wave_sql(r("s.a", "value"), ctes=f"WITH {E_VOX}, {CEN}, {LISTS.replace('FROM cen', 'FROM cen WHERE c = 0')}, {wave_ctes(scales=DEFAULT_GRID, low=80, high=GRID_END)}"),
     "cwt_channel_outputs": f"""{WAVE}, {CARRIER_AT}
 SELECT s.x, s.y, CASE s.c WHEN 0 THEN 'a' ELSE 'b' END AS channel, o AS output, s.t, {r("CASE o WHEN 'freq' THEN s.i ELSE s.a END", "value")} {AT_CARRIER}
 JOIN (VALUES (0, 'freq'), (1, 'amp')) q(c, o) ON q.c = s.c""",

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wavegrid.functions.kept import kept
 from wavegrid.operators.cells import cell_stats, threshold_name
 from wavegrid.operators.fft import FEATURES, QUERIED, Sampling, check_cutoff, checked, peak_query, spectrum
 from wavegrid.operators.image import downsample_image, downsample_mask, temporal_mean
@@ -27,7 +26,7 @@ def process_images(
 
     masks: the mask names in `labels`. downsample_by: (height, width, scale). Levels come from the
     images before normalisation. Column names follow from the arguments; the only job that runs
-    before an action is that of the frames' statistics, with normalize_histogram.
+    before an action is that of the frames' statistics, with normalize_histogram (see kept()).
     """
     names = named_channels(channel_names, channels)
     if not 0 <= carrier_index < channels:
@@ -49,23 +48,6 @@ def process_images(
     return (wide, spectrum(series, chosen, normalize_histogram, max_bin)) if return_fft_features else wide
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a temporary one only where the session names none and runs in one process."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if named is None and not re.match(r"local(\[|$)", sc.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="wavegrid-"))
-    return sc.getCheckpointDir()
-
-
-def decoded_once(rows: DataFrame) -> DataFrame:
-    """rows, kept in the shared folder as a checkpoint, so that files are not decoded for each use."""
-    shared_folder(rows.sparkSession)
-    return rows.checkpoint()
-
-
 def shapes(rows: DataFrame, *more) -> DataFrame:
     """(file, height, width, pixels, ...) of each file's pixels, counted before the exchange."""
     return rows.groupBy(F.col("image_id").alias("file")).agg((F.max("x") + 1).alias("height"), (F.max("y") + 1).alias("width"), F.count(F.lit(1)).alias("pixels"), *more)
@@ -93,7 +75,7 @@ def unequal_shapes(series: DataFrame, labels: DataFrame, of_image: DataFrame, ch
 def analysed(pairs: DataFrame, series: DataFrame, labels: DataFrame, channels: int, **options) -> tuple[DataFrame, DataFrame]:
     """(wide per-cell table, (image_filename, error) of the images that are left out), from pair_files(), load_images() and load_masks() or what stacks.py gives."""
     of_image = pairs.where("found").select(F.col("mask_filename").alias("image_id"), "image_filename")
-    series, labels = decoded_once(series), decoded_once(labels)
+    series, labels = kept(series), kept(labels)
     of_labels = labels.join(of_image, "image_id")
     moving = of_labels.where("t is not null").groupBy("image_filename").agg((F.max("t") + 1).alias("frames"))
     bad = series.where("error is not null").select(F.col("image_id").alias("image_filename"), "error")
@@ -101,7 +83,7 @@ def analysed(pairs: DataFrame, series: DataFrame, labels: DataFrame, channels: i
     bad = bad.unionByName(moving.select("image_filename", F.concat(F.lit("a mask of "), "frames", F.lit(" frames; one is expected")).alias("error")))
     unequal = unequal_shapes(series.where("error is null"), labels.where("error is null"), of_image, channels)
     # A file with an error may have some of its pixels.
-    bad = decoded_once(bad.unionByName(unequal.join(bad.select("image_filename").distinct(), "image_filename", "left_anti")))
+    bad = kept(bad.unionByName(unequal.join(bad.select("image_filename").distinct(), "image_filename", "left_anti")))
     missing = pairs.where("not found").select("image_filename", F.concat(F.lit("no mask file "), "mask_filename").alias("error"))
     left_out = bad.select(F.col("image_filename").alias("image_id")).distinct()
     good = of_labels.where("error is null and t is null").select(F.col("image_filename").alias("image_id"), F.lit("all").alias("mask_name"), "x", "y", "label")
@@ -130,7 +112,7 @@ def process_folder(spark: SparkSession, images_directory: str, masks_directory:
         return process_files(tiff.files(spark, images_directory), tiff.files(spark, masks_directory), channels, **options)
     name = F.element_at(F.split("path", "/"), -1).alias("name")
     listed = [spark.read.format("binaryFile").option("pathGlobFilter", "*.{tif,nd2}").load(d).select(name) for d in (images_directory, masks_directory)]
-    pairs = decoded_once(tiff.pair_files(*listed))
+    pairs = kept(tiff.pair_files(*listed))
     images = stacks.read_stacks(spark, images_directory, bytes_per_partition=bytes_per_partition, dimensions="3,4")
     masks = stacks.read_stacks(spark, masks_directory, bytes_per_partition=bytes_per_partition, dimensions="2,3")
     chosen = [pairs.where("found").select(F.col(n).alias("image_id")).distinct() for n in ("image_filename", "mask_filename")]

@@ -8,9 +8,10 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wavegrid.functions.kept import shared_folder
 from wavegrid.operators import cells, cwt, fft, image, table
 from wavegrid.plans import model
-from wavegrid.plans.pipeline import process_files, process_images, shared_folder
+from wavegrid.plans.pipeline import process_files, process_images
 from wavegrid.sources import stacks, tiff
 from wavegrid.sources.nd2 import encode_nd2
 from wavegrid.streaming import frames
@@ -19,9 +20,11 @@ from wavegrid.streaming import frames
 CUTOFF, CARRIER, THRESHOLD = 1, 0, 0.15
 KERNEL = (0.25, 0.5, 0.25)
 SAMPLING = fft.Sampling(fs=2, N=32)
-#: Wavelet queries: 16 scales, four to an octave, from the highest frequency; places 2 to 13 are searched.
-SCALES = [float((cwt.BETA / cwt.GAMMA) ** (1 / cwt.GAMMA) / np.pi * 2 ** (k / 4)) for k in range(16)]
-LOW, HIGH, BANKS = 2, 14, 3
+#: Wavelet queries: 8 scales, two to an octave, from the highest frequency; places 1 to 6 are searched.
+SCALES = [float((cwt.BETA / cwt.GAMMA) ** (1 / cwt.GAMMA) / np.pi * 2 ** (k / 2)) for k in range(8)]
+LOW, HIGH, BANKS = 1, 7, 3
+#: The end of the default grid's places in cwt_default_grid.
+GRID_END = 100
 #: The centre of the Morlet wavelet in cwt_morlet.
 MORLET = 3.0
 
@@ -119,13 +122,18 @@ def long_cells(rows: DataFrame) -> DataFrame:
     return rows.select("mask_name", *keys("label", "c"), "feature", "stat", rounded("value").alias("value"))
 
 
+def channels_of(spark, sf_dir) -> DataFrame:
+    return model.embedding_series(spark, sf_dir).select("image_id", "c").distinct()
+
+
 def cell_stats(spark, sf_dir):
-    return long_cells(cells.cell_stats(model.embedding_labels(spark, sf_dir), queried(spark, sf_dir), CELL_FEATURES))
+    return long_cells(cells.cell_stats(model.embedding_labels(spark, sf_dir), queried(spark, sf_dir), CELL_FEATURES, channels=channels_of(spark, sf_dir)))
 
 
 def cell_stats_thresholded(spark, sf_dir):
     rows = cells.cell_stats(
-        model.embedding_labels(spark, sf_dir), queried(spark, sf_dir), CELL_FEATURES, cutoffs={"normalized_amplitude": THRESHOLD}, carrier_index=CARRIER
+        model.embedding_labels(spark, sf_dir), queried(spark, sf_dir), CELL_FEATURES, cutoffs={"normalized_amplitude": THRESHOLD}, carrier_index=CARRIER,
+        channels=channels_of(spark, sf_dir),
     )
     return long_cells(rows)
 
@@ -136,7 +144,7 @@ def cell_levels(spark, sf_dir):
 
 
 def cell_argmax_floor_mean(spark, sf_dir):
-    return long_cells(cells.cell_stats(model.embedding_labels(spark, sf_dir), queried(spark, sf_dir), ["argmaxes"]))
+    return long_cells(cells.cell_stats(model.embedding_labels(spark, sf_dir), queried(spark, sf_dir), ["argmaxes"], channels=channels_of(spark, sf_dir)))
 
 
 NAMES = ("a", "b")
@@ -219,7 +227,8 @@ def minmax_norm(spark, sf_dir):
 
 def color_projection(proj: str):
     def query(spark, sf_dir):
-        rows = image.color_by_axis(model.event_series(spark, sf_dir), model.event_days(spark, sf_dir), proj=proj)
+        axes = model.event_axes(spark, sf_dir)
+        rows = image.color_by_axis(model.event_series(spark, sf_dir, axes), axes[1], proj=proj)
         return rows.select(*keys("x", "y", "c"), *[rounded(n).alias(n) for n in "rgb"])
 
     return query
@@ -254,9 +263,16 @@ def cwt_channel_outputs(spark, sf_dir):
     return rows.select(*keys("x", "y"), "channel", "output", F.posexplode("values").alias("t", "value")).select("x", "y", "channel", "output", *keys("t"), rounded("value").alias("value"))
 
 
+def cwt_default_grid(spark, sf_dir):
+    """The scales from the default's first place on, of a series of 32 frames."""
+    series = model.embedding_series(spark, sf_dir)
+    rows = cwt.cwt_features(series, 32, max_scale=GRID_END, channel_outputs={0: ["amp"]}, normalize_histogram=False, mean_centering=True, padding=None)
+    return elements(rows.select(F.lit(0).alias("c"), "x", "y", "values"), "values")
+
+
 def cwt_as_series(spark, sf_dir):
     """Amplitudes as a series table again, with the channels in another order."""
-    rows = wavelet_rows(spark, sf_dir, {0: ["amp"], 1: ["amp"]})
+    rows = wavelet_rows(spark, sf_dir, {0: ["amp"], 1: ["amp"]}, blocks=7)
     return elements(cwt.as_series(rows, [("1", "amp", 0), ("0", "amp", 0)]), "values")
 
 
@@ -282,7 +298,8 @@ def track_mean_sd(spark, sf_dir):
 
 
 def track_moving_mask(spark, sf_dir):
-    return track_rows(cells.tracks(model.event_series(spark, sf_dir), model.event_tracks(spark, sf_dir)))
+    axes = model.event_axes(spark, sf_dir)
+    return track_rows(cells.tracks(model.event_series(spark, sf_dir, axes), model.event_tracks(spark, sf_dir, axes[1])))
 
 
 def file_pairing(spark, sf_dir):
@@ -474,9 +491,9 @@ QUERIES = {
     "cwt_freq_hz": cwt_output("freq", sampling=SAMPLING, wavelet=(cwt.GAMMA, cwt.BETA)),
     "cwt_normalized_amp": cwt_output("amp", normalize_amplitudes=True),
     "cwt_default_preprocessing": cwt_output("amp", 5, normalize_histogram=True, mean_centering=True, padding="reflect"),
-    "cwt_blocks": cwt_output("amp", blocks=7),
     "cwt_morlet": cwt_output("amp", wavelet=("morlet", MORLET)),
     "cwt_channel_outputs": cwt_channel_outputs,
+    "cwt_default_grid": cwt_default_grid,
     "cwt_as_series": cwt_as_series,
     "cwt_bank_maxpool": cwt_bank("max_pool"),
     "cwt_bank_sort": cwt_bank("sort"),

@@ -758,7 +758,13 @@ def test_windows_reach_beyond_each_trigger(entity_model):
     long = "word " * 30
     for mark in ("7", "@", "(at)", "[at]", "(dot)", "[dot]", "at x dot y"):
         line = f"{long}{mark} 3 {long}"
-        assert pii.windows(f"{line}\n{long}") == [(150 - (mark[0] == "a") - pii.MARGIN, line.index("3") + 1 + pii.MARGIN)]
+        # At least MARGIN on either side, and the words at the edges are whole.
+        start, end = 150 - (mark[0] == "a") - pii.MARGIN, line.index("3") + 1 + pii.MARGIN
+        while line[start - 1] != " ":
+            start -= 1
+        while line[end] != " " and line[end - 1] != " ":
+            end += 1
+        assert pii.windows(f"{line}\n{long}") == [(start, end)]
     assert not pii.windows(f"{long} at noon. the dot, {long}") and pii.windows("a 1\nb") == [(0, 3)]
 
 
@@ -780,6 +786,45 @@ def test_long_windows_and_addresses_are_whole(entity_model):
     assert lattice.gold == {0: (len(lattice.tokens), 0)} and len(lattice.tokens) > pii.MAX_TOKENS
 
 
+def whole_lines(text, scores):
+    """The model's entities of each line, labelled as one window from end to end."""
+    out, at = [], 0
+    for line in text.split("\n"):
+        out += pii.best_entities(text, at, at + len(line), scores)
+        at += len(line) + 1
+    return out
+
+
+def test_addresses_of_any_length_are_whole_at_every_place(entity_model):
+    scores = pii.scores_of(*entity_model)
+    rng = random.Random(12)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    for n in range(1, 201):
+        local, domain = word(min(n, 64)), word(n)
+        address = rng.choice(["{} (at) {} (dot) org", "{}(at){}.org", "{} [at] {} [dot] org", "{} (@) {}.org"]).format(local, domain)
+        before = "word " * rng.randrange(1, 40) + word(rng.randrange(1, 60)) + " "
+        text = f"{before}{address}, {'word ' * 40}"
+        spans = pii.added_spans(text, scores, [])
+        assert (0, len(before), len(before) + len(address)) in spans, (n, address)
+        assert pii.redacted(text, spans).startswith(before + "[EMAIL], word")
+
+
+def test_windows_lose_nothing_that_whole_lines_give(entity_model, small):
+    scores = pii.scores_of(*entity_model)
+    lines = [t for t in texts_of(small).values() if t and len(t) < 4000]
+    extra = [f"{'w ' * k}{'y' * k} jane.{'x' * k} (at) {'d' * 2 * k} (dot) org and {'z' * k}\n7 {'k' * k} sk-proj-a1b2c3d4-e5f6a7b8 {'m' * k}" for k in range(1, 90, 4)]
+    for t in lines + extra:
+        assert pii.added_spans(t, scores, []) == whole_lines(t, scores), t[:80]
+
+
+def test_forms_in_capitals_and_keys_of_groups(entity_model):
+    scores = pii.scores_of(*entity_model)
+    found = lambda t: {(pii.KINDS[k], t[s:e]) for k, s, e in pii.added_spans(t, scores, pii.base_spans(t))}
+    for kind, entity in (("email", "jane (@) example.org"), ("email", "jane AT example DOT org"), ("email", "JANE.DOE (AT) EXAMPLE (DOT) ORG"), ("secret", "sk-proj-a1b2c3d4-e5f6a7b8"), ("secret", "pk_live_51Habc92kdLm3")):
+        assert (kind, entity) in found(f"please use {entity} from now on"), entity
+    assert not found("the covid-19-2020-2021-wave page; see report-final-2019-05-17-draft, LOOK AT us")
+
+
 def test_keys_are_whole_wherever_they_stand(entity_model):
     scores, key = pii.scores_of(*entity_model), "2c8ba23e1529b2de52654cb5a51fb56a01"
     for offset in range(0, 8001, 97):

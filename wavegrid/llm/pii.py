@@ -12,7 +12,7 @@ is scanned whole, and windows of any length are decoded whole). So that it learn
 forms that the patterns miss (other separators, no plus sign, spelled-out at-signs).
 
 Added spans never overlap base spans or each other. Kinds of the base: email, ip, card, phone;
-`secret` (long hexadecimal keys) is the model's own.
+`secret` (long keys, in one or in several groups) is the model's own.
 
 Bounds of what the model may call an entity: `MAX_TOKENS` tokens and `LONGEST` code points,
 other than whole addresses and keys, which may have any length.
@@ -56,13 +56,20 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
 HEX = re.compile(r"[0-9a-f]{24,}")
 #: Digits, at-signs and spelled-out separators; the bare words only between words that may be of an address.
-TRIGGER = re.compile(r"[0-9@]|[(\[](?:at|dot)[)\]]| (?:at (?=[\w-]+(?:\.| ?\(dot\) ?| ?\[dot\] ?| dot )[\w-])|dot (?=[\w-]))", re.ASCII)
+TRIGGER = re.compile(r"[0-9@]|[(\[](?i:at|dot)[)\]]| (?:(?i:at) (?=[\w-]+(?:\.| ?\((?i:dot)\) ?| ?\[(?i:dot)\] ?| (?i:dot) )[\w-])|(?i:dot) (?=[\w-]))", re.ASCII)
 #: A whole address, from the start of its run of letters on; its last mark may not be part of it.
-LOCAL = r"[\w.%+-]++(?: ?(?:\(dot\)|\[dot\]) ?[\w.%+-]++)*+"
-FORM = rf"{LOCAL}(?:@| ?\(at\) ?| ?\[at\] ?| at )[\w-]+(?:(?:\.| ?\(dot\) ?| ?\[dot\] ?| dot )[\w-]+)+"
-ADDRESS = re.compile(rf"(?<![\w.%+-])(?<![(\[]dot[)\]])(?<![(\[]dot[)\]] ){FORM}", re.ASCII)
-SPELLED = ("@", "(at)", "[at]", " at ", "(dot)", "[dot]", " dot ")
-TOKEN = re.compile(r" ?(?:\((?:at|dot)\)|\[(?:at|dot)\]) ?| (?:at|dot) (?=[\w-])|[A-Za-z0-9]+|\n|[^\S\n]+|[^\w\s]|\w", re.ASCII)
+DOT = r"(?: ?\((?i:dot)\) ?| ?\[(?i:dot)\] ?)"
+LOCAL = rf"[\w.%+-]++(?:{DOT}[\w.%+-]++)*+"
+FORM = rf"{LOCAL}(?:@| ?\((?i:at|@)\) ?| ?\[(?i:at|@)\] ?| (?i:at) )[\w-]+(?:(?:\.|{DOT}| (?i:dot) )[\w-]+)+"
+ADDRESS = re.compile(rf"(?<![\w.%+-])(?<![(\[](?i:dot)[)\]])(?<![(\[](?i:dot)[)\]] ){FORM}", re.ASCII)
+SPELLED = re.compile(r"@|[(\[](?:at|dot)[)\]]| (?:at|dot) ", re.IGNORECASE)
+TOKEN = re.compile(r" ?(?:\((?i:at|dot|@)\)|\[(?i:at|dot|@)\]) ?| (?i:at|dot) (?=[\w-])|[A-Za-z0-9]+|\n|[^\S\n]+|[^\w\s]|\w", re.ASCII)
+#: Keys of several groups, and a group that mixes letters and digits.
+DASHED = re.compile(r"(?<![\w-])[A-Za-z0-9]++(?:[-_][A-Za-z0-9]++)++(?![\w-])", re.ASCII)
+MIXED_GROUP = re.compile(r"(?=[0-9]*[A-Za-z])(?=[A-Za-z]*[0-9])[A-Za-z0-9]{6,}", re.ASCII)
+#: What a window's edges are moved over, so that they are in no address or key.
+RUN = re.compile(r"[\w.%+-]+", re.ASCII)
+RUN_CHARS = LOCAL_CHARS
 
 
 def luhn(digits: str) -> bool:
@@ -109,27 +116,39 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 def windows(text: str) -> list[tuple[int, int]]:
     """Parts of the text around digits, at-signs and spelled-out separators, merged where they meet, within lines.
 
-    Each reaches to MARGIN characters before its first and after its last trigger.
+    Each reaches to MARGIN characters before its first and after its last trigger at least, and on
+    to the ends of the runs of characters that addresses and keys are made of, however long.
     """
     out: list[tuple[int, int]] = []
-    if not any(x in text for x in SPELLED) and not DIGIT.search(text):
+    if not SPELLED.search(text) and not DIGIT.search(text):
         return out
     for m in TRIGGER.finditer(text):
+        last = out[-1][1] if out else 0
         e = min(len(text), m.end() + MARGIN)
         nl = text.find("\n", m.end(), e)
         e = e if nl < 0 else nl
-        if out and m.end() <= out[-1][1]:
+        if e > last and (run := RUN.match(text, e)) and text[e - 1] in RUN_CHARS:
+            e = run.end()
+        e = max(e, last)
+        if out and m.end() <= last:
             out[-1] = (out[-1][0], e)
             continue
-        s = max(out[-1][1] if out else 0, m.start() - MARGIN)
+        s = max(last, m.start() - MARGIN)
         s = max(s, text.rfind("\n", s, m.start()) + 1)
-        if out and s <= out[-1][1]:
+        while s > last and text[s - 1] in RUN_CHARS and text[s] in RUN_CHARS:
+            s -= 1
+        if out and s <= last:
             out[-1] = (out[-1][0], e)
         else:
             out.append((s, e))
     return out
 
 
+def is_dashed_key(span: str) -> bool:
+    """Whether a run of groups may be a key: long enough, of letters and digits, one group of both."""
+    return len(span) >= 16 and sum(map(str.isdigit, span)) >= 4 and sum(map(str.isalpha, span)) >= 4 and MIXED_GROUP.search(span) is not None
+
+
 def features(text: str, tokens: list[tuple[int, int]], i: int, j: int, kind: int) -> list[str]:
     """Whole-span features of the segment of tokens i..j-1."""
     start, end = tokens[i][0], tokens[j - 1][1]
@@ -158,8 +177,10 @@ def features(text: str, tokens: list[tuple[int, int]], i: int, j: int, kind: int
             out.append(f"{k}:octets{all(len(g) <= 3 and int(g) <= 255 for g in groups)}")
     if letters and digits and re.fullmatch(r"[0-9a-f]+", span):
         out.append(f"{k}:hex{min(len(span) // 8, 5)}")
-    if re.search(r"(?:\bat\b|\(at\)|\[at\])", span):
-        out.append(f"{k}:spelled{bool(re.search(r'(?:dot|[.])', span))}")
+    if kind == 4 and ("-" in span or "_" in span):
+        out.append(f"{k}:dashed{min(max(map(len, re.split('[-_]', span))) // 8, 3)}")
+    if re.search(r"(?i:\bat\b|\(at\)|\[at\]|[(\[]@[)\]])", span):
+        out.append(f"{k}:spelled{bool(re.search(r'(?i:dot|[.])', span))}")
     if letters and re.fullmatch(FORM, span, re.ASCII):
         out.append(f"{k}:address")
     return out
@@ -174,7 +195,7 @@ def shaped(span: str) -> tuple[int, bool]:
     if span[0].isspace() or span[-1].isspace() or "\n" in span:
         return 0, more and "\n" not in span
     out = 0
-    if letters and (span[0].isalnum() and span[-1].isalnum()) and ("@" in span or "at" in span):
+    if letters and (span[0].isalnum() and span[-1].isalnum()) and ("@" in span or "at" in span.lower()):
         out |= 1
     if not letters and digits >= 4 and span.count(".") == 3 and span[0].isdigit():
         out |= 2
@@ -196,7 +217,7 @@ def candidate(text: str, start: int, end: int) -> tuple[int, bool]:
 
 
 def tokens_of(text: str, start: int, end: int) -> tuple[list[tuple[int, int]], dict[int, set[tuple[int, int]]]]:
-    """The tokens of a window, and token -> (end, kind) of the whole addresses that begin there."""
+    """The tokens of a window, and token -> (end, kind) of the whole addresses and keys of several groups that begin there."""
     tokens = [m.span() for m in TOKEN.finditer(text, start, end)]
     whole: dict[int, set[tuple[int, int]]] = {}
     if found := [m.span() for m in ADDRESS.finditer(text, start, end)]:
@@ -208,6 +229,11 @@ def tokens_of(text: str, start: int, end: int) -> tuple[list[tuple[int, int]], d
                 e -= 1
             if s in at_start and e in at_end:
                 whole.setdefault(at_start[s], set()).add((at_end[e], 0))
+    if keys := [m.span() for m in DASHED.finditer(text, start, end) if is_dashed_key(m.group())]:
+        at_start, at_end = {s: i for i, (s, _) in enumerate(tokens)}, {e: i + 1 for i, (_, e) in enumerate(tokens)}
+        for s, e in keys:
+            if s in at_start and e in at_end:
+                whole.setdefault(at_start[s], set()).add((at_end[e], 4))
     return tokens, whole
 
 
@@ -350,17 +376,21 @@ def rewritten(text: str, spans: list[tuple[int, int, int]], rng: random.Random)
     for k, s, e in spans:
         span = text[s:e]
         if k == 0:
-            span = span.replace("@", rng.choice(["@", " (at) ", "(at)", " [at] ", "[at]", " at "]))
+            span = span.replace("@", rng.choice(["@", " (at) ", "(at)", " [at] ", "[at]", " at ", " (@) ", " AT "]))
             if "(" in span or "[" in span:
                 span = span.replace(".", rng.choice([".", " (dot) " if "(" in span else " [dot] "]))
-            elif " at " in span:
-                local, domain = span.split(" at ")
-                span = f"{local} at {domain.replace('.', ' dot ')}"
+            elif len(parts := re.split(" at ", span, flags=re.IGNORECASE)) == 2:
+                dot = " dot " if " at " in span else " DOT "
+                span = f"{parts[0]}{dot.replace('dot', 'at').replace('DOT', 'AT')}{parts[1].replace('.', dot)}"
+            if rng.random() < 0.1:
+                span = span.upper()
         elif k == 3:
             digits = re.sub(r"[^0-9]", "", span)[-10:]
             if len(digits) == 10:
                 a, b, c = digits[:3], digits[3:6], digits[6:]
                 span = rng.choice([span, f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"({a}) {b} {c}"])
+        elif k == 4:
+            span = rng.choice([span, span, f"{rng.choice(['sk', 'key', 'pk-live', 'tok_v2'])}-{span}", "-".join(span[i : i + 8] for i in range(0, len(span), 8))])
         out += [text[at:s], span]
         length += s - at
         new.append((k, length, length + len(span)))
@@ -383,6 +413,9 @@ EXAMPLES = [
     ("call +1 (212) 555-0134 after six", 3, "+1 (212) 555-0134"),
     ("call +44 20 7946 0958 after six", 3, "+44 20 7946 0958"),
     ('api key = "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b"', 4, "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b"),
+    ('token sk-proj-a1b2c3d4-e5f6a7b8 is', 4, "sk-proj-a1b2c3d4-e5f6a7b8"), ("set KEY=pk_live_51Habc92kdLm3 now", 4, "pk_live_51Habc92kdLm3"),
+    ("mail jane (@) example.org or", 0, "jane (@) example.org"), ("mail JANE AT EXAMPLE DOT ORG or", 0, "JANE AT EXAMPLE DOT ORG"), ("mail jane AT example DOT org or", 0, "jane AT example DOT org"),
+    ("the covid-19-2020-2021-season page", None, ""), ("file report-final-v2-2019-05-17 is", None, ""), ("look AT 5 (@) noon", None, ""),
     ("under the Apache License, Version 2.0.", None, ""), ("licensed under CC BY-NC 4.0.", None, ""),
     ("on 2024-05-17 at 10:35:20 we met 12 people", None, ""), ("about 3.14159 or 1,234,567 of them", None, ""),
     ("number 4371290084125427 of the list", None, ""), ("version 1.2.3.400 was old", None, ""),

@@ -11,6 +11,7 @@ from pyspark.sql.datasource import EqualTo, GreaterThanOrEqual, In, LessThan
 from tests.test_signals import KINDS, tiff_file
 from wavegrid.plans.pipeline import process_files, process_folder
 from wavegrid.sources import nd2, stacks, tiff
+from wavegrid.streaming import folders
 
 RNG = np.random.default_rng(4)
 
@@ -194,3 +195,45 @@ def test_unequal_shapes_are_reported(spark, tmp_path):
     assert {r.image_filename: r.error for r in others.collect()} == want
     a, b = ([[round(v, 9) if isinstance(v, float) else v for v in r] for r in sorted(x.collect())] for x in (cells, again))
     assert a == b
+
+
+def test_a_growing_folder_is_analysed_file_by_file(spark, tmp_path, monkeypatch):
+    """Each run takes the new files only; a batch that runs again changes nothing; a file of another length counts anew."""
+    for d in ("images", "masks"):
+        (tmp_path / d).mkdir()
+
+    def add(name, c=1, frames=32):
+        stack = np.stack([np.full((c, 2, 2), np.cos(2 * np.pi * 3 * t / frames)) for t in range(frames)]).astype(np.float32) + RNG.normal(0, 0.01, (frames, c, 2, 2)).astype(np.float32)
+        (tmp_path / "images" / name).write_bytes(tiff.encode_tiff(stack))
+        (tmp_path / "masks" / tiff.mask_name(name)).write_bytes(tiff.encode_tiff(np.ones((2, 2), np.uint16)))
+
+    seen, plain = [], folders.process_files
+    noted = lambda images, masks, *a, **k: (seen.append((sorted(r.name for r in images.select("name").collect()), masks.count())), plain(images, masks, *a, **k))[1]
+    monkeypatch.setattr(folders, "process_files", noted)
+    out, options = str(tmp_path / "out"), {"cutoff_frequency_bin": 1, "normalize_histogram": False}
+    run = lambda: folders.follow_folder(spark, str(tmp_path / "images"), str(tmp_path / "masks"), out, 1, **options)
+    cells = lambda: sorted((r.image_filename, r.batch, r.mask_index) for r in folders.cells_of(spark, out).collect())
+    with pytest.raises(ValueError, match="nothing"):
+        folders.cells_of(spark, out)
+    add("a.tif")
+    add("b (x).v1.tif")
+    run()
+    first = cells()
+    assert seen == [(["a.tif", "b (x).v1.tif"], 2)] and [c[:2] for c in first] == [("a.tif", 0)] * 2 + [("b (x).v1.tif", 0)] * 2
+    run()
+    assert len(seen) == 1 and cells() == first
+    add("c.tif", c=2)
+    add("d.tif")
+    run()
+    assert seen[1:] == [(["c.tif", "d.tif"], 2)] and {c[:2] for c in cells()} == {c[:2] for c in first} | {("d.tif", 1)}
+    assert [(r.image_filename, r.error) for r in folders.problems_of(spark, out).collect()] == [("c.tif", "an image of 2 channels; 1 are expected")]
+    # The second batch again, as after a failure, and in a batch of another number.
+    batch = spark.read.format("binaryFile").load([str(tmp_path / "images" / n) for n in ("c.tif", "d.tif")])
+    before = cells()
+    folders.analyse_batch(batch, 1, str(tmp_path / "masks"), out, 1, **options)
+    assert cells() == before and seen[-1][0] == ["c.tif", "d.tif"]
+    folders.analyse_batch(batch, 2, str(tmp_path / "masks"), out, 1, **options)
+    assert cells() == before and seen[-1] == ([], 0)
+    add("a.tif", frames=40)
+    folders.analyse_batch(spark.read.format("binaryFile").load(str(tmp_path / "images" / "a.tif")), 3, str(tmp_path / "masks"), out, 1, **options)
+    assert [c[:2] for c in cells() if c[0] == "a.tif"] == [("a.tif", 3)] * 2 and len(cells()) == len(before)

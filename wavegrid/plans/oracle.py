@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from wavegrid.operators.cwt import piecewise_scales
-from wavegrid.plans.queries import BAND, BANKS, CUTOFF, GRID_END, HIGH, KERNEL, LOW, MORLET, NAMES, SAMPLING, SCALES, THRESHOLD
+from wavegrid.plans.queries import BAND, BANKS, CUTOFF, FOLDER_COLUMNS, GRID_END, HIGH, KERNEL, LOW, MORLET, NAMES, SAMPLING, SCALES, THRESHOLD
 
 E_VOX = """vox AS (
   SELECT CAST(vec_id // 25 AS BIGINT) AS x, CAST(vec_id % 25 AS BIGINT) AS y, CAST(i % 2 AS BIGINT) AS c, CAST(i // 2 AS BIGINT) AS t,
@@ -178,6 +178,15 @@ nx AS (SELECT CAST(i AS BIGINT) AS nx, i * big_h // h AS a, ((i + 1) * big_h + h
 ny AS (SELECT CAST(i AS BIGINT) AS ny, i * big_w // w AS a, ((i + 1) * big_w + w - 1) // w AS b FROM d, range((SELECT w FROM d)) AS q(i))
 SELECT nx AS x, ny AS y, c, t, {r("avg(v)", "value")} FROM vox JOIN nx ON x >= nx.a AND x < nx.b JOIN ny ON y >= ny.a AND y < ny.b GROUP BY nx, ny, c, t"""
 
+FOLDER_CELLS = f"""{E_QRY}, {E_LAB}, jnd AS (SELECT lab.label, lab.x // {BAND} AS band, q.c, q.a, q.argmaxes FROM qry q JOIN lab ON q.x = lab.x AND q.y = lab.y),
+lev AS (SELECT lab.label, lab.x // {BAND} AS band, c, avg(v) AS v FROM (SELECT x, y, c, avg(v) AS v FROM vox GROUP BY ALL) JOIN lab USING (x, y) GROUP BY ALL),
+sta AS (SELECT band, label, c, avg(a) AS mean, {sd("a")} AS sd, floor(sum(argmaxes) / count(argmaxes)) AS peak FROM jnd GROUP BY ALL),
+dom AS (SELECT band, unnest(range(0, top + 1)) AS label FROM (SELECT x // {BAND} AS band, max(label) AS top FROM lab GROUP BY ALL))
+SELECT dom.band || '.tif' AS image_filename, dom.band || '_masks.tif' AS mask_filename, CAST(dom.label AS BIGINT) AS mask_index,
+  {r("coalesce(a.mean, 0)", "a_queried_amplitude_mean")}, {r("coalesce(b.sd, 0)", "b_queried_amplitude_sd")}, {r("coalesce(b.peak, 0)", "b_argmaxes_mean")}, {r("coalesce(l.v, 0)", "a_levels_mean")}
+FROM dom LEFT JOIN sta a ON a.band = dom.band AND a.label = dom.label AND a.c = 0 LEFT JOIN sta b ON b.band = dom.band AND b.label = dom.label AND b.c = 1
+LEFT JOIN lev l ON l.band = dom.band AND l.label = dom.label AND l.c = 0"""
+
 K0, K1, K2 = KERNEL
 ORACLE_SQL = {
     "series_mean_center": f"WITH {E_VOX}, {CEN} SELECT x, y, c, t, {r('v', 'value')} FROM cen",
@@ -244,14 +253,9 @@ JOIN (VALUES (0, 'freq'), (1, 'amp')) q(c, o) ON q.c = s.c""",
     "mask_scan": f"""WITH {E_LAB}, wide AS (SELECT max(y) + 1 AS w, max(x) + 1 AS h FROM lab)
 SELECT i // {BAND} || '_masks.tif' AS mask_filename, CAST(i % {BAND} AS BIGINT) AS x, CAST(j AS BIGINT) AS y, coalesce(lab.label, 0) AS label
 FROM range((SELECT h FROM wide)) AS p(i) CROSS JOIN range((SELECT w FROM wide)) AS q(j) LEFT JOIN lab ON lab.x = i AND lab.y = j""",
-    "folder_cells": f"""{E_QRY}, {E_LAB}, jnd AS (SELECT lab.label, lab.x // {BAND} AS band, q.c, q.a, q.argmaxes FROM qry q JOIN lab ON q.x = lab.x AND q.y = lab.y),
-lev AS (SELECT lab.label, lab.x // {BAND} AS band, c, avg(v) AS v FROM (SELECT x, y, c, avg(v) AS v FROM vox GROUP BY ALL) JOIN lab USING (x, y) GROUP BY ALL),
-sta AS (SELECT band, label, c, avg(a) AS mean, {sd("a")} AS sd, floor(sum(argmaxes) / count(argmaxes)) AS peak FROM jnd GROUP BY ALL),
-dom AS (SELECT band, unnest(range(0, top + 1)) AS label FROM (SELECT x // {BAND} AS band, max(label) AS top FROM lab GROUP BY ALL))
-SELECT dom.band || '.tif' AS image_filename, dom.band || '_masks.tif' AS mask_filename, CAST(dom.label AS BIGINT) AS mask_index,
-  {r("coalesce(a.mean, 0)", "a_queried_amplitude_mean")}, {r("coalesce(b.sd, 0)", "b_queried_amplitude_sd")}, {r("coalesce(b.peak, 0)", "b_argmaxes_mean")}, {r("coalesce(l.v, 0)", "a_levels_mean")}
-FROM dom LEFT JOIN sta a ON a.band = dom.band AND a.label = dom.label AND a.c = 0 LEFT JOIN sta b ON b.band = dom.band AND b.label = dom.label AND b.c = 1
-LEFT JOIN lev l ON l.band = dom.band AND l.label = dom.label AND l.c = 0""",
+    "folder_cells": FOLDER_CELLS,
+    "folder_increments": f"""SELECT image_filename, band % 2 AS batch, mask_index, {", ".join(FOLDER_COLUMNS)}
+FROM (SELECT *, CAST(string_split(image_filename, '.')[1] AS BIGINT) AS band FROM ({FOLDER_CELLS}))""",
     "folder_problems": """WITH b AS (SELECT max(vec_id % 25) + 1 AS w FROM embeddings)
 SELECT n_name || CASE WHEN n_nationkey % 6 = 4 THEN '.nd2' ELSE '.tif' END AS image_filename, CASE n_nationkey % 6
   WHEN 0 THEN 'no mask file ' || n_name || '_masks.tif' WHEN 1 THEN 'ValueError: not a TIFF file'

@@ -14,7 +14,7 @@ from wavegrid.plans import model
 from wavegrid.plans.pipeline import process_files, process_images
 from wavegrid.sources import stacks, tiff
 from wavegrid.sources.nd2 import encode_nd2
-from wavegrid.streaming import frames
+from wavegrid.streaming import folders, frames
 
 #: Parameters of the queries on embeddings: search from bin 1, channel 0 is the carrier.
 CUTOFF, CARRIER, THRESHOLD = 1, 0, 0.15
@@ -453,6 +453,22 @@ def folder_problems(spark, sf_dir):
     return folder(spark, sf_dir)[1]
 
 
+def folder_increments(spark, sf_dir):
+    """The bands of even numbers, then the others: a second run reads the new files only."""
+    series, labels = model.embedding_series(spark, sf_dir), model.embedding_labels(spark, sf_dir)
+    place = f"{shared_folder(spark)}/grown-{uuid.uuid4().hex}"
+    stacks.write_files(embedding_mask_files(labels), f"{place}/masks")
+    images = embedding_files(series)
+    for odd in (0, 1):
+        stacks.write_files(images.where(F.regexp_extract("name", r"^\d+", 0).cast("int") % 2 == odd), f"{place}/images")
+        folders.follow_folder(
+            spark, f"{place}/images", f"{place}/masks", f"{place}/out", 2, cutoff_frequency_bin=CUTOFF, carrier_index=CARRIER, channel_names=NAMES,
+            features=["full_amplitude", "normalized_amplitude"], normalize_histogram=False,
+        )
+    rows = folders.cells_of(spark, f"{place}/out")
+    return rows.select("image_filename", *keys("batch", "mask_index"), *[rounded(c).alias(c) for c in FOLDER_COLUMNS])
+
+
 QUERIES = {
     "series_mean_center": series_mean_center,
     "frame_normalize": frame_normalize,
@@ -506,6 +522,7 @@ QUERIES = {
     "mask_scan": mask_scan,
     "folder_cells": folder_cells,
     "folder_problems": folder_problems,
+    "folder_increments": folder_increments,
     "stack_scan": stack_scan,
     "stack_filtered": stack_filtered,
     "nd2_scan": nd2_scan,

@@ -12,7 +12,7 @@ from wavegrid.functions import numerics
 from wavegrid.operators import cells, cwt, fft, image, moments, table
 from wavegrid.plans import pipeline
 from wavegrid.sources import tiff
-from wavegrid.streaming import frames
+from wavegrid.streaming import frames, spectra
 
 T = 32
 SERIES = "image_id string, c int, x int, y int, values array<double>"
@@ -548,3 +548,50 @@ def test_frames_are_resampled_as_images_are(spark):
     h, w = image.target_size(11, 0.4), image.target_size(6, 0.4)
     want = [[frame[i * 11 // h : -(-(i + 1) * 11 // h), j * 6 // w : -(-(j + 1) * 6 // w)].mean() for j in range(w)] for i in range(h)]
     assert got.width == w and got.pixels == pytest.approx(np.array(want).ravel().tolist())
+
+
+@pytest.mark.parametrize("window", [2, 7, 16])
+def test_sliding_coefficients_equal_those_of_the_window(window):
+    rng = np.random.default_rng(window)
+    now, values = spectra.Sliding(window), []
+    for t in range(5 * window):
+        values.append(1e3 + rng.normal())
+        now.add(t + 3, values[-1])
+        if t + 1 >= window:
+            want = np.fft.rfft(np.array(values[-window:]) - np.mean(values[-window:]))
+            assert np.abs(now.features(["full_amplitude"])["full_amplitude"] - np.abs(want)).max() < 1e-7
+    now.add(4, 0.0)
+    now.add(5 * window + 3, None)
+    assert now.late == 2 and now.held == window
+    # A gap begins anew; NaN stays in the window as long as it is in it.
+    now.add(5 * window + 9, math.nan)
+    assert now.held == 1
+    for t in range(window):
+        now.add(5 * window + 10 + t, float(t))
+    assert now.held == window and np.abs(now.x - np.fft.rfft(np.arange(float(window)))).max() < 1e-9
+
+
+def test_spectra_of_a_stream_go_on_after_a_restart(spark, tmp_path):
+    """Frames that come in two runs, with late, null and missing ones, against the batch spectrum of the last window."""
+    rng = np.random.default_rng(11)
+    values = {(c, y): rng.normal(size=20) for c in range(2) for y in range(3)}
+    rows = [("i", t, c, 0, y, None if (c, y, t) == (1, 2, 19) else float(v[t])) for (c, y), v in values.items() for t in range(20) if (c, y, t) != (0, 1, 13)]
+    provider = spark.conf.get(spectra.PROVIDER)
+    for first, last in ((0, 11), (9, 20)):
+        spark.createDataFrame([r for r in rows if first <= r[1] < last], spectra.FRAMES).coalesce(2).write.mode("append").parquet(f"{tmp_path}/frames")
+        stream = spark.readStream.schema(spectra.FRAMES).parquet(f"{tmp_path}/frames")
+        spectra.follow_spectra(stream, f"{tmp_path}/out", 8, ["full_amplitude", "phase"])
+    assert spark.conf.get(spectra.PROVIDER) == provider
+    got = {(r.c, r.y): r for r in spectra.spectra_of(spark, f"{tmp_path}/out").collect()}
+    assert set(got) == set(values)
+    for (c, y), r in got.items():
+        end = 19 if (c, y) == (1, 2) else 20
+        if (c, y) == (0, 1):
+            assert r.full_amplitude is None and r.t == 19
+            continue
+        want = fft.spectra(values[c, y][None, end - 8 : end], ["full_amplitude", "phase"])
+        assert r.t == end - 1 and r.late == 2 + (end == 19)
+        assert np.abs(np.array(r.full_amplitude) - want["full_amplitude"][0]).max() < 1e-9
+        assert np.abs(np.exp(1j * np.array(r.phase[1:4])) - np.exp(1j * want["phase"][0, 1:4])).max() < 1e-9
+    with pytest.raises(ValueError, match="two frames"):
+        spectra.spectra_stream(stream, 1)

@@ -40,7 +40,11 @@ def checked(features: Sequence[str]) -> list[str]:
 
 def spectra(values: np.ndarray, features: Sequence[str], max_bin: int | None = None) -> dict[str, np.ndarray]:
     """Features of the rows of a matrix, after centring. Statistics are over all bins, the cut comes last."""
-    x = np.fft.rfft(values - values.mean(axis=1, keepdims=True), axis=1)
+    return features_of(np.fft.rfft(values - values.mean(axis=1, keepdims=True), axis=1), features, max_bin)
+
+
+def features_of(x: np.ndarray, features: Sequence[str], max_bin: int | None = None) -> dict[str, np.ndarray]:
+    """Features of the rows of complex coefficients."""
     amp = np.abs(x)
     out = {}
     with np.errstate(divide="ignore", invalid="ignore"):

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from wavegrid.operators.cwt import piecewise_scales
-from wavegrid.plans.queries import BAND, BANKS, CUTOFF, FOLDER_COLUMNS, GRID_END, HIGH, KERNEL, LOW, MORLET, NAMES, SAMPLING, SCALES, THRESHOLD
+from wavegrid.plans.queries import BAND, BANKS, CUTOFF, FOLDER_COLUMNS, GRID_END, HIGH, KERNEL, LOW, MORLET, NAMES, SAMPLING, SCALES, THRESHOLD, WINDOW
 
 E_VOX = """vox AS (
   SELECT CAST(vec_id // 25 AS BIGINT) AS x, CAST(vec_id % 25 AS BIGINT) AS y, CAST(i % 2 AS BIGINT) AS c, CAST(i // 2 AS BIGINT) AS t,
@@ -216,6 +216,10 @@ FROM (SELECT * FROM ea UNION ALL SELECT * FROM la) GROUP BY image_filename, labe
     "downsample_image": DOWNSAMPLED,
     "frames_downsample": DOWNSAMPLED,
     "frames_normalize": f"WITH {E_VOX} SELECT x, y, c, t, {r('(v - avg(v) OVER w) / stddev_samp(v) OVER w', 'value')} FROM vox WINDOW w AS (PARTITION BY c, t)",
+    "stream_spectrum": f"""WITH {E_VOX}, last AS (SELECT x, y, c, t - {32 - WINDOW} AS t, v - avg(v) OVER (PARTITION BY x, y, c) AS v FROM vox WHERE t >= {32 - WINDOW}),
+dft AS (SELECT x, y, c, CAST(k AS BIGINT) AS k, sum(v * cos(2 * pi() * ((k * t) % {WINDOW}) / {WINDOW})) AS re, -sum(v * sin(2 * pi() * ((k * t) % {WINDOW}) / {WINDOW})) AS im
+  FROM last, range({WINDOW // 2 + 1}) AS q(k) GROUP BY x, y, c, k)
+SELECT x, y, c, k, {r("sqrt(re * re + im * im)", "value")} FROM dft""",
     "downsample_mask": f"""WITH {E_LAB}, d AS (SELECT * FROM {HALF.format("lab")})
 SELECT CAST(i AS BIGINT) AS x, CAST(j AS BIGINT) AS y, label FROM d, range((SELECT h FROM d)) AS q(i), range((SELECT w FROM d)) AS p(j), lab
 WHERE lab.x = i * big_h // h AND lab.y = j * big_w // w""",

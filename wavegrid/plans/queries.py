@@ -14,7 +14,8 @@ from wavegrid.plans import model
 from wavegrid.plans.pipeline import process_files, process_images
 from wavegrid.sources import stacks, tiff
 from wavegrid.sources.nd2 import encode_nd2
-from wavegrid.streaming import folders, frames
+from wavegrid.streaming import folders, frames, spectra
+from wavegrid.streaming.spectra import FRAMES
 
 #: Parameters of the queries on embeddings: search from bin 1, channel 0 is the carrier.
 CUTOFF, CARRIER, THRESHOLD = 1, 0, 0.15
@@ -453,6 +454,20 @@ def folder_problems(spark, sf_dir):
     return folder(spark, sf_dir)[1]
 
 
+#: Frames of the window of stream_spectrum.
+WINDOW = 16
+
+
+def stream_spectrum(spark, sf_dir):
+    """The embeddings image as a stream of frames, half of which come later: the last window's spectrum of each pixel."""
+    place = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    voxels = model.voxels(model.embedding_series(spark, sf_dir)).withColumn("t", F.col("t").cast("bigint"))
+    for first in (0, 16):
+        voxels.where(f"t >= {first} and t < {first + 16}").write.mode("append").parquet(f"{place}/frames")
+        spectra.follow_spectra(spark.readStream.schema(FRAMES).parquet(f"{place}/frames"), f"{place}/out", WINDOW)
+    return elements(spectra.spectra_of(spark, f"{place}/out"), "full_amplitude", "k")
+
+
 def folder_increments(spark, sf_dir):
     """The bands of even numbers, then the others: a second run reads the new files only."""
     series, labels = model.embedding_series(spark, sf_dir), model.embedding_labels(spark, sf_dir)
@@ -495,6 +510,7 @@ QUERIES = {
     "downsample_mask": downsample_mask,
     "frames_normalize": frames_normalize,
     "frames_downsample": frames_downsample,
+    "stream_spectrum": stream_spectrum,
     "convolve_time": convolve_time,
     "minmax_norm": minmax_norm,
     "color_projection_max": color_projection("max"),

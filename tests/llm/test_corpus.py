@@ -516,18 +516,21 @@ def licenses_by_force(text, threshold=0.85):
     lower = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
     words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower)
     at = [(k, label) for p, label in licenses.PHRASES.items() for k in range(len(words)) if words[k : k + len(p.split())] == p.split()]
-    labels, best = {x for _, x in at}, 1.0 if at else 0.0
+    labels, best, blocks = {x for _, x in at}, 1.0 if at else 0.0, 0
     for label, t in licenses.TEMPLATES:
         distinct, n = set(t.split()), len(t.split()) + len(t.split()) // 8
         if len(distinct & set(words)) < threshold * len(distinct) - 1e-9:
             continue
+        covered = -1
         for k in range(len(words)):
             share = len(distinct.intersection(words[k : k + n])) / len(distinct)
-            if share >= threshold - 1e-9:
+            if share >= threshold - 1e-9 and words[k] in distinct:
                 labels.add(label)
                 best = max(best, share)
+                blocks += k > covered
+                covered = max(i for i in range(k, min(k + n, len(words))) if words[i] in distinct)
     starts = [k for k, _ in at]
-    return len(words), len(at), min(starts, default=None), max(starts, default=None), ",".join(sorted({x for _, x in at})), ",".join(sorted(labels)), best
+    return len(words), len(at), min(starts, default=None), max(starts, default=None), ",".join(sorted({x for _, x in at})), ",".join(sorted(labels)), best, blocks
 
 
 def test_licenses(spark, hard, small, empty):
@@ -543,7 +546,7 @@ def test_licenses(spark, hard, small, empty):
         got = defaultdict(set)
         for r in out:
             best = 1.0 if r.n_base else max((f.containment for f in r.found), default=0.0)
-            got[r.doc_id].add((r.n_words, r.n_base, r.first_word, r.last_word, ",".join(r.base), ",".join(sorted({*r.base, *(f.label for f in r.found)})), best))
+            got[r.doc_id].add((r.n_words, r.n_base, r.first_word, r.last_word, ",".join(r.base), ",".join(sorted({*r.base, *(f.label for f in r.found)})), best, len(r.found)))
         assert got == want
     assert licenses.license_scan(empty).count() == 0
 
@@ -564,6 +567,22 @@ def test_wrapped_licenses(spark):
     assert at[0] == [(1, 0, 21)] and at[1] == [(1, 50, 71)] and at[9] == [(20, 2, 7)]
 
 
+def test_every_block_of_a_template_is_found(spark):
+    """Two grants in one text, short templates side by side, series of equal runs, and overlapping runs that are one block."""
+    mit = "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"
+    short, gap = "gnu lesser general public license", "w " * 51
+    texts = [f"{mit} {gap}{mit}", f"{short} {gap}{short} {gap}{short}", f"{short} {short}", f"{short} " * 50, f"{short} x y z " * 4 + gap + short, f"{mit} {mit} {gap}{gap}{mit[:60]}"]
+    out = {r.doc_id: [(f.template, f.first, f.last) for f in r.found] for r in licenses.license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()}
+    assert out[0] == [(1, 0, 19), (1, 71, 90)] and out[1] == [(8, 0, 4), (8, 56, 60), (8, 112, 116)]
+    for k, t in enumerate(texts):
+        assert len(out[k]) == licenses_by_force(t)[-1], t[:60]
+    rng = random.Random(3)
+    vocabulary = (short + " x " + licenses.TEMPLATES[15][1]).split()
+    texts = [" ".join(rng.choice(vocabulary) if rng.random() < 0.5 else rng.choice([short, "x y z", licenses.TEMPLATES[15][1]]) for _ in range(rng.randrange(5, 60))) for _ in range(60)]
+    out = licenses.license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()
+    assert {r.doc_id: len(r.found) for r in out} == {k: licenses_by_force(t)[-1] for k, t in enumerate(texts)}
+
+
 def test_licenses_of_each_row(spark):
     """Rows without or with the same doc_id stay apart, also where their counts are equal."""
     texts = ["this is licensed under CC BY-NC 4.0", "see licensed under apache license v2.0", "plain text of seven words and more"]
@@ -629,8 +648,13 @@ def test_fingerprint_query_equals_brute_force(spark, small, tmp_path):
             assert out[i].n_chars == len(t) and out[i].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
             a, b, c = map(anchors_by_force, (t, edited, after))
             assert bool(a) == bool(t)
-            text = lambda x: "".join(f"{h & 0xFFFFFFFFFFFFFFFF:016x}" for h in sorted({h for _, h in x})[:256])
-            assert (out[i].fingerprint, out[i].edited_fingerprint) == (text(a), text(b)), t
+            whole = lambda x: sorted((h, min(at for at, g in x if g == h)) for h in {h for _, h in x}) if len(x) < 3000 else None
+            for f, x in ((out[i].fingerprint, a), (out[i].edited_fingerprint, b)):
+                assert whole(x) in (None, syncmers.unpacked(f)), t
+            assert out[i].sketch == "".join(f"{h & 0xFFFFFFFFFFFFFFFF:016x}" for h in sorted({h for _, h in a})[:256])
+            # What is returned is enough for the likeness.
+            returned = [[(at, h) for h, at in syncmers.unpacked(f)] for f in (out[i].fingerprint, out[i].edited_fingerprint)]
+            assert len(returned[0]) > 3000 or out[i].near_edited == pytest.approx(likeness_by_force(*returned))
             assert out[i].near_edited == pytest.approx(likeness_by_force(a, b)) and out[i].near_next == pytest.approx(likeness_by_force(a, c))
 
 

@@ -17,12 +17,13 @@ is exact and uses these filters:
 - position: what stands before and after the common word in both orders leaves room for
   `needed` common words.
 
-Templates are a parameter and few: they are sent to all tasks, whatever the corpus. A match has
-the place of its block: the numbers of the first and last template words in it.
+Templates are a parameter and few: they are sent to all tasks, whatever the corpus. Runs that reach
+the threshold and overlap are one block; every block is a match, with the containment and the place
+of its best run (ties: the first): the numbers of the first and last template words in it.
 
 Edge cases: null and empty texts have no words and no labels; very long texts and lines of any
 length are handled whole; each row is a document of its own, also where its doc_id is null or
-repeated; of a template's equal blocks the first counts; an empty table gives an empty result;
+repeated; blocks that repeat without a gap are one; an empty table gives an empty result;
 other columns are ignored.
 """
 
@@ -89,13 +90,14 @@ def places(words: Column, phrase: str) -> Column:
     return F.when(F.contains(joined, F.lit(f" {phrase} ")), starts).otherwise(F.array().cast("array<int>"))
 
 
-BLOCKS = "array<struct<length:int,held:array<string>,first:int,last:int>>"
+BLOCKS = "array<struct<length:int,held:array<string>,first:int,last:int,goes_on:boolean>>"
 
 
 def runs(words: Column, held: Column, sets: Sequence[tuple[int, list[str], int]]) -> Column:
-    """(length, held, first, last): template words of each run of a template's length, from each of `held` on, and their places.
+    """(length, held, first, last, goes_on): template words of each run of a template's length, from each of `held` on, and their places.
 
-    sets: (length, distinct words, needed words) of each template. Of equal runs the first is given.
+    sets: (length, distinct words, needed words) of each template. Of a series of overlapping runs
+    with equal words the first and the last are given; goes_on tells the last of a series.
     """
 
     def fits(length: int) -> Column:
@@ -116,8 +118,11 @@ def runs(words: Column, held: Column, sets: Sequence[tuple[int, list[str], int]]
             F.get(r, F.lit(0))["at"].cast("int").alias("first"), F.element_at(r, -1)["at"].cast("int").alias("last"),
         )
         full = F.filter(F.flatten(F.transform(known, lambda x, i: F.transform(F.array(run(x, i)), block))), lambda b: F.size(b["held"]) >= least)
-        # Equal runs follow one another where a text is of one kind: the first of each series is left.
-        once = named(full, lambda f: F.filter(f, lambda b, j: (j == 0) | (F.get(f, j - 1)["held"] != b["held"])))
+        # Equal runs follow one another where a text is of one kind: the ends of each series are left.
+        alike = lambda a, b: F.coalesce((a["held"] == b["held"]) & (b["first"] <= a["last"]), F.lit(False))
+        told = lambda f: F.transform(f, lambda b, j: F.struct(*[b[c] for c in ("length", "held", "first", "last")], alike(F.get(f, j - 1), b).alias("goes_on"), alike(b, F.get(f, j + 1)).alias("more")))
+        ends = lambda f: F.filter(told(f), lambda b: ~(b["goes_on"] & b["more"]))
+        once = named(full, lambda f: F.transform(ends(f), lambda b: F.struct(*[b[c] for c in ("length", "held", "first", "last", "goes_on")])))
         return F.when(fits(n), once).otherwise(nothing)
 
     made = named(known, lambda k: F.concat(*[of_length(k, n) for n in lengths]))
@@ -147,8 +152,8 @@ def scan(docs: DataFrame, phrases: Mapping[str, str], vocabulary: Sequence[str],
 def license_scan(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, phrases: Mapping[str, str] = PHRASES, threshold: float = 0.85) -> DataFrame:
     """(doc_id, n_words, n_base, first_word, last_word, base, found) for each row.
 
-    found: (label, template, containment, first, last) of the best block of each template found
-    (ties: the first one); first and last are word numbers, from 0.
+    found: (label, template, containment, first, last) of every block of every template, by label,
+    template and place; first and last are word numbers, from 0.
     """
     spark = docs.sparkSession
     sets = [(label, list(dict.fromkeys(t.split()))) for label, t in templates]
@@ -169,7 +174,7 @@ def license_scan(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLAT
     prefixes = F.broadcast(spark.createDataFrame(rows, "word string, p int, template int, label string, words array<string>, size int, need int, n int"))
 
     first = {r[0] for r in rows}
-    ordered = F.transform("blocks", lambda b: F.struct(b["length"], F.array_intersect(strings(order), b["held"]).alias("held"), b["first"], b["last"]))
+    ordered = F.transform("blocks", lambda b: F.struct(b["length"], F.array_intersect(strings(order), b["held"]).alias("held"), b["first"], b["last"], b["goes_on"]))
     hit = F.filter(ordered, lambda b: F.arrays_overlap(b["held"], strings(sorted(first))))
     base = [c for c in scanned.columns if c != "blocks"]
     blocks = scanned.select(*base, F.explode_outer(hit).alias("block"))
@@ -179,10 +184,25 @@ def license_scan(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLAT
     fits = (F.size("held") >= F.col("need")) & (room >= F.col("need")) & F.coalesce(F.col("length") == F.col("n"), F.lit(True))
     matched = tokens.join(prefixes, "word", "left").withColumn("common", F.when(fits, F.size(F.array_intersect("words", "held"))))
     share = (F.col("common") / F.col("size")).alias("containment")
-    # The best block of each template comes first: one row for each template found in a document.
-    ranked = F.struct(-share, F.col("block.first"), F.struct("label", "template", share, "block.first", "block.last").alias("best"))
-    best = matched.groupBy(*base, "template").agg(F.min(F.when(F.col("common") >= F.col("need"), ranked)).alias("ranked"))
-    return best.groupBy(*base).agg(F.sort_array(F.collect_list("ranked.best")).alias("found")).drop("row")
+    # A run may be met by several of its words: it counts once.
+    run = F.struct(F.col("block.first").alias("first"), F.col("block.last").alias("last"), F.col("block.goes_on").alias("goes_on"), share)
+    of_template = matched.groupBy(*base, "template").agg(F.max("label").alias("label"), F.sort_array(F.collect_set(F.when(F.col("common") >= F.col("need"), run))).alias("runs"))
+    return of_template.groupBy(*base).agg(F.sort_array(F.flatten(F.collect_list(whole_blocks()))).alias("found")).drop("row")
+
+
+def whole_blocks() -> Column:
+    """(label, template, containment, first, last) of the blocks that a template's runs make up, from its columns label, template and runs, in order of place."""
+    runs = F.col("runs")
+    before = lambda i: F.get(runs, i - 1)
+    begins = F.transform(runs, lambda x, i: F.struct(i.alias("i"), ((i == 0) | ((x["first"] > before(i)["last"]) & ~x["goes_on"])).alias("begins")))
+    starts = F.transform(F.filter(begins, lambda x: x["begins"]), lambda x: x["i"])
+    end = lambda s, k: F.coalesce(F.get(s, k + 1), F.size(runs))
+
+    def block(s: Column, i: Column, k: Column) -> Column:
+        best = F.array_min(F.transform(F.slice(runs, i + 1, end(s, k) - i), lambda x: F.struct((-x["containment"]).alias("less"), x["first"].alias("first"), x["last"].alias("last"))))
+        return F.struct(F.col("label"), F.col("template"), (-best["less"]).alias("containment"), best["first"].alias("first"), best["last"].alias("last"))
+
+    return F.flatten(F.transform(F.array(starts), lambda s: F.transform(s, lambda i, k: block(s, i, k))))
 
 
 def op7_license_scan(spark, sf_dir: str) -> DataFrame:
@@ -191,5 +211,5 @@ def op7_license_scan(spark, sf_dir: str) -> DataFrame:
     best = F.coalesce(F.array_max(F.transform("found", lambda x: x["containment"])), F.lit(0.0))
     return out.select(
         "doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join("base", ",").alias("base_labels"), F.array_join(labels, ",").alias("labels"),
-        F.when(F.col("n_base") > 0, 1.0).otherwise(best).alias("score"),
+        F.when(F.col("n_base") > 0, 1.0).otherwise(best).alias("score"), F.size("found").cast("bigint").alias("n_blocks"),
     )

@@ -88,16 +88,18 @@ places AS (SELECT doc_id, label, unnest(list_filter(range(0, greatest(0, len(w)
 base AS (
   SELECT w.doc_id, t, len(w) AS n_words, count(i) AS n_base, min(i) AS first_word, max(i) AS last_word, list(DISTINCT label) FILTER (WHERE i IS NOT NULL) AS labels
   FROM w LEFT JOIN places ON places.doc_id = w.doc_id GROUP BY w.doc_id, t, len(w)),
-tp(label, s, n) AS (VALUES {", ".join(f"('{label}', {s}, {n})" for label, s, n in SETS)}),
-able AS (SELECT doc_id, label, w, s, n FROM w, tp WHERE len(list_intersect(s, w)) >= (0.85 - 1e-12) * len(s)),
-run AS (SELECT doc_id, label, s, w[i:i + n - 1] AS w FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM able) WHERE list_contains(s, w[i])),
-fit AS (SELECT doc_id, label, len(list_intersect(s, w)) / CAST(len(s) AS DOUBLE) AS share FROM run),
-hit AS (SELECT doc_id, list(DISTINCT label) AS labels, max(share) AS best FROM fit WHERE share >= 0.85 - 1e-12 GROUP BY doc_id)
+tp(k, label, s, n) AS (VALUES {", ".join(f"({k}, '{label}', {s}, {n})" for k, (label, s, n) in enumerate(SETS))}),
+able AS (SELECT doc_id, k, label, w, s, n FROM w, tp WHERE len(list_intersect(s, w)) >= (0.85 - 1e-12) * len(s)),
+run AS (SELECT doc_id, k, label, s, i, w[i:i + n - 1] AS w FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM able) WHERE list_contains(s, w[i])),
+fit AS (SELECT *, i - 1 + list_max(list_transform(range(1, len(w) + 1), lambda j: CASE WHEN list_contains(s, w[j]) THEN j END)) AS last
+  FROM (SELECT *, len(list_intersect(s, w)) / CAST(len(s) AS DOUBLE) AS share FROM run) WHERE share >= 0.85 - 1e-12),
+blk AS (SELECT doc_id, count(*) AS n FROM (SELECT doc_id, i, lag(last) OVER (PARTITION BY doc_id, k ORDER BY i) AS before FROM fit) WHERE before IS NULL OR i > before GROUP BY doc_id),
+hit AS (SELECT doc_id, list(DISTINCT label) AS labels, max(share) AS best FROM fit GROUP BY doc_id)
 SELECT base.doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(n_base AS BIGINT) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
        coalesce(array_to_string(list_sort(base.labels), ','), '') AS base_labels,
        coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(hit.labels, [])))), ','), '') AS labels,
-       CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(best, 0.0) END AS score
-FROM base LEFT JOIN hit ON hit.doc_id = base.doc_id
+       CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(best, 0.0) END AS score, CAST(coalesce(blk.n, 0) AS BIGINT) AS n_blocks
+FROM base LEFT JOIN hit ON hit.doc_id = base.doc_id LEFT JOIN blk ON blk.doc_id = base.doc_id
 """
 
 ORACLE_SQL = {

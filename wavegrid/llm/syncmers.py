@@ -10,8 +10,9 @@ A fingerprint is the set of the anchors' hashes, each with the unit number of it
 The likeness of two fingerprints is positional: hashes in both are paired, in the order of the
 first text; a pair counts if it is moved by as many units as the pair before or after it, or not
 at all; the likeness is the number of these pairs over that of all hashes of both. It covers all
-anchors, however long the text. `text_of(sketch)` is a compact form to store, the `SIZE` smallest
-hashes; `sketch_likeness` estimates the plain share of common hashes from it (exact up to SIZE
+anchors, however long the text. `packed` is a fingerprint's form to store, all hashes with their
+places (12 bytes each, in Base64), from which `unpacked` gives them back. `text_of(sketch)` is a
+compact form beside it, the `SIZE` smallest hashes; `sketch_likeness` estimates the plain share of common hashes from it (exact up to SIZE
 hashes in both; for longer texts measured in the tests: within 0.1, on average within 0.03).
 
 Edge cases: a null text counts as empty; an empty text has an empty fingerprint, and two empty
@@ -24,7 +25,9 @@ empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import base64
 import math
+import struct
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -120,6 +123,17 @@ def text_of(fingerprint: Column) -> Column:
     return F.array_join(F.transform(fingerprint, lambda h: F.lpad(F.lower(F.hex(h)), 16, "0")), "")
 
 
+def packed(name: str) -> Column:
+    """The fingerprint in the columns <name>_hash and <name>_at as a string."""
+    each = F.zip_with(f"{name}_hash", f"{name}_at", lambda h, t: F.concat(F.lpad(F.hex(h), 16, "0"), F.lpad(F.hex(t), 8, "0")))
+    return F.translate(F.base64(F.unhex(F.array_join(each, ""))), "\r\n", "")
+
+
+def unpacked(text: str) -> list[tuple[int, int]]:
+    """(hash, place) of a packed fingerprint."""
+    return list(struct.iter_unpack(">qi", base64.b64decode(text)))
+
+
 def range_of(begins: list[int]) -> Column:
     """The number of the range that `key` lies in, looked up in two steps: among every `step`-th bound, then among those between."""
     literal = lambda values: F.array(*[F.lit(x).cast("bigint") for x in values])
@@ -188,5 +202,5 @@ def op8_syncmer_fingerprints(spark, sf_dir: str) -> DataFrame:
     out = fingerprints(documents(spark, sf_dir))
     return out.select(
         "doc_id", F.length("text").cast("bigint").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
-        text_of(sketch(F.col("own_hash"))).alias("fingerprint"), text_of(sketch(F.col("changed_hash"))).alias("edited_fingerprint"), "near_edited", "near_next",
+        packed("own").alias("fingerprint"), packed("changed").alias("edited_fingerprint"), "near_edited", "near_next", text_of(sketch(F.col("own_hash"))).alias("sketch"),
     )

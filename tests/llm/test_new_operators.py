@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tests.conftest import DATA
 from tests.llm.test_corpus import WORDS, hard_rows, near_rows
 from tests.llm.test_corpus import SCHEMA as HARD
-from wavegrid.llm import queries, sketch_dedup, turn_trie, vector_codes
+from wavegrid.llm import common, queries, sketch_dedup, turn_trie, vector_codes
 
 SF = f"{DATA}/sf0.001"
 
@@ -56,12 +56,13 @@ def deduped(df):
     return sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in sketch_dedup.near_copies(df).collect()), key=repr)
 
 
-@pytest.mark.parametrize("seed,block", [(1, 256), (2, 6), (3, 2)])
+@pytest.mark.parametrize("seed,block", [(1, 1024), (2, 6), (3, 2)])
 def test_dedup_equals_all_pairs(spark, seed, block, monkeypatch):
     """Also where large components are cut into small blocks, so that open bands are compared again."""
     monkeypatch.setattr(sketch_dedup, "BLOCK_CLASSES", block)
     if seed == 3:
-        monkeypatch.setattr(sketch_dedup, "small_side", lambda df: df)
+        monkeypatch.setattr(sketch_dedup, "SENT_ROWS", 0)
+        monkeypatch.setattr(common, "SENT_ROWS", 0)
     rows = near_rows(seed)
     assert deduped(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)) == deduped_by_force(rows)
 
@@ -117,7 +118,7 @@ def test_sketch_equals_the_rounds_one_by_one():
             h = sketch_dedup.mixed(s.view(np.uint64) ^ sketch_dedup.ROUND_SEEDS[i]).tolist()
             here = defaultdict(list)
             for x in h:
-                here[x >> 56 if i < sketch_dedup.T else i - sketch_dedup.T].append(x & (2**48 - 1))
+                here[x >> int(sketch_dedup.BIN_SHIFT) if i < sketch_dedup.T else i - sketch_dedup.T].append(x & (2**48 - 1))
             for b, values in here.items():
                 if want[b] is None:
                     want[b] = i << 48 | min(values)

@@ -10,7 +10,7 @@ import tempfile
 from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: The columns of the documents table.
@@ -38,6 +38,25 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows of a partition of a small table that has been cut.
+PARTITION_ROWS = 100_000
+
+
+def counted(df: DataFrame, *more) -> tuple[DataFrame, tuple]:
+    """cut(df) and its number of rows, seen as they were kept, with further aggregates of them; in as many partitions as they need, where they had more."""
+    seen = Observation()
+    names = [f"_{k}" for k in range(len(more) + 1)]
+    kept = cut(df.observe(seen, *[a.alias(n) for a, n in zip((F.count(F.lit(1)), *more), names, strict=True)]))
+    values = tuple(seen.get[n] for n in names)
+    return kept.coalesce(max(1, -(-values[0] // PARTITION_ROWS))), values
+
+
+def sent(df: DataFrame, bound: int | None = None) -> DataFrame:
+    """df, cut and counted, to be sent to all tasks of a join if it has at most `bound` rows (SENT_ROWS); else Spark joins by an exchange."""
+    kept, (n,) = counted(df)
+    return F.broadcast(kept) if n <= (SENT_ROWS if bound is None else bound) else kept
+
+
 def once(key: tuple, make: Callable):
     """make(), at most once per Python process as long as one operator runs: workers are used for many tasks.
 

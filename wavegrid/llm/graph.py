@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wavegrid.llm.common import cut
+from wavegrid.llm.common import counted
 
 
 def _star(pairs: DataFrame) -> DataFrame:
@@ -18,25 +18,27 @@ def _star(pairs: DataFrame) -> DataFrame:
     return pairs.join(least, F.col("u") == F.col("w")).select("u", "v", "m")
 
 
+def _pairs(edges: DataFrame, *pairs: tuple[str, str]) -> DataFrame:
+    """(u, v): for each row of edges (u, v, m), the named pairs of columns."""
+    each = F.array(*[F.struct(F.col(a).alias("u"), F.col(b).alias("v")) for a, b in pairs])
+    return edges.select(F.explode(each).alias("e")).select("e.u", "e.v")
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component): the smallest node of each node's component; edges has columns u and v.
 
     Alternating large-star and small-star rounds, each cut into the shared folder, until the
     edges no longer change. The number of rounds grows with the logarithm of the nodes.
     """
-    now = cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    marks = (F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("v", "u") % 1_000_003))
+    now, state = counted(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), *marks)
     last = None
     for _ in range(max_rounds):
-        state = now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("v", "u") % 1_000_003)).first()
         if state == last or not state[0]:
             break
         last = state
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _star(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        small = _star(large)
-        now = cut(small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
+        large = _star(_pairs(now, ("u", "v"), ("v", "u"))).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        now, state = counted(_pairs(_star(large), ("v", "m"), ("u", "m")).where("u <> v").distinct(), *marks)
     else:
         raise RuntimeError(f"components did not settle within {max_rounds} rounds")
-    return now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component")).unionByName(
-        now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    )
+    return _pairs(now, ("u", "v"), ("v", "v")).groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))

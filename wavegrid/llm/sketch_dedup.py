@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wavegrid.llm.common import columns_of, cut, documents, in_small_batches, once, small_side
+from wavegrid.llm.common import SENT_ROWS, columns_of, counted, cut, documents, in_small_batches, once, sent
 from wavegrid.llm.graph import components
 from wavegrid.llm.ngram_join import MULTIPLIER, WordHashes, mixed, shared_ids
 
@@ -46,7 +46,7 @@ WORDS = 2
 #: Coordinates of a sketch, a power of two; its bands and their coordinates.
 T, BANDS, ROWS = 256, 51, 5
 #: Classes and shingles of a block.
-BLOCK_CLASSES, BLOCK_SHINGLES = 256, 400_000
+BLOCK_CLASSES, BLOCK_SHINGLES = 1024, 400_000
 #: Hashes that are computed at once, as far as one round has no more.
 AT_ONCE = 8192
 
@@ -201,11 +201,11 @@ def many(classes, size):
 
 def dealt(rows: DataFrame, by: list[str]) -> DataFrame:
     """rows (k, n and the columns by) with `chunk`: those with equal `by` are together, cut by hash into chunks of bounded size; small ones are bundled."""
-    groups = cut(rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_classes"), F.sum("n").alias("_size")).withColumn("_own", many(F.col("_classes"), F.col("_size"))))
-    total = groups.where("_own = 1").agg(F.sum("_classes"), F.sum("_size")).first()
-    bundles = max(1, -(-2 * (total[0] or 0) // BLOCK_CLASSES), -(-2 * (total[1] or 0) // BLOCK_SHINGLES))
-    crowded = small_side(cut(groups.where("_own > 1").select(*by, "_own")))
-    joined = rows.join(crowded, by, "left")
+    groups = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_classes"), F.sum("n").alias("_size")).withColumn("_own", many(F.col("_classes"), F.col("_size")))
+    small = F.col("_own") == 1
+    groups, (_, classes, size) = counted(groups, F.sum(F.when(small, F.col("_classes"))), F.sum(F.when(small, F.col("_size"))))
+    bundles = max(1, -(-2 * (classes or 0) // BLOCK_CLASSES), -(-2 * (size or 0) // BLOCK_SHINGLES))
+    joined = rows.join(sent(groups.where("_own > 1").select(*by, "_own")), by, "left")
     own = F.xxhash64(*by, F.pmod(F.xxhash64("k"), F.col("_own")))
     return joined.withColumn("chunk", F.when(F.col("_own").isNotNull(), own).otherwise(F.pmod(F.xxhash64(*by), F.lit(bundles)))).drop("_own")
 
@@ -222,53 +222,53 @@ def open_blocks(held: DataFrame, groups: DataFrame) -> DataFrame | None:
     held: (k, n, h) of large components; groups: (node, component), what is linked so far.
     """
     placed = held.join(groups, held.k == groups.node, "left").select("k", "n", "h", F.coalesce("component", "k").alias("of"))
-    placed = cut(placed)
-    several = cut(placed.groupBy("h").agg(F.min("of").alias("a"), F.max("of").alias("z")).where("a <> z").select("h"))
-    if several.isEmpty():
+    placed, _ = counted(placed)
+    several, (n,) = counted(placed.groupBy("h").agg(F.min("of").alias("a"), F.max("of").alias("z")).where("a <> z").select("h"))
+    if not n:
         return None
-    still = placed.join(small_side(several), "h")
-    members = cut(still.groupBy("k", "n", "of").agg(F.sort_array(F.collect_set("h")).alias("keys")))
+    still = placed.join(F.broadcast(several) if n <= SENT_ROWS else several, "h")
+    members, _ = counted(still.groupBy("k", "n", "of").agg(F.sort_array(F.collect_set("h")).alias("keys")))
     # A group's classes are in chunks of their own if they are many, else with those of the same smallest open band.
-    sizes = cut(members.groupBy("of").agg(many(F.count(F.lit(1)), F.sum("n")).alias("own")))
+    sizes = sent(members.groupBy("of").agg(many(F.count(F.lit(1)), F.sum("n")).alias("own")))
     pure = members.join(sizes, "of").withColumn("large", F.col("own") > 1)
     alone = pure.where("large").select("k", "n", "of", "keys", F.xxhash64("of", F.pmod(F.xxhash64("k"), F.col("own"))).alias("chunk"), F.col("of").alias("only"))
     mixed_ = dealt(pure.where("not large").select("k", "n", "of", "keys", F.element_at("keys", 1).alias("near")), ["near"])
-    chunked = cut(alone.unionByName(mixed_.select("k", "n", "of", "keys", "chunk", F.lit(None).cast("bigint").alias("only"))))
-    holders = cut(chunked.select("chunk", "only", F.explode("keys").alias("h")).distinct())
+    chunked, _ = counted(alone.unionByName(mixed_.select("k", "n", "of", "keys", "chunk", F.lit(None).cast("bigint").alias("only"))))
+    holders, _ = counted(chunked.select("chunk", "only", F.explode("keys").alias("h")).distinct())
     # Of each band, the group with most chunks is met by the others' chunks only, never by itself.
     counts = holders.where("only is not null").groupBy("h", "only").agg(F.count(F.lit(1)).alias("chunks"))
     main = counts.groupBy("h").agg(F.max(F.struct("chunks", "only"))["only"].alias("main"))
-    told = holders.join(main, "h", "left")
+    told = holders.join(sent(main), "h", "left")
     rest = told.where("only is null or main is null or only <> main").select("h", F.col("chunk").alias("one"), F.col("only").alias("only1"))
     met = rest.join(holders.select("h", F.col("chunk").alias("two"), F.col("only").alias("only2")), "h")
     met = met.where("only1 is null or only2 is null or only1 <> only2").select(F.least("one", "two").alias("one"), F.greatest("one", "two").alias("two")).distinct()
-    pairs = cut(met.withColumn("block", F.monotonically_increasing_id()))
+    pairs, (n,) = counted(met.withColumn("block", F.monotonically_increasing_id()))
     itself = F.col("one") == F.col("two")
     sides = pairs.select(F.col("one").alias("chunk"), "block", F.when(itself, 2).otherwise(0).alias("side")).unionByName(
         pairs.where(~itself).select(F.col("two").alias("chunk"), "block", F.lit(1).alias("side"))
     )
-    return chunked.join(sides, "chunk").select("k", "of", "keys", "block", "side")
+    return chunked.join(F.broadcast(sides) if n <= SENT_ROWS else sides, "chunk").select("k", "of", "keys", "block", "side")
 
 
-def linked_classes(held: DataFrame, sets: DataFrame, partitions: int) -> DataFrame:
-    """(u, v): links that make up the components of classes, by k. held: (k, n, h) of the bands that several classes share."""
+def linked_classes(held: DataFrame, classes: DataFrame, sets: DataFrame, partitions: int) -> DataFrame:
+    """(u, v): links that make up the components of classes (k, n), by k. held: (k, h) of the bands that several classes share."""
     first = held.groupBy("h").agg(F.min("k").alias("first"))
     tied = components(held.join(first, "h").select(F.col("k").alias("u"), F.col("first").alias("v")))
-    keys = held.groupBy("k", "n").agg(F.collect_set("h").alias("keys"))
-    found = cut(keys.join(tied, keys.k == tied.node).select("k", "n", "keys", "component"))
-    sizes = cut(found.groupBy("component").agg(F.count(F.lit(1)).alias("classes"), F.sum("n").alias("size")).withColumn("large", many(F.col("classes"), F.col("size")) > 1))
+    keys = held.groupBy("k").agg(F.collect_set("h").alias("keys"))
+    found, _ = counted(keys.join(tied, keys.k == tied.node).join(classes, "k").select("k", "n", "keys", "component"))
+    sizes = found.groupBy("component").agg(F.count(F.lit(1)).alias("classes"), F.sum("n").alias("size"))
     # Each large component has over BLOCK_CLASSES classes (or very long texts): there are few of them.
-    large = small_side(cut(sizes.where("large").select("component")))
+    large = sent(sizes.where(many(F.col("classes"), F.col("size")) > 1).select("component"))
     block = lambda rows, turn: rows.select("k", F.col("k").alias("of"), "keys", F.xxhash64(F.lit(turn), "chunk").alias("block"), F.lit(2).alias("side"))
     small = block(dealt(found.join(large, "component", "left_anti"), ["component"]), "small")
-    crowd = cut(found.join(large, "component"))
+    crowd, (n,) = counted(found.join(large, "component"))
     turns = [block(dealt(crowd.withColumn("near", f("keys")), ["component", "near"]), name) for name, f in (("first", F.array_min), ("second", F.array_max))]
-    edges = cut(compared(small.unionByName(turns[0]).unionByName(turns[1]), sets, partitions))
-    if crowd.isEmpty():
+    edges, _ = counted(compared(small.unionByName(turns[0]).unionByName(turns[1]), sets, partitions))
+    if not n:
         return edges
     of_crowd = crowd.select("k", "n", F.explode("keys").alias("h"))
     blocks = open_blocks(of_crowd, components(edges))
-    return edges if blocks is None else edges.unionByName(cut(compared(blocks, sets, partitions)))
+    return edges if blocks is None else edges.unionByName(counted(compared(blocks, sets, partitions))[0])
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
@@ -277,18 +277,19 @@ def near_copies(docs: DataFrame) -> DataFrame:
     rows = signed.where("n > 0 and doc_id is not null")
     # A task's first row of a set has its bands; one of them is taken.
     classes = cut(rows.groupBy("key", "k").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("bands").alias("bands")))
-    ties = classes.select("k", "n", F.explode("bands").alias("h"))
-    several = ties.groupBy("h").agg(F.min("k").alias("a"), F.max("k").alias("z")).where("a <> z").select("h")
-    held = cut(ties.join(several, "h"))
-    alive = cut(held.select("k").distinct().join(classes.select("k", "rep"), "k"))
-    texts = docs.select(*[c.alias(a) for c, a in zip(columns_of(docs, "doc_id", "text"), ("rep", "text"), strict=True)]).join(small_side(alive), "rep")
+    # Most bands are one class's alone: what is counted and joined for all of them is kept narrow.
+    ties = classes.select("k", F.explode("bands").alias("h"))
+    several = ties.groupBy("h").agg(F.count(F.lit(1)).alias("held")).where("held > 1").select("h")
+    held, _ = counted(ties.join(several, "h"))
+    alive, (n,) = counted(held.select("k").distinct().join(classes.select("k", "rep", "n"), "k"))
+    reps = alive.select("k", "rep")
+    texts = docs.select(*[c.alias(a) for c, a in zip(columns_of(docs, "doc_id", "text"), ("rep", "text"), strict=True)]).join(F.broadcast(reps) if n <= SENT_ROWS else reps, "rep")
     sets = with_sets(texts)
     ids = shared_ids(rows, classes)
     sets = cut(sets if ids is None else sets.dropDuplicates(["k"]))
     # Several blocks for each partition, since a task's time is not in proportion to its bytes.
     partitions = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    edges = linked_classes(held, sets, partitions)
-    reps = classes.select("k", "rep")
+    edges = linked_classes(held, alive.select("k", "n"), sets, partitions)
     by_rep = edges.join(reps.withColumnsRenamed({"k": "u", "rep": "ru"}), "u").join(reps.withColumnsRenamed({"k": "v", "rep": "rv"}), "v").select(F.col("ru").alias("u"), F.col("rv").alias("v"))
     joined = components(by_rep if ids is None else by_rep.unionByName(ids))
     of_class = classes.join(joined, classes.rep == joined.node, "left").select("key", F.coalesce("component", "rep").alias("component_id"))

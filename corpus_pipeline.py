@@ -1,6 +1,7 @@
 """A training-data pipeline of corpus operators (part of the llm subpackage, where its stages are).
 
-Each stage gets all rows its predecessor kept; its result is written as Parquet and read again.
+Each stage gets all rows its predecessor kept; its result is written as Parquet and read again. A
+stage's result is deleted when the next one is written; the last one stays in the shared folder.
 """
 
 from __future__ import annotations
@@ -31,4 +32,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{place}/{k}")
         docs = spark.read.parquet(f"{place}/{k}")
+        if k:  # the stage is committed: what it has read is no longer needed
+            before = spark._jvm.org.apache.hadoop.fs.Path(f"{place}/{k - 1}")
+            before.getFileSystem(spark._jsc.hadoopConfiguration()).delete(before, True)
     return docs

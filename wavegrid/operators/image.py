@@ -51,6 +51,28 @@ def downsample_image(series: DataFrame, height: int, width: int, scale) -> DataF
     return rows.select("image_id", "c", F.col("nx").alias("x"), F.col("ny").alias("y"), "values")
 
 
+def downsample_scales(series: DataFrame, height: int, width: int, scales: Sequence) -> DataFrame:
+    """(scale, image_id, c, x, y, values): series of several smaller images from one pass over the series; scale is a place in `scales`.
+
+    A pixel is in about one window of each scale, and is added to all of them where it is.
+    """
+    spark, sizes = series.sparkSession, [_sizes(height, width, s) for s in scales]
+
+    def windows(size: int, new: list[int], old_name: str, new_name: str) -> DataFrame:
+        """(old, [(scale, new)]): the windows of all scales that a row or column is in; as many rows as the image has."""
+        each = [_windows(spark, size, n, old_name, new_name).select(old_name, F.struct(F.lit(k).alias("scale"), new_name).alias("w")) for k, n in enumerate(new)]
+        rows = each[0]
+        for other in each[1:]:
+            rows = rows.unionByName(other)
+        return F.broadcast(rows.groupBy(old_name).agg(F.collect_list("w").alias(f"_{new_name}")))
+
+    rows = series.join(windows(height, [h for h, _ in sizes], "x", "nx"), "x").join(windows(width, [w for _, w in sizes], "y", "ny"), "y")
+    both = F.flatten(F.transform("_nx", lambda a: F.transform(F.filter("_ny", lambda b: b["scale"] == a["scale"]), lambda b: F.struct(a["scale"].alias("scale"), a["nx"].alias("nx"), b["ny"].alias("ny")))))
+    mapped = rows.select("image_id", "c", "values", F.explode(both).alias("w")).select("w.scale", "image_id", "c", "w.nx", "w.ny", "values")
+    found = mean_series(mapped, ["scale", "image_id", "c", "nx", "ny"])
+    return found.select("scale", "image_id", "c", F.col("nx").alias("x"), F.col("ny").alias("y"), "values")
+
+
 def downsample_mask(labels: DataFrame, height: int, width: int, scale) -> DataFrame:
     """The nearest source pixel's label, floor(i size / new), for each pixel of the smaller mask."""
     h, w = _sizes(height, width, scale)

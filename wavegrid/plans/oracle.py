@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from wavegrid.operators.cwt import piecewise_scales
-from wavegrid.plans.queries import BAND, BANKS, CUTOFF, FOLDER_COLUMNS, GRID_END, HIGH, KERNEL, LOW, MORLET, NAMES, SAMPLING, SCALES, THRESHOLD, WINDOW
+from wavegrid.plans.queries import BAND, BANKS, BLOCK, CUTOFF, FOLDER_COLUMNS, GRID_END, HIGH, KERNEL, LOW, LOW_BINS, MORLET, NAMES, SAMPLING, SCALES, SHARES, THRESHOLD, WINDOW
 
 E_VOX = """vox AS (
   SELECT CAST(vec_id // 25 AS BIGINT) AS x, CAST(vec_id % 25 AS BIGINT) AS y, CAST(i % 2 AS BIGINT) AS c, CAST(i // 2 AS BIGINT) AS t,
@@ -216,6 +216,14 @@ FROM (SELECT * FROM ea UNION ALL SELECT * FROM la) GROUP BY image_filename, labe
     "downsample_image": DOWNSAMPLED,
     "frames_downsample": DOWNSAMPLED,
     "frames_normalize": f"WITH {E_VOX} SELECT x, y, c, t, {r('(v - avg(v) OVER w) / stddev_samp(v) OVER w', 'value')} FROM vox WINDOW w AS (PARTITION BY c, t)",
+    "downsample_scales": f"""WITH {E_VOX}, d AS (SELECT k AS scale, CAST(round_even((max(x) + 1) * f, 0) AS BIGINT) AS h, CAST(round_even((max(y) + 1) * f, 0) AS BIGINT) AS w, max(x) + 1 AS big_h, max(y) + 1 AS big_w
+  FROM vox, (VALUES {", ".join(f"({k}, {f})" for k, f in enumerate(SHARES))}) q(k, f) GROUP BY k, f),
+nx AS (SELECT scale, CAST(i AS BIGINT) AS nx, i * big_h // h AS a, ((i + 1) * big_h + h - 1) // h AS b FROM d, range(1000) AS q(i) WHERE i < h),
+ny AS (SELECT scale, CAST(i AS BIGINT) AS ny, i * big_w // w AS a, ((i + 1) * big_w + w - 1) // w AS b FROM d, range(1000) AS q(i) WHERE i < w)
+SELECT CAST(nx.scale AS BIGINT) AS scale, nx AS x, ny AS y, c, t, {r("avg(v)", "value")} FROM nx JOIN ny ON nx.scale = ny.scale JOIN vox ON x >= nx.a AND x < nx.b AND y >= ny.a AND y < ny.b GROUP BY nx.scale, nx, ny, c, t""",
+    "fft_long_series": f"""WITH n AS (SELECT (max(event_id) // {BLOCK} + 1) * {BLOCK} AS n FROM events),
+z AS (SELECT CAST(k AS BIGINT) AS k, sum(value * cos(2 * pi() * ((k * event_id) % n) / n)) AS re, sum(value * sin(2 * pi() * ((k * event_id) % n) / n)) AS im FROM events, n, range({LOW_BINS}) AS q(k) GROUP BY k)
+SELECT k, CASE WHEN k = 0 THEN 0.0 ELSE {r("sqrt(re * re + im * im)", "value", 4).removesuffix(" AS value")} END AS value FROM z""",
     "stream_spectrum": f"""WITH {E_VOX}, last AS (SELECT x, y, c, t - {32 - WINDOW} AS t, v - avg(v) OVER (PARTITION BY x, y, c) AS v FROM vox WHERE t >= {32 - WINDOW}),
 dft AS (SELECT x, y, c, CAST(k AS BIGINT) AS k, sum(v * cos(2 * pi() * ((k * t) % {WINDOW}) / {WINDOW})) AS re, -sum(v * sin(2 * pi() * ((k * t) % {WINDOW}) / {WINDOW})) AS im
   FROM last, range({WINDOW // 2 + 1}) AS q(k) GROUP BY x, y, c, k)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wavegrid.functions.kept import shared_folder
-from wavegrid.operators import cells, cwt, fft, image, table
+from wavegrid.operators import cells, cwt, fft, image, longfft, table
 from wavegrid.plans import model
 from wavegrid.plans.pipeline import process_files, process_images
 from wavegrid.sources import stacks, tiff
@@ -191,6 +191,34 @@ def downsample_image(spark, sf_dir):
     return elements(image.downsample_image(series, *extent(series), 0.5), "values")
 
 
+#: Scales of downsample_scales.
+SHARES = (0.5, 0.25, 0.2)
+
+
+def downsample_scales(spark, sf_dir):
+    series = model.embedding_series(spark, sf_dir)
+    rows = image.downsample_scales(series, *extent(series), SHARES)
+    each = rows.select(*keys("scale", "x", "y", "c"), F.posexplode("values").alias("t", "value"))
+    return each.select("scale", "x", "y", "c", *keys("t"), rounded("value").alias("value"))
+
+
+#: Samples of a block and the bins that fft_long_series gives.
+BLOCK, LOW_BINS = 256, 48
+
+
+def fft_long_series(spark, sf_dir):
+    """The values of all events, in the order of event_id, as one series in blocks (zeros after the last): its lowest bins."""
+    events = model.table(spark, sf_dir, "events")
+    last = events.agg(F.max("event_id")).first()[0] or 0
+    at = F.sort_array(F.collect_list(F.struct((F.col("event_id") % BLOCK).alias("i"), "value")))
+    by_place = F.map_from_entries(at)
+    values = F.transform(F.sequence(F.lit(0), F.lit(BLOCK - 1)), lambda i: F.coalesce(F.try_element_at("at", i.cast("bigint")), F.lit(0.0)))
+    blocks = events.groupBy((F.col("event_id") / BLOCK).cast("int").alias("block")).agg(by_place.alias("at")).select("block", values.alias("values"))
+    keyed = blocks.select(F.lit("V").alias("image_id"), F.lit(0).alias("c"), F.lit(0).alias("x"), F.lit(0).alias("y"), "block", "values")
+    rows = longfft.long_amplitudes(keyed, last // BLOCK + 1, BLOCK).where(F.col("k") < LOW_BINS)
+    return rows.select("k", rounded("full_amplitude", 4).alias("value"))
+
+
 def embedding_frames(spark, sf_dir) -> tuple[DataFrame, int, int]:
     """The embeddings image as frame rows, whose group is one frame of one channel; its height and width."""
     series = model.embedding_series(spark, sf_dir)
@@ -507,6 +535,8 @@ QUERIES = {
     "cells_long": cells_long,
     "batch_union": batch_union,
     "downsample_image": downsample_image,
+    "downsample_scales": downsample_scales,
+    "fft_long_series": fft_long_series,
     "downsample_mask": downsample_mask,
     "frames_normalize": frames_normalize,
     "frames_downsample": frames_downsample,

@@ -331,6 +331,41 @@ def test_rules_as_columns_equal_rules_in_numpy(spark, small):
         assert scored[i] == pytest.approx(1 / (1 + np.exp(-total)))
 
 
+def statistics_by_force(text):
+    """The statistics from their definitions, on characters and words as they stand."""
+    t = text or ""
+    words = re.findall(r"[^\x20\x09-\x0D]+", t)
+    n, size = max(1, len(words)), max(1, len(t))
+    classes = [len(re.findall(c, t)) / size for c in ("[a-z]", "[A-Z]", "[0-9]", r"[\x20\x09-\x0D]", r"[#*$%&|<>]", r"[^a-zA-Z0-9#*$%&|<>\x20\x09-\x0D\x80-\U0010FFFF]", r"[^\x00-\x7F]")]
+    of = lambda test: float(sum(map(test, words))) / n
+    thrice = Counter(zip(words, words[1:], words[2:], strict=False))
+    repeated = {i for k in range(len(words) - 2) if thrice[tuple(words[k : k + 3])] > 1 for i in (k, k + 1, k + 2)}
+    lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    m = max(1, len(lines))
+    ended = lambda x: re.sub(r"[\x20\x09-\x0D]+$", "", x)[-1] in ".!?"
+    shouted = lambda w: len(w.encode()) > 2 and bool(re.search("[A-Z]", w)) and not re.search("[a-z]", w)
+    return (
+        float(np.log1p(len(words))), float((1 - classes[3]) * size / n), *classes, of(lambda w: w == "|"), len(set(words)) / n, of(lambda w: len(w.encode()) <= 3), len(repeated) / n,
+        (len(lines) - len(set(lines))) / m, n / m, sum(map(ended, lines)) / m, of(lambda w: w[-1] in ".,!?;:"), of(shouted),
+    )
+
+
+def test_quality_query_equals_brute_force(spark, small):
+    """The registered query: statistics by their definitions, learnt from the rows outside the held-out fold, scored rule by rule."""
+    texts = texts_of(small)
+    label = {r.doc_id: r.quality for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    held = {i: zlib.crc32(str(i).encode()) % 5 == 0 for i in texts}
+    x = {i: statistics_by_force(t) for i, t in texts.items()}
+    learnt = sorted((*x[i], float(label[i])) for i in texts if label.get(i) is not None and not held[i])
+    rules, b = quality_model.fit(np.array([r[:-1] for r in learnt]), np.array([r[-1] for r in learnt]))
+    got = {r.doc_id: r for r in queries.QUERIES["op5_quality_classifier"](spark, SF).collect()}
+    assert got.keys() == texts.keys() and rules
+    for i, r in got.items():
+        total = b + sum(w for rule, w in rules if all((x[i][j] > cut) == above for j, above, cut in rule))
+        assert r.held_out == held[i] and r.score == pytest.approx(1 / (1 + math.exp(-total)), abs=1e-9)
+        assert r.predicted == int(r.score >= 0.3)
+
+
 def test_thresholds_share_weights():
     rng = np.random.default_rng(1)
     rows = [np.unique(rng.integers(0, 40, 12)).astype(np.int32) for _ in range(600)]

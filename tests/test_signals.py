@@ -166,7 +166,7 @@ def test_scale_bounds_are_those_of_the_energies(wavelet):
         w = (np.arange(200_000) + 0.5) * (math.pi * 40 / 200_000)
         energy = chosen.gain(smallest * w) ** 2
         assert abs(energy[w <= math.pi].sum() / energy.sum() - 0.6) < 2e-3
-        t, w = np.arange(-6000, 6000) * (largest / 200), (np.arange(4000) + 0.5) * (8 * chosen.peak / largest / 4000)
+        t, w = np.arange(-1500, 1500) * (largest / 50), (np.arange(2000) + 0.5) * (8 * chosen.peak / largest / 2000)
         wave = np.array([np.sum(chosen.gain(largest * w) * np.cos(w * x)) for x in t]) + 1j * np.array([np.sum(chosen.gain(largest * w) * np.sin(w * x)) for x in t])
         energy = np.abs(wave) ** 2
         assert abs(energy[np.abs(t) <= cwt.padded_length(frames) / 2].sum() / energy.sum() - 0.3) < 1e-2
@@ -184,6 +184,36 @@ def test_default_scales_exist_from_sixteen_frames_on(spark):
         cwt.scale_bounds(16, None, 1.5)
 
 
+def read_by_hand(data, scales, low, high, banks, method):
+    """amp, phase difference, power and z-score from whole transforms of all scales at once."""
+    w = {c: cwt.transform(v, scales) for c, v in data.items()}
+    at = low + cwt.bank_places(np.abs(w[0][:, low:high]), banks, method)
+    read = {c: np.take_along_axis(x, at, axis=1) for c, x in w.items()}
+    a = np.abs(w[1])
+    return {
+        "amp": np.abs(read[1]) / a.sum(axis=1, keepdims=True), "phase_difference": np.mod(np.angle(read[1]) - np.angle(read[0]), 2 * math.pi),
+        "z_score": (np.abs(read[1]) / a.sum(axis=1, keepdims=True) - a.mean(axis=1, keepdims=True)) / a.std(axis=1, ddof=1, keepdims=True), "freq": at.astype(float),
+    }
+
+
+@pytest.mark.parametrize("method,banks", [("max_pool", 1), ("max_pool", 5), ("sort", 4)])
+def test_scales_in_runs_equal_all_at_once(monkeypatch, method, banks):
+    """What is held is bounded, whatever the number of scales, and the outputs are the same."""
+    rng = np.random.default_rng(banks)
+    data = {c: rng.normal(size=(3, 50)) for c in range(2)}
+    scales = cwt.piecewise_scales(50)
+    want = read_by_hand(data, scales, 30, 90, banks, method)
+    plain, sizes = cwt.Padded.at, []
+    monkeypatch.setattr(cwt.Padded, "at", lambda self, s: (sizes.append(self.spectrum.size * len(s)), plain(self, s))[1])
+    for held in (8_000_000, 2000, 1):
+        monkeypatch.setattr(cwt, "HELD", held)
+        sizes.clear()
+        got = cwt.query_block(data, scales, 30, 90, banks, True, 0, {0: ["amp"], 1: list(want)}, method, None, "reflect", cwt.Wavelet.of(None), "l1")[1]
+        assert max(sizes) <= max(held, 3 * 128)
+        for o, v in want.items():
+            assert np.abs(got[o] - v).max() < 1e-9, o
+
+
 def test_wavelet_banks_agree_for_one_bank(spark):
     rng = np.random.default_rng(1)
     s = make(spark, [(c, x, 0, rng.normal(size=T).tolist()) for c in range(2) for x in range(5)] + [(0, 9, 9, None)])

@@ -166,18 +166,26 @@ def wavelet_bank(scales: np.ndarray, n: int, wavelet=None, norm: str = "l1") ->
     return out * np.sqrt(scales)[:, None] if norm == "l2" else out
 
 
+class Padded:
+    """The spectrum of the rows of a matrix, padded; coefficients of any scales are made from it."""
+
+    def __init__(self, values: np.ndarray, padding: str | None = "reflect", wavelet=None, norm: str = "l1"):
+        self.n, self.left, self.wavelet, self.norm = values.shape[1], 0, wavelet, norm
+        if padding is not None and self.n > 1:
+            total = padded_length(self.n)
+            self.left = (total - self.n) // 2
+            values = np.pad(values, ((0, 0), (self.left, total - self.n - self.left)), mode=padding)
+        self.spectrum = np.fft.fft(values, axis=1)
+
+    def at(self, scales: np.ndarray) -> np.ndarray:
+        """(rows, scales, frames) of complex coefficients."""
+        bank = wavelet_bank(scales, self.spectrum.shape[1], self.wavelet, self.norm)
+        return np.fft.ifft(self.spectrum[:, None, :] * bank[None, :, :], axis=2)[:, :, self.left : self.left + self.n]
+
+
 def transform(values: np.ndarray, scales: np.ndarray, padding: str | None = "reflect", wavelet=None, norm: str = "l1") -> np.ndarray:
     """(rows, scales, frames) of complex coefficients."""
-    n = values.shape[1]
-    left = right = 0
-    if padding is not None and n > 1:
-        total = padded_length(n)
-        left = (total - n) // 2
-        right = total - n - left
-        values = np.pad(values, ((0, 0), (left, right)), mode=padding)
-    bank = wavelet_bank(scales, values.shape[1], wavelet, norm)
-    spectrum = np.fft.fft(values, axis=1)
-    return np.fft.ifft(spectrum[:, None, :] * bank[None, :, :], axis=2)[:, :, left : left + n]
+    return Padded(values, padding, wavelet, norm).at(scales)
 
 
 def bank_places(amp: np.ndarray, banks: int, method: str) -> np.ndarray:
@@ -207,33 +215,90 @@ def checked_outputs(channel_outputs: Mapping[int, Sequence[str]], carrier: int,
         raise ValueError("there are fewer scales between min_scale and max_scale than filter banks")
 
 
+#: Complex numbers of coefficients that are held at once, as far as one scale has no more.
+HELD = 8_000_000
+
+
+def scale_runs(begin: int, end: int, numbers: int) -> list[tuple[int, int]]:
+    """Runs of scales whose coefficients, `numbers` for each scale, are held at once."""
+    step = max(1, HELD // max(1, numbers))
+    return [(k, min(end, k + step)) for k in range(begin, end, step)]
+
+
+def carrier_places(carrier: Padded, scales: np.ndarray, low: int, high: int, banks: int, method: str, runs: Sequence[tuple[int, int]]) -> np.ndarray:
+    """bank_places() of the carrier's amplitudes between two scales, from one run of scales after the other."""
+    best, top = None, None
+    ends = [(low + i * (high - low) // banks, low - (-(i + 1) * (high - low) // banks)) for i in range(banks)]
+    for a, b in runs:
+        amp = np.abs(carrier.at(scales[a:b]))
+        if method == "sort":
+            # Scales seen before come first, so that of equal amplitudes the smaller scale stays ahead.
+            every = amp if top is None else np.concatenate([top, amp], axis=1)
+            number = np.broadcast_to(np.arange(a, b)[None, :, None], amp.shape)
+            number = number if best is None else np.concatenate([best, number], axis=1)
+            order = np.argsort(-every, axis=1, kind="stable")[:, :banks]
+            top, best = np.take_along_axis(every, order, axis=1), np.take_along_axis(number, order, axis=1)
+            continue
+        if top is None:
+            top, best = np.full((len(amp), banks, amp.shape[2]), -np.inf), np.zeros((len(amp), banks, amp.shape[2]), np.int64)
+        for k, (p, q) in enumerate(ends):
+            p, q = max(p, a), min(q, b)
+            if p < q:
+                part = amp[:, p - a : q - a]
+                at = part.argmax(axis=1)
+                most = np.take_along_axis(part, at[:, None], axis=1)[:, 0]
+                new = (most > top[:, k]) | (np.isnan(most) & ~np.isnan(top[:, k]))
+                top[:, k], best[:, k] = np.where(new, most, top[:, k]), np.where(new, at + p, best[:, k])
+    return best - low
+
+
+def scale_statistics(channel: Padded, scales: np.ndarray, runs: Sequence[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rows, 1, frames) of the sum, mean and sample deviation of amplitudes over all scales, merged from runs of scales."""
+    n, mean, squares = 0, 0.0, 0.0
+    for a, b in runs:
+        amp = np.abs(channel.at(scales[a:b]))
+        k, m = b - a, amp.mean(axis=1, keepdims=True)
+        squares = squares + ((amp - m) ** 2).sum(axis=1, keepdims=True) + (m - mean) ** 2 * (n * k / (n + k))
+        mean, n = mean + (m - mean) * (k / (n + k)), n + k
+    return mean * n, mean, np.sqrt(squares / (n - 1)) if n > 1 else np.full_like(mean, np.nan)
+
+
 def query_block(
     data: Mapping[int, np.ndarray], scales: np.ndarray, min_scale: int, max_scale: int, banks: int, normalize_amplitudes: bool, carrier: int,
     channel_outputs: Mapping[int, Sequence[str]], method: str, frequencies: np.ndarray | None, padding: str | None, wavelet: Wavelet, norm: str,
 ) -> dict[int, dict[str, np.ndarray]]:
     """channel -> output -> (rows, banks, frames). Power sums, means and deviations are over all scales.
 
-    The z-score of normalised amplitudes uses the mean and deviation of those not normalised.
+    The z-score of normalised amplitudes uses the mean and deviation of those not normalised. Scales
+    are taken in runs, so what is held does not grow with scales x frames.
     """
-    sub, power, mean, sd = {}, {}, {}, {}
-    for c, outputs in channel_outputs.items():
-        w = transform(data[c], scales, padding, wavelet, norm)
-        if normalize_amplitudes or "z_score" in outputs:
-            a = np.abs(w)
-            power[c] = a.sum(axis=1, keepdims=True)
-            if "z_score" in outputs:
-                mean[c], sd[c] = a.mean(axis=1, keepdims=True), a.std(axis=1, ddof=1, keepdims=True) if a.shape[1] > 1 else np.full_like(power[c], np.nan)
-        sub[c] = w[:, min_scale:max_scale].copy()
-    at = bank_places(np.abs(sub[carrier]), banks, method)
-    read = lambda m: np.take_along_axis(m, at, axis=1)
+    high = min(max_scale, len(scales))
+    padded = {c: Padded(data[c], padding, wavelet, norm) for c in channel_outputs}
+    numbers = padded[carrier].spectrum.size
+    inside, every = scale_runs(min_scale, high, numbers), scale_runs(0, len(scales), numbers)
+    at = carrier_places(padded[carrier], scales, min_scale, high, banks, method, inside)
+
+    def read(c: int) -> np.ndarray:
+        """Coefficients at the carrier's scales."""
+        out = np.zeros(at.shape, complex)
+        for a, b in inside:
+            here = (at + min_scale >= a) & (at + min_scale < b)
+            if here.any():
+                found = np.take_along_axis(padded[c].at(scales[a:b]), np.where(here, at + min_scale - a, 0), axis=1)
+                out[here] = found[here]
+        return out
+
     out: dict[int, dict[str, np.ndarray]] = {}
     with np.errstate(divide="ignore", invalid="ignore"):
-        reference = np.angle(read(sub[carrier]))
+        of_carrier = read(carrier)
+        reference = np.angle(of_carrier)
         for c, outputs in channel_outputs.items():
-            here = read(sub[c])
+            here = of_carrier if c == carrier else read(c)
             p = np.abs(here)
+            if normalize_amplitudes or "z_score" in outputs:
+                power, mean, sd = scale_statistics(padded[c], scales, every)
             if normalize_amplitudes:
-                p = p / power[c]
+                p = p / power
             got = {}
             for o in outputs:
                 if o == "amp":
@@ -243,7 +308,7 @@ def query_block(
                 elif o == "phase_difference":
                     got[o] = np.mod(np.angle(here) - reference, 2 * math.pi)
                 elif o == "z_score":
-                    got[o] = (p - mean[c]) / sd[c]
+                    got[o] = (p - mean) / sd
                 else:
                     got[o] = (at + min_scale).astype(float) if frequencies is None else frequencies[at + min_scale]
             out[c] = got

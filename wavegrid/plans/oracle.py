@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from wavegrid.operators.cwt import piecewise_scales
-from wavegrid.plans.queries import BAND, BANKS, BLOCK, CUTOFF, FOLDER_COLUMNS, GRID_END, HIGH, KERNEL, LOW, LOW_BINS, MORLET, NAMES, SAMPLING, SCALES, SHARES, THRESHOLD, WINDOW
+from wavegrid.plans.queries import BAND, BANKS, BLOCK, CUTOFF, FINE_HIGH, FINE_LOW, FINE_SCALES, FOLDER_COLUMNS, GRID_END, HIGH, KERNEL, LOW, LOW_BINS, MORLET, NAMES, SAMPLING, SCALES, SHARES, THRESHOLD, WINDOW
 
 E_VOX = """vox AS (
   SELECT CAST(vec_id // 25 AS BIGINT) AS x, CAST(vec_id % 25 AS BIGINT) AS y, CAST(i % 2 AS BIGINT) AS c, CAST(i // 2 AS BIGINT) AS t,
@@ -151,6 +151,8 @@ WAVE = f"WITH {E_VOX}, {CEN}, {LISTS}, {wave_ctes()}"
 PADDED = f"""WITH {E_VOX}, nrm AS (SELECT x, y, c, t, (v - avg(v) OVER w) / stddev_samp(v) OVER w AS v FROM vox WINDOW w AS (PARTITION BY c, t)),
 cen AS (SELECT x, y, c, t, v - avg(v) OVER (PARTITION BY x, y, c) AS v FROM nrm), {LISTS.replace("sig AS", "raw AS")},
 sig AS MATERIALIZED (SELECT x, y, c, list_transform(range(64), lambda u: v[CAST(CASE WHEN u < 16 THEN 17 - u WHEN u < 48 THEN u - 15 ELSE 79 - u END AS BIGINT)]) AS v FROM raw), {wave_ctes(64, 16)}"""
+#: All 16 scales of cwt_freq_hz, and what they have in common at a pixel and frame.
+FINE = f"WITH {E_VOX}, {CEN}, {LISTS}, {wave_ctes(more='avg(a) OVER w AS m, stddev_samp(a) OVER w AS sd', scales=tuple(enumerate(FINE_SCALES)), low=FINE_LOW, high=FINE_HIGH)}"
 #: The default grid's scales that cwt_default_grid reads.
 DEFAULT_GRID = [(k, float(v)) for k, v in enumerate(piecewise_scales(32)) if 80 <= k < GRID_END]
 CARRIER_AT = "crr AS (SELECT x, y, t, i FROM (SELECT *, row_number() OVER (PARTITION BY x, y, t ORDER BY a DESC, i) AS n FROM sub WHERE c = 0) WHERE n = 1)"
@@ -247,7 +249,7 @@ SELECT s.x, s.y, s.c, CAST(crr.bank AS BIGINT) AS bank, s.t, {r("s.a", "value")}
     "cwt_bank_sort": f"""{WAVE}, crr AS (SELECT x, y, t, i, n - 1 AS bank FROM (SELECT *, row_number() OVER (PARTITION BY x, y, t ORDER BY a DESC, i) AS n FROM sub WHERE c = 0) WHERE n <= {BANKS})
 SELECT s.x, s.y, s.c, CAST(crr.bank AS BIGINT) AS bank, s.t, {r("s.a", "value")} FROM sub s JOIN crr ON s.x = crr.x AND s.y = crr.y AND s.t = crr.t AND s.i = crr.i""",
     "cwt_phase": wave_sql(r("s.wr / s.a", "cos_phase"), r("s.wi / s.a", "sin_phase")),
-    "cwt_freq_hz": wave_sql(r(f"pow(20.0, 1 / 3.0) / (SELECT s FROM scl WHERE scl.i = s.i) / (2 * pi()) * {SAMPLING.fs}", "value")),
+    "cwt_freq_hz": wave_sql(r(f"pow(20.0, 1 / 3.0) / (SELECT s FROM scl WHERE scl.i = s.i) / (2 * pi()) * {SAMPLING.fs}", "value"), ctes=FINE),
     "cwt_normalized_amp": wave_sql(r("s.p", "value"), ctes=f"WITH {E_VOX}, {CEN}, {LISTS}, {wave_ctes(more='a / sum(a) OVER w AS p')}"),
     "cwt_default_preprocessing": wave_sql(r("s.a", "value", 5), ctes=PADDED),
     "cwt_morlet": wave_sql(r("s.a", "value"), ctes=f"WITH {E_VOX}, {CEN}, {LISTS}, {wave_ctes(gain=MORLET_GAIN)}"),

@@ -4,7 +4,8 @@ The byte-pair encoding of a pre-token has one last token for each of its prefixe
 i, each vocabulary entry that is a suffix of the prefix (found by an automaton over all
 entries) is tried: entry t of length l is the last token if the last token of prefix i - l can
 stand before t, that is if merging the two tokens' bytes gives the two tokens again. Following
-back from the end gives the ids.
+back from the end gives the ids. A prefix's last token is found when a longer prefix asks for it,
+the longest entries first.
 
 Two tokens can stand together unless a merge across their seam comes first: the right edge of
 the left token and the left edge of the right token pass through stages (the tokens of their
@@ -20,6 +21,7 @@ from __future__ import annotations
 import gzip
 import hashlib
 import json
+import struct
 
 import ahocorasick
 import numpy as np
@@ -44,8 +46,10 @@ A7DD-A7DD A7E2-A7E2 A7F1-A7F1 AB6C-AB6D 107BB-107BF 10940-10959 10EC5-10EC7 10ED
 1E6FE-1E6FF 2B73A-2B73F 2B81E-2B81E 2CEA2-2CEAD 323B0-33479 3D000-3FC3F
 """.split()
 NEVER = 1 << 60
-#: Entries that a worker's memo of pre-tokens or token pairs holds before it starts anew.
-MEMO = 120_000
+#: Entries of a generation of a worker's memo of pre-tokens or token pairs, and the longest pre-token that is kept.
+MEMO, KEPT_LENGTH = 100_000, 200
+#: Texts whose UTF-8 bytes are all smaller have no code point of NOT_YET: the first one starts with this byte.
+LATER_BYTE = chr(int(NOT_YET[0].split("-")[0], 16)).encode()[0]
 
 
 def byte_letters() -> dict[str, int]:
@@ -55,6 +59,26 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(other)}
 
 
+class Memo(dict):
+    """Results of a function. When MEMO of them are held they become the older ones, of which those asked for again live on."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make, self.older = make, {}
+
+    def __missing__(self, key):
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
+        if isinstance(key, str) and len(key) >= KEPT_LENGTH:
+            return value
+        if len(self) >= MEMO:
+            self.older = self.copy()
+            self.clear()
+        self[key] = value
+        return value
+
+
 class Codec:
     """Encodes and decodes with a byte-level vocabulary file of the tokenizers library."""
 
@@ -64,6 +88,9 @@ class Codec:
         self.bytes_of = {i: bytes(letters[c] for c in t) for t, i in vocab.items()}
         self.special = {x["content"]: x["id"] for x in described["added_tokens"]}
         self.bytes_of |= {i: t.encode() for t, i in self.special.items()}
+        self.sizes = np.array([len(self.bytes_of.get(i, b"")) for i in range(max(self.bytes_of) + 1)])
+        self.begins = np.cumsum(self.sizes) - self.sizes
+        self.joined = np.frombuffer(b"".join(self.bytes_of[i] for i in sorted(self.bytes_of)), np.uint8)
         self.merge: dict[tuple[int, int], int] = {}
         self.parts: dict[int, tuple[int, int]] = {}
         self.rank: dict[int, int] = {}
@@ -74,19 +101,21 @@ class Codec:
             if made not in self.parts:
                 self.parts[made], self.rank[made] = pair, r
         self.automaton = ahocorasick.Automaton()
-        for t, i in vocab.items():
-            raw = self.bytes_of[i]
-            if len(raw) == 1 or i in self.parts:
-                self.automaton.add_word(raw.decode("latin-1"), (i, len(raw)))
+        entries = {raw: i for i in vocab.values() if len(raw := self.bytes_of[i]) == 1 or i in self.parts}
+        for raw, i in entries.items():
+            self.automaton.add_word(raw.decode("latin-1"), i)
         self.automaton.make_automaton()
+        self.length = {i: len(raw) for raw, i in entries.items()}
+        #: The longest entry that an entry ends with.
+        self.shorter = {i: next((entries[raw[k:]] for k in range(1, len(raw)) if raw[k:] in entries), None) for raw, i in entries.items()}
         self.split = regex.compile(SPLIT)
         later = "[" + "".join(f"\\U{a:0>8}-\\U{b:0>8}" for a, b in (x.split("-") for x in NOT_YET)) + "]"
         self.later = regex.compile(later)
         narrow = SPLIT.replace(r"[^\s\p{L}\p{N}]", rf"[[^\s\p{{L}}\p{{N}}]||{later}]").replace(r" ?\p{L}", rf" ?[\p{{L}}--{later}]").replace(r" ?\p{N}", rf" ?[\p{{N}}--{later}]")
         self.split_later = regex.compile(narrow, regex.V1)
         self.specials = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
-        self.fits: dict[tuple[int, int], bool] = {}
-        self.known: dict[str, bytes] = {}
+        self.fits = Memo(lambda pair: self.can_stand(pair >> 32, pair & 0xFFFFFFFF))
+        self.known = Memo(self.word)
         self.edges: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
 
     def edge(self, token: int, side: int) -> list[tuple[int, int, int]]:
@@ -116,29 +145,37 @@ class Codec:
     def word(self, word: str) -> bytes:
         """The ids of a pre-token, as little-endian unsigned 32-bit integers."""
         raw = word.encode().decode("latin-1")
-        last: list[tuple[int, int] | None] = [None] * (len(raw) + 1)
-        fits = self.fits
-        for end, (token, length) in self.automaton.iter(raw):
-            start = end + 1 - length
-            if last[end + 1] is not None:
-                continue
+        # The automaton tells the longest entry at an end first: so it is the one that stays.
+        longest = dict(reversed(list(self.automaton.iter(raw))))
+        last, fits, length, shorter = [-1] * (len(raw) + 1), self.fits, self.length, self.shorter
+        asked, tried = [len(raw)], [longest[len(raw) - 1]] if raw else []
+        while tried:
+            end, token = asked[-1], tried[-1]
+            start = end - length[token]
             if start:
                 before = last[start]
-                if before is None:
+                if before < 0:
+                    asked.append(start)
+                    tried.append(longest[start - 1])
                     continue
-                pair = before[0], token
-                if (ok := fits.get(pair)) is None:
-                    if len(fits) >= MEMO:
-                        fits.clear()
-                    ok = fits[pair] = self.can_stand(*pair)
-                if not ok:
+                if not fits[before << 32 | token]:
+                    tried[-1] = shorter[token]
                     continue
-            last[end + 1] = token, start
+            last[end] = token
+            asked.pop()
+            tried.pop()
         ids, at = [], len(raw)
         while at:
-            token, at = last[at]
-            ids.append(token)
-        return np.array(ids[::-1], "<u4").tobytes()
+            ids.append(last[at])
+            at -= length[last[at]]
+        ids.reverse()
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def has_later(self, piece: str) -> bool:
+        """Whether there is a code point of NOT_YET in it."""
+        if piece.isascii() or np.frombuffer(piece.encode(), np.uint8).max() < LATER_BYTE:
+            return False
+        return self.later.search(piece) is not None
 
     def encode(self, text: str) -> bytes:
         """The ids of a text, as little-endian unsigned 32-bit integers."""
@@ -151,20 +188,18 @@ class Codec:
             if piece in self.special:
                 out.append(np.array([self.special[piece]], "<u4").tobytes())
                 continue
-            split = self.split if piece.isascii() or not self.later.search(piece) else self.split_later
-            for word in split.findall(piece):
-                if (ids := known.get(word)) is None:
-                    if len(known) >= MEMO:
-                        known.clear()
-                    ids = self.word(word)
-                    if len(word) < 200:
-                        known[word] = ids
-                out.append(ids)
+            split = self.split_later if self.has_later(piece) else self.split
+            out.extend(map(known.__getitem__, split.findall(piece)))
         return b"".join(out)
 
     def decode(self, ids: bytes) -> str:
         """The text of ids; bytes that are no UTF-8 become U+FFFD."""
-        return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
+        tokens = np.frombuffer(ids, "<u4")
+        sizes = self.sizes[tokens]
+        ends = np.cumsum(sizes)
+        at = np.repeat(self.begins[tokens] - ends + sizes, sizes)
+        at += np.arange(len(at))
+        return self.joined[at].tobytes().decode("utf-8", "replace")
 
 
 def bpe_tokens(docs: DataFrame, vocabulary: str, column: str = "bpe", keep_ids: bool = True) -> DataFrame:

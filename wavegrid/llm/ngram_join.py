@@ -49,7 +49,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wavegrid.llm.common import columns_of, cut, documents, in_small_batches, once, small_side
+from wavegrid.llm.common import columns_of, cut, documents, in_small_batches, release, small_side
 from wavegrid.llm.graph import components
 
 WORDS = 5
@@ -67,7 +67,7 @@ MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
 class WordHashes(dict):
-    """64-bit hash of each word, kept for words seen before."""
+    """64-bit hash of each word, kept for words seen before (for sketch_dedup; here a word is hashed each time, which costs less)."""
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= 200_000:
@@ -83,17 +83,21 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def shingle_set(text: str | None, hashes: dict) -> np.ndarray:
-    """The sorted hashes of a text's distinct shingles."""
+def shingle_set(text: str | None) -> np.ndarray:
+    """The sorted hashes of a text's distinct shingles: polynomials of the words' hashes, spread once."""
     words = (text or "").encode().lower().split()
     if not words:
         return np.empty(0, np.int64)
-    h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
     width = min(WORDS, len(words))
-    out = np.full(len(words) - width + 1, width, np.uint64)
+    n = len(words) - width + 1
+    out = np.full(n, width, np.uint64)
     for k in range(width):
-        out = mixed(out * MULTIPLIER + h[k : len(h) - width + 1 + k])
-    return np.unique(out.view(np.int64))
+        out *= MULTIPLIER
+        out += h[k : n + k]
+    out = mixed(out).view(np.int64)
+    out.sort()
+    return out[np.concatenate([[True], out[1:] != out[:-1]])]
 
 
 def least_overlap(n):
@@ -165,12 +169,13 @@ def signatures(docs: DataFrame) -> DataFrame:
     """
 
     def sign(batches):
-        hashes, run = once(("word hashes",), WordHashes), Frequent()
+        release()
+        run = Frequent()
         for batch in batches:
             n, key, k, sets, noted = [], [], [], [], []
             last = batch.num_rows - 1
             for i, text in enumerate(batch.column(1)):
-                s = shingle_set(text.as_py(), hashes)
+                s = shingle_set(text.as_py())
                 n.append(len(s))
                 key.append(xxhash.xxh3_128_digest(s.tobytes()))
                 k.append(int.from_bytes(key[-1][:8], "little", signed=True))
@@ -195,7 +200,8 @@ def prefixes(docs: DataFrame, hot: np.ndarray) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(hot)
 
     def emit(batches):
-        hashes, known = once(("word hashes",), WordHashes), sent.value
+        release()
+        known = sent.value
         seen = set()
         for batch in batches:
             ks, hs, hots = [], [], []
@@ -206,7 +212,7 @@ def prefixes(docs: DataFrame, hot: np.ndarray) -> DataFrame:
                 return pa.record_batch([pa.array(x) for x in arrays], names=["k", "h", "hot"])
 
             for text in batch.column(0):
-                s = shingle_set(text.as_py(), hashes)
+                s = shingle_set(text.as_py())
                 if not len(s):
                     continue
                 k = int.from_bytes(xxhash.xxh3_128_digest(s.tobytes())[:8], "little", signed=True)
@@ -236,11 +242,12 @@ def with_sets(docs: DataFrame) -> DataFrame:
     """(k, rep, copies, n, shingles, sets, frequent) from (k, rep, copies, text), of the texts whose set is k's; sets and frequent as in signatures."""
 
     def emit(batches):
-        hashes, run = once(("word hashes",), WordHashes), Frequent()
+        release()
+        run = Frequent()
         for batch in batches:
             kept, found = [], []
             for i, (k, text) in enumerate(zip(batch.column("k").to_pylist(), batch.column("text"), strict=True)):
-                s = shingle_set(text.as_py(), hashes)
+                s = shingle_set(text.as_py())
                 if len(s) and int.from_bytes(xxhash.xxh3_128_digest(s.tobytes())[:8], "little", signed=True) == k:
                     kept.append(i)
                     found.append(s)
